@@ -52,6 +52,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, i
     return [r["_t"] for r in got], np.array([r["_y"] for r in got], dtype=np.int64), np.array([r["_fold"] for r in got], dtype=np.int64)
 
 
+def prior_shift(labels: DataFrame, label: str, y: np.ndarray, id_col: str = "doc_id") -> float:
+    """What to add to the log odds of a model fitted on a sample with labels ``y``, so that they hold for all labelled rows."""
+    n = {r["y"]: r["count"] for r in labels.where(F.col(label).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(label).cast("int").alias("y")).count().collect()}
+    ones, zeros = int((y == 1).sum()), int((y == 0).sum())
+    if not (n.get(1) and n.get(0) and ones and zeros):
+        return 0.0
+    return float(np.log(n[1] / n[0]) - np.log(ones / zeros))
+
+
 class WordTable:
     """Numbers words for vectorised work: each distinct word gets a row of ``features(words)``.
 

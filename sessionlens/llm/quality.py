@@ -8,7 +8,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionlens.llm.common import held_out, labelled_sample
+from sessionlens.llm.common import held_out, labelled_sample, prior_shift
 
 CHUNK, LEVEL = 1024, 1
 
@@ -99,6 +99,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     x = np.array([made.features(t) for t in held])
     made.scale = np.stack([x[:, :3].mean(axis=0), x[:, :3].std(axis=0) + 1e-6])
     made.weights = logistic(design(x, made.scale), y[~build].astype(float))
+    made.weights[-1] += prior_shift(labels, label, y, id_col)
     return made
 
 
