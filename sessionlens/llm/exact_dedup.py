@@ -18,22 +18,10 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 64, hot_rows: int = 2000, hot_texts: int = 256) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
-
-    Texts are equal when identical after lower-casing A-Z; null is the empty text. The row with the largest id of
-    a group stays; of rows repeated with one id exactly one stays, and a null id stays only in a group of null ids.
-    An empty table gives an empty result; other columns of ``docs`` play no part.
-
-    Splitters are drawn on (first ``prefix`` characters, 64-bit hash, block), a key of bounded size, so what the
-    sampler brings to the driver is small and texts with one opening still spread out. A text with over
-    ``hot_rows`` copies is dealt in blocks by id, so that no task holds all its copies; block results of the at
-    most ``hot_texts`` most frequent such texts are merged through a summary of a row each. Texts beyond those
-    take the ordinary path, which is exact at any size.
-    """
+def marked(docs: DataFrame, id_col: str, text_col: str, prefix: int, hot_rows: int, hot_texts: int) -> DataFrame:
+    """``docs`` with _keep_id, _group_size, _kept and _sha256 beside all its columns; see :func:`exact_dedup`."""
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).alias("doc_id"), ascii_lower(F.col(text_col)).alias("_norm"))
-    hashed = base.withColumn("_h", F.xxhash64("_norm"))
+    hashed = docs.withColumn("_h", F.xxhash64(ascii_lower(F.col(text_col))))
 
     counts = hashed.groupBy("_h").count().where(F.col("count") > hot_rows)
     hot = {r["_h"]: r["count"] for r in counts.orderBy(F.desc("count"), "_h").limit(hot_texts).collect()}
@@ -43,36 +31,53 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         blocks = F.coalesce(F.try_element_at(share, F.col("_h")), F.lit(1))
     rows = (
         hashed.withColumn("_blocks", blocks)
-        .withColumn("_block", F.pmod(F.xxhash64("doc_id"), F.col("_blocks")))
-        .withColumn("_prefix", F.substring("_norm", 1, prefix))
+        .withColumn("_block", F.pmod(F.xxhash64(id_col), F.col("_blocks")))
+        .withColumn("_prefix", ascii_lower(F.substring(F.col(text_col), 1, prefix)))
     )
-    ranged = rows.repartitionByRange("_prefix", "_h", "_block")
+    # The text itself travels once; its normal form, which is what is sorted and compared, is made on arrival.
+    ranged = rows.repartitionByRange("_prefix", "_h", "_block").withColumn("_norm", ascii_lower(F.col(text_col)))
     run = W.partitionBy("_prefix", "_h", "_block", "_norm")
-    marked = ranged.select(
-        "doc_id", "_blocks", F.sha2("_norm", 256).alias("text_sha256"),
-        F.max("doc_id").over(run).alias("_keep"), F.count(F.lit(1)).over(run).alias("_n"),
-        F.row_number().over(run.orderBy(F.desc_nulls_last("doc_id"))).alias("_rn"),
-    )
+    out = ranged.withColumns({
+        "_run_keep": F.max(id_col).over(run), "_run_size": F.count(F.lit(1)).over(run),
+        "_rn": F.row_number().over(run.orderBy(F.desc_nulls_last(id_col))), "_sha256": F.sha2("_norm", 256),
+    }).drop("_norm", "_prefix", "_h", "_block")
+    kind = docs.schema[id_col].dataType
     if hot:
         summary = (
-            hashed.where(F.col("_h").isin(list(hot))).groupBy(F.sha2("_norm", 256).alias("text_sha256"))
-            .agg(F.max("doc_id").alias("_all_keep"), F.count(F.lit(1)).alias("_all_n"))
+            hashed.where(F.col("_h").isin(list(hot))).groupBy(F.sha2(ascii_lower(F.col(text_col)), 256).alias("_hot"))
+            .agg(F.max(id_col).alias("_all_keep"), F.count(F.lit(1)).alias("_all_size"))
         )
-        # At most one row for each of the hot_texts hashes, so a broadcast of bounded size.
+        # One row for each hot text, so a broadcast of bounded size.
         summary = spark.createDataFrame(summary.limit(4 * hot_texts).collect(), summary.schema)
-        marked = marked.join(F.broadcast(summary), "text_sha256", "left")
+        out = out.join(F.broadcast(summary), F.col("_sha256") == F.col("_hot"), "left")
     else:
-        marked = marked.withColumns({"_all_keep": F.lit(None).cast(docs.schema[id_col].dataType), "_all_n": F.lit(None).cast("long")})
+        out = out.withColumns({"_hot": F.lit(None).cast("string"), "_all_keep": F.lit(None).cast(kind), "_all_size": F.lit(None).cast("long")})
     split = F.col("_blocks") > 1
-    keep = F.when(split, F.col("_all_keep")).otherwise(F.col("_keep"))
-    return marked.select(
-        "doc_id", keep.alias("keep_id"), F.when(split, F.col("_all_n")).otherwise(F.col("_n")).alias("group_size"),
-        ((F.col("_rn") == 1) & keep.eqNullSafe(F.col("doc_id"))).alias("kept"), "text_sha256",
-    )
+    out = out.withColumn("_keep_id", F.when(split, F.col("_all_keep")).otherwise(F.col("_run_keep")))
+    out = out.withColumn("_group_size", F.when(split, F.col("_all_size")).otherwise(F.col("_run_size")))
+    out = out.withColumn("_kept", (F.col("_rn") == 1) & F.col("_keep_id").eqNullSafe(F.col(id_col)))
+    return out.drop("_blocks", "_run_keep", "_run_size", "_rn", "_hot", "_all_keep", "_all_size")
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 64, hot_rows: int = 500, hot_texts: int = 256) -> DataFrame:
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Texts are equal when identical after lower-casing A-Z; null is the empty text. The row with the largest id of
+    a group stays; of rows repeated with one id exactly one stays, and a null id stays only in a group of null ids.
+    An empty table gives an empty result; other columns of ``docs`` play no part, unless they bear this module's names,
+    which start with an underscore.
+
+    Splitters are drawn on (first ``prefix`` characters, 64-bit hash, block), a key of bounded size, so what the
+    sampler brings to the driver is small and texts with one opening still spread out. A text with over
+    ``hot_rows`` copies is dealt in blocks by id, so that no task holds all its copies; block results of the at
+    most ``hot_texts`` most frequent such texts are merged through a summary of a row each. Texts beyond those
+    take the ordinary path, which is exact at any size.
+    """
+    given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    out = marked(given, "doc_id", "text", prefix, hot_rows, hot_texts)
+    return out.select("doc_id", F.col("_keep_id").alias("keep_id"), F.col("_group_size").alias("group_size"), F.col("_kept").alias("kept"), F.col("_sha256").alias("text_sha256"))
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; rows with a null id stay as they are."""
-    stays = exact_dedup(docs, id_col, text_col).where("kept and doc_id is not null").select(F.col("doc_id").alias("_stays"))
-    kept = docs.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).join(stays, F.col(id_col) == F.col("_stays"), "left_semi")
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 64, hot_rows: int = 500, hot_texts: int = 256) -> DataFrame:
+    """The rows of ``docs`` that stay under :func:`exact_dedup`, with all their columns, in one pass over the texts."""
+    return marked(docs, id_col, text_col, prefix, hot_rows, hot_texts).where("_kept").select(*docs.columns)

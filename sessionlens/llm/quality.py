@@ -117,3 +117,14 @@ def quality_scores(docs: DataFrame, model: CompressionClassifier, id_col: str =
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = given.mapInArrow(run, f"doc_id {given.schema['doc_id'].dataType.simpleString()}, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, model: CompressionClassifier, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` whose whole text scores ``threshold`` or more, with all their columns, in one narrow pass."""
+    at = docs.columns.index(text_col)
+
+    def run(stream):
+        for batch in stream:
+            yield batch.filter(pa.array(model.scores(batch.column(at).to_pylist()) >= threshold, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

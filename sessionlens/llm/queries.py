@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionlens.llm import exact_dedup, language, mixing, neighbours, pii, quality, secrets, simhash, toxicity
+from sessionlens.llm import exact_dedup, language, mixing, neighbours, pieces, pii, quality, secrets, simhash, toxicity
 from sessionlens.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.fit_language(docs))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.toxicity_scores(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
@@ -48,7 +52,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_prefix_forest, op2_mixing, op3_pii, op4_language, op6_toxicity, op7_secrets, op8_exact_dedup, op9_simhash, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_prefix_forest, op2_mixing, op3_pii, op4_language, op5_sentencepiece, op6_toxicity, op7_secrets, op8_exact_dedup, op9_simhash, op10_quality)}
 
 OP8_SQL = """
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents)
