@@ -78,11 +78,15 @@ def window_terms(text: Column, kind: str, match: Column, width: int) -> Column:
     return F.concat(left, right)
 
 
+def near_match(kind: str, width: int):
+    return lambda match: window_terms(F.col("text"), kind, match, width)
+
+
 def found_in(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """A row number, the id, base matches of each kind, and the terms of their windows; no text."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumns({k: base_matches(F.col("text"), k) for k in KINDS})
-    near = [F.flatten(F.transform(F.col(k), lambda m, k=k: window_terms(F.col("text"), k, m, width))) for k in KINDS]
+    near = [F.flatten(F.transform(F.col(k), near_match(k, width))) for k in KINDS]
     return rows.select("row", "doc_id", *KINDS, F.concat(*near).alias("near"))
 
 

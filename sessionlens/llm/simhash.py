@@ -77,7 +77,57 @@ class BKTree:
         return found
 
 
-def shard_links(stream, radius: int):
+class LeafTree:
+    """The same tree for large shards: nodes keyed by Hamming distance, with sorted arrays of up to LEAF values as leaves.
+
+    All members of the shard search it at once, and only the smallest label that they reach is kept.
+    """
+
+    LEAF = 512
+
+    def __init__(self, fps: np.ndarray):
+        self.fps = fps
+        self.root = self._build(np.arange(len(fps)))
+
+    def _build(self, at: np.ndarray):
+        if len(at) <= self.LEAF:
+            return at
+        parent, rest = at[0], at[1:]
+        d = np.bitwise_count(self.fps[rest] ^ self.fps[parent])
+        return parent, {int(k): self._build(rest[d == k]) for k in np.unique(d)}
+
+    def classes(self, radius: int) -> np.ndarray:
+        """For each value the smallest position that it reaches over links within ``radius``."""
+        label = np.arange(len(self.fps))
+        while True:
+            before = label.copy()
+            todo = [(self.root, np.arange(len(self.fps)))]
+            while todo:
+                node, asking = todo.pop()
+                if isinstance(node, tuple):
+                    parent, children = node
+                    d = np.bitwise_count(self.fps[asking] ^ self.fps[parent]).astype(np.int64)
+                    near = asking[d <= radius]
+                    label[near] = np.minimum(label[near], label[parent])
+                    label[parent] = min(label[parent], label[near].min(initial=label[parent]))
+                    for k, child in children.items():
+                        inside = asking[np.abs(d - k) <= radius]
+                        if len(inside):
+                            todo.append((child, inside))
+                    continue
+                for i in range(0, len(asking), 2048):
+                    part = asking[i : i + 2048]
+                    hit = np.bitwise_count(self.fps[part][:, None] ^ self.fps[node][None, :]) <= radius
+                    reach = np.where(hit, label[node][None, :], len(label)).min(axis=1)
+                    label[part] = np.minimum(label[part], reach)
+                    back = np.where(hit, label[part][:, None], len(label)).min(axis=0)
+                    label[node] = np.minimum(label[node], back)
+            label = label[label]
+            if (label == before).all():
+                return label
+
+
+def shard_links(stream, radius: int, large: int = 256):
     """Links within each shard of rows sorted by (table, shard): each fingerprint with the smallest of its shard that it reaches."""
     state = {"key": None, "fps": []}
 
@@ -85,6 +135,9 @@ def shard_links(stream, radius: int):
         fps = [x & 0xFFFFFFFFFFFFFFFF for x in sorted(set(state["fps"]))]
         if len(fps) < 2:
             return []
+        if len(fps) > large:
+            values = np.array(fps, np.uint64)
+            return [(int(values[i]), int(values[j])) for i, j in enumerate(LeafTree(values).classes(radius)) if i != j]
         parent = {x: x for x in fps}
 
         def top(x):
@@ -128,17 +181,32 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def shard_masks(radius: int, size: int, tables: int = 48, seed: int = 17) -> list[int]:
+    """Bits that make the shard keys of each table.
+
+    Up to radius 4 the 64 bits are cut into radius + 2 blocks, of which two near fingerprints share two at least: a
+    table for each pair of blocks misses no link. Beyond that so many blocks would be a few bits each, so ``tables``
+    tables take as many random bits as tell ``size`` fingerprints apart; a link at distance d is met with
+    probability 1 - (1 - (1 - d / 64) ** bits) ** tables.
+    """
+    if radius <= 4:
+        return [a | b for a, b in combinations(block_masks(radius + 2), 2)]
+    bits = min(40, max(10, size.bit_length()))
+    rng = np.random.default_rng(seed)
+    return [sum(1 << int(b) for b in rng.choice(64, bits, replace=False)) for _ in range(tables)]
+
+
 def links(distinct: DataFrame, radius: int = 2, heavy: int = 2048) -> DataFrame:
     """(u, v) links of distinct fingerprints ``fp`` that join the same classes as all pairs within ``radius`` bits.
 
-    The 64 bits are cut into radius + 2 blocks. Two fingerprints within the radius agree on two blocks at least, so
-    they meet in the shard of that pair of blocks and its bits; each shard is searched through its own BK-tree, in the
-    task that holds it. Shards of over ``heavy`` fingerprints are cut again by the bits that their key leaves free,
-    into radius + 1 pieces of which two near fingerprints share one.
+    Near fingerprints meet in a shard of :func:`shard_masks`, and each shard is searched through its own BK-tree in the
+    task that holds it: the trees together grow with the corpus, so none of them is broadcast. Shards of over ``heavy``
+    fingerprints are cut again by the bits that their key leaves free, into radius + 1 pieces of which two near
+    fingerprints share one.
     """
-    masks = block_masks(radius + 2)
-    pairs = [a | b for a, b in combinations(masks, 2)]
-    keys = F.array(*[F.struct(F.lit(i).alias("tab"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("shard")) for i, m in enumerate(pairs)])
+    pairs = shard_masks(radius, distinct.count())
+    masks = F.array(*[F.lit(signed(m)) for m in pairs])
+    keys = F.transform(masks, lambda m, i: F.struct(i.alias("tab"), F.col("fp").bitwiseAND(m).alias("shard")))
     shards = distinct.select("fp", F.explode(keys).alias("k")).select("k.tab", "k.shard", "fp")
     sizes = shards.groupBy("tab", "shard").count().where("count > 1")
     shards = shards.join(sizes, ["tab", "shard"])
@@ -146,11 +214,9 @@ def links(distinct: DataFrame, radius: int = 2, heavy: int = 2048) -> DataFrame:
     def pieces(mask: int):
         free = [i for i in range(64) if not mask >> i & 1]
         cuts = [free[len(free) * i // (radius + 1) : len(free) * (i + 1) // (radius + 1)] for i in range(radius + 1)]
-        return F.array(*[F.concat_ws(":", F.lit(str(j)), F.col("fp").bitwiseAND(F.lit(signed(sum(1 << i for i in c))))) for j, c in enumerate(cuts)])
+        return F.array(*[F.lit(signed(sum(1 << i for i in c))) for c in cuts])
 
-    split = F.lit(None)
-    for i, m in enumerate(pairs):
-        split = F.when(F.col("tab") == i, pieces(m)).otherwise(split)
+    split = F.transform(F.get(F.array(*[pieces(m) for m in pairs]), F.col("tab")), lambda m, j: F.concat_ws(":", j, F.col("fp").bitwiseAND(m)))
     shards = shards.withColumn("piece", F.explode(F.when(F.col("count") > heavy, split).otherwise(F.array(F.lit("")))))
     shards = shards.select("tab", "shard", "piece", "fp").repartition("tab", "shard", "piece").sortWithinPartitions("tab", "shard", "piece")
     return shards.mapInArrow(lambda stream: shard_links(stream, radius), "u long, v long")
