@@ -42,18 +42,27 @@ def any_of(conditions) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
 
-def path_class(token: Column) -> Column:
-    """Class of a token that looks like a path, else null."""
-    trimmed = F.regexp_replace(token, "^[\"'`,;:)(\\[\\]{}]+|[\"'`,;:)(\\[\\]{}]+$", "")
-    lower = F.lower(trimmed)
-    path = ~trimmed.startswith("http://") & ~trimmed.startswith("https://") & (lower.contains("/") | lower.contains("."))
+def _trimmed(token: Column) -> Column:
+    return F.regexp_replace(token, "^[\"'`,;:)(\\[\\]{}]+|[\"'`,;:)(\\[\\]{}]+$", "")
+
+
+def _path_like(token: Column) -> Column:
+    return (token.contains("/") | token.contains(".")) & ~token.startswith("http://") & ~token.startswith("https://")
+
+
+def _class_of(lower: Column) -> Column:
     out = None
     for name, has, starts, ends in PATH_CLASSES:
         tests = [lower.contains(x) for x in has] + [lower.startswith(x) for x in starts] + [lower.endswith(x) for x in ends]
         if name == "temp":
             tests.append((lower.startswith("/users/") | lower.startswith("c:/users/")) & lower.contains("/appdata/local/temp/"))
-        out = F.when(path & any_of(tests), name) if out is None else out.when(path & any_of(tests), name)
-    return out.when(path & (trimmed != ""), "other")
+        out = F.when(any_of(tests), name) if out is None else out.when(any_of(tests), name)
+    return out.otherwise("other")
+
+
+def path_class(token: Column) -> Column:
+    """Class of a token that looks like a path, else null."""
+    return F.get(path_classes(token), F.lit(0))
 
 
 def tokens(text: Column) -> Column:
@@ -62,7 +71,8 @@ def tokens(text: Column) -> Column:
 
 
 def path_classes(text: Column) -> Column:
-    return F.array_compact(F.transform(tokens(text), path_class))
+    """Classes of the path-like tokens in order. Tokens are trimmed once, and only path-like ones are classified."""
+    return F.transform(F.transform(F.filter(F.transform(tokens(text), _trimmed), _path_like), F.lower), _class_of)
 
 
 def url_host(token: Column) -> Column:
