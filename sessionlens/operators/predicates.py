@@ -57,8 +57,9 @@ def visible(name: str) -> Column:
 
 def same_number(a: Column, b: Column) -> Column:
     """-1, 0 or 1 of two numbers, null where an integer would lose digits as a float or a float isn't finite."""
-    x, y = a.cast("double"), b.cast("double")
-    exact = (a.cast("long").isNull() | (x.cast("long") == a.cast("long"))) & (b.cast("long").isNull() | (y.cast("long") == b.cast("long")))
+    x, y = a.try_cast("double"), b.try_cast("double")
+    kept = lambda n, f: n.try_cast("long").isNull() | (f.try_cast("long") == n.try_cast("long"))
+    exact = kept(a, x) & kept(b, y)
     finite = ~F.isnan(x) & ~F.isnan(y) & (F.abs(x) != float("inf")) & (F.abs(y) != float("inf"))
     return F.when(exact & finite, F.when(x < y, -1).when(x > y, 1).otherwise(0))
 
