@@ -61,15 +61,27 @@ def design(x: np.ndarray, scale: np.ndarray) -> np.ndarray:
     return np.concatenate([z, z * z, x[:, 3:], np.ones((len(x), 1))], axis=1)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 1e-2) -> np.ndarray:
-    """Newton steps for a ridge logistic regression."""
-    w = np.zeros(x.shape[1])
+def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 100, ridge: float = 1e-3) -> np.ndarray:
+    """Ridge logistic regression by Newton steps, each halved until the loss falls, so separable classes don't make it run away."""
+    w, pull = np.zeros(x.shape[1]), ridge * len(x)
+
+    def loss(v):
+        z = x @ v
+        return np.logaddexp(0, z).sum() - y @ z + pull / 2 * v @ v
+
+    now = loss(w)
     for _ in range(rounds):
         p = sigmoid(x @ w)
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * len(x) / 100 * np.eye(x.shape[1])
-        step = np.linalg.solve(h, x.T @ (p - y) + ridge * len(x) / 100 * w)
-        w -= step
-        if np.abs(step).max() < 1e-8:
+        h = (x * (p * (1 - p))[:, None]).T @ x + pull * np.eye(x.shape[1])
+        step = np.linalg.solve(h, x.T @ (p - y) + pull * w)
+        size = 1.0
+        while size > 1e-6 and loss(w - size * step) > now:
+            size /= 2
+        if size <= 1e-6:
+            break
+        w = w - size * step
+        before, now = now, loss(w)
+        if before - now < 1e-9 * (1 + now):
             break
     return w
 

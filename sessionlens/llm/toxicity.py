@@ -225,7 +225,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
             np.subtract.at(net.p["word"], word_buckets(vocab), rate * 0.5 * dx[:-1, :WORD_DIM])
     net.__dict__.pop("_words", None)
     top, _, number = net.best_windows([texts[i] for i in tune])
-    net.calibration = logistic(np.stack([top, np.log(number), np.ones(len(tune))], axis=1), y[tune].astype(float), ridge=1e-2)
+    net.calibration = logistic(np.stack([top, np.log(number), np.ones(len(tune))], axis=1), y[tune].astype(float))
     net.calibration[2] += prior_shift(labels, label, y, id_col)
     return net
 
