@@ -41,22 +41,32 @@ class PrefixForest:
         low = (strings >> (BITS - length) << (BITS - length)) + (np.arange(self.trees, dtype=np.int64) << BITS)
         return np.searchsorted(self.keys, low.ravel()).reshape(low.shape), np.searchsorted(self.keys, (low + (1 << (BITS - length))).ravel()).reshape(low.shape)
 
-    def candidates(self, queries: np.ndarray, least: int):
+    def candidates(self, queries: np.ndarray, least: int, rows: int):
         """For each query the rows that share its longest prefixes: from whole strings all trees go up in step, a bit
-        at a time, until their ranges hold ``least`` entries; the last step's ranges are taken whole."""
+        at a time, until their ranges hold ``least`` entries and ``rows`` different rows (or all there are); the last
+        step's ranges are taken whole."""
         strings = hash_strings(queries, self.hyper)
         lo, hi = self.ranges(strings, BITS)
+        level = np.full(len(queries), BITS)
         open_ = np.arange(len(queries))
         for length in range(BITS - 1, -1, -1):
             open_ = open_[(hi[open_] - lo[open_]).sum(axis=1) < least]
             if not len(open_):
                 break
             lo[open_], hi[open_] = self.ranges(strings[open_], length)
-        for a, b in zip(lo, hi, strict=True):
-            seen = np.zeros(self.size, bool)
-            for i, j in zip(a.tolist(), b.tolist(), strict=True):
-                seen[self.rows[i:j]] = True
-            yield np.flatnonzero(seen)
+            level[open_] = length
+        for q in range(len(queries)):
+            while True:
+                seen = np.zeros(self.size, bool)
+                for i, j in zip(lo[q].tolist(), hi[q].tolist(), strict=True):
+                    seen[self.rows[i:j]] = True
+                found = np.flatnonzero(seen)
+                if len(found) >= min(rows, self.size) or not level[q]:
+                    break
+                level[q] -= 1
+                low, high = self.ranges(strings[q : q + 1], int(level[q]))
+                lo[q], hi[q] = low[0], high[0]
+            yield found
 
 
 def usable(vec: Column) -> Column:
@@ -106,7 +116,7 @@ def nearest(vectors: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col:
         xn, qn = np.sqrt((x * x).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
         forest = PrefixForest(x / xn[:, None], hyper)
         out = []
-        for i, rows in enumerate(forest.candidates(q / qn[:, None], int(np.ceil(effort * len(x))) + k)):
+        for i, rows in enumerate(forest.candidates(q / qn[:, None], int(np.ceil(effort * len(x))) + trees, k + 1)):
             score = (x[rows] * q[i]).sum(axis=1) / (xn[rows] * qn[i])
             best = np.lexsort((smallest[rows], -score))[: k + 1]
             out += [(asking[i], entry[rows[j]], score[j], shard["ids"].iat[rows[j]]) for j in best]
