@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sessionlens.llm.common import held_out, labelled_sample, prior_shift
 
-CHUNK, LEVEL = 1024, 1
+CHUNK, LEVEL = 512, 1
 
 
 def chunks(text: str | None) -> list[bytes]:
@@ -27,9 +27,10 @@ class CompressionClassifier:
     def compressors(self):
         """One compressor for each dictionary, kept for the life of the worker's copy of this object."""
         if not hasattr(self, "_made"):
-            dicts = [zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for d in (self.good, self.bad)]
-            options = [d.precompute_compress(level=LEVEL) for d in dicts] and dicts
-            self._made = [zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False) for d in options]
+            dicts = [zstandard.ZstdCompressionDict(d) for d in (self.good, self.bad)]
+            for d in dicts:
+                d.precompute_compress(level=LEVEL)
+            self._made = [zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False) for d in dicts]
         return self._made
 
     def __getstate__(self):
@@ -87,7 +88,7 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 100, ridge: float = 1e-
 
 
 def dictionary(texts: list[str], size: int) -> bytes:
-    """Raw dictionary of ``size`` bytes: trained cover of frequent content where zstandard can, else the texts themselves."""
+    """Dictionary of ``size`` bytes with its entropy tables where zstandard can train one, else the texts themselves."""
     samples = [c for t in texts for c in chunks(t) if len(c) >= 32]
     try:
         return zstandard.train_dictionary(size, samples, level=LEVEL).as_bytes()
@@ -118,7 +119,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 def quality_scores(docs: DataFrame, model: CompressionClassifier, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score (0 to 1, higher is better text), predicted.
 
-    Whole texts count, in chunks of 1024 bytes. Null and empty texts get the score of a text without features. Repeated rows are scored
+    Whole texts count, in chunks of 512 bytes. Null and empty texts get the score of a text without features. Repeated rows are scored
     alike, an empty table gives an empty result.
     """
 
