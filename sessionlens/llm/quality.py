@@ -62,7 +62,7 @@ def design(x: np.ndarray, scale: np.ndarray) -> np.ndarray:
     return np.concatenate([z, z * z, x[:, 3:], np.ones((len(x), 1))], axis=1)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 100, ridge: float = 1e-3) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 100, ridge: float = 1e-5) -> np.ndarray:
     """Ridge logistic regression by Newton steps, each halved until the loss falls, so separable classes don't make it run away."""
     w, pull = np.zeros(x.shape[1]), ridge * len(x)
 
