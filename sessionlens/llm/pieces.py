@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 
 import numpy as np
@@ -16,7 +15,6 @@ from sessionlens.llm.common import batches, cut
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-RUNS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 LONGEST = 48  # code points of a unit whose cuts fit a 64-bit mask
 
 
@@ -33,18 +31,20 @@ class Vocabulary:
         self.longest = max(map(len, self.ids))
         self.inner = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.unknown = sp.unk_id()
+        # characters that stand beside others inside pieces are numbered from 1, all others are 0 and always stand alone
+        chars = sorted({c for pair in self.inner for c in pair})
+        self.number = np.zeros(0x110000, np.int16)
+        self.number[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.joins = np.zeros((len(chars) + 1, len(chars) + 1), bool)
+        for x, y in self.inner:
+            self.joins[self.number[ord(x)], self.number[ord(y)]] = True
 
     def units(self, text: str) -> list[str]:
         """``text`` with its leading space mark, cut wherever no piece spans the two neighbouring characters."""
-        out, inner = [], self.inner
-        for run in RUNS.findall(SPACE + text.replace(" ", SPACE)):
-            start = 0
-            for k in range(1, len(run)):
-                if run[k - 1 : k + 1] not in inner:
-                    out.append(run[start:k])
-                    start = k
-            out.append(run[start:])
-        return out
+        marked = SPACE + text.replace(" ", SPACE)
+        n = self.number[np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        cuts = (np.flatnonzero(~self.joins[n[:-1], n[1:]]) + 1).tolist()
+        return [marked[a:b] for a, b in zip([0, *cuts], [*cuts, len(marked)], strict=True)]
 
     def piece_ids(self, unit: str, cuts: list[int]) -> list[int]:
         """Ids of the pieces between ``cuts``; a character without a piece becomes its UTF-8 bytes."""
@@ -100,17 +100,16 @@ def distinct_units(docs: DataFrame, vocab: Vocabulary, text_col: str, most: int
 
     def run(stream):
         seen: Counter = Counter()
-        runs: dict[str, list[str]] = {}
 
         def rows():
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["unit", "n"])
+            kept = [(u, n) for u, n in seen.items() if 2 <= len(u) <= LONGEST]
             seen.clear()
-            return out
+            return pa.RecordBatch.from_arrays([pa.array([u for u, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["unit", "n"])
 
         for batch in stream:
             for text in batch.column(0).to_pylist():
                 if text:
-                    seen.update(u for u in cached_units(vocab, runs, text) if 2 <= len(u) <= LONGEST)
+                    seen.update(vocab.units(text))
                 if len(seen) > most:
                     yield rows()
         yield rows()
@@ -118,51 +117,36 @@ def distinct_units(docs: DataFrame, vocab: Vocabulary, text_col: str, most: int
     return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
-def cached_units(vocab: Vocabulary, runs: dict, text: str, most: int = 200_000) -> list[str]:
-    """:meth:`Vocabulary.units`, remembering runs that were met before."""
-    if len(runs) > most:
-        runs.clear()
-    out: list[str] = []
-    for run in RUNS.findall(SPACE + text.replace(" ", SPACE)):
-        got = runs.get(run)
-        if got is None:
-            got = runs[run] = vocab.units(run[1:].replace(SPACE, " ")) if run[0] == SPACE else split_run(vocab, run)
-        out += got
-    return out
-
-
-def split_run(vocab: Vocabulary, run: str) -> list[str]:
-    cuts = [0, *[k for k in range(1, len(run)) if run[k - 1 : k + 1] not in vocab.inner], len(run)]
-    return [run[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-
-
 def lattice(units: DataFrame, spark: SparkSession, vocab: Vocabulary) -> DataFrame:
-    """(unit, edges map of start * 64 + length to score): all substrings of a unit that are pieces.
+    """(unit, edges): all substrings of a unit that are pieces, as structs of start, length and score.
 
     Substrings no longer than the longest piece are exploded and equi-joined to the piece table, which the model file
     bounds; edges come together by unit, on the partitioning that the units have from being made distinct.
     """
     table = spark.createDataFrame(list(vocab.scores.items()), "piece string, score double").where(F.length("piece") > 1)
     n = F.length("unit")
-    spans = F.flatten(F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.transform(F.sequence(F.lit(2), F.least(n - i, F.lit(vocab.longest))), lambda k: F.struct((i * 64 + k).alias("at"), F.substring(F.col("unit"), i + 1, k).alias("piece")))))
-    edges = units.select("unit", F.explode(spans).alias("s")).select("unit", "s.at", "s.piece").join(F.broadcast(table), "piece")
-    return edges.groupBy("unit").agg(F.map_from_entries(F.collect_list(F.struct("at", "score"))).alias("edges"))
+    spans = F.flatten(F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.transform(F.sequence(F.lit(2), F.least(n - i, F.lit(vocab.longest))), lambda k: F.struct(i.alias("start"), k.alias("length"), F.substring(F.col("unit"), i + 1, k).alias("piece")))))
+    edges = units.select("unit", F.explode(spans).alias("s")).select("unit", "s.start", "s.length", "s.piece").join(F.broadcast(table), "piece")
+    return edges.groupBy("unit").agg(F.collect_list(F.struct((-F.col("score")).alias("cost"), "start", "length")).alias("edges"))
 
 
-def merge_cuts(unit: Column, edges: Column) -> Column:
-    """Cuts after merging neighbours by best score, leftmost first, until no merge is left: for models of the BPE kind."""
+def bit(at: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), at)
 
-    def step(cuts: Column) -> Column:
-        size = F.size(cuts)
-        scores = F.transform(F.sequence(F.lit(0), size - 3), lambda i: F.coalesce(F.try_element_at(edges, F.get(cuts, i) * 64 + F.get(cuts, i + 2) - F.get(cuts, i)), F.lit(float("-inf"))))
-        merged = F.transform(F.array(scores), lambda s: F.transform(F.array(F.array_max(s)), lambda top: F.when(top == float("-inf"), cuts).otherwise(F.filter(cuts, lambda _, j: j != F.array_position(s, top))))[0])[0]
-        return F.when(size < 3, cuts).otherwise(merged)
 
-    return F.aggregate(F.sequence(F.lit(2), F.length(unit)), F.sequence(F.lit(0), F.length(unit)), lambda acc, _: step(acc))
+def merge_mask(unit: Column, edges: Column) -> Column:
+    """Mask of the cuts after merging neighbours by best score, leftmost first: for models of the BPE kind.
+
+    A piece's parts have better scores than the piece, so one fold over the edges in order of score sees each merge
+    when its turn comes: an edge is merged if both its ends are cuts and one cut alone is left inside.
+    """
+    ready = F.transform(F.array_sort(edges), lambda e: F.struct((bit(e["start"]) + bit(e["start"] + e["length"])).alias("ends"), ((bit(e["length"] - 1) - 1) * bit(e["start"] + 1)).alias("inside")))
+    can = lambda m, e: (m.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(m.bitwiseAND(e["inside"])) == 1)
+    return F.aggregate(ready, bit(F.length(unit) + 1) - 1, lambda m, e: F.when(can(m, e), m.bitwiseAND(F.bitwise_not(e["inside"]))).otherwise(m))
 
 
 def viterbi_cuts(unit: Column, edges: Column, longest: int, unknown: float = -1e6) -> Column:
-    """Cuts of the path with the largest sum of scores: for models of the unigram kind.
+    """Cuts of the path with the largest sum of scores, over a map of start * 64 + length to score: for models of the unigram kind.
 
     The fold keeps the best score and cuts for each end; a character without a piece costs ``unknown``.
     """
@@ -177,11 +161,43 @@ def viterbi_cuts(unit: Column, edges: Column, longest: int, unknown: float = -1e
 
 
 def encoded_units(units: DataFrame, vocab: Vocabulary, kind: str = "bpe") -> DataFrame:
-    """(unit, mask, n): bit k of mask is set if the unit is cut before its character k. Units without edges have no row."""
+    """(unit, mask): bit k of mask is set if the unit is cut before its character k. Units without edges have no row."""
     made = lattice(units.select("unit"), units.sparkSession, vocab)
-    cuts = merge_cuts(F.col("unit"), F.col("edges")) if kind == "bpe" else viterbi_cuts(F.col("unit"), F.col("edges"), vocab.longest)
-    mask = F.aggregate(cuts, F.lit(0).cast("long"), lambda a, c: a + F.call_function("shiftleft", F.lit(1).cast("long"), c))
-    return made.select("unit", mask.alias("mask"))
+    if kind == "bpe":
+        return made.select("unit", merge_mask(F.col("unit"), F.col("edges")).alias("mask"))
+    single = F.map_from_entries(F.transform("edges", lambda e: F.struct((e["start"] * 64 + e["length"]).alias("at"), (-e["cost"]).alias("score"))))
+    cuts = viterbi_cuts(F.col("unit"), single, vocab.longest)
+    return made.select("unit", F.aggregate(cuts, F.lit(0).cast("long"), lambda a, c: a + bit(c)).alias("mask"))
+
+
+class PieceIds:
+    """Ids of the units met so far, side by side in one array; dropped when they pass ``most`` units."""
+
+    def __init__(self, vocab: Vocabulary, table: "UnitTable", names: dict[int, bytes], most: int = 300_000):
+        self.vocab, self.table, self.names, self.most = vocab, table, names, most
+        self.clear()
+
+    def clear(self):
+        self.number: dict[str, int] = {}
+        self.start, self.length, self.pool, self.broken = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), set()
+
+    def look_up(self, units: list[str]) -> np.ndarray:
+        """Numbers of ``units``, which index start and length."""
+        if len(self.number) > self.most:
+            self.clear()
+        new = list({u for u in units if u not in self.number})
+        if new:
+            cuts = self.table.cuts([u if len(u) <= LONGEST else "" for u in new])
+            ids = [self.vocab.piece_ids(u, c if len(u) <= LONGEST else self.vocab.long_unit(u)) for u, c in zip(new, cuts, strict=True)]
+            for u, x in zip(new, ids, strict=True):
+                if b"".join(self.names[i] for i in x) != u.encode("utf-8", "surrogatepass"):
+                    self.broken.add(len(self.number))
+                self.number[u] = len(self.number)
+            length = np.array([len(x) for x in ids])
+            self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(length) - length])
+            self.length = np.concatenate([self.length, length])
+            self.pool = np.concatenate([self.pool, np.array([i for x in ids for i in x], np.int32)])
+        return np.fromiter(map(self.number.__getitem__, units), np.int64, len(units))
 
 
 class UnitTable:
@@ -200,7 +216,10 @@ class UnitTable:
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: Vocabulary | None = None, kind: str = "bpe", table_units: int = 4_000_000) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_pieces, ids, round_trip (decoding the ids gives the text again).
+    """One row per row of ``docs``: doc_id, n_pieces, ids, round_trip.
+
+    round_trip says that decoding the ids gives the text again: each unit's pieces spell the unit, the units are the text
+    cut up, and the text has no space marks of its own.
 
     Ids are those of the sentencepiece library for the same model. Each distinct unit of the corpus is encoded once,
     through the lattice. The masks of the ``table_units`` most frequent units, 16 bytes each, go to all tasks: that is the
@@ -241,23 +260,32 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     names = vocab.names()
 
     def run(stream):
-        known_ids: dict[str, list[int]] = {}
-        runs: dict[str, list[str]] = {}
+        known = PieceIds(vocab, table.value, names)
         for batch in stream:
             texts, extras = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             for a, b in batches(texts, 1_000_000):
-                if len(known_ids) > 300_000:
-                    known_ids.clear()
-                units = [cached_units(vocab, runs, t) if t else [] for t in texts[a:b]]
-                new = list({u for us in units for u in us if u not in known_ids})
-                for u, cuts in zip(new, table.value.cuts([u if len(u) <= LONGEST else "" for u in new]), strict=True):
-                    known_ids[u] = vocab.piece_ids(u, cuts if len(u) <= LONGEST else vocab.long_unit(u))
-                ids = []
-                for us, more in zip(units, extras[a:b], strict=True):
-                    own = {u: vocab.piece_ids(u, [k for k in range(len(u) + 1) if m >> k & 1]) for u, m in more} if more else {}
-                    ids.append([i for u in us for i in (own.get(u) or known_ids[u])] if own else [i for u in us for i in known_ids[u]])
-                same = [vocab.decode(x, names) == (t or "") for x, t in zip(ids, texts[a:b], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())], names=["doc_id", "n_pieces", "ids", "round_trip"])
+                units = [vocab.units(t) if t else [] for t in texts[a:b]]
+                at = known.look_up([u for us in units for u in us])
+                owner = np.repeat(np.arange(b - a), [len(us) for us in units])
+                length = known.length[at]
+                ends = np.cumsum(length)
+                ids = known.pool[np.repeat(known.start[at] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)]
+                n = np.bincount(owner, length, b - a).astype(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(ids, pa.int32()))
+                same = np.array([SPACE not in (t or "") for t in texts[a:b]], bool)
+                if known.broken:
+                    same[owner[np.isin(at, list(known.broken))]] = False
+                if any(extras[a:b]):
+                    lists = [x if not more else list(with_rare(us, dict(more))) for x, us, more in zip(lists.to_pylist(), units, extras[a:b], strict=True)]
+                    n = np.array([len(x) for x in lists])
+                    lists = pa.array(lists, pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), lists, pa.array(same, pa.bool_())], names=["doc_id", "n_pieces", "ids", "round_trip"])
+
+    def with_rare(units, more):
+        for u in units:
+            m = more.get(u)
+            cuts = [k for k in range(len(u) + 1) if m >> k & 1] if m is not None else table.value.cuts([u])[0] if len(u) <= LONGEST else vocab.long_unit(u)
+            yield from vocab.piece_ids(u, cuts)
 
     kind_of = given.schema["doc_id"].dataType.simpleString()
     return given.select("doc_id", "text", extra.alias("extra")).mapInArrow(run, f"doc_id {kind_of}, n_pieces long, ids array<int>, round_trip boolean")
