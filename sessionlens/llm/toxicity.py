@@ -178,7 +178,7 @@ def log_odds(docs_words: list[set], y: np.ndarray, hash_of, size: int) -> np.nda
     return np.log((pos + s * n / (n + m)) / (n + s)) - np.log((neg + s * m / (n + m)) / (m + s))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", rows: int = 3000, epochs: int = 4, batch: int = 64, rate: float = 0.02) -> ToxicNet:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", rows: int = 3000, epochs: int = 4, batch: int = 64, rate: float = 0.02, least_steps: int = 250) -> ToxicNet:
     """Fits on at most ``rows`` labelled rows, half of each class, none held out; the last fold only calibrates.
 
     Labels are of whole texts, so each round trains on every text's most toxic window so far and on one other window of each clean text.
@@ -197,6 +197,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     rng = np.random.default_rng(3)
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items() if k not in ("word", "char")}
     turn = 0
+    epochs = max(epochs, -(-least_steps * batch // (len(learn) + int((y[learn] == 0).sum()))))  # small samples are read more often
     for epoch in range(epochs):
         if epoch == 0:  # before the network knows anything: the window with the largest log odds
             first = np.array([max(0, int(np.argmax(net.p["word"][word_buckets(words[i]), 0])) - WINDOW // 2) if words[i] else 0 for i in learn])

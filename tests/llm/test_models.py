@@ -57,14 +57,17 @@ def test_quality(data):
     assert quality.quality_scores(docs.limit(0), model).count() == 0
 
 
-def test_toxicity(data):
-    docs, labels = data
-    model = toxicity.fit_toxicity(docs, labels, epochs=3)
+def test_toxicity(spark, data):
+    edges, _ = data
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").join(labels.select("doc_id"), "doc_id", "left_semi")
+    docs = docs.unionByName(edges.where(F.col("doc_id").isNull() | (F.col("doc_id") >= 10**6)), allowMissingColumns=True).repartition(4)
+    model = toxicity.fit_toxicity(docs, labels)
     got = toxicity.toxicity_scores(docs, model).collect()
     y = {r["doc_id"]: r["toxic"] for r in labels.collect()}
     held = [(r["score"], y[r["doc_id"]]) for r in got if r["held_out"] and r["doc_id"] in y]
     up, down = [s for s, k in held if k], [s for s, k in held if not k]
-    assert np.mean([a > b for a in up for b in down]) > 0.7
+    assert np.mean([a > b for a in up for b in down]) > 0.8
     edge_rows(got)
     assert toxicity.toxicity_scores(docs.limit(0), model).count() == 0
 
