@@ -65,6 +65,24 @@ def linked_chains(steps: DataFrame, chain_id: str, first: str, second: str, call
     return out.distinct()
 
 
+def linked_chain_table(matches: DataFrame, positions: DataFrame, rules: DataFrame, chain_rows, keys=("source_instance", "session_id")) -> DataFrame:
+    """(keys…, chain_id, observation_id, points) of every two-step chain with a link in ``chain_rows``.
+
+    ``matches`` has rule_id and observation_id, ``positions`` is :func:`call_positions`. A step is a category or a rule id.
+    """
+    at = positions.select("observation_id", "pos", F.col("occurred_at").cast("long").alias("epoch"))
+    hits = matches.select(*keys, "observation_id", "rule_id").distinct().join(rules.select("rule_id", "category"), "rule_id").join(at, "observation_id")
+    out = None
+    for chain_id, score, categories, rule_ids, link, *_ in chain_rows:
+        if not link:
+            continue
+        column, pair = ("category", categories) if categories else ("rule_id", rule_ids)
+        steps = hits.select(*keys, "observation_id", "pos", "epoch", F.col(column).alias("step")).distinct()
+        got = linked_chains(steps, chain_id, *pair, link[0], link[1] == "declared", link[2], keys).withColumn("points", F.lit(score).cast("long"))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
 def action_chains(steps: DataFrame, chain_id: str, order: list[str], window: int = CHAIN_WINDOW, keys=("source_instance", "session_id")) -> DataFrame:
     """(keys…, chain_id, start_epoch, end_epoch, observation_id): the steps in order within ``window`` seconds, ending at the completing row.
 
