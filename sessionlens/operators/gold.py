@@ -39,7 +39,7 @@ def detection_events(scores: DataFrame, rules: DataFrame, sessions: DataFrame |
     keys = ["source_instance", "session_id"]
     labels = scores.select(*keys, F.explode("rule_ids").alias("rule_id")).join(meta, "rule_id").groupBy(*keys).agg(
         sorted_set("detection_class").alias("detection_classes"), sorted_set("signal_type").alias("signal_types"), sorted_set("analytic_intent").alias("analytic_intents"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("atlas_tags", F.array().cast(NONE)))))).alias("atlas_tags"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("tags", F.array().cast(NONE)))))).alias("tags"))
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.coalesce("atlas_tags", F.array().cast(NONE)))))).alias("atlas_tags"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.coalesce("tags", F.array().cast(NONE)))))).alias("tags"))
     df = scores.join(labels, keys, "left")
     if sessions is not None:
         unique = sessions.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in sessions.columns if c not in keys]).where("_n = 1").drop("_n")
@@ -117,7 +117,7 @@ def session_risk_summary(events: DataFrame, keys=("client", "source_path_hash",
     return events.groupBy(*keys).agg(
         F.max("risk_score").alias("risk_score"), F.max_by("severity", severity_rank(F.col("severity"))).alias("severity"), F.max("event_time").alias("event_time"), F.count(F.lit(1)).alias("events"),
         *[F.count_if(F.col("event_type") == t).alias(f"n_{t}") for t in ("detection", "activity", "process_chain")], F.countDistinct("tool_name").alias("tools"),
-        *[F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce(c, F.array().cast(NONE)))))).alias(c) for c in LABELS if c in events.columns])
+        *[F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.coalesce(c, F.array().cast(NONE)))))).alias(c) for c in LABELS if c in events.columns])
 
 
 def event_summary(events: DataFrame) -> DataFrame:

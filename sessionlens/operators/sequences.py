@@ -156,14 +156,17 @@ def suppress_repeats(df: DataFrame, keys: list[str], at: str = "epoch", window:
     known = F.col(at).isNotNull()
     for k in keys:
         known = known & F.col(k).isNotNull()
-    times = df.where(known).groupBy(*keys).agg(F.array_sort(F.collect_list(F.col(at).cast("long"))).alias("_all"))
+    # rows of one time are counted before they meet, so a key's state grows with its different times only
+    seen = df.where(known).groupBy(*keys, F.col(at).cast("long").alias("_t")).agg(F.count(F.lit(1)).alias("_n"))
+    times = seen.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_t", "_n"))).alias("_all"))
     start = F.struct(F.lit(None).cast("long").alias("anchor"), F.array().cast("array<struct<a:bigint,n:bigint>>").alias("out"))
 
-    def step(acc, t):
-        again = acc["anchor"].isNotNull() & (t - acc["anchor"] <= window)
+    def step(acc, x):
+        again = acc["anchor"].isNotNull() & (x["_t"] - acc["anchor"] <= window)
         last = F.element_at(acc["out"], -1)
-        counted = F.concat(F.slice(acc["out"], 1, F.size(acc["out"]) - 1), F.array(F.struct(last["a"].alias("a"), (last["n"] + 1).alias("n"))))
-        return F.when(again, F.struct(acc["anchor"].alias("anchor"), counted.alias("out"))).otherwise(F.struct(t.alias("anchor"), F.concat(acc["out"], F.array(F.struct(t.alias("a"), F.lit(0).cast("long").alias("n")))).alias("out")))
+        counted = F.concat(F.slice(acc["out"], 1, F.size(acc["out"]) - 1), F.array(F.struct(last["a"].alias("a"), (last["n"] + x["_n"]).alias("n"))))
+        opened = F.concat(acc["out"], F.array(F.struct(x["_t"].alias("a"), (x["_n"] - 1).alias("n"))))
+        return F.when(again, F.struct(acc["anchor"].alias("anchor"), counted.alias("out"))).otherwise(F.struct(x["_t"].alias("anchor"), opened.alias("out")))
 
     anchors = times.select(*keys, F.explode(F.aggregate("_all", start, step, lambda acc: acc["out"])).alias("_x")).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_x.a").alias("_a"), F.col("_x.n").alias("repeats"))
     nth = W.partitionBy(*keys, at).orderBy(*(order or keys))

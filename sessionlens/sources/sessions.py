@@ -19,13 +19,14 @@ MS = "long"
 
 
 def read_sessions(spark: SparkSession, path: str, client: str, kind: str = "sessions") -> DataFrame:
-    """Lines of all files below ``path`` in a stable order: the place of the file's block, then the place in the block.
+    """Lines of all files below ``path`` with an ordinal that follows their order in the file.
 
-    Spark splits files at line ends in order, so (block start, running id) orders a file's lines whatever the number of splits.
+    The ordinal is the byte where the line's block starts plus the line's place in the block. A block has no more lines than
+    bytes, so ordinals of later blocks are larger, and only a block's lines, never a whole file's, meet in a task.
     """
     raw = spark.read.option("recursiveFileLookup", "true").text(path).select("value", F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
-    order = W.partitionBy("source_path").orderBy("_block", "_id")
-    return raw.where(F.trim("value") != "").select(F.lit(client).alias("client"), F.col("source_path").alias("source_id"), F.lit(kind).alias("source_kind"), "source_path", (F.row_number().over(order) - 1).cast("long").alias("ordinal"), "value")
+    order = W.partitionBy("source_path", "_block").orderBy("_id")
+    return raw.where(F.trim("value") != "").select(F.lit(client).alias("client"), F.col("source_path").alias("source_id"), F.lit(kind).alias("source_kind"), "source_path", (F.col("_block") + F.row_number().over(order) - 1).cast("long").alias("ordinal"), "value")
 
 
 def read_whole_sessions(spark: SparkSession, path: str, client: str, kind: str = "sessions") -> DataFrame:
