@@ -15,38 +15,50 @@ from sessionlens.llm.common import batches, cut
 SEED = 42
 
 
-def fingerprint(text: str | None, width: int) -> int:
-    """64-bit SimHash of ``text`` as a signed integer; no words: 0."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    if len(words) <= width:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), SEED)]
+EXTRA = 3
+"""64-bit words that a long fingerprint has beyond the first."""
+
+
+def fingerprint(text: str | None, width: int, words: int = 1) -> list[int]:
+    """SimHash of ``text`` as ``words`` signed 64-bit integers; no words in the text: zeros.
+
+    The first word is of the shingles' hashes, the others of these hashes mixed further.
+    """
+    said = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not said:
+        return [0] * words
+    if len(said) <= width:
+        hashes = [xxhash.xxh64_intdigest(b" ".join(said), SEED)]
     else:
-        joined = memoryview(b" ".join(words))
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate([[0], ends[: len(words) - width] + 1])
+        joined = memoryview(b" ".join(said))
+        ends = np.cumsum(np.fromiter(map(len, said), np.int64, len(said)) + 1) - 1
+        starts = np.concatenate([[0], ends[: len(said) - width] + 1])
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist(), strict=True)]
-    set_bits = np.zeros(64, np.int64)
+    set_bits = np.zeros((words, 64), np.int64)
     for at in range(0, len(hashes), 65_536):
-        part = np.array(hashes[at : at + 65_536], dtype=">u8").view(np.uint8).reshape(-1, 8)
-        set_bits += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
-    bits = np.packbits((2 * set_bits > len(hashes)).astype(np.uint8))
-    return int(bits.view(">i8")[0])
+        part = np.array(hashes[at : at + 65_536], np.uint64)
+        for k in range(words):
+            set_bits[k] += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+            part = (part ^ part >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+            part = (part ^ part >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    bits = np.packbits((2 * set_bits > len(hashes)).astype(np.uint8), axis=1)
+    return [int(x) for x in bits.view(">i8").ravel()]
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(doc_id, fp long) for every row: A-Z lower-cased, words split at ASCII white space, ``width``-word shingles."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, words: int = 1) -> DataFrame:
+    """(doc_id, fp long, and e1.. for further ``words``) for every row: A-Z lower-cased, words split at ASCII white space, ``width``-word shingles."""
+    names = ["fp", *[f"e{k}" for k in range(1, words)]]
 
     def run(stream):
         for batch in stream:
             texts = batch.column(1)
             for a, b in batches([None] * len(texts)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([fingerprint(t.as_py(), width) for t in texts.slice(a, b - a)], pa.int64())], names=["doc_id", "fp"])
+                found = np.array([fingerprint(t.as_py(), width, words) for t in texts.slice(a, b - a)], np.int64).reshape(-1, words)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *[pa.array(found[:, k]) for k in range(words)]], names=["doc_id", *names])
 
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return given.mapInArrow(run, f"doc_id {given.schema['doc_id'].dataType.simpleString()}, fp long")
+    return given.mapInArrow(run, f"doc_id {given.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names))
 
 
 class BKTree:
@@ -55,38 +67,37 @@ class BKTree:
     def __init__(self):
         self.root = None
 
-    def add_and_search(self, fp: int, radius: int) -> list[int]:
-        """The fingerprints within ``radius`` of ``fp`` that are in the tree; then puts ``fp`` in, if it isn't."""
+    def add_and_search(self, fp: int, item: int, radius: int) -> list[int]:
+        """The items within ``radius`` of ``fp`` that are in the tree; then puts ``item`` in."""
         if self.root is None:
-            self.root = (fp, {})
+            self.root = (fp, item, {})
             return []
         found, todo = [], [self.root]
         while todo:
-            value, children = todo.pop()
+            value, own, children = todo.pop()
             d = (value ^ fp).bit_count()
             if d <= radius:
-                found.append(value)
+                found.append(own)
             if children:
                 todo += [child for k, child in children.items() if d - radius <= k <= d + radius]
-        value, children = self.root
-        while d := (value ^ fp).bit_count():
-            if d not in children:
-                children[d] = (fp, {})
-                break
-            value, children = children[d]
+        value, _, children = self.root
+        while (d := (value ^ fp).bit_count()) in children:
+            value, _, children = children[d]
+        children[d] = (fp, item, {})
         return found
 
 
 class LeafTree:
-    """The same tree for large shards: nodes keyed by Hamming distance, with sorted arrays of up to LEAF values as leaves.
+    """The same tree for large shards: nodes keyed by Hamming distance, with arrays of up to LEAF values as leaves.
 
-    All members of the shard search it at once, and only the smallest label that they reach is kept.
+    All members of the shard search it at once, and only the smallest label that they reach is kept. ``extra`` are
+    further words of the fingerprints, of which at most ``most`` bits may differ.
     """
 
     LEAF = 512
 
-    def __init__(self, fps: np.ndarray):
-        self.fps = fps
+    def __init__(self, fps: np.ndarray, extra: np.ndarray | None = None, most: int = 0):
+        self.fps, self.extra, self.most = fps, extra, most
         self.root = self._build(np.arange(len(fps)))
 
     def _build(self, at: np.ndarray):
@@ -94,7 +105,13 @@ class LeafTree:
             return at
         parent, rest = at[0], at[1:]
         d = np.bitwise_count(self.fps[rest] ^ self.fps[parent])
-        return parent, {int(k): self._build(rest[d == k]) for k in np.unique(d)}
+        return parent, {int(k): self._build(rest[d == k]) if k else rest[d == k] for k in np.unique(d)}
+
+    def close(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the further words of pairs agree well enough."""
+        if self.extra is None:
+            return np.ones(len(a), bool)
+        return np.bitwise_count(self.extra[a] ^ self.extra[b]).sum(axis=1) <= self.most
 
     def classes(self, radius: int) -> np.ndarray:
         """For each value the smallest position that it reaches over links within ``radius``."""
@@ -108,6 +125,7 @@ class LeafTree:
                     parent, children = node
                     d = np.bitwise_count(self.fps[asking] ^ self.fps[parent]).astype(np.int64)
                     near = asking[d <= radius]
+                    near = near[self.close(near, np.full(len(near), parent))]
                     label[near] = np.minimum(label[near], label[parent])
                     label[parent] = min(label[parent], label[near].min(initial=label[parent]))
                     for k, child in children.items():
@@ -117,28 +135,29 @@ class LeafTree:
                     continue
                 for i in range(0, len(asking), 2048):
                     part = asking[i : i + 2048]
-                    hit = np.bitwise_count(self.fps[part][:, None] ^ self.fps[node][None, :]) <= radius
-                    reach = np.where(hit, label[node][None, :], len(label)).min(axis=1)
-                    label[part] = np.minimum(label[part], reach)
-                    back = np.where(hit, label[part][:, None], len(label)).min(axis=0)
-                    label[node] = np.minimum(label[node], back)
+                    a, b = np.nonzero(np.bitwise_count(self.fps[part][:, None] ^ self.fps[node][None, :]) <= radius)
+                    a, b = part[a], node[b]
+                    ok = self.close(a, b)
+                    np.minimum.at(label, a[ok], label[b[ok]])
+                    np.minimum.at(label, b[ok], label[a[ok]])
             label = label[label]
             if (label == before).all():
                 return label
 
 
-def shard_links(stream, radius: int, large: int = 256):
-    """Links within each shard of rows sorted by (table, shard): each fingerprint with the smallest of its shard that it reaches."""
-    state = {"key": None, "fps": []}
+def shard_links(stream, radius: int, most: int, large: int = 256):
+    """Links within each shard of rows sorted by (tab, shard, piece): each node with the smallest of its shard that it reaches."""
+    state = {"key": None, "rows": {}}
 
     def close():
-        fps = [x & 0xFFFFFFFFFFFFFFFF for x in sorted(set(state["fps"]))]
-        if len(fps) < 2:
+        nodes = sorted(state["rows"])
+        if len(nodes) < 2:
             return []
-        if len(fps) > large:
-            values = np.array(fps, np.uint64)
-            return [(int(values[i]), int(values[j])) for i, j in enumerate(LeafTree(values).classes(radius)) if i != j]
-        parent = {x: x for x in fps}
+        words = np.array([state["rows"][n] for n in nodes], np.int64).view(np.uint64)
+        fps, extra = words[:, 0], words[:, 1:] if words.shape[1] > 1 else None
+        if len(nodes) > large:
+            return [(nodes[i], nodes[j]) for i, j in enumerate(LeafTree(fps, extra, most).classes(radius)) if i != j]
+        parent = list(range(len(nodes)))
 
         def top(x):
             while parent[x] != x:
@@ -146,23 +165,25 @@ def shard_links(stream, radius: int, large: int = 256):
                 x = parent[x]
             return x
 
-        tree = BKTree()
-        for x in fps:
-            for y in tree.add_and_search(x, radius):
-                parent[top(x)] = top(y)
-        return [(x, top(x)) for x in fps if top(x) != x]
+        tree, rest = BKTree(), None if extra is None else extra.tolist()
+        for x, fp in enumerate(fps.tolist()):
+            for y in tree.add_and_search(fp, x, radius):
+                if rest is None or sum((p ^ q).bit_count() for p, q in zip(rest[x], rest[y], strict=True)) <= most:
+                    parent[top(x)] = top(y)
+        return [(nodes[x], nodes[top(x)]) for x in range(len(nodes)) if top(x) != x]
 
     def rows(links):
-        pair = np.array(links, np.uint64).reshape(-1, 2).astype(np.int64)
+        pair = np.array(links, np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["u", "v"])
 
     out: list[tuple[int, int]] = []
     for batch in stream:
-        for table, shard, piece, fp in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if (table, shard, piece) != state["key"]:
+        tabs, shards, pieces, nodes, *words = [c.to_pylist() for c in batch.columns]
+        for key, node, own in zip(zip(tabs, shards, pieces, strict=True), nodes, zip(*words, strict=True), strict=True):
+            if key != state["key"]:
                 out += close()
-                state["key"], state["fps"] = (table, shard, piece), []
-            state["fps"].append(fp)
+                state["key"], state["rows"] = key, {}
+            state["rows"][node] = own
         if len(out) > 50_000:
             yield rows(out)
             out = []
@@ -196,18 +217,19 @@ def shard_masks(radius: int, size: int, tables: int = 48, seed: int = 17) -> lis
     return [sum(1 << int(b) for b in rng.choice(64, bits, replace=False)) for _ in range(tables)]
 
 
-def links(distinct: DataFrame, radius: int = 2, heavy: int = 2048) -> DataFrame:
-    """(u, v) links of distinct fingerprints ``fp`` that join the same classes as all pairs within ``radius`` bits.
+def links(distinct: DataFrame, radius: int = 2, heavy: int = 2048, most: int = 0) -> DataFrame:
+    """(u, v) links of distinct fingerprints (node, fp, e1..) that join the same classes as all pairs within ``radius`` bits.
 
-    Near fingerprints meet in a shard of :func:`shard_masks`, and each shard is searched through its own BK-tree in the
-    task that holds it: the trees together grow with the corpus, so none of them is broadcast. Shards of over ``heavy``
-    fingerprints are cut again by the bits that their key leaves free, into radius + 1 pieces of which two near
-    fingerprints share one.
+    With further words, a link needs at most ``most`` differing bits in these too. Near fingerprints meet in a shard of
+    :func:`shard_masks`, and each shard is searched through its own BK-tree in the task that holds it: the trees together
+    grow with the corpus, so none of them is broadcast. Shards of over ``heavy`` fingerprints are cut again by the bits
+    that their key leaves free, into radius + 1 pieces of which two near fingerprints share one.
     """
+    names = [c for c in distinct.columns if c == "fp" or c[0] == "e"]
     pairs = shard_masks(radius, distinct.count())
     masks = F.array(*[F.lit(signed(m)) for m in pairs])
     keys = F.transform(masks, lambda m, i: F.struct(i.alias("tab"), F.col("fp").bitwiseAND(m).alias("shard")))
-    shards = distinct.select("fp", F.explode(keys).alias("k")).select("k.tab", "k.shard", "fp")
+    shards = distinct.select("node", *names, F.explode(keys).alias("k")).select("k.tab", "k.shard", "node", *names)
     sizes = shards.groupBy("tab", "shard").count().where("count > 1")
     shards = shards.join(sizes, ["tab", "shard"])
 
@@ -218,8 +240,8 @@ def links(distinct: DataFrame, radius: int = 2, heavy: int = 2048) -> DataFrame:
 
     split = F.transform(F.get(F.array(*[pieces(m) for m in pairs]), F.col("tab")), lambda m, j: F.concat_ws(":", j, F.col("fp").bitwiseAND(m)))
     shards = shards.withColumn("piece", F.explode(F.when(F.col("count") > heavy, split).otherwise(F.array(F.lit("")))))
-    shards = shards.select("tab", "shard", "piece", "fp").repartition("tab", "shard", "piece").sortWithinPartitions("tab", "shard", "piece")
-    return shards.mapInArrow(lambda stream: shard_links(stream, radius), "u long, v long")
+    shards = shards.select("tab", "shard", "piece", "node", *names).repartition("tab", "shard", "piece").sortWithinPartitions("tab", "shard", "piece")
+    return shards.mapInArrow(lambda stream: shard_links(stream, radius, most), "u long, v long")
 
 
 def components(edges: DataFrame, u: str = "u", v: str = "v", most_rounds: int = 60) -> DataFrame:
@@ -254,17 +276,21 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", most_rounds: int =
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, extra_bits: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id.
 
     component_id is the smallest id reachable over links of at most ``radius`` differing bits, the row's own included.
-    Null and empty texts have fingerprint zero and link like any other. A null id is never a component's id unless
-    all its ids are null. An empty table gives an empty result.
+    With ``extra_bits`` a link also needs at most so many differing bits in 192 further ones, which rules out the chance
+    links that a wide radius brings among many fingerprints. Null and empty texts have fingerprint zero and link like
+    any other. A null id is never a component's id unless all its ids are null. An empty table gives an empty result.
     """
-    rows = cut(fingerprints(docs, id_col, text_col, width))
-    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(distinct.select("fp"), radius))
-    named = distinct.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
+    words = 1 if extra_bits is None else 1 + EXTRA
+    names = ["fp", *[f"e{k}" for k in range(1, words)]]
+    rows = fingerprints(docs, id_col, text_col, width, words)
+    rows = cut(rows.withColumn("node", F.col("fp") if words == 1 else F.xxhash64(*names)))
+    distinct = cut(rows.groupBy("node", *names).agg(F.min("doc_id").alias("first")))
+    roots = components(links(distinct.select("node", *names), radius, most=extra_bits or 0)).withColumnRenamed("node", "linked")
+    named = distinct.join(roots, F.col("node") == F.col("linked"), "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = named.join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
-    return rows.join(by_fp, F.col("fp") == F.col("_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    by_node = named.join(least, "root").select(F.col("node").alias("_node"), "component_id")
+    return rows.join(by_node, F.col("node") == F.col("_node")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -145,7 +145,7 @@ def test_links_lose_no_near_pair(spark, heavy):
     fps = np.unique(np.concatenate([base[rng.integers(0, 12, 900)] ^ bit(900) ^ bit(900), rng.integers(0, 2**63, 300, dtype=np.uint64)]))
     ids = list(range(len(fps)))
     want = classes(ids, [int(x) for x in fps], 2)
-    roots = {r["node"]: r["root"] for r in simhash.components(simhash.links(spark.createDataFrame([(int(x),) for x in fps.astype(np.int64)], "fp long"), 2, heavy)).collect()}
+    roots = {r["node"]: r["root"] for r in simhash.components(simhash.links(spark.createDataFrame([(int(x), int(x)) for x in fps.astype(np.int64)], "node long, fp long"), 2, heavy)).collect()}
     mine = [roots.get(int(x), int(x)) for x in fps.astype(np.int64)]
     assert len(set(zip(mine, want, strict=True))) == len(set(mine)) == len(set(want))
     tree = simhash.LeafTree(fps)
@@ -154,6 +154,17 @@ def test_links_lose_no_near_pair(spark, heavy):
     assert len(set(zip(tree.classes(2).tolist(), want, strict=True))) == len(set(want))
 
 
+def test_further_words_rule_out_chance_links(spark):
+    rng = np.random.default_rng(3)
+    base = rng.integers(-(2**62), 2**62, 4)
+    rows = [(i, int(base[0]) ^ (1 << i % 30), *[int(x) for x in base[1:]]) for i in range(400)]  # true near copies
+    rows += [(1000 + i, int(base[0]) ^ (1 << i % 30), *[int(x) for x in rng.integers(-(2**62), 2**62, 3)]) for i in range(20)]  # alike in the first word only
+    df = spark.createDataFrame(rows, "node long, fp long, e1 long, e2 long, e3 long")
+    for part in (df, df.where("node < 60 or node >= 1000")):  # a large shard and small ones
+        roots = {r["node"]: r["root"] for r in simhash.components(simhash.links(part, 10, most=34)).collect()}
+        assert {roots.get(n[0]) for n in part.where("node < 1000").collect()} == {0} and not [n for n in roots if n >= 1000]
+
+
 def test_components_of_a_long_chain(spark):
     got = simhash.components(spark.createDataFrame([(i, i + 1) for i in range(200)] + [(900, 901)], "u long, v long")).collect()
     assert {r["root"] for r in got if r["node"] <= 200} == {0} and len(got) == 203

@@ -26,7 +26,7 @@ def test_stages(spark):
     assert {r["doc_id"] for r in once.collect()} == set(groups.values())
 
     near = stage["near_dedup"](spark, once, d).cache()
-    comp = simhash.near_duplicates(once, width=5, radius=10).collect()
+    comp = simhash.near_duplicates(once, width=5, radius=10, extra_bits=34).collect()
     assert {r["doc_id"] for r in near.collect()} == {r["component_id"] for r in comp}
 
     mix = stage["mixing"](spark, near, d).cache()
