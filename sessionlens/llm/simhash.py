@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -19,22 +20,26 @@ EXTRA = 3
 """64-bit words that a long fingerprint has beyond the first."""
 
 
+def shingle_hashes(text: str | None, width: int) -> list[int]:
+    """Hashes of the ``width``-word shingles of ``text`` in order; a shorter text is one shingle, one without words has none."""
+    said = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if len(said) <= width:
+        return [xxhash.xxh64_intdigest(b" ".join(said), SEED)] if said else []
+    joined = memoryview(b" ".join(said))
+    ends = np.cumsum(np.fromiter(map(len, said), np.int64, len(said)) + 1) - 1
+    starts = np.concatenate([[0], ends[: len(said) - width] + 1])
+    digest = xxhash.xxh64_intdigest
+    return [digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist(), strict=True)]
+
+
 def fingerprint(text: str | None, width: int, words: int = 1) -> list[int]:
     """SimHash of ``text`` as ``words`` signed 64-bit integers; no words in the text: zeros.
 
     The first word is of the shingles' hashes, the others of these hashes mixed further.
     """
-    said = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not said:
+    hashes = shingle_hashes(text, width)
+    if not hashes:
         return [0] * words
-    if len(said) <= width:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(said), SEED)]
-    else:
-        joined = memoryview(b" ".join(said))
-        ends = np.cumsum(np.fromiter(map(len, said), np.int64, len(said)) + 1) - 1
-        starts = np.concatenate([[0], ends[: len(said) - width] + 1])
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist(), strict=True)]
     set_bits = np.zeros((words, 64), np.int64)
     for at in range(0, len(hashes), 65_536):
         part = np.array(hashes[at : at + 65_536], np.uint64)
@@ -202,17 +207,23 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def shard_masks(radius: int, size: int, tables: int = 48, seed: int = 17) -> list[int]:
+def meeting(radius: int, bits: int) -> float:
+    """Chance that two fingerprints ``radius`` bits apart agree in ``bits`` random ones of 64."""
+    return math.comb(64 - radius, bits) / math.comb(64, bits)
+
+
+def shard_masks(radius: int, size: int, tables: int = 48, seed: int = 17, miss: float = 0.01) -> list[int]:
     """Bits that make the shard keys of each table.
 
     Up to radius 4 the 64 bits are cut into radius + 2 blocks, of which two near fingerprints share two at least: a
-    table for each pair of blocks misses no link. Beyond that so many blocks would be a few bits each, so ``tables``
-    tables take as many random bits as tell ``size`` fingerprints apart; a link at distance d is met with
-    probability 1 - (1 - (1 - d / 64) ** bits) ** tables.
+    table for each pair of blocks misses no link. Beyond that so many blocks would be a few bits each, so tables take as
+    many random bits as tell ``size`` fingerprints apart: ``tables`` of them, and as many more as it takes for a link at the
+    radius to be missed with probability ``miss`` at most, whatever the size.
     """
     if radius <= 4:
         return [a | b for a, b in combinations(block_masks(radius + 2), 2)]
-    bits = min(40, max(10, size.bit_length()))
+    bits = min(40, max(10, size.bit_length()), 64 - radius)
+    tables = max(tables, math.ceil(math.log(miss) / math.log1p(-meeting(radius, bits))))
     rng = np.random.default_rng(seed)
     return [sum(1 << int(b) for b in rng.choice(64, bits, replace=False)) for _ in range(tables)]
 
