@@ -88,9 +88,16 @@ class Vocabulary:
         return [i for i in range(n) if alive[i]] + [n]
 
     def decode(self, ids: list[int], names: dict[int, bytes]) -> str:
-        text = b"".join(names[i] for i in ids).decode("utf-8", "surrogatepass").replace(SPACE, " ")
+        text = b"".join(map(names.__getitem__, ids)).decode("utf-8", "surrogatepass").replace(SPACE, " ")
         return text[1:] if text.startswith(" ") else text
 
+    def gives(self, ids: list[int], names: dict[int, bytes], text: str) -> bool:
+        """Whether decoding ``ids`` gives ``text``."""
+        try:
+            return self.decode(ids, names) == text
+        except (KeyError, UnicodeDecodeError):
+            return False
+
     def names(self) -> dict[int, bytes]:
         return {i: p.encode() for p, i in self.ids.items()} | {i: bytes([b]) for i, b in self.bytes.items()}
 
@@ -173,13 +180,13 @@ def encoded_units(units: DataFrame, vocab: Vocabulary, kind: str = "bpe") -> Dat
 class PieceIds:
     """Ids of the units met so far, side by side in one array; dropped when they pass ``most`` units."""
 
-    def __init__(self, vocab: Vocabulary, table: "UnitTable", names: dict[int, bytes], most: int = 300_000):
-        self.vocab, self.table, self.names, self.most = vocab, table, names, most
+    def __init__(self, vocab: Vocabulary, table: "UnitTable", most: int = 300_000):
+        self.vocab, self.table, self.most = vocab, table, most
         self.clear()
 
     def clear(self):
         self.number: dict[str, int] = {}
-        self.start, self.length, self.pool, self.broken = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), set()
+        self.start, self.length, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def look_up(self, units: list[str]) -> np.ndarray:
         """Numbers of ``units``, which index start and length."""
@@ -189,9 +196,7 @@ class PieceIds:
         if new:
             cuts = self.table.cuts([u if len(u) <= LONGEST else "" for u in new])
             ids = [self.vocab.piece_ids(u, c if len(u) <= LONGEST else self.vocab.long_unit(u)) for u, c in zip(new, cuts, strict=True)]
-            for u, x in zip(new, ids, strict=True):
-                if b"".join(self.names[i] for i in x) != u.encode("utf-8", "surrogatepass"):
-                    self.broken.add(len(self.number))
+            for u in new:
                 self.number[u] = len(self.number)
             length = np.array([len(x) for x in ids])
             self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(length) - length])
@@ -218,8 +223,7 @@ class UnitTable:
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: Vocabulary | None = None, kind: str = "bpe", table_units: int = 4_000_000) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_pieces, ids, round_trip.
 
-    round_trip says that decoding the ids gives the text again: each unit's pieces spell the unit, the units are the text
-    cut up, and the text has no space marks of its own.
+    round_trip says that decoding the ids of the row, as they are returned, gives its whole text again.
 
     Ids are those of the sentencepiece library for the same model. Each distinct unit of the corpus is encoded once,
     through the lattice. The masks of the ``table_units`` most frequent units, 16 bytes each, go to all tasks: that is the
@@ -260,7 +264,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     names = vocab.names()
 
     def run(stream):
-        known = PieceIds(vocab, table.value, names)
+        known = PieceIds(vocab, table.value)
         for batch in stream:
             texts, extras = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             for a, b in batches(texts, 1_000_000):
@@ -272,13 +276,12 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
                 ids = known.pool[np.repeat(known.start[at] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)]
                 n = np.bincount(owner, length, b - a).astype(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(ids, pa.int32()))
-                same = np.array([SPACE not in (t or "") for t in texts[a:b]], bool)
-                if known.broken:
-                    same[owner[np.isin(at, list(known.broken))]] = False
                 if any(extras[a:b]):
                     lists = [x if not more else list(with_rare(us, dict(more))) for x, us, more in zip(lists.to_pylist(), units, extras[a:b], strict=True)]
                     n = np.array([len(x) for x in lists])
                     lists = pa.array(lists, pa.list_(pa.int32()))
+                ends, flat = lists.offsets.to_pylist(), lists.values.to_numpy().tolist()
+                same = [vocab.gives(flat[s:e], names, t or "") for s, e, t in zip(ends, ends[1:], texts[a:b], strict=False)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), lists, pa.array(same, pa.bool_())], names=["doc_id", "n_pieces", "ids", "round_trip"])
 
     def with_rare(units, more):
