@@ -57,8 +57,8 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...], share: float, mos
     return per.select("source", "source_size", "weight", target.cast("double").alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: str = "mix", bucket_rows: int = 20_000, most_steps: int = 65_536) -> DataFrame:
-    """One row per row of ``docs``: doc_id, size, source_size, target, taken, copies.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: str = "mix", bucket_rows: int = 20_000, most_steps: int = 65_536, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs``: doc_id, size, source_size, target, taken, copies, and the columns ``keep`` of ``docs``.
 
     Each source's documents are shuffled by a hash of (seed, id) and played ``most`` times at most. A play's virtual
     finish time is the source's words up to and with it, divided by the source's weight. All plays in order of finish
@@ -70,7 +70,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     The global order by finish time is cut into equal steps of time. Their sums say which step holds the budget's
     end, and only that step's plays are sorted, so no task sees more than one step or one bucket of a source.
     """
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size"))
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size"), *keep)
     sized = cut(sized.withColumn("_shuffle", F.coalesce(F.md5(F.concat(F.lit(seed), F.col("doc_id").cast("string"))), F.lit(""))))
     total = sized.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
     budget, buckets = share * total["size"], max(1, -(-total["n"] // bucket_rows))
@@ -80,7 +80,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         running_total(sized.withColumn("_bucket", F.substring("_shuffle", 1, digits)), ["source"], "_bucket", ["_shuffle", "doc_id", "size"], "size", "_start")
         .join(targets, F.col("source").eqNullSafe(F.col("_source")))
     )
-    queued = cut(queued.select("doc_id", "source", "size", "source_size", "weight", "target", "_shuffle", "_start"))
+    queued = cut(queued.select("doc_id", "source", "size", "source_size", "weight", "target", "_shuffle", "_start", *keep))
 
     step = max(1.0, most * total["size"] / min(64 * buckets, most_steps))
     finish = lambda play: (play * F.col("source_size") + F.col("_start") + F.col("size")) / F.col("weight")
@@ -100,14 +100,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         last = edge.where(F.col("_to") <= budget).agg(F.max("_key").alias("k")).first()["k"]
         fits = lambda play: F.lit(False) if last is None else key(play, finish(play)) <= F.struct(*[F.lit(v).alias(n) for n, v in last.asDict().items()])
         copies = sum((F.when((step_of(finish(F.lit(p))) < at) | ((step_of(finish(F.lit(p))) == at) & fits(F.lit(p))), 1).otherwise(0) for p in range(most)), F.lit(0))
-    return queued.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), copies.cast("long").alias("copies"))
+    return queued.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), copies.cast("long").alias("copies"), *keep)
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, each as often as it takes them, with all their columns."""
-    taken = mix(docs, id_col, **options).where("copies > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").cast("int").alias("_copies"))
-    out = docs.join(taken, F.col(id_col) == F.col("_id")).withColumn("_play", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return out.drop("_id", "_copies", "_play")
+    """The rows of ``docs`` that the mix takes, each as often as it takes them, with all their columns.
+
+    Rows are told apart by a key of their own, so rows with null or repeated ids are taken as often as :func:`mix` counts.
+    """
+    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+    taken = mix(rows, id_col, keep=("_row",), **options).where("copies > 0").select(F.col("_row").alias("_taken"), F.col("copies").cast("int").alias("_copies"))
+    out = rows.join(taken, F.col("_row") == F.col("_taken")).withColumn("_play", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return out.drop("_row", "_taken", "_copies", "_play")
 
 
 #: The same in one pass for DuckDB; seed, weights, share and number of plays as above.
