@@ -16,7 +16,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 BYTE = r"0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5]|)"
-TERM = r"\p{L}+"
+TERM = r"[\p{L}\p{N}]+"
 
 
 def luhn(digits: Column) -> Column:
@@ -53,6 +53,19 @@ def occurrences(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), placed).otherwise(empty)
 
 
+def standing(text: Column, terms: Column) -> Column:
+    """Places (start, end) of all words of ``text`` that are among ``terms`` in lower case."""
+    words = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
+    gaps = F.transform(F.split(text, TERM, -1), F.length)
+    none = F.array().cast("array<struct<start:int,end:int>>")
+
+    def step(a, x):
+        start, end = a["at"] + x["gap"], a["at"] + x["gap"] + F.length(x["value"])
+        return F.struct(end.alias("at"), F.when(F.array_contains(terms, F.lower(x["value"])), F.concat(a["out"], F.array(F.struct(start.alias("start"), end.alias("end"))))).otherwise(a["out"]).alias("out"))
+
+    return F.aggregate(F.arrays_zip(F.slice(gaps, 1, F.size(words)).alias("gap"), words.alias("value")), F.struct(F.lit(0).alias("at"), none.alias("out")), step)["out"]
+
+
 def base_matches(text: Column, kind: str) -> Column:
     found = F.filter(occurrences(text, PATTERNS[kind]), lambda m: valid(kind, m["value"]))
     if kind == "email":
@@ -83,44 +96,50 @@ def near_match(kind: str, width: int):
 
 
 def found_in(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """A row number, the id, base matches of each kind, and the terms of their windows; no text."""
+    """A row number, the id, base matches of each kind, the terms of their windows, and the text with its hash."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumns({k: base_matches(F.col("text"), k) for k in KINDS})
     near = [F.flatten(F.transform(F.col(k), near_match(k, width))) for k in KINDS]
-    return rows.select("row", "doc_id", *KINDS, F.concat(*near).alias("near"))
+    return rows.select("row", "doc_id", *KINDS, F.concat(*near).alias("near"), "text", F.xxhash64("text").alias("digest"))
 
 
-def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str = "text", least_entities: int = 5, threshold: float = 0.8) -> DataFrame:
-    """(kind, term, bits, share): terms whose presence gives away that an entity of a kind is near.
+def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str = "text", least_entities: int = 5, threshold: float = 0.8, least_texts: int = 2) -> DataFrame:
+    """(kind, term, bits, share): terms whose presence gives away that an entity, or one of a kind, is near.
 
-    bits is the pointwise mutual information of the term and a window of the kind, over all words of the corpus; share
-    is bits over the information of the kind itself, so 1 says that the term never stands elsewhere. Terms count with
-    ``least_entities`` different entities at least, so copies of one passage don't make a term.
+    bits is the pointwise mutual information of the term and a window, over all words of the corpus' distinct texts (``found``
+    holds them); share is bits over the information of the window itself, so 1 says that the term never stands elsewhere. It is
+    measured with the windows of a kind, for terms of ``least_entities`` different entities, and with those of each single
+    entity, for terms near it in ``least_texts`` different texts: copies of one passage don't make a term.
     """
-    near = found.select(F.explode("near").alias("n")).select("n.kind", "n.entity", "n.term")
-    per = near.groupBy("kind", "term", "entity").count().groupBy("kind", "term").agg(F.count(F.lit(1)).alias("entities"), F.sum("count").alias("together"))
-    of_kind = near.groupBy(F.col("kind").alias("_kind")).agg(F.count(F.lit(1)).alias("in_windows"))
-    corpus = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TERM), F.lit(0))).alias("_term")).groupBy("_term").agg(F.count(F.lit(1)).alias("everywhere"))
-    corpus = cut(corpus.join(per.where(F.col("entities") >= least_entities).select(F.col("term").alias("_term")).distinct(), "_term").unionByName(corpus.agg(F.lit(None).cast("string").alias("_term"), F.sum("everywhere").alias("everywhere"))))
+    once = found.join(found.groupBy("digest").agg(F.min("row").alias("row")).select("row"), "row", "left_semi")
+    near = once.select("row", F.explode("near").alias("n")).select("row", "n.kind", "n.entity", "n.term")
+    per = cut(near.groupBy("kind", "term", "entity", "row").count().groupBy("kind", "term", "entity").agg(F.sum("count").alias("together"), F.count(F.lit(1)).alias("texts")))
+    of_entity = per.groupBy("kind", "entity").agg(F.sum("together").alias("in_windows"))
+    of_kind = per.groupBy("kind").agg(F.sum("together").alias("in_windows"))
+    by_kind = per.groupBy("kind", "term").agg(F.count(F.lit(1)).alias("entities"), F.sum("together").alias("together")).where(F.col("entities") >= least_entities).join(of_kind, "kind")
+    by_entity = per.where(F.col("texts") >= least_texts).join(of_entity, ["kind", "entity"])
+    counted = cut(by_kind.select("kind", "term", "together", "in_windows").unionByName(by_entity.select("kind", "term", "together", "in_windows")))
+    corpus = once.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("_term")).groupBy("_term").agg(F.count(F.lit(1)).alias("everywhere"))
+    corpus = cut(corpus.join(counted.select(F.col("term").alias("_term")).distinct(), "_term").unionByName(corpus.agg(F.lit(None).cast("string").alias("_term"), F.sum("everywhere").alias("everywhere"))))
     words = corpus.where("_term is null").first()["everywhere"] or 1
-    joined = per.where(F.col("entities") >= least_entities).join(corpus, F.col("term") == F.col("_term")).join(of_kind, F.col("kind") == F.col("_kind"))
     bits = F.log2(F.least(F.col("together"), F.col("everywhere")) * words / (F.col("everywhere") * F.col("in_windows")))
     share = bits / F.greatest(F.log2(words / F.col("in_windows")), F.lit(1e-9))
-    return joined.select("kind", "term", bits.alias("bits"), share.alias("share")).where(F.col("share") >= threshold)
+    joined = counted.join(corpus, F.col("term") == F.col("_term")).select("kind", "term", bits.alias("bits"), share.alias("share")).where(F.col("share") >= threshold)
+    return joined.groupBy("kind", "term").agg(F.max("bits").alias("bits"), F.max("share").alias("share"))
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 48, least_entities: int = 5, threshold: float = 0.8, keep_row: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term.
 
     spans lists kind:start:end by kind (email, ip, card, phone, term), then start, in code points, end exclusive.
-    `term` spans are the disclosing terms of :func:`disclosing_terms` where they stand in an entity's window.
+    `term` spans are the disclosing terms of :func:`disclosing_terms` wherever they stand in a text.
     Null and empty texts have no spans; whole texts are read; repeated rows are read alike; empty in, empty out.
     """
     found = cut(found_in(docs, id_col, text_col, width))
     terms = disclosing_terms(found, docs, text_col, least_entities, threshold)
-    near = found.select("row", F.explode("near").alias("n")).select("row", "n.*")
-    hits = near.join(terms.select("kind", "term"), ["kind", "term"], "left_semi").groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("term_spans"))
-    out = found.drop("near").join(hits, "row", "left")
+    own = found.select("row", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
+    hits = own.join(terms.select("term").distinct(), "term", "left_semi").groupBy(F.col("row").alias("_row")).agg(F.collect_set("term").alias("terms"))
+    out = found.join(hits, F.col("row") == F.col("_row"), "left").withColumn("term_spans", F.when(F.col("terms").isNotNull(), standing(F.col("text"), F.col("terms"))))
     said = lambda k, c: F.transform(c, lambda m: F.concat_ws(":", F.lit(k), m["start"].cast("string"), m["end"].cast("string")))
     base = F.array_join(F.concat(*[said(k, F.col(k)) for k in KINDS]), ",")
     every = F.coalesce("term_spans", F.array().cast("array<struct<start:int,end:int>>"))
