@@ -97,55 +97,105 @@ def near_match(kind: str, width: int):
 
 def found_in(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """A row number, the id, base matches of each kind, the terms of their windows, and the text with its hash."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"),
+        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+    )
     rows = rows.withColumns({k: base_matches(F.col("text"), k) for k in KINDS})
-    near = [F.flatten(F.transform(F.col(k), near_match(k, width))) for k in KINDS]
-    return rows.select("row", "doc_id", *KINDS, F.concat(*near).alias("near"), "text", F.xxhash64("text").alias("digest"))
+    near = F.concat(*[F.flatten(F.transform(F.col(k), near_match(k, width))) for k in KINDS])
+    near = F.array_distinct(F.transform(near, lambda t: F.struct(t["kind"], t["entity"], t["term"])))
+    return rows.select("row", "doc_id", *KINDS, near.alias("near"), "text", F.xxhash64("text").alias("digest"))
+
+
+def entities_in() -> Column:
+    """The different protected entities of a row of :func:`found_in`, as structs of kind and entity."""
+    named = lambda k: F.transform(F.col(k), lambda m: F.struct(F.lit(k).alias("kind"), F.xxhash64(m["value"]).alias("entity")))
+    return F.array_distinct(F.concat(*[named(k) for k in KINDS]))
+
 
+def terms_of(text: Column) -> Column:
+    """The different terms of a text in lower case."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
-def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str = "text", least_entities: int = 5, threshold: float = 0.8, least_texts: int = 2) -> DataFrame:
-    """(kind, term, bits, share): terms whose presence gives away that an entity, or one of a kind, is near.
 
-    bits is the pointwise mutual information of the term and a window, over all words of the corpus' distinct texts (``found``
-    holds them); share is bits over the information of the window itself, so 1 says that the term never stands elsewhere. It is
-    measured with the windows of a kind, for terms of ``least_entities`` different entities, and with those of each single
-    entity, for terms near it in ``least_texts`` different texts: copies of one passage don't make a term.
+def term_shares(found: DataFrame, least_entities: int = 5, least_texts: int = 1) -> tuple[DataFrame, int]:
+    """(term, share, free), and the number of distinct texts without an entity.
+
+    share is how much of a protected entity's information a term gives away: the pointwise mutual information of the
+    term and the entity over the information of the entity, -log2 of the share of texts that hold it. It is 1 for a term
+    that no text without the entity holds, and falls by one bit's part each time the texts that hold the term double.
+    A text counts for a term and an entity when the term stands in a window beside the entity, and all counts are of
+    distinct texts, so copies of a text don't make a term. The largest share over all entities counts, single ones and,
+    for terms beside ``least_entities`` of them, all of a kind taken as one. free is the number of texts that hold the
+    term and no entity at all.
+    """
+    texts = cut(found.groupBy("digest").agg(F.min("row").alias("row"), F.max(F.size(entities_in()) > 0).alias("holds")))
+    seen = texts.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("holds")).alias("free")).first()
+    once = found.join(texts.select("row"), "row", "left_semi")
+
+    near = once.where(F.size("near") > 0).select("row", "near")
+    of_one = near.select(F.explode("near").alias("t")).groupBy("t.kind", "t.entity", "t.term").agg(F.count(F.lit(1)).alias("together"))
+    of_one = cut(of_one)
+    kind_terms = F.array_distinct(F.transform("near", lambda t: F.struct(t["kind"], t["term"])))
+    of_kind = near.select(F.explode(kind_terms).alias("t")).groupBy("t.kind", "t.term").agg(F.count(F.lit(1)).alias("together"))
+    usual = of_one.groupBy("kind", "term").agg(F.count(F.lit(1)).alias("entities")).where(F.col("entities") >= least_entities)
+    of_kind = of_kind.join(usual.select("kind", "term"), ["kind", "term"])
+
+    held = cut(once.select(F.explode(entities_in()).alias("e"), "row").groupBy("e.kind", "e.entity").agg(F.count(F.lit(1)).alias("holding")))
+    kinds = once.select(F.explode(F.array_distinct(F.transform(entities_in(), lambda e: e["kind"]))).alias("kind"))
+    kinds = kinds.groupBy("kind").agg(F.count(F.lit(1)).alias("holding"))
+    pairs = of_one.where(F.col("together") >= least_texts).join(held, ["kind", "entity"]).select("term", "together", "holding")
+    pairs = pairs.unionByName(of_kind.join(kinds, "kind").select("term", "together", "holding"))
+
+    vocabulary = once.join(texts.select("row", "holds"), "row").select(F.explode(terms_of(F.col("text"))).alias("word"), "holds")
+    vocabulary = vocabulary.groupBy("word").agg(F.count(F.lit(1)).alias("texts"), F.count_if(~F.col("holds")).alias("free"))
+    n = F.lit(float(max(1, seen["n"])))
+    bits = F.log2(F.col("together") * n / (F.col("holding") * F.col("texts")))
+    share = bits / F.greatest(F.log2(n / F.col("holding")), F.lit(1e-9))
+    joined = pairs.join(vocabulary, F.col("term") == F.col("word")).select("term", share.alias("share"), "free")
+    return cut(joined.groupBy("term").agg(F.max("share").alias("share"), F.max("free").alias("free"))), seen["free"]
+
+
+def disclosing_terms(found: DataFrame, least_entities: int = 5, tolerance: float = 0.001, least_share: float = 0.5, least_texts: int = 1) -> DataFrame:
+    """(term, share): terms that give more of an entity away than the corpus lets pass.
+
+    The threshold comes from the corpus: the lowest share, ``least_share`` at least, from which on all terms together
+    stand in no more than ``tolerance`` of the texts without an entity. It is found among 1,000 steps of the share.
     """
-    once = found.join(found.groupBy("digest").agg(F.min("row").alias("row")).select("row"), "row", "left_semi")
-    near = once.select("row", F.explode("near").alias("n")).select("row", "n.kind", "n.entity", "n.term")
-    per = cut(near.groupBy("kind", "term", "entity", "row").count().groupBy("kind", "term", "entity").agg(F.sum("count").alias("together"), F.count(F.lit(1)).alias("texts")))
-    of_entity = per.groupBy("kind", "entity").agg(F.sum("together").alias("in_windows"))
-    of_kind = per.groupBy("kind").agg(F.sum("together").alias("in_windows"))
-    by_kind = per.groupBy("kind", "term").agg(F.count(F.lit(1)).alias("entities"), F.sum("together").alias("together")).where(F.col("entities") >= least_entities).join(of_kind, "kind")
-    by_entity = per.where(F.col("texts") >= least_texts).join(of_entity, ["kind", "entity"])
-    counted = cut(by_kind.select("kind", "term", "together", "in_windows").unionByName(by_entity.select("kind", "term", "together", "in_windows")))
-    corpus = once.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("_term")).groupBy("_term").agg(F.count(F.lit(1)).alias("everywhere"))
-    corpus = cut(corpus.join(counted.select(F.col("term").alias("_term")).distinct(), "_term").unionByName(corpus.agg(F.lit(None).cast("string").alias("_term"), F.sum("everywhere").alias("everywhere"))))
-    words = corpus.where("_term is null").first()["everywhere"] or 1
-    bits = F.log2(F.least(F.col("together"), F.col("everywhere")) * words / (F.col("everywhere") * F.col("in_windows")))
-    share = bits / F.greatest(F.log2(words / F.col("in_windows")), F.lit(1e-9))
-    joined = counted.join(corpus, F.col("term") == F.col("_term")).select("kind", "term", bits.alias("bits"), share.alias("share")).where(F.col("share") >= threshold)
-    return joined.groupBy("kind", "term").agg(F.max("bits").alias("bits"), F.max("share").alias("share"))
-
-
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 48, least_entities: int = 5, threshold: float = 0.8, keep_row: bool = False) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term.
+    shares, free = term_shares(found, least_entities, least_texts)
+    step = F.floor(F.col("share") * 1000)
+    steps = shares.where(F.col("share") >= least_share).groupBy(step.alias("step")).agg(F.sum("free").alias("free")).collect()
+    threshold, passed = 2.0, 0
+    for r in sorted(steps, key=lambda r: -r["step"]):
+        passed += r["free"]
+        if passed > tolerance * free:
+            break
+        threshold = r["step"] / 1000
+    return shares.where(step / 1000 >= threshold).select("term", "share")
+
+
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 48, least_entities: int = 5, tolerance: float = 0.001, least_share: float = 0.5, least_texts: int = 1, keep_row: bool = False) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term, n_base.
 
     spans lists kind:start:end by kind (email, ip, card, phone, term), then start, in code points, end exclusive.
-    `term` spans are the disclosing terms of :func:`disclosing_terms` wherever they stand in a text.
+    `term` spans are the disclosing terms of :func:`disclosing_terms` wherever they stand in a text, unless a base span
+    holds them: that goes anyway. n_base is the number of base spans.
     Null and empty texts have no spans; whole texts are read; repeated rows are read alike; empty in, empty out.
     """
     found = cut(found_in(docs, id_col, text_col, width))
-    terms = disclosing_terms(found, docs, text_col, least_entities, threshold)
-    own = found.select("row", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    hits = own.join(terms.select("term").distinct(), "term", "left_semi").groupBy(F.col("row").alias("_row")).agg(F.collect_set("term").alias("terms"))
-    out = found.join(hits, F.col("row") == F.col("_row"), "left").withColumn("term_spans", F.when(F.col("terms").isNotNull(), standing(F.col("text"), F.col("terms"))))
+    terms = disclosing_terms(found, least_entities, tolerance, least_share, least_texts)
+    own = found.select("row", F.explode(terms_of(F.col("text"))).alias("term"))
+    hits = own.join(terms.select("term"), "term", "left_semi").groupBy(F.col("row").alias("_row")).agg(F.collect_set("term").alias("terms"))
+    base_spans = F.concat(*[F.transform(F.col(k), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))) for k in KINDS])
+    stands = F.filter(standing(F.col("text"), F.col("terms")), lambda t: ~F.exists(base_spans, lambda b: (b["start"] <= t["start"]) & (t["end"] <= b["end"])))
+    out = found.join(hits, F.col("row") == F.col("_row"), "left").withColumn("term_spans", F.when(F.col("terms").isNotNull(), stands))
     said = lambda k, c: F.transform(c, lambda m: F.concat_ws(":", F.lit(k), m["start"].cast("string"), m["end"].cast("string")))
     base = F.array_join(F.concat(*[said(k, F.col(k)) for k in KINDS]), ",")
     every = F.coalesce("term_spans", F.array().cast("array<struct<start:int,end:int>>"))
     return out.select(
         *["row"] * keep_row, "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(base, 256).alias("base_sha256"),
-        F.array_join(F.concat(*[said(k, F.col(k)) for k in KINDS], said("term", every)), ",").alias("spans"), F.size(every).cast("long").alias("n_term"),
+        F.array_join(F.concat(*[said(k, F.col(k)) for k in KINDS], said("term", every)), ",").alias("spans"),
+        F.size(every).cast("long").alias("n_term"), sum((F.size(k) for k in KINDS), F.lit(0)).cast("long").alias("n_base"),
     )
 
 
