@@ -21,19 +21,41 @@ def held_out(doc_id: Column) -> Column:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` materialised in the reliable checkpoint folder, so that a lost executor costs nothing.
 
-    The cluster names the folder in spark.checkpoint.dir; only without it (tests) is one made here.
+    The cluster names the folder in spark.checkpoint.dir, which driver and executors share. Without that setting there
+    is no folder that all can reach, so it must be set by SparkContext.setCheckpointDir; on a local master only, where
+    all run in one process, one is made here.
     """
     sc = df.sparkSession.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir") and sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-ckpt-"))
     return df.checkpoint(eager=True)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_col: str = "doc_id", text_col: str = "text"):
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores in front as it takes not to be one of ``columns``, whatever the letter case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        out.append(n)
+    return out
+
+
+def spread_join(rows: DataFrame, least: DataFrame, key: str, by: str, ways: int = 16) -> DataFrame:
+    """``rows`` joined to ``least``, which has a row for each ``key``, with the rows of one key dealt over ``ways`` tasks by ``by``."""
+    many = least.withColumn("_way", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
+    return rows.withColumn("_way", F.pmod(F.xxhash64(by), F.lit(ways)).cast("int")).join(many, [key, "_way"]).drop("_way")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_col: str = "doc_id", text_col: str = "text", most_chars: int = 100_000):
     """At most ``rows`` labelled rows outside the held-out fifth, as (texts, 0/1 labels, fold) on the driver.
 
     The bound is on rows per class, taken by a hash of the id, so the sample is the same on every run.
-    Rows with a null id, label or text do not train.
+    Rows with a null id, label or text do not train, nor do texts of over ``most_chars`` characters, so the driver never
+    holds more than rows * most_chars.
     """
     lab = (
         labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
@@ -45,7 +67,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, i
         ids = one if ids is None else ids.unionByName(one)
     got = (
         docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
-        .join(F.broadcast(ids), "_id").where(F.col("_t").isNotNull()).dropDuplicates(["_id"])
+        .join(F.broadcast(ids), "_id").where(F.length("_t") <= most_chars).dropDuplicates(["_id"])
         .withColumn("_fold", F.crc32(F.concat(F.lit("fold"), F.col("_id").cast("string"))) % 4)
         .orderBy("_id").collect()
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sessionlens.llm.common import WordTable, batches, held_out, ngram_hashes
@@ -67,8 +68,8 @@ def train(texts: list[str], langs: list[str], fold: np.ndarray, epochs: int = 5,
     table = rng.normal(0, 0.1, (BUCKETS, DIM))
     out, bias = np.zeros((DIM, len(names))), np.zeros(len(names))
     learn, tune = np.flatnonzero(part > 0), np.flatnonzero(part == 0)
-    if not len(tune):
-        tune = learn
+    if not len(learn) or not len(tune):
+        learn = tune = np.arange(len(docs))
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for i in rng.permutation(learn):
@@ -96,22 +97,27 @@ def train(texts: list[str], langs: list[str], fold: np.ndarray, epochs: int = 5,
     return LanguageModel(names, table @ out, bias, float(temperature), reject)
 
 
-def fit_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = 300, most_langs: int = 200) -> LanguageModel:
+def fit_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = 300, most_langs: int = 200, most_chars: int = 20_000) -> LanguageModel:
     """Fits on at most ``rows`` documents of each language outside the held-out fifth, by a hash of their ids.
 
-    Rows with a null id, text or language, or without a letter, do not train. At most ``most_langs`` languages, the most frequent ones, are learned.
+    Rows with a null id, text or language, without a letter, or of over ``most_chars`` characters do not train, so the
+    driver never holds more than most_langs * rows * most_chars. At most ``most_langs`` languages, the most frequent
+    ones, are learned. If nothing is left to learn from, the model knows no language and :func:`identify` says `und`.
     """
-    usable = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), F.col(lang_col).alias("_l")).where("_id is not null and _l is not null and _t is not null").where(~held_out(F.col("_id")))
+    usable = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t"), F.col(lang_col).cast("string").alias("_l"))
+    usable = usable.where(F.col("_id").isNotNull() & F.col("_l").isNotNull() & (F.length("_t") <= most_chars) & ~held_out(F.col("_id")))
+    usable = usable.where(F.col("_t").rlike(r"\p{L}"))
     counts = usable.groupBy("_l").count().orderBy(F.desc("count"), "_l").limit(most_langs).collect()
-    if not counts:
-        raise ValueError("no labelled documents to learn languages from")
-    # A hash threshold per language keeps about twice the rows asked for; the exact bound follows on the driver's side of the limit.
+    # a hash threshold for each language leaves a little more than is asked for; the rank then makes the bound exact
     slot = F.pmod(F.xxhash64("_id"), F.lit(1_000_000))
     keep = F.lit(False)
     for r in counts:
-        keep = keep | ((F.col("_l") == r["_l"]) & (slot < int(min(1_000_000, 1_100_000 * rows / r["count"]))))
-    got = usable.where(keep).withColumn("_fold", F.crc32(F.concat(F.lit("fold"), F.col("_id").cast("string"))) % 4).orderBy(F.xxhash64("_id"), "_id", "_t").limit(2 * rows * len(counts)).collect()
-    got = [r for r in got if has_letter(r["_t"])]
+        keep = keep | ((F.col("_l") == r["_l"]) & (slot < int(min(1_000_000, 1_100_000 * rows / r["count"] + 1))))
+    nth = F.row_number().over(W.partitionBy("_l").orderBy(F.xxhash64("_id"), "_id", "_t"))
+    picked = usable.where(keep).withColumn("_fold", F.crc32(F.concat(F.lit("fold"), F.col("_id").cast("string"))) % 4).withColumn("_n", nth)
+    got = [r for r in picked.where(F.col("_n") <= rows).orderBy(F.xxhash64("_id"), "_id", "_t").collect() if has_letter(r["_t"])]
+    if not got:
+        return LanguageModel([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 1.0)
     return train([r["_t"] for r in got], [r["_l"] for r in got], np.array([r["_fold"] for r in got]))
 
 
@@ -119,16 +125,16 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     """One row per row of ``docs``: doc_id, held_out, lang_pred, score, rejected.
 
     lang_pred is the likeliest language and score its calibrated probability; `und` and 0 where the text is null or has no
-    letter. ``rejected`` marks predictions under the calibrated threshold, and all `und`. The whole text counts.
-    An empty table gives an empty result.
+    letter, and everywhere if the model knows no language. ``rejected`` marks predictions under the calibrated threshold, and
+    all `und`. The whole text counts. Repeated rows are judged alike; an empty table gives an empty result.
     """
 
     def run(stream):
         for batch in stream:
             texts = batch.column(1).to_pylist()
-            p = model.probabilities(texts)
+            p = model.probabilities(texts) if model.langs else np.zeros((len(texts), 1))
             best, top = p.argmax(axis=1), p.max(axis=1)
-            letters = [has_letter(t) for t in texts]
+            letters = [bool(model.langs) and has_letter(t) for t in texts]
             lang = [model.langs[k] if ok else "und" for k, ok in zip(best, letters, strict=True)]
             score = np.where(letters, top, 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array((score < model.reject_below) | ~np.array(letters, bool), pa.bool_())], names=["doc_id", "lang_pred", "score", "rejected"])

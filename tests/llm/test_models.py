@@ -38,8 +38,35 @@ def test_language(data):
     assert [rows[10**6 + k]["lang_pred"] for k in (0, 1, 2)] == ["und"] * 3 and rows[10**6 + 5]["lang_pred"] in model.langs
     assert rows[10**6]["rejected"] and rows[10**6]["score"] == 0
     assert language.identify(docs.limit(0), model).count() == 0
-    with pytest.raises(ValueError):
-        language.fit_language(docs.where("lang is null"))
+    for nothing in (docs.limit(0), docs.where("lang is null"), docs.withColumn("text", F.lit("12 !!"))):
+        none = language.fit_language(nothing)
+        assert none.langs == []
+        assert {(r["lang_pred"], r["score"], r["rejected"]) for r in language.identify(docs.limit(20), none).collect()} == {("und", 0.0, True)}
+    one = language.fit_language(docs.where("lang = 'en'"), rows=20)
+    assert {r["lang_pred"] for r in language.identify(docs, one).collect()} == {"en", "und"}
+
+
+def test_language_against_plain_averages(data):
+    docs, _ = data
+    model = language.fit_language(docs, rows=30)
+    texts = [r["text"] for r in docs.where("doc_id < 60").collect()] + ["é", "a b", "The same the same"]
+    for t, p in zip(texts, model.probabilities(texts), strict=True):
+        rows = []
+        for w in t.lower().encode().split():
+            marked = b"<" + w + b">"
+            for n in language.SIZES:
+                rows += [model.table[plain_hash(marked[i : i + n], n)] for i in range(len(marked) - n + 1)]
+        z = (np.mean(rows, axis=0) + model.bias) / model.temperature
+        e = np.exp(z - z.max())
+        assert np.allclose(e / e.sum(), p, atol=1e-9)
+
+
+def plain_hash(gram, n):
+    h = n
+    for c in gram:
+        h = (h ^ c) * 0x9E3779B97F4A7C15 % 2**64
+        h ^= h >> 29
+    return h % language.BUCKETS
 
 
 def test_quality(data):
