@@ -19,65 +19,59 @@ def ascii_lower(text: Column) -> Column:
 
 
 def marked(docs: DataFrame, id_col: str, text_col: str, prefix: int, hot_rows: int, hot_texts: int) -> DataFrame:
-    """``docs`` with _keep_id, _group_size, _kept and _sha256 beside all its columns; see :func:`exact_dedup`."""
+    """(row, id, keep, size, kept, sha) with the whole rows of ``docs`` as the struct ``row``; see :func:`exact_dedup`.
+
+    All columns of ``docs`` travel inside the struct, so none of their names can clash with the ones used here.
+    """
     spark = docs.sparkSession
-    hashed = docs.withColumn("_h", F.xxhash64(ascii_lower(F.col(text_col))))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    text = F.col("row").getField(text_col).cast("string")
+    rows = rows.select("row", F.col("row").getField(id_col).alias("id"), F.xxhash64(ascii_lower(text)).alias("h"))
 
-    counts = hashed.groupBy("_h").count().where(F.col("count") > hot_rows)
-    hot = {r["_h"]: r["count"] for r in counts.orderBy(F.desc("count"), "_h").limit(hot_texts).collect()}
-    blocks = F.lit(1)
+    counts = rows.groupBy("h").count().where(F.col("count") > hot_rows)
+    hot = [(r["h"], -(-r["count"] // hot_rows)) for r in counts.orderBy(F.desc("count"), "h").limit(hot_texts).collect()]
+    dealt = rows.withColumn("blocks", F.lit(1).cast("long"))
     if hot:
-        share = F.create_map(*[F.lit(x) for h, n in hot.items() for x in (h, -(-n // hot_rows))])
-        blocks = F.coalesce(F.try_element_at(share, F.col("_h")), F.lit(1))
-    rows = (
-        hashed.withColumn("_blocks", blocks)
-        .withColumn("_block", F.pmod(F.xxhash64(id_col), F.col("_blocks")))
-        .withColumn("_prefix", ascii_lower(F.substring(F.col(text_col), 1, prefix)))
-    )
+        table = F.broadcast(spark.createDataFrame(hot, "hot long, many long"))
+        dealt = rows.join(table, F.col("h") == F.col("hot"), "left").select("row", "id", "h", F.coalesce("many", F.lit(1)).alias("blocks"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    dealt = dealt.withColumn("prefix", ascii_lower(F.substring(text, 1, prefix)))
     # The text itself travels once; its normal form, which is what is sorted and compared, is made on arrival.
-    ranged = rows.repartitionByRange("_prefix", "_h", "_block").withColumn("_norm", ascii_lower(F.col(text_col)))
-    run = W.partitionBy("_prefix", "_h", "_block", "_norm")
-    out = ranged.withColumns({
-        "_run_keep": F.max(id_col).over(run), "_run_size": F.count(F.lit(1)).over(run),
-        "_rn": F.row_number().over(run.orderBy(F.desc_nulls_last(id_col))), "_sha256": F.sha2("_norm", 256),
-    }).drop("_norm", "_prefix", "_h", "_block")
-    kind = docs.schema[id_col].dataType
+    ranged = dealt.repartitionByRange("prefix", "h", "block").withColumn("norm", ascii_lower(text))
+    run = W.partitionBy("prefix", "h", "block", "norm")
+    out = ranged.select(
+        "row", "id", "blocks", F.max("id").over(run).alias("keep"), F.count(F.lit(1)).over(run).alias("size"),
+        F.row_number().over(run.orderBy(F.desc_nulls_last("id"))).alias("nth"), F.sha2("norm", 256).alias("sha"),
+    )
     if hot:
-        summary = (
-            hashed.where(F.col("_h").isin(list(hot))).groupBy(F.sha2(ascii_lower(F.col(text_col)), 256).alias("_hot"))
-            .agg(F.max(id_col).alias("_all_keep"), F.count(F.lit(1)).alias("_all_size"))
-        )
-        # One row for each hot text, so a broadcast of bounded size.
-        summary = spark.createDataFrame(summary.limit(4 * hot_texts).collect(), summary.schema)
-        out = out.join(F.broadcast(summary), F.col("_sha256") == F.col("_hot"), "left")
-    else:
-        out = out.withColumns({"_hot": F.lit(None).cast("string"), "_all_keep": F.lit(None).cast(kind), "_all_size": F.lit(None).cast("long")})
-    split = F.col("_blocks") > 1
-    out = out.withColumn("_keep_id", F.when(split, F.col("_all_keep")).otherwise(F.col("_run_keep")))
-    out = out.withColumn("_group_size", F.when(split, F.col("_all_size")).otherwise(F.col("_run_size")))
-    out = out.withColumn("_kept", (F.col("_rn") == 1) & F.col("_keep_id").eqNullSafe(F.col(id_col)))
-    return out.drop("_blocks", "_run_keep", "_run_size", "_rn", "_hot", "_all_keep", "_all_size")
-
-
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 64, hot_rows: int = 500, hot_texts: int = 256) -> DataFrame:
+        # one row for each hot text, and colliding ones, so a broadcast of bounded size
+        found = rows.join(table, F.col("h") == F.col("hot"), "left_semi").groupBy(F.sha2(ascii_lower(text), 256).alias("hot_sha"))
+        found = found.agg(F.max("id").alias("all_keep"), F.count(F.lit(1)).alias("all_size")).limit(4 * hot_texts)
+        out = out.join(F.broadcast(found), F.col("sha") == F.col("hot_sha"), "left")
+        split = F.col("blocks") > 1
+        out = out.withColumns({"keep": F.when(split, F.col("all_keep")).otherwise(F.col("keep")), "size": F.when(split, F.col("all_size")).otherwise(F.col("size"))})
+    return out.select("row", "id", "keep", "size", ((F.col("nth") == 1) & F.col("keep").eqNullSafe(F.col("id"))).alias("kept"), "sha")
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 64, hot_rows: int = 500, hot_texts: int = 65_536) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z; null is the empty text. The row with the largest id of
     a group stays; of rows repeated with one id exactly one stays, and a null id stays only in a group of null ids.
-    An empty table gives an empty result; other columns of ``docs`` play no part, unless they bear this module's names,
-    which start with an underscore.
+    An empty table gives an empty result; other columns of ``docs`` play no part, whatever their names.
 
     Splitters are drawn on (first ``prefix`` characters, 64-bit hash, block), a key of bounded size, so what the
     sampler brings to the driver is small and texts with one opening still spread out. A text with over
     ``hot_rows`` copies is dealt in blocks by id, so that no task holds all its copies; block results of the at
-    most ``hot_texts`` most frequent such texts are merged through a summary of a row each. Texts beyond those
-    take the ordinary path, which is exact at any size.
+    most ``hot_texts`` most frequent such texts (16 bytes each on the driver) are merged through a summary of a row each,
+    4 * ``hot_texts`` rows at most. A text beyond those has less than one ``hot_texts``-th of all rows and takes the ordinary
+    path, which is exact at any size.
     """
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = marked(given, "doc_id", "text", prefix, hot_rows, hot_texts)
-    return out.select("doc_id", F.col("_keep_id").alias("keep_id"), F.col("_group_size").alias("group_size"), F.col("_kept").alias("kept"), F.col("_sha256").alias("text_sha256"))
+    return out.select(F.col("id").alias("doc_id"), F.col("keep").alias("keep_id"), F.col("size").alias("group_size"), "kept", F.col("sha").alias("text_sha256"))
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 64, hot_rows: int = 500, hot_texts: int = 256) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 64, hot_rows: int = 500, hot_texts: int = 65_536) -> DataFrame:
     """The rows of ``docs`` that stay under :func:`exact_dedup`, with all their columns, in one pass over the texts."""
-    return marked(docs, id_col, text_col, prefix, hot_rows, hot_texts).where("_kept").select(*docs.columns)
+    return marked(docs, id_col, text_col, prefix, hot_rows, hot_texts).where("kept").select("row.*")

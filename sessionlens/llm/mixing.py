@@ -103,15 +103,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return queued.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), copies.cast("long").alias("copies"), *keep)
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The rows of ``docs`` that the mix takes, each as often as it takes them, with all their columns.
 
-    Rows are told apart by a key of their own, so rows with null or repeated ids are taken as often as :func:`mix` counts.
+    Rows are told apart by a key of their own, so rows with null or repeated ids are taken as often as :func:`mix` counts, and
+    columns travel inside a struct, so none of their names can clash.
     """
-    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
-    taken = mix(rows, id_col, keep=("_row",), **options).where("copies > 0").select(F.col("_row").alias("_taken"), F.col("copies").cast("int").alias("_copies"))
-    out = rows.join(taken, F.col("_row") == F.col("_taken")).withColumn("_play", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return out.drop("_row", "_taken", "_copies", "_play")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = cut(docs.select(whole, F.monotonically_increasing_id().alias("nth")))
+    of = lambda c: F.col("row").getField(c).alias(c)
+    given = rows.select(of(id_col).alias("doc_id"), of(text_col).alias("text"), of(source_col).alias("source"), "nth")
+    taken = mix(given, keep=("nth",), **options).where("copies > 0").select(F.col("nth").alias("taken"), F.col("copies").cast("int").alias("copies"))
+    return rows.join(taken, F.col("nth") == F.col("taken")).select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 #: The same in one pass for DuckDB; seed, weights, share and number of plays as above.

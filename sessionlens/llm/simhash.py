@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionlens.llm.common import batches, cut
+from sessionlens.llm.common import batches, cut, spread_join
 
 SEED = 42
 
@@ -301,7 +301,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = cut(rows.withColumn("node", F.col("fp") if words == 1 else F.xxhash64(*names)))
     distinct = cut(rows.groupBy("node", *names).agg(F.min("doc_id").alias("first")))
     roots = components(links(distinct.select("node", *names), radius, most=extra_bits or 0)).withColumnRenamed("node", "linked")
-    named = distinct.join(roots, F.col("node") == F.col("linked"), "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_node = named.join(least, "root").select(F.col("node").alias("_node"), "component_id")
+    named = distinct.join(roots, F.col("node") == F.col("linked"), "left")
+    # fingerprints without a link are their own component; only linked ones meet, and those of one component in many tasks
+    linked = named.where(F.col("root").isNotNull())
+    least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
+    by_node = spread_join(linked, least, "root", "node").select(F.col("node").alias("_node"), "component_id")
+    by_node = by_node.unionByName(named.where(F.col("root").isNull()).select(F.col("node").alias("_node"), F.col("first").alias("component_id")))
     return rows.join(by_node, F.col("node") == F.col("_node")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
