@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from sessionlens.llm.common import held_out, labelled_sample, prior_shift
 
-CHUNK, LEVEL = 512, 1
+#: Short chunks, so that a text that repeats itself can't be its own dictionary.
+CHUNK, LEVEL = 128, 1
 
 
 def chunks(text: str | None) -> list[bytes]:
@@ -19,10 +20,10 @@ def chunks(text: str | None) -> list[bytes]:
 
 
 class CompressionClassifier:
-    """Two dictionaries and a logistic calibration over the whole text's chunks."""
+    """Two dictionaries, and a logistic calibration of the difference of a whole text's sizes under them and its length."""
 
-    def __init__(self, good: bytes, bad: bytes, weights: np.ndarray, scale: np.ndarray):
-        self.good, self.bad, self.weights, self.scale = good, bad, weights, scale
+    def __init__(self, good: bytes, bad: bytes, weights: np.ndarray):
+        self.good, self.bad, self.weights = good, bad, weights
 
     def compressors(self):
         """One compressor for each dictionary, kept for the life of the worker's copy of this object."""
@@ -37,31 +38,22 @@ class CompressionClassifier:
         return {k: v for k, v in self.__dict__.items() if k != "_made"}
 
     def features(self, text: str | None) -> np.ndarray:
-        """Over the whole text: difference of the two sizes, smaller size, both for a byte of text, and if there is text."""
+        """Size under the bad dictionary less that under the good one, for a byte of text; log of the length; 1."""
         parts = chunks(text)
         if not parts:
-            return np.zeros(4)
+            return np.array([0.0, 0.0, 1.0])
         good, bad = self.compressors()
-        sizes = np.array([(len(good.compress(p)), len(bad.compress(p)), len(p)) for p in parts], dtype=np.float64)
-        g, b, n = sizes.sum(axis=0)
-        whole = len(good.compress(b"".join(parts)))
-        return np.array([(b - g) / n, min(g, b) / n, whole / n, 1.0])
+        n = sum(map(len, parts))
+        return np.array([sum(len(bad.compress(p)) - len(good.compress(p)) for p in parts) / n, np.log1p(n), 1.0])
 
     def scores(self, texts: list) -> np.ndarray:
-        x = np.array([self.features(t) for t in texts]).reshape(-1, 4)
-        return sigmoid(design(x, self.scale) @ self.weights)
+        return sigmoid(np.array([self.features(t) for t in texts]).reshape(-1, 3) @ self.weights)
 
 
 def sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def design(x: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    """Scaled features, their squares and a constant."""
-    z = (x[:, :3] - scale[0]) / scale[1] * x[:, 3:]
-    return np.concatenate([z, z * z, x[:, 3:], np.ones((len(x), 1))], axis=1)
-
-
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 100, ridge: float = 1e-5) -> np.ndarray:
     """Ridge logistic regression by Newton steps, each halved until the loss falls, so separable classes don't make it run away."""
     w, pull = np.zeros(x.shape[1]), ridge * len(x)
@@ -96,22 +88,20 @@ def dictionary(texts: list[str], size: int) -> bytes:
         return b"".join(samples)[-size:] or b"the of and to in"
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", rows: int = 4000, dict_bytes: int = 32_768) -> CompressionClassifier:
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", rows: int = 4000, dict_bytes: int = 112_640) -> CompressionClassifier:
     """Fits on at most ``rows`` labelled rows, half of each class, none of them held out.
 
     Three quarters of the sample make the dictionaries, the last quarter calibrates, as texts inside a dictionary
-    compress too well to calibrate on. Without both classes the score is 1/2 everywhere.
+    compress too well to calibrate on. What is calibrated is the normalised difference of the two sizes, beside it only the
+    length, on which its spread depends. Without both classes the score is 1/2 everywhere.
     """
     texts, y, fold = labelled_sample(docs, labels, label, rows, id_col, text_col)
     build = fold > 0
     if not all(((y == c) & part).any() for c in (0, 1) for part in (build, ~build)):
-        return CompressionClassifier(b"the of and to in", b"| %%% ***", np.zeros(8), np.ones((2, 3)))
+        return CompressionClassifier(b"the of and to in", b"| %%% ***", np.zeros(3))
     pick = lambda c: [t for t, k, b in zip(texts, y, build, strict=True) if b and k == c]
-    made = CompressionClassifier(dictionary(pick(1), dict_bytes), dictionary(pick(0), dict_bytes), np.zeros(8), np.ones((2, 3)))
-    held = [t for t, b in zip(texts, build, strict=True) if not b]
-    x = np.array([made.features(t) for t in held])
-    made.scale = np.stack([x[:, :3].mean(axis=0), x[:, :3].std(axis=0) + 1e-6])
-    made.weights = logistic(design(x, made.scale), y[~build].astype(float))
+    made = CompressionClassifier(dictionary(pick(1), dict_bytes), dictionary(pick(0), dict_bytes), np.zeros(3))
+    made.weights = logistic(np.array([made.features(t) for t, b in zip(texts, build, strict=True) if not b]), y[~build].astype(float))
     made.weights[-1] += prior_shift(labels, label, y, id_col)
     return made
 
@@ -119,7 +109,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 def quality_scores(docs: DataFrame, model: CompressionClassifier, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score (0 to 1, higher is better text), predicted.
 
-    Whole texts count, in chunks of 512 bytes. Null and empty texts get the score of a text without features. Repeated rows are scored
+    Whole texts count, in chunks of 128 bytes. Null and empty texts get the score of a difference and length of 0. Repeated rows are scored
     alike, an empty table gives an empty result.
     """
 
