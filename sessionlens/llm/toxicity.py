@@ -12,7 +12,7 @@ from sessionlens.llm.quality import logistic, sigmoid
 
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 6, 4
 WORD_BUCKETS, CHAR_BUCKETS = 1 << 16, 1 << 14
-WINDOW, STRIDE = 32, 16
+WINDOW, STRIDE = 32, 8
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -39,7 +39,10 @@ def ngram_whole(words: list[bytes]) -> np.ndarray:
 
 
 def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and text of every window; a text's windows overlap by half and the last one ends with the text."""
+    """Start and text of every window of WINDOW words at a stride of STRIDE; the last one ends with the text.
+
+    A passage of up to WINDOW - STRIDE + 1 words lies whole in one of them.
+    """
     starts, owner, at = [], [], 0
     for i, n in enumerate(lengths):
         own = list(range(0, max(1, n - WINDOW + 1), STRIDE))
@@ -134,6 +137,18 @@ class ToxicNet:
             g |= {f"{side}h": gu, f"{side}x": gx, f"{side}c": gc}
         return g, dx, float(-(y * np.log(p + 1e-9) + (1 - y) * np.log(1 - p + 1e-9)).mean())
 
+    def table_gradients(self, words: list[bytes], dx: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        """Rows and their gradients of the word table and, through the mean in each word, of the trigram table."""
+        grams, owner = ngram_hashes(bare(words), (3,), CHAR_BUCKETS)
+        n = np.maximum(np.bincount(owner, minlength=len(words)), 1)
+        out = {}
+        for name, buckets, g in (("word", word_buckets(words), dx[:, :WORD_DIM]), ("char", grams, (dx[:, WORD_DIM:] / n[:, None])[owner])):
+            rows, at = np.unique(buckets, return_inverse=True)
+            total = np.zeros((len(rows), g.shape[1]))
+            np.add.at(total, at, g)
+            out[name] = rows, total
+        return out
+
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "_words"}
 
@@ -178,7 +193,7 @@ def log_odds(docs_words: list[set], y: np.ndarray, hash_of, size: int) -> np.nda
     return np.log((pos + s * n / (n + m)) / (n + s)) - np.log((neg + s * m / (n + m)) / (m + s))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", rows: int = 3000, epochs: int = 4, batch: int = 64, rate: float = 0.02, least_steps: int = 250) -> ToxicNet:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", rows: int = 3000, epochs: int = 8, batch: int = 64, rate: float = 0.02, least_steps: int = 250) -> ToxicNet:
     """Fits on at most ``rows`` labelled rows, half of each class, none held out; the last fold only calibrates.
 
     Labels are of whole texts, so each round trains on every text's most toxic window so far and on one other window of each clean text.
@@ -196,6 +211,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     net.p["char"][:, 0] = log_odds(sets, y[learn], lambda ws: ngram_hashes(bare(ws), (3,), CHAR_BUCKETS)[0], CHAR_BUCKETS)
     rng = np.random.default_rng(3)
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items() if k not in ("word", "char")}
+    past = {k: np.zeros(net.p[k].shape) for k in ("word", "char")}
     turn = 0
     epochs = max(epochs, -(-least_steps * batch // (len(learn) + int((y[learn] == 0).sum()))))  # small samples are read more often
     for epoch in range(epochs):
@@ -223,7 +239,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
                 m1 += 0.1 * (g[k] - m1)
                 m2 += 0.001 * (g[k] ** 2 - m2)
                 net.p[k] -= rate * (1 - epoch / epochs) * (m1 / (1 - 0.9**turn)) / (np.sqrt(m2 / (1 - 0.999**turn)) + 1e-7)
-            np.subtract.at(net.p["word"], word_buckets(vocab), rate * 0.5 * dx[:-1, :WORD_DIM])
+            for k, (at, step) in net.table_gradients(vocab, dx[:-1]).items():  # steps shrink with a row's own past gradients, so rare words learn too
+                past[k][at] += step**2
+                net.p[k][at] -= rate * (1 - epoch / epochs) * step / (np.sqrt(past[k][at]) + 1e-10)
     net.__dict__.pop("_words", None)
     top, _, number = net.best_windows([texts[i] for i in tune])
     net.calibration = logistic(np.stack([top, np.log(number), np.ones(len(tune))], axis=1), y[tune].astype(float))
@@ -234,7 +252,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 def toxicity_scores(docs: DataFrame, model: ToxicNet, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score (0 to 1, higher is likelier toxic), predicted, worst_word.
 
-    All windows of the whole text are scored and the highest counts; worst_word is where that window starts.
+    All overlapping windows of the whole text, 32 words at a stride of 8, are scored and the highest counts; worst_word is where that window starts.
     Null and empty texts are one empty window. Repeated rows score alike; an empty table gives an empty result.
     """
 

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from sessionlens.llm import common, language, quality, toxicity
@@ -84,6 +85,21 @@ def test_quality(data):
     assert quality.quality_scores(docs.limit(0), model).count() == 0
 
 
+def test_quality_against_plain_zstandard(data):
+    docs, labels = data
+    model = quality.fit_quality(docs, labels)
+    size = lambda part, d: len(zstandard.ZstdCompressor(level=1, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False).compress(part))
+    text = {r["doc_id"]: r["text"] for r in docs.where("doc_id < 40 or doc_id >= 1000000").collect()}
+    got = {r["doc_id"]: r for r in quality.quality_scores(docs, model).collect()}
+    for i, t in text.items():
+        data = (t or "").encode()
+        parts = [data[k : k + 128] for k in range(0, len(data), 128)]
+        gap = sum(size(p, model.bad) - size(p, model.good) for p in parts[:40]) if len(parts) <= 40 else None
+        if gap is not None:
+            z = model.weights @ [gap / max(1, len(data)), np.log1p(len(data)), 1]
+            assert abs(got[i]["score"] - 1 / (1 + np.exp(-z))) < 1e-9 and got[i]["predicted"] == (got[i]["score"] >= 0.3)
+
+
 def test_toxicity(spark, data):
     edges, _ = data
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
@@ -126,6 +142,55 @@ def test_network_gradients():
     assert abs((up - loss()) / 2e-4 - dx[2, 3]) < 2e-3
 
 
+def test_table_gradients():
+    net, words, y = toxicity.ToxicNet(), [b"abcd", b"bcde", b"x"], np.array([1.0, 0.0])
+    for k in net.p:
+        net.p[k] = net.p[k].astype(np.float64)
+    ids, mask = np.array([[0, 1, 2], [1, 0, 3]]), np.array([[1, 1, 1], [1, 1, 0]], bool)
+    x = lambda: np.concatenate([net.inputs(words).astype(np.float64), np.zeros((1, toxicity.WORD_DIM + toxicity.CHAR_DIM))])
+    loss = lambda: net.gradients(x(), ids, mask, y)[2]
+    for name, (rows, grad) in net.table_gradients(words, net.gradients(x(), ids, mask, y)[1][:-1]).items():
+        at = np.unravel_index(np.abs(grad).argmax(), grad.shape)
+        spot = rows[at[0]], at[1]
+        keep = net.p[name][spot]
+        net.p[name][spot] = keep + 1e-2
+        up = loss()
+        net.p[name][spot] = keep - 1e-2
+        down = loss()
+        net.p[name][spot] = keep
+        assert grad[at] != 0 and abs((up - down) / 2e-2 - grad[at]) < 0.02 * abs(grad[at]), name
+
+
+def test_forward_pass_against_plain_network():
+    """The vectorised network against one that takes a window's words one by one."""
+    net, rng = toxicity.ToxicNet(seed=4), np.random.default_rng(1)
+    words = [bytes(rng.integers(97, 123, rng.integers(1, 9)).astype(np.uint8)) for _ in range(50)]
+    x, p, h_n = net.inputs(words), net.p, toxicity.HIDDEN
+    sig = lambda v: 1 / (1 + np.exp(-v))
+
+    def plain(ids):
+        states = {}
+        for side, order in (("f", range(len(ids))), ("b", range(len(ids) - 1, -1, -1))):
+            h = np.zeros(h_n)
+            for t in order:
+                a, r = x[ids[t]] @ p[f"{side}x"] + p[f"{side}c"], h @ p[f"{side}h"]
+                z, g = sig(a[:h_n] + r[:h_n]), sig(a[h_n : 2 * h_n] + r[h_n : 2 * h_n])
+                h = h + z * (np.tanh(a[2 * h_n :] + g * r[2 * h_n :]) - h)
+                states[side, t] = h
+        hs = np.array([np.concatenate([states["f", t], states["b", t]]) for t in range(len(ids))])
+        e = np.tanh(hs @ p["att"]) @ p["pick"]
+        w = np.exp(e - e.max()) / np.exp(e - e.max()).sum()
+        return float(w @ hs @ p["out"] + p["bias"][0])
+
+    windows = [rng.integers(0, 50, 12) for _ in range(6)]
+    rows = np.concatenate([net.project(words), np.zeros((1, 6 * h_n), np.float32)])
+    got = net.run(rows, np.array(windows), np.ones((6, 12), bool))
+    assert np.allclose(got, [plain(w) for w in windows], atol=1e-4)
+    text = " ".join(words[i].decode() for i in rng.integers(0, 50, 12))
+    top, first, n = net.best_windows([text])
+    assert n[0] == 1 and first[0] == 0
+
+
 def test_windows_overlap_and_cover():
     starts, owner = toxicity.windows(np.array([0, 5, 32, 33, 100]))
     for i, n, base in ((0, 0, 0), (1, 5, 0), (2, 32, 5), (3, 33, 37), (4, 100, 70)):
