@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 import numpy as np
@@ -15,6 +16,7 @@ from sessionlens.llm.common import batches, cut
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
+RUN = re.compile(f"{SPACE}+[^{SPACE}]*")
 LONGEST = 48  # code points of a unit whose cuts fit a 64-bit mask
 
 
@@ -36,15 +38,28 @@ class Vocabulary:
         self.number = np.zeros(0x110000, np.int16)
         self.number[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
         self.joins = np.zeros((len(chars) + 1, len(chars) + 1), bool)
+        self.marks_lead = not any(pair[1] == SPACE and pair[0] != SPACE for pair in self.inner)
         for x, y in self.inner:
             self.joins[self.number[ord(x)], self.number[ord(y)]] = True
 
-    def units(self, text: str) -> list[str]:
-        """``text`` with its leading space mark, cut wherever no piece spans the two neighbouring characters."""
+    def words(self, text: str) -> list[str]:
+        """``text`` with space marks, cut before each run of marks if no piece has a mark after another character, else whole."""
         marked = SPACE + text.replace(" ", SPACE)
-        n = self.number[np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), np.uint32)]
-        cuts = (np.flatnonzero(~self.joins[n[:-1], n[1:]]) + 1).tolist()
-        return [marked[a:b] for a, b in zip([0, *cuts], [*cuts, len(marked)], strict=True)]
+        return RUN.findall(marked) if self.marks_lead else [marked]
+
+    def units(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+        """The words with their marks, cut wherever no piece spans the two neighbouring characters, and each word's number of units."""
+        if not words:
+            return [], np.zeros(0, np.int64)
+        joined = "".join(words)
+        n = self.number[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        starts = np.ones(len(n) + 1, bool)
+        starts[1:-1] = ~self.joins[n[:-1], n[1:]]
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        starts[ends[:-1]] = True
+        at = np.flatnonzero(starts)
+        cuts = at.tolist()
+        return [joined[x:y] for x, y in zip(cuts, cuts[1:], strict=False)], np.diff(np.searchsorted(at, ends), prepend=0)
 
     def piece_ids(self, unit: str, cuts: list[int]) -> list[int]:
         """Ids of the pieces between ``cuts``; a character without a piece becomes its UTF-8 bytes."""
@@ -109,14 +124,18 @@ def distinct_units(docs: DataFrame, vocab: Vocabulary, text_col: str, most: int
         seen: Counter = Counter()
 
         def rows():
-            kept = [(u, n) for u, n in seen.items() if 2 <= len(u) <= LONGEST]
+            found: Counter = Counter()
+            units, number = vocab.units(list(seen))
+            for u, n in zip(units, np.repeat(np.fromiter(seen.values(), np.int64, len(seen)), number).tolist(), strict=True):
+                if 2 <= len(u) <= LONGEST:
+                    found[u] += n
             seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array([u for u, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["unit", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["unit", "n"])
 
         for batch in stream:
             for text in batch.column(0).to_pylist():
                 if text:
-                    seen.update(vocab.units(text))
+                    seen.update(vocab.words(text))
                 if len(seen) > most:
                     yield rows()
         yield rows()
@@ -178,31 +197,62 @@ def encoded_units(units: DataFrame, vocab: Vocabulary, kind: str = "bpe") -> Dat
 
 
 class PieceIds:
-    """Ids of the units met so far, side by side in one array; dropped when they pass ``most`` units."""
+    """Ids of the words met so far, side by side in one array; dropped when they pass ``most`` words or ids."""
 
-    def __init__(self, vocab: Vocabulary, table: "UnitTable", most: int = 300_000):
-        self.vocab, self.table, self.most = vocab, table, most
+    def __init__(self, vocab: Vocabulary, table: "UnitTable", most: int = 500_000, most_ids: int = 8_000_000):
+        self.vocab, self.table, self.most, self.most_ids = vocab, table, most, most_ids
         self.clear()
 
     def clear(self):
         self.number: dict[str, int] = {}
+        self.units: dict[str, list[int]] = {}
         self.start, self.length, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def look_up(self, units: list[str]) -> np.ndarray:
-        """Numbers of ``units``, which index start and length."""
-        if len(self.number) > self.most:
+    def look_up(self, words: list[str]) -> np.ndarray:
+        """Numbers of ``words``, which index start and length."""
+        if len(self.number) > self.most or len(self.pool) > self.most_ids:
             self.clear()
-        new = list({u for u in units if u not in self.number})
+        new = list({w for w in words if w not in self.number})
         if new:
-            cuts = self.table.cuts([u if len(u) <= LONGEST else "" for u in new])
-            ids = [self.vocab.piece_ids(u, c if len(u) <= LONGEST else self.vocab.long_unit(u)) for u, c in zip(new, cuts, strict=True)]
-            for u in new:
-                self.number[u] = len(self.number)
-            length = np.array([len(x) for x in ids])
-            self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(length) - length])
-            self.length = np.concatenate([self.length, length])
+            units, number = self.vocab.units(new)
+            ids = self._ids(units)
+            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+            each = np.fromiter(map(len, ids), np.int64, len(ids))
+            upto = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(number)])]
+            self.start = np.concatenate([self.start, len(self.pool) + upto[:-1]])
+            self.length = np.concatenate([self.length, np.diff(upto)])
             self.pool = np.concatenate([self.pool, np.array([i for x in ids for i in x], np.int32)])
-        return np.fromiter(map(self.number.__getitem__, units), np.int64, len(units))
+        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+
+    def _ids(self, units: list[str]) -> list[list[int]]:
+        new = list({u for u in units if u not in self.units})
+        cuts = self.table.cuts([u if 2 <= len(u) <= LONGEST else "" for u in new])
+        for u, c in zip(new, cuts, strict=True):
+            self.units[u] = self.vocab.piece_ids(u, [0, 1] if len(u) == 1 else c if len(u) <= LONGEST else self.vocab.long_unit(u))
+        return [self.units[u] for u in units]
+
+
+class Spelling:
+    """Decodes the ids of many texts at once: what each id writes, side by side in one array of bytes."""
+
+    def __init__(self, vocab: Vocabulary):
+        self.vocab, self.names = vocab, vocab.names()
+        parts = [self.names.get(i, b"") for i in range(max(self.names) + 1)]
+        self.length = np.array([len(x) for x in parts])
+        self.start = np.cumsum(self.length) - self.length
+        self.pool = np.frombuffer(b"".join(parts), np.uint8)
+
+    def gives(self, ids: np.ndarray, ends: np.ndarray, texts: list) -> list[bool]:
+        """Of each text whether decoding its ids, those up to its entry of ``ends``, gives it again."""
+        if len(ids) and (int(ids.min()) < 0 or int(ids.max()) >= len(self.length) or not self.length[ids].all()):
+            starts = np.concatenate([[0], ends[:-1]])
+            return [self.vocab.gives(ids[a:b].tolist(), self.names, t or "") for a, b, t in zip(starts, ends, texts, strict=True)]
+        n = self.length[ids]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        said = self.pool[np.repeat(self.start[ids] - upto[:-1], n) + np.arange(upto[-1])].tobytes()
+        cut = upto[np.concatenate([[0], ends])].tolist()
+        # a text that holds the mark itself can't be told from one with a space there
+        return [said[a:b] == (SPACE + t.replace(" ", SPACE)).encode("utf-8", "surrogatepass") and SPACE not in t if t else a == b for a, b, t in zip(cut, cut[1:], texts, strict=False)]
 
 
 class UnitTable:
@@ -220,14 +270,32 @@ class UnitTable:
         return [[k for k in range(len(u) + 1) if m < 0 or m >> k & 1] for u, m in zip(units, mask, strict=True)]
 
 
+def most_frequent(masks: DataFrame, most: int, steps: int = 16) -> DataFrame:
+    """The rows of (unit, mask, n) with the largest n, about ``most`` and never more.
+
+    They are told by a threshold on n, out of ``steps`` for each doubling, whose counts are some hundred rows: a sort with
+    a limit would bring each partition's largest ``most`` rows into one task.
+    """
+    step = F.floor(F.log2("n") * steps)
+    left, threshold = most, None
+    for r in sorted(masks.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
+        left -= r["count"]
+        if left < 0:
+            break
+        threshold = r["step"]
+    return masks.limit(0) if threshold is None else masks.where(step >= threshold)
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: Vocabulary | None = None, kind: str = "bpe", table_units: int = 4_000_000) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_pieces, ids, round_trip.
 
     round_trip says that decoding the ids of the row, as they are returned, gives its whole text again.
 
     Ids are those of the sentencepiece library for the same model. Each distinct unit of the corpus is encoded once,
-    through the lattice. The masks of the ``table_units`` most frequent units, 16 bytes each, go to all tasks: that is the
-    bound of the broadcast. Units beyond it reach their documents by a join on (row, unit). Units of over 48 characters are
+    through the lattice. The masks of the most frequent units, ``table_units`` at most and 16 bytes each, go to all tasks:
+    that is the bound of the broadcast. They are looked up by the 64-bit hash of the unit: of the units of a corpus that the
+    table lacks, 4,000,000 / 2^64 find another's entry, which is a chance of 1 in 460 for 10^10 different units; round_trip
+    can't see that. Units beyond the table reach their documents by a join on (row, unit). Units of over 48 characters are
     merged in the task. Null and empty texts have no pieces; repeated rows are encoded alike; empty in, empty out.
     """
     vocab = vocab or Vocabulary()
@@ -235,7 +303,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     units = cut(distinct_units(docs, vocab, text_col))
     total = units.count()
     masks = cut(encoded_units(units, vocab, kind).join(units, "unit") if total > table_units else encoded_units(units, vocab, kind).withColumn("n", F.lit(0)))
-    head = masks.orderBy(F.desc("n"), "unit").limit(table_units) if total > table_units else masks
+    head = most_frequent(masks, table_units) if total > table_units else masks
     got = head.select(F.xxhash64("unit").alias("h"), "mask").toArrow()
     table = spark.sparkContext.broadcast(UnitTable(got["h"].to_numpy(), got["mask"].to_numpy()))
 
@@ -250,7 +318,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
             for batch in stream:
                 rows, found = [], []
                 for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    own = sorted({u for u in vocab.units(text) if 2 <= len(u) <= LONGEST}) if text else []
+                    own = sorted({u for u in vocab.units(list(set(vocab.words(text))))[0] if 2 <= len(u) <= LONGEST}) if text else []
                     h = np.array([xxhash.xxh64_intdigest(u.encode("utf-8", "surrogatepass"), 42) for u in own], np.uint64).astype(np.int64)
                     own = [u for u, k in zip(own, np.isin(h, known.value), strict=True) if not k]
                     rows += [row] * len(own)
@@ -261,33 +329,30 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
         tail = tail.groupBy(F.col("row").alias("_row")).agg(F.map_from_entries(F.collect_list(F.struct("unit", "mask"))).alias("extra"))
         given = given.join(tail, F.col("row") == F.col("_row"), "left").drop("_row")
         extra = F.col("extra")
-    names = vocab.names()
-
     def run(stream):
-        known = PieceIds(vocab, table.value)
+        known, spelling = PieceIds(vocab, table.value), Spelling(vocab)
         for batch in stream:
             texts, extras = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             for a, b in batches(texts, 1_000_000):
-                units = [vocab.units(t) if t else [] for t in texts[a:b]]
-                at = known.look_up([u for us in units for u in us])
-                owner = np.repeat(np.arange(b - a), [len(us) for us in units])
+                words = [vocab.words(t) if t else [] for t in texts[a:b]]
+                at = known.look_up([w for ws in words for w in ws])
+                owner = np.repeat(np.arange(b - a), [len(ws) for ws in words])
                 length = known.length[at]
                 ends = np.cumsum(length)
                 ids = known.pool[np.repeat(known.start[at] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)]
                 n = np.bincount(owner, length, b - a).astype(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(ids, pa.int32()))
                 if any(extras[a:b]):
-                    lists = [x if not more else list(with_rare(us, dict(more))) for x, us, more in zip(lists.to_pylist(), units, extras[a:b], strict=True)]
-                    n = np.array([len(x) for x in lists])
-                    lists = pa.array(lists, pa.list_(pa.int32()))
-                ends, flat = lists.offsets.to_pylist(), lists.values.to_numpy().tolist()
-                same = [vocab.gives(flat[s:e], names, t or "") for s, e, t in zip(ends, ends[1:], texts[a:b], strict=False)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), lists, pa.array(same, pa.bool_())], names=["doc_id", "n_pieces", "ids", "round_trip"])
+                    each = np.split(ids, np.cumsum(n)[:-1])
+                    each = [x if not more else np.fromiter(with_rare(vocab.units(ws)[0], dict(more)), np.int32) for x, ws, more in zip(each, words, extras[a:b], strict=True)]
+                    n, ids = np.array([len(x) for x in each], np.int64), np.concatenate(each)
+                ends = np.cumsum(n)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), lists, pa.array(spelling.gives(ids, ends, texts[a:b]), pa.bool_())], names=["doc_id", "n_pieces", "ids", "round_trip"])
 
     def with_rare(units, more):
         for u in units:
             m = more.get(u)
-            cuts = [k for k in range(len(u) + 1) if m >> k & 1] if m is not None else table.value.cuts([u])[0] if len(u) <= LONGEST else vocab.long_unit(u)
+            cuts = [0, 1] if len(u) == 1 else [k for k in range(len(u) + 1) if m >> k & 1] if m is not None else table.value.cuts([u])[0] if len(u) <= LONGEST else vocab.long_unit(u)
             yield from vocab.piece_ids(u, cuts)
 
     kind_of = given.schema["doc_id"].dataType.simpleString()

@@ -4,10 +4,10 @@ from sessionlens.llm import pieces
 
 
 class DropsUnits(pieces.Vocabulary):
-    """Loses the last unit of a text; every unit that is left is spelled right."""
+    """Loses the last word of a text; every word that is left is spelled right."""
 
-    def units(self, text):
-        return super().units(text)[:-1]
+    def words(self, text):
+        return super().words(text)[:-1]
 
 
 def test_round_trip_decodes_the_ids(spark):
