@@ -10,18 +10,35 @@ from pyspark.sql import functions as F
 
 from sessionlens.llm.common import cut
 
-BITS = 24
+BITS = 48
+"""Length of a hash string: far beyond what tells a shard's vectors apart, so prefixes end where the data say."""
+POOL = 1024
+"""Random hyperplanes; each tree takes BITS of them in an order of its own."""
 
 
-def planes(dim: int, trees: int, seed: int) -> np.ndarray:
-    """``trees`` x BITS random hyperplanes."""
-    return np.random.default_rng(seed).normal(size=(trees * BITS, dim))
+class Planes:
+    """Hash functions of ``trees`` trees over vectors of ``dim`` components."""
 
+    def __init__(self, dim: int, trees: int, seed: int):
+        rng = np.random.default_rng(seed)
+        self.pool, self.trees = rng.normal(size=(POOL, dim)), trees
+        self.picked = np.array([rng.permutation(POOL)[:BITS] for _ in range(trees)])
 
-def hash_strings(x: np.ndarray, hyper: np.ndarray) -> np.ndarray:
-    """Hash strings of the rows of ``x`` for each tree, as integers whose leading bits are the string's start."""
-    bits = (x @ hyper.T > 0).reshape(len(x), -1, BITS)
-    return bits.astype(np.int64) @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
+    def strings(self, x: np.ndarray) -> np.ndarray:
+        """Hash strings of the rows of ``x`` for each tree, as integers whose leading bits are the string's start."""
+        out = np.empty((len(x), self.trees), np.int64)
+        for at in range(0, len(x), 512):
+            side = x[at : at + 512] @ self.pool.T > 0
+            bits = np.packbits(side[:, self.picked], axis=2)
+            padded = np.zeros((*bits.shape[:2], 8), np.uint8)
+            padded[:, :, 8 - bits.shape[2] :] = bits
+            out[at : at + 512] = padded.view(">i8")[:, :, 0]
+        return out
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """The rows of ``x``, each times a power of two that brings its largest component near 1: exact, and safe to square."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
 
 
 class PrefixForest:
@@ -30,9 +47,9 @@ class PrefixForest:
     All trees lie in one array, the tree's number above its strings, so a prefix of any length is a range in it.
     """
 
-    def __init__(self, vectors: np.ndarray, hyper: np.ndarray):
-        self.hyper, self.trees = hyper, len(hyper) // BITS
-        keys = (hash_strings(vectors, hyper) + (np.arange(self.trees, dtype=np.int64) << BITS)).ravel()
+    def __init__(self, vectors: np.ndarray, planes: Planes):
+        self.planes, self.trees = planes, planes.trees
+        keys = (planes.strings(vectors) + (np.arange(self.trees, dtype=np.int64) << BITS)).ravel()
         order = np.argsort(keys, kind="stable")
         self.keys, self.rows, self.size = keys[order], order // self.trees, len(vectors)
 
@@ -45,7 +62,7 @@ class PrefixForest:
         """For each query the rows that share its longest prefixes: from whole strings all trees go up in step, a bit
         at a time, until their ranges hold ``least`` entries and ``rows`` different rows (or all there are); the last
         step's ranges are taken whole."""
-        strings = hash_strings(queries, self.hyper)
+        strings = self.planes.strings(queries)
         lo, hi = self.ranges(strings, BITS)
         level = np.full(len(queries), BITS)
         open_ = np.arange(len(queries))
@@ -81,7 +98,8 @@ def nearest(vectors: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col:
     Equal vectors are one entry of the index, so copies don't multiply candidates; each entry remembers its k + 1 smallest ids,
     which are all that a result can hold of it. The entries are dealt to shards of about ``shard_rows``, each with a forest of its own; queries
     visit every shard in blocks of ``query_block``. In a shard a query's candidates are what its longest-prefix matches
-    hold when the trees together hold ``effort`` entries for each row of the shard; cosines are then exact in double precision.
+    hold when the trees together hold ``effort`` entries for each row of the shard; cosines are then exact in double precision,
+    of vectors scaled by powers of two, so that components of any size can be squared.
     Ties go to the smaller id. Vectors that are null, zero, or hold null or non-finite numbers take no part, nor do
     vectors of another length than the most frequent one; null ids take no part either, of repeated ids each row counts.
     An empty table gives an empty result.
@@ -105,12 +123,12 @@ def nearest(vectors: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col:
     blocks = max(1, -(-queries.count() // query_block))
     index = entries.select((F.pmod(F.xxhash64("entry"), F.lit(shards))).alias("shard"), "entry", "v", "ids").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     asked = queries.withColumn("block", F.pmod(F.xxhash64("asking"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    hyper = planes(dim, trees, seed)
+    hyper = Planes(dim, trees, seed)
 
     def search(shard: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         if not len(shard) or not len(ask):
             return pd.DataFrame({"q": pd.Series(dtype="int64"), "entry": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64"), "ids": pd.Series(dtype="object")})
-        x, q = np.stack(shard["v"].to_numpy()), np.stack(ask["asked"].to_numpy())
+        x, q = scaled(np.stack(shard["v"].to_numpy())), scaled(np.stack(ask["asked"].to_numpy()))
         entry, asking = shard["entry"].to_numpy(), ask["asking"].to_numpy()
         smallest = np.array([i[0] for i in shard["ids"]])
         xn, qn = np.sqrt((x * x).sum(axis=1)), np.sqrt((q * q).sum(axis=1))

@@ -41,6 +41,18 @@ def test_neighbours_recall_copies_ties_and_bad_vectors(spark):
     assert neighbours.nearest(df.where("vec_id in (0, 1, 2)")).count() == 2
 
 
+def test_neighbours_of_extreme_size(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 8))
+    size = np.array([1e-300, 1e-200, 1.0, 1e200, 1e300])[np.arange(300) % 5]
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x * size[:, None])]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=10).collect()
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    assert len(got) == 150 and all(abs(r["score"] - unit[r["query_id"]] @ unit[r["vec_id"]]) < 1e-12 for r in got)
+    want = {q: set(np.argsort(-(unit @ unit[q]))[1:6].tolist()) for q in range(0, 300, 10)}
+    assert np.mean([r["vec_id"] in want[r["query_id"]] for r in got]) > 0.9
+
+
 def luhn(d):
     t = 0
     for i, c in enumerate(reversed(d)):
