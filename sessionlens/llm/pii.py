@@ -96,7 +96,7 @@ def near_match(kind: str, width: int):
 
 
 def found_in(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """A row number, the id, base matches of each kind, the terms of their windows, and the text with its hash."""
+    """A row number, the id, base matches of each kind, the terms of their windows, and the text."""
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
@@ -104,7 +104,7 @@ def found_in(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
     rows = rows.withColumns({k: base_matches(F.col("text"), k) for k in KINDS})
     near = F.concat(*[F.flatten(F.transform(F.col(k), near_match(k, width))) for k in KINDS])
     near = F.array_distinct(F.transform(near, lambda t: F.struct(t["kind"], t["entity"], t["term"])))
-    return rows.select("row", "doc_id", *KINDS, near.alias("near"), "text", F.xxhash64("text").alias("digest"))
+    return rows.select("row", "doc_id", *KINDS, near.alias("near"), "text")
 
 
 def entities_in() -> Column:
@@ -118,37 +118,34 @@ def terms_of(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
-def term_shares(found: DataFrame, least_entities: int = 5, least_texts: int = 1) -> tuple[DataFrame, int]:
-    """(term, share, free), and the number of distinct texts without an entity.
+def term_shares(found: DataFrame, least_entities: int = 5) -> tuple[DataFrame, int]:
+    """(term, share, free), and the number of documents without an entity.
 
     share is how much of a protected entity's information a term gives away: the pointwise mutual information of the
-    term and the entity over the information of the entity, -log2 of the share of texts that hold it. It is 1 for a term
-    that no text without the entity holds, and falls by one bit's part each time the texts that hold the term double.
-    A text counts for a term and an entity when the term stands in a window beside the entity, and all counts are of
-    distinct texts, so copies of a text don't make a term. The largest share over all entities counts, single ones and,
-    for terms beside ``least_entities`` of them, all of a kind taken as one. free is the number of texts that hold the
-    term and no entity at all.
+    term and the entity over the information of the entity, -log2 of the share of documents that hold it. It is 1 for a
+    term that no document without the entity holds, and falls by one bit's part each time the documents that hold the
+    term double. A document counts for a term and an entity when the term stands in a window beside the entity. Copies of
+    a document raise all these counts alike, so they change no share of an entity that only they hold. The largest share
+    over all entities counts, single ones and, for terms beside ``least_entities`` of them, all of a kind taken as one.
+    free is the number of documents that hold the term and no entity at all.
     """
-    texts = cut(found.groupBy("digest").agg(F.min("row").alias("row"), F.max(F.size(entities_in()) > 0).alias("holds")))
-    seen = texts.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("holds")).alias("free")).first()
-    once = found.join(texts.select("row"), "row", "left_semi")
-
-    near = once.where(F.size("near") > 0).select("row", "near")
-    of_one = near.select(F.explode("near").alias("t")).groupBy("t.kind", "t.entity", "t.term").agg(F.count(F.lit(1)).alias("together"))
-    of_one = cut(of_one)
+    one = F.count(F.lit(1))
+    holds = F.size(entities_in()) > 0
+    seen = found.agg(one.alias("n"), F.count_if(~holds).alias("free")).first()
+    near = found.where(F.size("near") > 0)
+    of_one = cut(near.select(F.explode("near").alias("t")).groupBy("t.kind", "t.entity", "t.term").agg(one.alias("together")))
     kind_terms = F.array_distinct(F.transform("near", lambda t: F.struct(t["kind"], t["term"])))
-    of_kind = near.select(F.explode(kind_terms).alias("t")).groupBy("t.kind", "t.term").agg(F.count(F.lit(1)).alias("together"))
-    usual = of_one.groupBy("kind", "term").agg(F.count(F.lit(1)).alias("entities")).where(F.col("entities") >= least_entities)
+    of_kind = near.select(F.explode(kind_terms).alias("t")).groupBy("t.kind", "t.term").agg(one.alias("together"))
+    usual = of_one.groupBy("kind", "term").agg(one.alias("entities")).where(F.col("entities") >= least_entities)
     of_kind = of_kind.join(usual.select("kind", "term"), ["kind", "term"])
 
-    held = cut(once.select(F.explode(entities_in()).alias("e"), "row").groupBy("e.kind", "e.entity").agg(F.count(F.lit(1)).alias("holding")))
-    kinds = once.select(F.explode(F.array_distinct(F.transform(entities_in(), lambda e: e["kind"]))).alias("kind"))
-    kinds = kinds.groupBy("kind").agg(F.count(F.lit(1)).alias("holding"))
-    pairs = of_one.where(F.col("together") >= least_texts).join(held, ["kind", "entity"]).select("term", "together", "holding")
+    held = found.select(F.explode(entities_in()).alias("e")).groupBy("e.kind", "e.entity").agg(one.alias("holding"))
+    kinds = found.select(F.explode(F.array_distinct(F.transform(entities_in(), lambda e: e["kind"]))).alias("kind")).groupBy("kind").agg(one.alias("holding"))
+    pairs = of_one.join(held, ["kind", "entity"]).select("term", "together", "holding")
     pairs = pairs.unionByName(of_kind.join(kinds, "kind").select("term", "together", "holding"))
 
-    vocabulary = once.join(texts.select("row", "holds"), "row").select(F.explode(terms_of(F.col("text"))).alias("word"), "holds")
-    vocabulary = vocabulary.groupBy("word").agg(F.count(F.lit(1)).alias("texts"), F.count_if(~F.col("holds")).alias("free"))
+    vocabulary = found.select(F.explode(terms_of(F.col("text"))).alias("word"), holds.alias("holds"))
+    vocabulary = vocabulary.groupBy("word").agg(one.alias("texts"), F.count_if(~F.col("holds")).alias("free"))
     n = F.lit(float(max(1, seen["n"])))
     bits = F.log2(F.col("together") * n / (F.col("holding") * F.col("texts")))
     share = bits / F.greatest(F.log2(n / F.col("holding")), F.lit(1e-9))
@@ -156,13 +153,13 @@ def term_shares(found: DataFrame, least_entities: int = 5, least_texts: int = 1)
     return cut(joined.groupBy("term").agg(F.max("share").alias("share"), F.max("free").alias("free"))), seen["free"]
 
 
-def disclosing_terms(found: DataFrame, least_entities: int = 5, tolerance: float = 0.001, least_share: float = 0.5, least_texts: int = 1) -> DataFrame:
+def disclosing_terms(found: DataFrame, least_entities: int = 5, tolerance: float = 0.001, least_share: float = 0.5) -> DataFrame:
     """(term, share): terms that give more of an entity away than the corpus lets pass.
 
     The threshold comes from the corpus: the lowest share, ``least_share`` at least, from which on all terms together
-    stand in no more than ``tolerance`` of the texts without an entity. It is found among 1,000 steps of the share.
+    stand in no more than ``tolerance`` of the documents without an entity. It is found among 1,000 steps of the share.
     """
-    shares, free = term_shares(found, least_entities, least_texts)
+    shares, free = term_shares(found, least_entities)
     step = F.floor(F.col("share") * 1000)
     steps = shares.where(F.col("share") >= least_share).groupBy(step.alias("step")).agg(F.sum("free").alias("free")).collect()
     threshold, passed = 2.0, 0
@@ -174,18 +171,27 @@ def disclosing_terms(found: DataFrame, least_entities: int = 5, tolerance: float
     return shares.where(step / 1000 >= threshold).select("term", "share")
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 48, least_entities: int = 5, tolerance: float = 0.001, least_share: float = 0.5, least_texts: int = 1, keep_row: bool = False) -> DataFrame:
+def sendable(df: DataFrame, most: int) -> DataFrame:
+    """``df`` with a hint to broadcast it if it has no more than ``most`` rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 48, least_entities: int = 5, tolerance: float = 0.001, least_share: float = 0.5, keep_row: bool = False, most_sent: int = 500_000) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term, n_base.
 
     spans lists kind:start:end by kind (email, ip, card, phone, term), then start, in code points, end exclusive.
     `term` spans are the disclosing terms of :func:`disclosing_terms` wherever they stand in a text, unless a base span
-    holds them: that goes anyway. n_base is the number of base spans.
+    holds them: that goes anyway. n_base is the number of base spans. Terms, and the rows that hold them, are sent to all
+    tasks up to ``most_sent`` of them, which is counted before; beyond that they are joined by shuffle.
     Null and empty texts have no spans; whole texts are read; repeated rows are read alike; empty in, empty out.
     """
     found = cut(found_in(docs, id_col, text_col, width))
-    terms = disclosing_terms(found, least_entities, tolerance, least_share, least_texts)
+    terms = sendable(disclosing_terms(found, least_entities, tolerance, least_share).select("term"), most_sent)
     own = found.select("row", F.explode(terms_of(F.col("text"))).alias("term"))
-    hits = own.join(terms.select("term"), "term", "left_semi").groupBy(F.col("row").alias("_row")).agg(F.collect_set("term").alias("terms"))
+    own = cut(own.join(terms, "term", "left_semi"))
+    hits = own.groupBy(F.col("row").alias("_row")).agg(F.collect_set("term").alias("terms"))
+    if own.limit(most_sent + 1).count() <= most_sent:
+        hits = F.broadcast(hits)
     base_spans = F.concat(*[F.transform(F.col(k), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))) for k in KINDS])
     stands = F.filter(standing(F.col("text"), F.col("terms")), lambda t: ~F.exists(base_spans, lambda b: (b["start"] <= t["start"]) & (t["end"] <= b["end"])))
     out = found.join(hits, F.col("row") == F.col("_row"), "left").withColumn("term_spans", F.when(F.col("terms").isNotNull(), stands))
