@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,14 +44,23 @@ class Vocabulary:
             self.joins[self.number[ord(x)], self.number[ord(y)]] = True
 
     def words(self, text: str) -> list[str]:
-        """``text`` with space marks, cut before each run of marks if no piece has a mark after another character, else whole."""
-        marked = SPACE + text.replace(" ", SPACE)
-        return RUN.findall(marked) if self.marks_lead else [marked]
+        """``text`` cut at its spaces if no piece has a space mark after another character, else whole.
+
+        Words between single spaces come bare, as their mark goes without saying; a text with runs of spaces gives
+        words with all their marks.
+        """
+        if self.marks_lead:
+            parts = text.split(" ")
+            if "" not in parts and SPACE not in text:
+                return parts
+            return RUN.findall(SPACE + text.replace(" ", SPACE))
+        return [SPACE + text.replace(" ", SPACE)]
 
     def units(self, words: list[str]) -> tuple[list[str], np.ndarray]:
         """The words with their marks, cut wherever no piece spans the two neighbouring characters, and each word's number of units."""
         if not words:
             return [], np.zeros(0, np.int64)
+        words = [w if w[0] == SPACE else SPACE + w for w in words]
         joined = "".join(words)
         n = self.number[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
         starts = np.ones(len(n) + 1, bool)
@@ -212,8 +222,9 @@ class PieceIds:
         """Numbers of ``words``, which index start and length."""
         if len(self.number) > self.most or len(self.pool) > self.most_ids:
             self.clear()
-        new = list({w for w in words if w not in self.number})
-        if new:
+        at = list(map(self.number.get, words))
+        if None in at:
+            new = list({w for w, k in zip(words, at, strict=True) if k is None})
             units, number = self.vocab.units(new)
             ids = self._ids(units)
             self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
@@ -222,7 +233,8 @@ class PieceIds:
             self.start = np.concatenate([self.start, len(self.pool) + upto[:-1]])
             self.length = np.concatenate([self.length, np.diff(upto)])
             self.pool = np.concatenate([self.pool, np.array([i for x in ids for i in x], np.int32)])
-        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+            at = list(map(self.number.__getitem__, words))
+        return np.array(at, np.int64)
 
     def _ids(self, units: list[str]) -> list[list[int]]:
         new = list({u for u in units if u not in self.units})
@@ -335,7 +347,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
             texts, extras = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             for a, b in batches(texts, 1_000_000):
                 words = [vocab.words(t) if t else [] for t in texts[a:b]]
-                at = known.look_up([w for ws in words for w in ws])
+                at = known.look_up(list(chain.from_iterable(words)))
                 owner = np.repeat(np.arange(b - a), [len(ws) for ws in words])
                 length = known.length[at]
                 ends = np.cumsum(length)
