@@ -213,6 +213,13 @@ def weaker(confidence: Column) -> Column:
     return F.when(confidence == "high", "medium").when(confidence == "medium", "low").otherwise(confidence)
 
 
+#: The band below a severity, and its score.
+BELOW = {"critical": ("high", 55), "high": ("medium", 40), "medium": ("low", 20)}
+
+
 def demoted(level: Column) -> Column:
-    """One band less severe; informational stays."""
-    return F.when(level == "critical", "high").when(level == "high", "medium").when(level == "medium", "low").when(level == "low", "informational").otherwise(level)
+    """Struct of severity and score one band below; what is below medium becomes informational with a score of 0."""
+    below = F.struct(F.lit("informational").alias("severity"), F.lit(0).cast("long").alias("score"))
+    for name, (band, score) in BELOW.items():
+        below = F.when(level == name, F.struct(F.lit(band).alias("severity"), F.lit(score).cast("long").alias("score"))).otherwise(below)
+    return below

@@ -83,6 +83,17 @@ def correlation_events(found: DataFrame, details: DataFrame | None = None) -> Da
     return as_events(df.withColumn("event_id", event_id("correlation", "client", "agent", "model", "provider", "session_ids", "rule_ids")))
 
 
+def in_order(correlations: DataFrame) -> DataFrame:
+    """Correlations in their order of output: by start of the window, actor, then rules."""
+    return correlations.orderBy("window_start", "client", "agent", "model", "provider", "rule_ids")
+
+
+def all_events(activities: DataFrame, detections: DataFrame, summaries: DataFrame) -> DataFrame:
+    """Activities, detections and session summaries as one table in the event schema; ``part`` keeps their order: 0, 1, 2."""
+    parts = [as_events(df).withColumn("part", F.lit(n)) for n, df in enumerate((activities, detections, summaries))]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def allowlisted(events: DataFrame, allowlist: DataFrame, most: int = 5000) -> DataFrame:
     """Detections that an allowlist entry names become informational: score 0, no contributions, anchors or response, tagged, with the entry as evidence.
 
@@ -98,18 +109,22 @@ def allowlisted(events: DataFrame, allowlist: DataFrame, most: int = 5000) -> Da
     meets = filled > 0
     for c in names:
         meets = meets & ((F.size(f"_{c}") == 0) | F.coalesce(F.arrays_overlap(f"_{c}", values[c]), F.lit(False)))
-    hits = events.where("event_type = 'detection'").join(F.broadcast(a), meets).groupBy(F.col("event_id").alias("_event")).agg(F.min_by("_name", "ord").alias("_entry"))
-    df = events.join(hits, F.col("event_id") == F.col("_event"), "left")
+    # rows are told apart by a key of their own, so null and repeated event ids are judged row by row
+    keyed = events.withColumn("_row", F.monotonically_increasing_id())
+    hits = F.when(F.col("event_type") == "detection", F.struct("ord", "_name"))
+    joined = keyed.join(F.broadcast(a), (F.col("event_type") == "detection") & meets, "left")
+    first = joined.withColumn("_n", F.row_number().over(W.partitionBy("_row").orderBy(F.asc_nulls_last("ord")))).where("_n = 1")
+    df = first.withColumn("_entry", hits["_name"])
     on = F.col("_entry").isNotNull()
-    note = F.struct(F.lit("allowlist").alias("field"), F.col("_entry").alias("redacted_value"), F.sha2("_entry", 256).alias("hash"), F.lit(None).cast("string").alias("rule_id"))
+    note = F.struct(F.lit("allowlist").alias("field"), F.col("_entry").alias("redacted_value"), F.lit(None).cast("string").alias("hash"), F.lit(None).cast("string").alias("rule_id"))
     kind = {f.name: f.dataType for f in events.schema}
     change = {"severity": F.lit("informational"), "risk_score": F.lit(0).cast("long"), "informational": F.lit(True)}
     change |= {c: F.lit(None).cast(kind[c]) for c in ("risk_contributions", "timeline_anchors", "response") if c in kind}
     if "tags" in kind:
-        change["tags"] = F.array_union(F.coalesce("tags", F.array().cast(NONE)), F.array(F.lit("allowlisted")))
+        change["tags"] = F.array_union(F.coalesce("tags", F.array().cast(NONE)), F.array(F.lit("suppressed"), F.concat(F.lit("allowlist:"), F.col("_entry"))))
     if "evidence" in kind:
         change["evidence"] = F.concat(F.coalesce("evidence", F.array().cast(kind["evidence"])), F.array(note))
-    return df.withColumns({c: F.when(on, v).otherwise(F.col(c)) if c in kind else F.when(on, v) for c, v in change.items()}).drop("_event", "_entry")
+    return df.withColumns({c: F.when(on, v).otherwise(F.col(c)) if c in kind else F.when(on, v) for c, v in change.items()}).drop("_row", "_n", "_entry", "ord", "_name", *[f"_{c}" for c in names])
 
 
 def session_risk_summary(events: DataFrame, keys=("client", "source_path_hash", "session_id")) -> DataFrame:

@@ -12,26 +12,33 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Selector names, the capability that each needs, and the column or key that holds it.
+from sessionlens.functions.activity import path_class, url_host
+
+#: Selector names that columns hold, with the capability that each needs.
 COLUMNS = {
-    "message.role": ("", "role"), "message.text": ("", "text"), "message.user_text": ("user_context", "user_context"), "message.assistant_text": ("", "assistant_context"),
-    "tool.name": ("tool_call", "tool_name"), "tool.kind": ("tool_call", "tool_kind"), "tool.command": ("tool_call", "command"), "tool.arguments": ("tool_call", "arguments"),
-    "tool.searchable_arguments": ("tool_call", "arguments"), "tool.written_path": ("tool_call", "written_path"), "tool.path": ("tool_call", "file_path"), "tool.url": ("tool_call", "url"),
-    "tool.call_id": ("tool_call", "call_id"), "tool.result": ("tool_execution", "tool_result"), "tool.is_error": ("tool_execution", "is_error"), "tool.exit_code": ("tool_execution", "exit_code"),
-    "tool.status": ("tool_execution", "reported_status"), "observation.family": ("", "family"), "observation.stage": ("", "stage"), "observation.occurred_at": ("", "occurred_at"),
-    "session.id": ("", "session_id"), "session.agent": ("", "agent"), "session.model": ("", "model"), "session.provider": ("", "provider"), "source.client": ("", "client"),
-}
-#: Families whose facts stay in ``extra`` under the selector's own name.
-EXTRA = {
-    "inference": ("request_id", "response_id", "model", "finish_reason", "input_tokens", "output_tokens", "stream"), "tool_definition": ("name", "description", "schema"),
-    "mcp": ("server", "method", "tool", "resource"), "process": ("name", "path", "command_line", "parent_name", "exit_code"), "file": ("path", "operation", "hash"),
-    "network": ("host", "port", "protocol", "url"), "browser": ("url", "action", "selector"), "runtime": ("name", "version", "status"), "session": ("cwd", "parent_id"),
+    "session.id": ("", "session_id"), "message.role": ("", "role"), "message.content": ("", "text"), "message.text": ("", "text"),
+    "tool.name": ("tool_call", "tool_name"), "tool.arguments": ("tool_call", "arguments"), "tool.searchable_arguments": ("tool_call", "arguments"),
+    "tool.result": ("tool_call", "tool_result"), "tool.searchable_result": ("tool_call", "tool_result"), "tool.reported_status": ("tool_call", "reported_status"),
+    "tool.is_error": ("tool_call", "is_error"), "tool.exit_code": ("tool_call", "exit_code"), "command.text": ("", "command"), "resource.path": ("", "file_path"),
+    "compat.v1.arguments": ("tool_call", "arguments"), "compat.v1.assistant_context": ("user_context", "assistant_context"), "compat.v1.command": ("tool_call", "command"),
+    "compat.v1.file_path": ("tool_call", "file_path"), "compat.v1.tool_kind": ("tool_call", "tool_kind"), "compat.v1.tool_name": ("tool_call", "tool_name"),
+    "compat.v1.tool_result": ("tool_call", "tool_result"), "compat.v1.url": ("tool_call", "url"), "compat.v1.user_context": ("user_context", "user_context"),
+    "compat.v1.written_path": ("tool_call", "written_path"),
+    "tool.call_id": ("tool_call", "call_id"), "tool.stage": ("tool_call", "stage"), "tool.arguments.text": ("tool_call", "arguments"), "tool.result.text": ("tool_call", "tool_result"),
+    "tool.result.is_error": ("tool_call", "is_error"), "tool.result.exit_code": ("tool_call", "exit_code"),
 }
+#: Selector names whose facts stay in ``extra`` under the name itself, or are derived from other columns.
+EXTRA = (
+    "tool.arguments.keys", "resource.operation", "resource.path_class", "network.domain", "network.destination_class", "network.operation", "network.port", "network.protocol",
+    "process.name", "process.pid", "process.instance_id", "process.privilege", "inference.provider", "inference.requested_model", "inference.resolved_model", "inference.streaming",
+    "inference.stop_reason", "mcp.server.id", "mcp.server.transport", "mcp.server.location_class", "mcp.tool.name", "runtime.execution_mode", "runtime.isolation.state",
+    "runtime.privilege", "runtime.workspace.class", "browser.surface", "browser.origin_class", "browser.navigation_id",
+)
 MOST_BRANCHES, MOST_DEPTH = 64, 8
 
 
 def selectors() -> list[str]:
-    return [*COLUMNS, *[f"{family}.{key}" for family, keys in EXTRA.items() for key in keys if f"{family}.{key}" not in COLUMNS]]
+    return [*COLUMNS, *EXTRA]
 
 
 def with_targets(obs: DataFrame) -> DataFrame:
@@ -41,17 +48,24 @@ def with_targets(obs: DataFrame) -> DataFrame:
 
 
 def selector(name: str) -> Column:
-    """The fact's column; keys of the families without columns come from ``extra``."""
+    """The fact's column. What ``extra`` doesn't hold is derived where a column allows it: argument keys, path classes and domains."""
     if name in COLUMNS:
         return F.col(COLUMNS[name][1])
-    if name in selectors():
-        return F.try_element_at(F.col("extra"), F.lit(name))
-    raise ValueError(f"no selector {name}")
+    if name not in EXTRA:
+        raise ValueError(f"no selector {name}")
+    told = F.try_element_at(F.col("extra"), F.lit(name))
+    if name == "tool.arguments.keys":
+        return F.coalesce(told, F.array_join(F.array_sort(F.json_object_keys("arguments")), ","))
+    if name == "resource.path_class":
+        return F.coalesce(told, path_class(F.col("file_path")))
+    if name == "network.domain":
+        return F.coalesce(told, url_host(F.col("url")))
+    return told
 
 
 def visible(name: str) -> Column:
     """True if the source shows the fact: its capability is not known to be missing."""
-    need = COLUMNS.get(name, ("", ""))[0]
+    need = COLUMNS[name][0] if name in COLUMNS else "tool_call" if name.startswith("tool.") else ""
     return F.coalesce(F.try_element_at(F.col("caps"), F.lit(need)) == "supported", F.lit(False)) if need else F.lit(True)
 
 
@@ -65,16 +79,18 @@ def same_number(a: Column, b: Column) -> Column:
 
 
 def glob_regex(glob: str) -> str:
-    """Anchored Java pattern of a glob with *, ? and [...]."""
+    """Anchored Java pattern of a glob: * and ? stand for characters of one line, [...] for one of a class as a pattern writes it."""
     out, i = [], 0
     while i < len(glob):
         c = glob[i]
-        if c == "[" and (end := glob.find("]", i + 2)) > 0:
-            inner = glob[i + 1 : end].replace("\\", "\\\\").replace("[", "\\[")
-            out.append(f"[{'^' + inner[1:] if inner[0] == '!' else inner}]")
+        if c == "[":
+            end = glob.find("]", i)
+            if end < 0:
+                raise ValueError(f"no end of a class in {glob}")
+            out.append("[" + glob[i + 1 : end].replace("\\", "\\\\").replace("[", "\\[").replace("&&", "&\\&") + "]")
             i = end
         else:
-            out.append({"*": r"[\s\S]*", "?": r"[\s\S]"}.get(c, "\\" + c if c in r".^$+{}()|\[]" else c))
+            out.append({"*": "[^\\n]*", "?": "[^\\n]"}.get(c, "\\" + c if c in r".^$+{}()|\]" else c))
         i += 1
     return f"\\A{''.join(out)}\\z"
 

@@ -85,13 +85,33 @@ def dedup_process(found: DataFrame, keys: list[str]) -> DataFrame:
     return df.where("_rn = 1").withColumns({"secondary_rule_ids": F.array_sort(F.array_except("_ids", F.array("rule_id"))), "mitre": F.array_sort(F.array_distinct("_all"))}).drop("_rn", "_ids", "_all")
 
 
-def demote(found: DataFrame, admins=(), hosts=(), tools=(), demote_critical: bool = False) -> DataFrame:
-    """Results of approved users, management hosts or sanctioned tools lose a band; gated ones never, critical ones only if asked."""
-    ctx = F.lit(False)
-    for column, names in (("user", admins), ("host", hosts), ("child", tools)):
-        if names and column in found.columns:
-            ctx = ctx | F.coalesce(F.lower(column).isin(*[n.lower() for n in names]), F.lit(False))
-    ok = ctx & ~F.col("gated") & (F.lit(demote_critical) | (F.col("severity") != "critical"))
-    return found.withColumns({"demoted": ok, "severity": F.when(ok, demoted(F.col("severity"))).otherwise(F.col("severity"))})
+#: Categories in which an approved user, a management host and a sanctioned remote tool soften a result.
+ADMIN_CATEGORIES = ("discovery", "execution", "persistence", "lateral_movement")
+HOST_CATEGORIES = ("lateral_movement", "execution", "discovery")
+TOOL_CATEGORY = "command_and_control"
 
 
+def demote(found: DataFrame, admins=(), hosts=(), tools=()) -> DataFrame:
+    """Results that their context explains lose a band of severity and its score: approved users, management hosts and sanctioned remote tools.
+
+    Users and hosts count in the categories named above, tools in command and control as parent or child; critical results
+    never fall for a user, and results of a gated rule, which saw the argument itself, for nothing. ``found`` has category,
+    severity, score and gated; columns that it lacks count as null. Adds informational and risk_adjustment, the reason.
+    """
+    have = lambda c: F.col(c) if c in found.columns else F.lit(None).cast("string")
+    named = lambda c, names: F.coalesce(F.lower(have(c)).isin(*[n.lower() for n in names]), F.lit(False)) if names else F.lit(False)
+    products = [n.lower().removesuffix(".exe").translate(str.maketrans(".-", "__")) for n in tools]
+    runs = lambda c: F.coalesce(process_name(have(c)).isin(*products), F.lit(False)) if products else F.lit(False)
+    why = (
+        F.when(F.coalesce("gated", F.lit(False)), None)
+        .when(named("user", admins) & F.col("category").isin(*ADMIN_CATEGORIES) & (F.col("severity") != "critical"), "approved administrative user")
+        .when(named("host", hosts) & F.col("category").isin(*HOST_CATEGORIES), "known management server")
+        .when((F.col("category") == TOOL_CATEGORY) & (runs("parent") | runs("child")), "sanctioned remote management product")
+    )
+    below = demoted(F.col("severity"))
+    df = found.withColumn("_why", why).withColumn("_below", below)
+    on = F.col("_why").isNotNull()
+    return df.withColumns({
+        "severity": F.when(on, F.col("_below.severity")).otherwise(F.col("severity")), "score": F.when(on, F.col("_below.score")).otherwise(F.col("score")),
+        "informational": on & (F.col("_below.score") == 0), "demoted": on, "risk_adjustment": F.col("_why"),
+    }).drop("_why", "_below")

@@ -24,15 +24,21 @@ def timeline_index(obs: DataFrame) -> DataFrame:
 
 
 def call_positions(obs: DataFrame) -> DataFrame:
-    """``obs`` with ``pos``: a call and its results share one; results without an id join the call before; messages take the next call's."""
-    is_call = (F.col("family") == "tool") & ~F.coalesce(F.col("stage").isin("result", "completed", "failed"), F.lit(False))
-    df = timeline_index(obs).withColumn("_call", is_call.cast("int"))
+    """``obs`` with ``pos``, its place among the tool calls of its session, from 0.
+
+    Records of one call id share the place of the first of them, whether call or result; a call without an id takes the next
+    place, a result without one that of the call before, and messages and all other records that of the next call.
+    """
+    tool, has_id = F.col("family") == "tool", F.col("call_id").isNotNull()
+    is_result = F.coalesce(F.col("stage").isin("result", "completed", "failed"), F.lit(False))
     order = W.partitionBy("source_instance", "session_id").orderBy("idx")
-    df = df.withColumn("_before", F.sum("_call").over(order.rowsBetween(W.unboundedPreceding, 0)))
     by_id = W.partitionBy("source_instance", "session_id", "call_id")
-    own = F.when(F.col("call_id").isNotNull(), F.min(F.when(F.col("_call") == 1, F.col("_before"))).over(by_id))
-    pos = F.when(F.col("_call") == 1, F.coalesce(own, F.col("_before"))).when(F.col("family") == "tool", F.coalesce(own, F.greatest(F.col("_before"), F.lit(1)))).otherwise(F.col("_before") + 1)
-    return df.withColumn("pos", pos.cast("int")).drop("_call", "_before")
+    df = timeline_index(obs).withColumn("_nth", F.row_number().over(W.partitionBy("source_instance", "session_id", tool, "call_id").orderBy("idx")))
+    df = df.withColumn("_new", F.coalesce(tool & F.when(has_id, F.col("_nth") == 1).otherwise(~is_result), F.lit(False)))
+    df = df.withColumn("_next", F.sum(F.col("_new").cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    first = F.min(F.when(F.col("_new"), F.col("_next") - 1)).over(by_id)
+    pos = F.when(tool & has_id, first).when(F.col("_new"), F.col("_next") - 1).when(tool, F.greatest(F.col("_next") - 1, F.lit(0))).otherwise(F.col("_next"))
+    return df.withColumn("pos", pos.cast("int")).drop("_nth", "_new", "_next")
 
 
 def call_links(obs: DataFrame) -> DataFrame:
@@ -83,38 +89,58 @@ def linked_chain_table(matches: DataFrame, positions: DataFrame, rules: DataFram
     return out
 
 
+class ChainSearch:
+    """What one session's steps within the window say, in order of time; finds the chains that a step completes.
+
+    Going back from the completing observation, each step takes the latest one before that fits and is no later in time;
+    the first step also must not have served before. Only observations inside the window are kept.
+    """
+
+    def __init__(self, order: list[str], window: int, history=()):
+        self.order, self.window, self.history = order, window, [list(h) for h in history]  # [epoch, steps, used]
+
+    def add(self, epoch: int, steps: set) -> int | None:
+        """The start's epoch if the observation completes a chain, else None."""
+        self.history = [h for h in self.history if epoch - h[0] <= self.window]
+        self.history.append([epoch, set(steps), False])
+        if self.order[-1] not in steps:
+            return None
+        left = len(self.order) - 1
+        for at in range(len(self.history) - 1, -1, -1):
+            own = self.history[at]
+            if self.order[left] in own[1] and not (left == 0 and own[2]):
+                if left == 0:
+                    own[2] = True
+                    return own[0]
+                left -= 1
+        return None
+
+
 def action_chains(steps: DataFrame, chain_id: str, order: list[str], window: int = CHAIN_WINDOW, keys=("source_instance", "session_id")) -> DataFrame:
     """(keys…, chain_id, start_epoch, end_epoch, observation_id): the steps in order within ``window`` seconds, ending at the completing row.
 
     ``steps`` has step, epoch and observation_id; rows without a time or a session take no part. Each start serves once.
-    The session's steps are folded in order, carrying the latest start of each prefix of the chain, so state is as long as the chain.
+    Sessions come sorted through their partitions, and only what lies within the window is held of one, however long it is.
     """
     usable = steps.where(F.col("epoch").isNotNull() & F.col(keys[-1]).isNotNull() & F.col("step").isin(*order))
-    n = len(order)
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        starts: list = [None] * n
-        used, rows = set(), []
-        for step, epoch, obs in pdf.sort_values(["epoch", "observation_id"])[["step", "epoch", "observation_id"]].itertuples(index=False):
-            for i in range(n - 1, -1, -1):
-                if order[i] != step:
-                    continue
-                start = (epoch, obs) if i == 0 else starts[i - 1]
-                if start is None or epoch - start[0] > window or start in used:
-                    continue
-                if i == n - 1:
-                    used.add(start)
-                    rows.append((start[0], epoch, obs))
-                else:
-                    starts[i] = start
-        out = pd.DataFrame(rows, columns=["start_epoch", "end_epoch", "observation_id"])
-        for k in keys:
-            out.insert(0, k, pdf[k].iloc[0])
-        return out.assign(chain_id=chain_id)
+    usable = usable.groupBy(*keys, F.col("epoch").cast("long").alias("epoch"), "observation_id").agg(F.collect_set("step").alias("steps"))
+    sort = [*keys, "epoch", "observation_id"]
+
+    def search(frames):
+        now, state = None, None
+        for pdf in frames:
+            out = []
+            for row in pdf[[*sort, "steps"]].itertuples(index=False):
+                if tuple(row[: len(keys)]) != now:
+                    now, state = tuple(row[: len(keys)]), ChainSearch(order, window)
+                start = state.add(row[-3], set(row[-1]))
+                if start is not None:
+                    out.append((*now, chain_id, start, row[-3], row[-2]))
+            yield pd.DataFrame(out, columns=[*keys, "chain_id", "start_epoch", "end_epoch", "observation_id"])
 
     kinds = {f.name: f.dataType.simpleString() for f in steps.schema}
     schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "chain_id string", "start_epoch long", "end_epoch long", f"observation_id {kinds['observation_id']}"])
-    return usable.groupBy(*keys).applyInPandas(lambda pdf: fold(pdf)[[*keys, "chain_id", "start_epoch", "end_epoch", "observation_id"]], schema)
+    return usable.repartition(*keys).sortWithinPartitions(*sort).mapInPandas(search, schema)
 
 
 def context_window(obs: DataFrame, anchors: DataFrame, before: int, after: int) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from sessionlens.functions import activity
 from sessionlens.operators import gold, predicates, process, scoring, sequences
@@ -41,20 +40,25 @@ def timeline_summary(spark, sf_dir):
     return s.select("session_id", "client", "detections", "max_severity", JOINED("top_rules").alias("top_rules"))
 
 
-@query(f"""WITH {DETECTION_SQL}, r AS (SELECT client, agent, rule_id, sec, session_id, risk_score, event_id FROM (SELECT *, unnest(rule_ids) AS rule_id FROM d) WHERE risk_score >= 70),
-f AS (SELECT *, count(*) OVER w AS n, min(sec) OVER w AS start FROM r WINDOW w AS (PARTITION BY client, agent, rule_id ORDER BY sec RANGE BETWEEN 21600 PRECEDING AND CURRENT ROW)),
+@query(f"""WITH {DETECTION_SQL}, r AS (SELECT client, 'a' || (CAST(session_id AS BIGINT) % 2) AS agent, rule_id, sec, session_id, risk_score, event_id FROM (SELECT *, unnest(rule_ids) AS rule_id FROM d) WHERE risk_score >= 70),
+f AS (SELECT *, count(*) OVER w AS n, min(sec) OVER w AS start FROM r WINDOW w AS (PARTITION BY client, agent, rule_id ORDER BY sec RANGE BETWEEN 259200 PRECEDING AND CURRENT ROW)),
 b AS (SELECT client, agent, rule_id, start, sec AS fin FROM (SELECT *, row_number() OVER (PARTITION BY client, agent, rule_id ORDER BY n DESC, sec) AS rn FROM f) WHERE rn = 1),
 i AS (SELECT r.client, r.agent, r.rule_id, string_agg(DISTINCT session_id, ',' ORDER BY session_id) AS session_ids, count(DISTINCT session_id) AS ns, min(sec) AS s, max(sec) AS e, max(risk_score) AS risk FROM r JOIN b ON r.client = b.client AND r.agent = b.agent AND r.rule_id = b.rule_id AND r.sec BETWEEN b.start AND b.fin GROUP BY 1, 2, 3)
 SELECT client, agent, session_ids, string_agg(rule_id, ',' ORDER BY rule_id) AS rule_ids, min(s) AS window_start, max(e) AS window_end, max(risk) AS risk_score FROM i WHERE ns >= 2 GROUP BY 1, 2, 3""")
 def correlate_sessions(spark, sf_dir):
-    c = sequences.correlate_sessions(detections(spark, sf_dir), window=21_600)
+    shared = F.concat(F.lit("a"), F.col("session_id").cast("long") % 2)  # agents that several sessions share at every scale
+    c = gold.in_order(sequences.correlate_sessions(detections(spark, sf_dir).withColumn("agent", shared), window=259_200))
     return c.select("client", "agent", JOINED("session_ids").alias("session_ids"), JOINED("rule_ids").alias("rule_ids"), F.col("window_start").cast("long").alias("window_start"), F.col("window_end").cast("long").alias("window_end"), "risk_score")
 
 
-@query(f"""WITH {DETECTION_SQL} SELECT event_id, CASE WHEN a THEN 'informational' ELSE severity END AS severity, CASE WHEN a THEN 0 ELSE risk_score END AS risk_score FROM (SELECT *, client = 'c0' AND tool_name IN ('click', 'view') OR session_id = '7' AS a FROM d)""")
+@query(f"""WITH {DETECTION_SQL}, n AS (SELECT *, CASE WHEN client = 'c0' AND tool_name IN ('click', 'view') THEN 'clicks' WHEN session_id = '7' THEN 'user' END AS name FROM d)
+SELECT CASE WHEN eid % 13 <> 0 THEN event_id END AS event_id, session_id, CASE WHEN name IS NULL THEN severity ELSE 'informational' END AS severity, CASE WHEN name IS NULL THEN risk_score ELSE 0 END AS risk_score,
+  CASE WHEN name IS NULL THEN 'own' ELSE 'own,suppressed,allowlist:' || name END AS tags, name AS shown FROM n""")
 def allowlist(spark, sf_dir):
     entries = spark.createDataFrame([(1, "clicks", ["c0"], None, ["click", "view"], None, None, None), (2, "user", None, ["7"], None, None, None, None), (3, "empty", None, None, None, None, None, None)], "ord int, name string, clients array<string>, session_ids array<string>, tool_names array<string>, rule_ids array<string>, categories array<string>, source_path_hashes array<string>")
-    return gold.allowlisted(detections(spark, sf_dir), entries).select("event_id", "severity", "risk_score")
+    none = F.array().cast("array<struct<field:string,redacted_value:string,hash:string,rule_id:string>>")
+    d = detections(spark, sf_dir).withColumns({"tags": F.array(F.lit("own")), "evidence": none, "event_id": F.when(F.col("event_id").cast("long") % 13 != 0, F.col("event_id"))})
+    return gold.allowlisted(d, entries).select("event_id", "session_id", "severity", "risk_score", JOINED("tags").alias("tags"), F.get("evidence", F.lit(0))["redacted_value"].alias("shown"))
 
 
 @query(f"""WITH {DETECTION_SQL} SELECT event_id, CASE severity WHEN 'critical' THEN 'investigate_immediately' WHEN 'high' THEN 'investigate' WHEN 'medium' THEN 'review' ELSE 'monitor' END AS action, CASE WHEN category = 'mcp' THEN 'playbook-mcp-prompt-injection' ELSE 'playbook-network-egress' END AS playbook FROM d""")
@@ -78,10 +82,16 @@ def dedup_best(spark, sf_dir):
     return got.select("session_id", F.col("dedup_key").alias("tool_name"), F.col("rule_id").cast("long").cast("string").alias("event_id"), F.col("score").alias("risk_score"))
 
 
-@query(f"""WITH {DETECTION_SQL} SELECT event_id, CASE WHEN client = 'c1' THEN CASE severity WHEN 'critical' THEN 'critical' WHEN 'high' THEN 'medium' WHEN 'medium' THEN 'low' WHEN 'low' THEN 'informational' ELSE severity END ELSE severity END AS severity FROM d""")
+@query(f"""WITH {DETECTION_SQL}, x AS (SELECT *, CASE eid % 5 WHEN 0 THEN 'discovery' WHEN 1 THEN 'persistence' WHEN 2 THEN 'command_and_control' WHEN 3 THEN 'impact' ELSE 'execution' END AS cat FROM d),
+w AS (SELECT *, CASE WHEN eid % 11 = 0 THEN NULL WHEN client = 'c1' AND cat IN ('discovery', 'persistence', 'execution') AND severity <> 'critical' THEN 'approved administrative user'
+  WHEN agent = 'a2' AND cat IN ('discovery', 'execution') THEN 'known management server' WHEN cat = 'command_and_control' AND tool_name = 'view' THEN 'sanctioned remote management product' END AS risk_adjustment FROM x)
+SELECT event_id, risk_adjustment, CASE WHEN risk_adjustment IS NULL THEN severity ELSE CASE severity WHEN 'critical' THEN 'high' WHEN 'high' THEN 'medium' WHEN 'medium' THEN 'low' ELSE 'informational' END END AS severity,
+  CASE WHEN risk_adjustment IS NULL THEN risk_score ELSE CASE severity WHEN 'critical' THEN 55 WHEN 'high' THEN 40 WHEN 'medium' THEN 20 ELSE 0 END END AS score, risk_adjustment IS NOT NULL AND severity NOT IN ('critical', 'high', 'medium') AS informational FROM w""")
 def demotion(spark, sf_dir):
-    d = detections(spark, sf_dir).select("event_id", "severity", F.col("client").alias("user"), F.lit(False).alias("gated"))
-    return process.demote(d, admins=("C1",)).select("event_id", "severity")
+    n = F.col("event_id").cast("long")
+    kinds = ("discovery", "persistence", "command_and_control", "impact", "execution")
+    d = detections(spark, sf_dir).select("event_id", "severity", F.col("risk_score").alias("score"), F.get(F.array(*[F.lit(k) for k in kinds]), (n % 5).cast("int")).alias("category"), (n % 11 == 0).alias("gated"), F.col("client").alias("user"), F.col("agent").alias("host"), F.lit("sh").alias("parent"), F.concat("tool_name", F.lit(".exe")).alias("child"))
+    return process.demote(d, admins=("C1",), hosts=("A2",), tools=("View",)).select("event_id", "risk_adjustment", "severity", "score", "informational")
 
 
 @query(f"""WITH {DETECTION_SQL}, l AS (SELECT risk_score, client = 'c1' AS bad FROM d)
@@ -200,13 +210,7 @@ def hec_envelopes(spark, sf_dir):
     return v.select(F.get_json_object("value", "$.event.event_id").alias("event_id"), F.floor(F.get_json_object("value", "$.time").cast("double")).cast("long").alias("sec"))
 
 
-@query("""SELECT p_brand, p_partkey, p_retailprice FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rn FROM part) WHERE rn <= 3""")
+@query("""WITH c AS (SELECT p_brand, p_type AS value, count(*) AS n FROM part GROUP BY 1, 2) SELECT p_brand, value, n, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, value) AS INTEGER) AS rank FROM c) WHERE rank <= 3""")
 def top_three(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    return p.withColumn("rn", F.row_number().over(W.partitionBy("p_brand").orderBy(F.desc("p_retailprice"), "p_partkey"))).where("rn <= 3").select("p_brand", "p_partkey", "p_retailprice")
-
-
-@query(f"""WITH {DETECTION_SQL}, w AS (SELECT event_id, count(*) OVER (PARTITION BY client, agent ORDER BY sec RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS n FROM d) SELECT event_id, n FROM w""")
-def sliding_hour(spark, sf_dir):
-    d = detections(spark, sf_dir).withColumn("at", F.col("event_time").cast("long"))
-    return d.select("event_id", F.count(F.lit(1)).over(W.partitionBy("client", "agent").orderBy("at").rangeBetween(-3600, 0)).alias("n"))
+    p = table(spark, sf_dir, "part").select("p_brand", F.array("p_type").alias("types"))
+    return gold.top_values(p, "types", ["p_brand"])

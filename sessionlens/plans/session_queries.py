@@ -99,22 +99,31 @@ def timeline_index(spark, sf_dir):
     return sequences.timeline_index(conversations(spark, sf_dir)).select("session_id", "observation_id", "idx")
 
 
-@query("""WITH o AS (SELECT *, CAST(event_type <> 'error' AS INTEGER) AS is_call FROM events),
-b AS (SELECT *, sum(is_call) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS before FROM o)
-SELECT event_id, CAST(CASE WHEN is_call = 1 THEN before ELSE greatest(before, 1) END AS INTEGER) AS pos FROM b""")
-def call_positions(spark, sf_dir):
-    return sequences.call_positions(actions(spark, sf_dir)).select(F.col("observation_id").cast("long").alias("event_id"), "pos")
+#: Ids as a client may give them: some calls have none, some are used again, some results belong to no call.
+CALL_ID = "CASE WHEN event_id % 4 <> 0 THEN 'k' || (event_id % 60) END"
+#: Places of calls, told from what they mean: how many ids and id-less calls came first in the session before each record.
+LINK_SQL = f"""WITH o AS (SELECT *, {CALL_ID} AS cid, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+f AS (SELECT user_id, cid, min(i) AS first_i FROM o WHERE cid IS NOT NULL GROUP BY 1, 2),
+u AS (SELECT user_id, first_i AS i FROM f UNION ALL SELECT user_id, i FROM o WHERE cid IS NULL AND event_type <> 'error'),
+s AS (SELECT o.*, coalesce(f.first_i, o.i) AS at FROM o LEFT JOIN f ON o.user_id = f.user_id AND o.cid = f.cid),
+p AS (SELECT s.event_id, s.user_id, s.event_type, CAST(greatest((SELECT count(*) FROM u WHERE u.user_id = s.user_id AND u.i <= s.at) - 1, 0) AS BIGINT) AS pos FROM s)
+"""
 
 
-LINK_SQL = """WITH o AS (SELECT *, CAST(event_type <> 'error' AS INTEGER) AS is_call FROM events),
-b AS (SELECT *, sum(is_call) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS before FROM o),
-p AS (SELECT event_id, user_id, event_type, CAST(CASE WHEN is_call = 1 THEN before ELSE greatest(before, 1) END AS BIGINT) AS pos FROM b)
-"""
+def _numbered(spark, sf_dir):
+    obs = actions(spark, sf_dir)
+    n = F.col("observation_id").cast("long")
+    return obs.withColumn("call_id", F.when(n % 4 != 0, F.concat(F.lit("k"), n % 60)))
+
+
+@query(LINK_SQL + "SELECT event_id, CAST(pos AS INTEGER) AS pos FROM p")
+def call_positions(spark, sf_dir):
+    return sequences.call_positions(_numbered(spark, sf_dir)).select(F.col("observation_id").cast("long").alias("event_id"), "pos")
 
 
 @query(LINK_SQL + "SELECT DISTINCT y.event_id, 'signup.purchase' AS chain_id FROM p x JOIN p y ON x.user_id = y.user_id AND x.event_type = 'signup' AND y.event_type = 'purchase' AND y.pos - x.pos BETWEEN 0 AND 3")
 def linked_chains(spark, sf_dir):
-    df = sequences.call_positions(actions(spark, sf_dir)).select("source_instance", "session_id", "observation_id", F.col("tool_name").alias("step"), "pos", F.col("occurred_at").cast("long").alias("epoch"))
+    df = sequences.call_positions(_numbered(spark, sf_dir)).select("source_instance", "session_id", "observation_id", F.col("tool_name").alias("step"), "pos", F.col("occurred_at").cast("long").alias("epoch"))
     return sequences.linked_chains(df, "signup.purchase", "signup", "purchase", 3).select(F.col("observation_id").cast("long").alias("event_id"), "chain_id")
 
 

@@ -200,6 +200,17 @@ def read_incremental(parts: DataFrame, high_water: int | None, overlap_ms: int =
     return df.orderBy("time_updated", "rowid"), top
 
 
+def newest_parts(parts: DataFrame, n: int) -> DataFrame:
+    """The ``n`` parts that changed last, in order of change."""
+    return parts.orderBy(F.desc("time_updated"), F.desc("rowid")).limit(n).orderBy("time_updated", "rowid")
+
+
+def first_sources(obs: DataFrame, n: int, client: str | None = None) -> DataFrame:
+    """The first ``n`` sources in order of id and path, of one client if it is named."""
+    sources = obs.select("client", "source_id", "source_path").distinct()
+    return (sources if client is None else sources.where(F.col("client") == client)).orderBy("source_id", "source_path").limit(n)
+
+
 def split_quarantine(normalised: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(observations, quarantine): bad records leave only their coordinates and a code."""
     bad = F.col("quarantine_code").isNotNull()

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from sessionlens.operators.sequences import CHAIN_WINDOW, REPEAT_WINDOW
+from sessionlens.operators.sequences import CHAIN_WINDOW, REPEAT_WINDOW, ChainSearch
 from sessionlens.schemas import EVENTS, struct
 
 
@@ -70,30 +70,22 @@ def suppress_stream(df: DataFrame, keys: list[str], epoch: str = "epoch", window
 
 
 def sequence_stream(steps: DataFrame, chain_id: str, order: list[str], keys: list[str], window: int = CHAIN_WINDOW, watermark: tuple[str, str] | None = ("ts", "10 minutes")) -> DataFrame:
-    """(keys…, chain_id, start_epoch, end_epoch): the action chain over a stream; the state is the latest start of each prefix of the chain."""
-    n = len(order)
+    """(keys…, chain_id, start_epoch, end_epoch): the action chain over a stream; the state is what lies within the window, and which of it has served as a start."""
     kinds = {f.name: f.dataType.simpleString() for f in steps.schema}
 
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
         if state.hasTimedOut:
             state.remove()
             return
-        starts = list(state.get[0]) if state.exists else [-1] * n
+        times, names, used = state.get if state.exists else ((), (), ())
+        search = ChainSearch(order, window, ([t, {n}, bool(u)] for t, n, u in zip(times, names, used, strict=True)))
         last, out = -1, []
-        for name, at in pd.concat(list(pdfs)).sort_values("epoch")[["step", "epoch"]].itertuples(index=False):
+        for name, at in pd.concat(list(pdfs)).sort_values("epoch", kind="stable")[["step", "epoch"]].itertuples(index=False):
             last = max(last, at)
-            for i in range(n - 1, -1, -1):
-                if order[i] != name:
-                    continue
-                begun = at if i == 0 else starts[i - 1]
-                if begun < 0 or at - begun > window:
-                    continue
-                if i == n - 1:
-                    out.append((*key, chain_id, int(begun), int(at)))
-                    starts = [-1 if s == begun else s for s in starts]  # a start serves once
-                else:
-                    starts[i] = begun
-        state.update(([int(s) for s in starts],))
+            start = search.add(int(at), {name})
+            if start is not None:
+                out.append((*key, chain_id, int(start), int(at)))
+        state.update(([int(h[0]) for h in search.history], [next(iter(h[1])) for h in search.history], [h[2] for h in search.history]))
         if watermark and (last + window + 1) * 1000 > state.getCurrentWatermarkMs():
             state.setTimeoutTimestamp((int(last) + window + 1) * 1000)
         yield pd.DataFrame(out, columns=[*keys, "chain_id", "start_epoch", "end_epoch"])
@@ -101,7 +93,7 @@ def sequence_stream(steps: DataFrame, chain_id: str, order: list[str], keys: lis
     given = steps.where(F.col("step").isin(*order) & F.col("epoch").isNotNull())
     given = given.withWatermark(*watermark) if watermark else given
     timeout = GroupStateTimeout.EventTimeTimeout if watermark else GroupStateTimeout.NoTimeout
-    return given.groupBy(*keys).applyInPandasWithState(step, ", ".join([*[f"{k} {kinds[k]}" for k in keys], "chain_id string, start_epoch long, end_epoch long"]), "starts array<long>", "append", timeout)
+    return given.groupBy(*keys).applyInPandasWithState(step, ", ".join([*[f"{k} {kinds[k]}" for k in keys], "chain_id string, start_epoch long, end_epoch long"]), "times array<long>, steps array<string>, used array<boolean>", "append", timeout)
 
 
 def latch_stream(states: DataFrame, keys: list[str], bad: str = "bad", order: str = "epoch") -> DataFrame:

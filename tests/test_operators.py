@@ -34,9 +34,9 @@ def test_predicates_on_absent_hidden_and_partial_facts(spark):
     obs = predicates.with_targets(obs)
     t = predicates.test
     cases = [
-        (t("equals", "tool.name", "bash"), True), (t("not_equals", "tool.name", "bash"), False), (t("equals", "tool.command", "x"), False), (t("not_equals", "tool.command", "x"), None), (t("not_in", "tool.command", ["x"]), None),
-        (t("exists", "tool.command"), False), (t("not_exists", "tool.command"), True), (t("equals", "tool.result", "x"), None), (t("not_exists", "tool.result"), None), (~t("equals", "tool.result", "x"), None),
-        (t("contains", "tool.name", "zz", F.lit(True)), None), (t("glob", "tool.name", "b*h"), True), (t("glob", "tool.name", "b?h"), False), (t("glob", "tool.name", "[a-c]ash"), True)]
+        (t("equals", "tool.name", "bash"), True), (t("not_equals", "tool.name", "bash"), False), (t("equals", "command.text", "x"), False), (t("not_equals", "command.text", "x"), None), (t("not_in", "command.text", ["x"]), None),
+        (t("exists", "command.text"), False), (t("not_exists", "command.text"), True), (t("equals", "compat.v1.user_context", "x"), None), (t("not_exists", "compat.v1.user_context"), None), (~t("equals", "compat.v1.user_context", "x"), None),
+        (t("contains", "tool.name", "zz", F.lit(True)), None), (t("glob", "tool.name", "b*h"), True), (t("glob", "tool.name", "b?h"), False), (t("glob", "tool.name", "[a-c]ash"), True), (t("glob", "tool.name", "[!b]ash"), True), (t("glob", "tool.name", "[!x]ash"), False)]
     assert [one(obs, c)[0] for c, _ in cases] == [want for _, want in cases]
 
 
@@ -73,7 +73,7 @@ def test_scopes_veto_their_own_field_or_segment(spark):
 
 
 def test_excerpt_marks_the_hit_and_cuts_safely(spark):
-    text = "x" * 300 + " password=hunter2hunter2 rm -rf / " + "y" * 400
+    text = "x " * 150 + " password=hunter2hunter2 rm -rf / " + "y " * 200
     r = spark.createDataFrame([(text,)], "t string").select(rules.excerpt(F.col("t"), r"rm -rf").alias("e")).first()["e"]
     assert r["text"][r["start"] : r["end"]] == "rm -rf" and r["cut_before"] and r["cut_after"] and "hunter2" not in r["text"]
 
@@ -126,6 +126,52 @@ def test_action_chain_uses_each_start_once(spark):
     assert one(sequences.action_chains(df, "c", ["a", "b"]), "observation_id") == ["o2"]
 
 
+def test_action_chain_goes_back_to_an_unused_start(spark):
+    df = steps(spark, [("a", 1, 0, "o1"), ("a", 1, 10, "o2"), ("b", 1, 20, "o3"), ("b", 1, 30, "o4"), ("b", 1, 40, "o5")])
+    got = sequences.action_chains(df, "c", ["a", "b"]).collect()
+    assert sorted((r["start_epoch"], r["end_epoch"]) for r in got) == [(0, 30), (10, 20)]
+
+
+def test_action_chains_against_a_search_over_whole_sessions(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice("abcx"), 1, rng.randrange(0, 4000), f"o{i:03}") for i in range(300)]
+    want, used = [], set()
+    seen = sorted((t, o, s) for s, _, t, o in rows)
+    for end, (t, o, s) in enumerate(seen):
+        path, want_step = [], 2
+        for at in range(end, -1, -1):
+            if s != "c" or t - seen[at][0] > 300:
+                break
+            if seen[at][2] == "abc"[want_step] and not (want_step == 0 and at in used):
+                path.append(at)
+                want_step -= 1
+                if want_step < 0:
+                    used.add(at)
+                    want.append((seen[at][0], t, o))
+                    break
+    got = sequences.action_chains(steps(spark, rows), "c", ["a", "b", "c"], window=300).collect()
+    assert want and sorted((r["start_epoch"], r["end_epoch"], r["observation_id"]) for r in got) == sorted(want)
+
+
+def test_call_positions_of_used_and_orphan_ids(spark):
+    rows = [("o1", "tool", "requested", "a"), ("o2", "tool", "requested", "a"), ("o3", "tool", "requested", "b"), ("o4", "tool", "result", "zz"), ("o5", "tool", "requested", "c"), ("o6", "message", "recorded", None), ("o7", "tool", "result", None), ("o8", "tool", "requested", None)]
+    df = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "o string, f string, st string, c string, n long")
+    obs = observations(df, source_instance=F.lit("s"), session_id=F.lit("1"), observation_id=F.col("o"), family=F.col("f"), stage=F.col("st"), call_id=F.col("c"), source_sequence=F.col("n"))
+    pos = {r["observation_id"]: r["pos"] for r in sequences.call_positions(obs).collect()}
+    assert [pos[f"o{k}"] for k in range(1, 9)] == [0, 0, 1, 2, 3, 4, 3, 4]
+
+
+def test_credentials_of_public_formats_go(spark):
+    from sessionlens.functions import privacy
+
+    tokens = ["ghp_" + "a1B2" * 4, "GHS_" + "x" * 16, "sk-" + "z9" * 8, "akia" + "A1" * 8, "xoxb-" + "1-a" * 7, "eyJ" + "a" * 10 + "." + "b" * 10 + "." + "c" * 10, "Bearer abcd1234", "A" * 20, "-----BEGIN RSA PRIVATE KEY-----\nabc\ndef"]
+    df = spark.createDataFrame([(f"before {t} after",) for t in tokens], "t string")
+    got = [r[0] for r in df.select(privacy.redact_secrets(F.col("t"))).collect()]
+    assert all(t.split()[-1] not in g and privacy.SECRET in g and g.startswith("before ") for t, g in zip(tokens, got, strict=True))
+    plain = spark.createDataFrame([("a word, sk-short, ghp_short, task-force-of-nineteen.",)], "t string")
+    assert plain.select(privacy.redact_secrets(F.col("t"))).first()[0] == "a word, sk-short, ghp_short, task-force-of-nineteen."
+
+
 def test_sequences_anchor_on_every_row_and_cap_points(spark):
     rows = [("e", 0, 0, "x", "r0", "c"), ("e", 10, 1, "a", "r1", "c"), ("e", 20, 2, "b", "r2", "c"), (None, 1, 3, "a", "r", "c")]
     df = spark.createDataFrame(rows, "entity string, epoch long, ord long, category string, rule_id string, child string")
@@ -153,7 +199,7 @@ def test_call_links_need_one_call_before_one_result(spark):
     obs = observations(df, source_instance=F.lit("s"), session_id=F.lit("1"), observation_id=F.col("o"), family=F.lit("tool"), stage=F.col("st"), call_id=F.col("c"), source_sequence=F.col("n"))
     assert [(r["call_observation"], r["result_observation"]) for r in sequences.call_links(obs).collect()] == [("o1", "o2")]
     pos = {r["observation_id"]: r["pos"] for r in sequences.call_positions(obs).collect()}
-    assert pos["o1"] == pos["o2"] == 1 and pos["o3"] == 2
+    assert [pos[f"o{k}"] for k in range(1, 8)] == [0, 0, 1, 1, 1, 2, 2]
     assert gold.observation_timeline(obs).count() == 7
 
 
@@ -181,7 +227,11 @@ def test_process_chain(spark):
     assert sorted(one(found, "rule_id")) == ["p1", "p2"]
     best = process.dedup_process(found, ["observation_id"]).collect()
     assert best[0]["rule_id"] == "p1" and best[0]["secondary_rule_ids"] == ["p2"] and best[0]["mitre"] == ["T1059", "T1105"]
-    assert {r["severity"] for r in process.demote(found, tools=("curl",)).collect()} == {"high", "informational"}
+    assert {r["severity"] for r in process.demote(found, tools=("curl",)).collect()} == {"high", "low"}  # not in this category
+    remote = found.withColumns({"category": F.lit("command_and_control"), "gated": F.lit(False)})
+    soft = {(r["rule_id"], r["severity"], r["score"], r["informational"], r["risk_adjustment"]) for r in process.demote(remote, tools=("Curl.exe",)).collect()}
+    why = "sanctioned remote management product"
+    assert soft == {("p1", "medium", 40, False, why), ("p2", "informational", 0, True, why)}
     assert gold.process_events(found).count() == 2
 
 
@@ -189,6 +239,7 @@ def test_allowlist_needs_every_filled_criterion_and_first_wins(spark):
     e = gold.as_events(detections(spark, [("1", "r", 80, 0), ("2", "q", 80, 0)]).withColumn("severity", F.lit("high")))
     entries = spark.createDataFrame([(2, "late", ["c"], None, None, ["r"], None, None), (1, "first", None, ["1"], None, ["r", "x"], None, None), (3, "and", ["c"], None, None, ["zz"], None, None), (4, "empty", None, None, None, None, None, None)], "ord int, name string, clients array<string>, session_ids array<string>, tool_names array<string>, rule_ids array<string>, categories array<string>, source_path_hashes array<string>")
     got = {r["session_id"]: r for r in gold.allowlisted(e, entries).collect()}
+    assert got["1"]["tags"] == ["suppressed", "allowlist:first"] and got["1"]["evidence"][0]["hash"] is None
     assert got["1"]["risk_score"] == 0 and got["1"]["evidence"][0]["redacted_value"] == "first" and got["2"]["risk_score"] == 80
 
 
