@@ -47,10 +47,15 @@ def redact_assignments(text: Column) -> Column:
     return F.regexp_replace(text, ASSIGNED, f"$1{SECRET}")
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def redact_urls(text: Column) -> Column:
-    """User info, query values and path parts of urls go; twice, so that a url inside a percent-encoded value goes too."""
-    decoded = F.regexp_replace(F.regexp_replace(text, "(?i)%3a", ":"), "(?i)%2f", "/")
-    text = F.when(F.coalesce(text.rlike("(?i)%3a%2f%2f"), F.lit(False)), decoded).otherwise(text)
+    """User info, query values and path parts of urls go, also of a url inside a percent-encoded value."""
+    decoded = lambda t: F.regexp_replace(F.regexp_replace(t, "(?i)%3a", ":"), "(?i)%2f", "/")
+    text = bind(text, lambda t: F.when(F.coalesce(t.rlike("(?i)%3a%2f%2f"), F.lit(False)), decoded(t)).otherwise(t))
     text = F.regexp_replace(text, r"(?i)\b([a-z][a-z0-9+.-]*://)[^\s/@<>\"']+@", "$1")
     text = F.regexp_replace(text, r"([?&][^=\s&#\"'<>]+)=[^\s&#\"'<>]*", "$1=[redacted]")
     return F.regexp_replace(text, r"(?i)\b([a-z][a-z0-9+.-]*://[^\s/?#<>\"']+)/[^\s?#<>\"']+", f"$1/{URL}")
@@ -78,7 +83,7 @@ def sanitise(text: Column, context: str = "evidence") -> Column:
     clean = redact(whole)
     if context != "command_result":
         clean = F.array_join(F.slice(F.split(F.trim(clean), r"\s+"), 1, MOST_TOKENS), " ")
-    return F.when(F.length(clean) > most, F.concat(F.substring(clean, 1, most - len(CUT)), F.lit(CUT))).otherwise(clean)
+    return bind(clean, lambda c: F.when(F.length(c) > most, F.concat(F.substring(c, 1, most - len(CUT)), F.lit(CUT))).otherwise(c))
 
 
 def has_credential(text: Column) -> Column:

@@ -28,18 +28,28 @@ def score_table(rules: DataFrame) -> DataFrame:
     return rules.select("rule_id", "category", F.col("score").alias("points"), "severity")
 
 
+def chain_table(chains: DataFrame, most: int = 2000) -> DataFrame:
+    """``chains``, after a check that they are few enough to be broadcast."""
+    if chains.limit(most + 1).count() > most:
+        raise ValueError(f"over {most} chains can't be broadcast")
+    return chains
+
+
+def chain_met(rule_ids: Column, categories: Column) -> Column:
+    """True if the rules and categories of a group hold all that a chain asks for, which is something."""
+    none = F.array().cast("array<string>")
+    cats, rules = F.coalesce("when_all_categories", none), F.coalesce("when_all_rule_ids", none)
+    return (F.size(F.array_except(cats, categories)) == 0) & (F.size(F.array_except(rules, rule_ids)) == 0) & (F.size(cats) + F.size(rules) > 0)
+
+
 def apply_chains(hits: DataFrame, chains: DataFrame, keys: list[str] = SESSION, most_chains: int = 2000) -> DataFrame:
     """(keys…, chain_id, points): chains whose categories and rules all occur in a group. ``hits`` has rule_id and category.
 
     Chains are a dimension of at most ``most_chains`` rows, which is checked before it is broadcast.
     """
-    if chains.limit(most_chains + 1).count() > most_chains:
-        raise ValueError(f"over {most_chains} chains can't be broadcast")
     have = hits.groupBy(*keys).agg(F.collect_set("rule_id").alias("_rules"), F.collect_set("category").alias("_cats"))
-    none = F.array().cast("array<string>")
-    cats, rules = F.coalesce("when_all_categories", none), F.coalesce("when_all_rule_ids", none)
-    met = (F.size(F.array_except(cats, F.col("_cats"))) == 0) & (F.size(F.array_except(rules, F.col("_rules"))) == 0) & (F.size(cats) + F.size(rules) > 0)
-    return have.join(F.broadcast(chains), met).select(*keys, F.col("id").alias("chain_id"), F.col("score").alias("points"))
+    listed = F.broadcast(chain_table(chains, most_chains))
+    return have.join(listed, chain_met(F.col("_rules"), F.col("_cats"))).select(*keys, F.col("id").alias("chain_id"), F.col("score").alias("points"))
 
 
 def risk_ledger(contributions: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -61,14 +71,20 @@ def score_sessions(matches: DataFrame, rules: DataFrame, chains: DataFrame | Non
     Rules and matches meet on rule_id after matches are distinct, so the join carries one row for a rule and group.
     """
     hits = matches.select(*keys, "rule_id").distinct().join(score_table(rules), "rule_id")
-    parts = hits.select(*keys, F.lit("rule").alias("type"), F.col("rule_id").alias("id"), "points", "category", "rule_id", F.lit(None).cast("string").alias("chain_id"))
-    if chains is not None:
-        found = apply_chains(hits, chains, keys)
-        if linked:
-            plain = found.where(~F.col("chain_id").isin(*linked))
-            found = plain if armed is None else plain.unionByName(found.where(F.col("chain_id").isin(*linked)).join(armed.select(*keys).distinct(), keys, "left_semi"))
-        parts = parts.unionByName(found.select(*keys, F.lit("modifier").alias("type"), F.col("chain_id").alias("id"), "points", F.lit(None).cast("string").alias("category"), F.lit(None).cast("string").alias("rule_id"), "chain_id"))
-    out = parts.groupBy(*keys).agg(F.sum("points").alias("risk_score"), sorted_set("rule_id").alias("rule_ids"), sorted_set("category").alias("categories"), sorted_set("chain_id").alias("chain_ids"))
+    out = hits.groupBy(*keys).agg(F.sum("points").alias("risk_score"), sorted_set("rule_id").alias("rule_ids"), sorted_set("category").alias("categories"))
+    if chains is None:
+        out = out.withColumn("chain_ids", F.array().cast("array<string>"))
+    else:
+        # chains are tested on the group's own row, so the matches are read and shuffled once
+        if linked and armed is not None:
+            out = out.join(armed.select(*keys).distinct().withColumn("_armed", F.lit(True)), keys, "left")
+        else:
+            out = out.withColumn("_armed", F.lit(False))
+        counts = ~F.col("_chain").isin(*linked) | F.coalesce("_armed", F.lit(False)) if linked else F.lit(True)
+        listed = chain_table(chains).select(F.col("id").alias("_chain"), F.col("score").alias("_points"), "when_all_categories", "when_all_rule_ids")
+        met = chain_met(F.col("rule_ids"), F.col("categories")) & counts
+        out = out.join(F.broadcast(listed), met, "left").groupBy(*keys).agg(
+            (F.first("risk_score") + F.coalesce(F.sum("_points"), F.lit(0))).alias("risk_score"), F.first("rule_ids").alias("rule_ids"), F.first("categories").alias("categories"), sorted_set("_chain").alias("chain_ids"))
     return out.withColumn("severity", severity(F.col("risk_score")))
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from sessionlens.functions import activity, privacy
 from sessionlens.operators import gold, rules, scoring
-from sessionlens.plans.inputs import WORD_RULES, conversations, detections, table
+from sessionlens.plans.inputs import WORD_RULES, conversations, detections, table, word_chains
 
 
 def plan(df):
@@ -34,3 +34,11 @@ def test_text_functions_stay_in_the_jvm(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     p = plan(d.select(privacy.sanitise(F.col("text")), activity.path_classes(F.col("text"))))
     assert "Python" not in p and "Exchange" not in p
+
+
+def test_scores_read_the_matches_once_and_sanitise_redacts_once(spark, sf_dir):
+    m = rules.match_rules(conversations(spark, sf_dir), list(WORD_RULES))
+    p = plan(scoring.score_sessions(m, rules.rule_table(spark, list(WORD_RULES)), word_chains(spark)))
+    assert p.count("Location: ") == 1
+    d = table(spark, sf_dir, "documents").select(privacy.sanitise(F.col("text")).alias("t"))
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") < 40
