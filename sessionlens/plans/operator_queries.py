@@ -190,12 +190,12 @@ def resolved_rules(spark, sf_dir):
     return rules.resolve_rules(p)[0].select("name", "rule_id", "tier")
 
 
-@query("""SELECT p_partkey FROM part WHERE p_size % 4 NOT IN (1, 2) AND p_brand <> 'Brand#11' AND p_size % 7 <> 0 AND p_type NOT IN (SELECT DISTINCT p_type FROM part WHERE p_size = 1)""")
+@query("""SELECT p_partkey FROM part WHERE p_size % 4 NOT IN (1, 2) AND p_brand <> 'Brand#11' AND p_size % 7 <> 0 AND p_brand || p_type NOT IN (SELECT DISTINCT p_brand || p_type FROM part WHERE p_size = 1)""")
 def rules_under_policy(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     states = F.array(F.lit("stable"), F.lit("deprecated"), F.lit("unsupported"), F.lit(None).cast("string"))
-    t = p.select("p_partkey", F.col("p_type").alias("name"), F.when(F.col("p_brand") == "Brand#11", "off").otherwise("on").alias("category"), F.get(states, (F.col("p_size") % 4).cast("int")).alias("status"), (F.col("p_size") % 7 != 0).alias("enabled"))
-    return rules.apply_policy(rules.enabled_rules(t), ["on"], p.where("p_size = 1").select(F.col("p_type").alias("name"))).select("p_partkey")
+    t = p.select("p_partkey", F.concat("p_brand", "p_type").alias("name"), F.when(F.col("p_brand") == "Brand#11", "off").otherwise("on").alias("category"), F.get(states, (F.col("p_size") % 4).cast("int")).alias("status"), (F.col("p_size") % 7 != 0).alias("enabled"))
+    return rules.apply_policy(rules.enabled_rules(t), ["on"], p.where("p_size = 1").select(F.concat("p_brand", "p_type").alias("name"))).select("p_partkey")
 
 
 @query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'r.curl' WHEN page_id % 3 = 1 THEN 'r.any' END AS rule_id, CASE WHEN page_id % 3 = 0 THEN 'medium' ELSE 'low' END AS confidence FROM pages WHERE page_id % 3 <> 2""")
