@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionlens.llm import exact_dedup, language, lexical, line_dedup, mixing, neighbours, pieces, pii, quality, secrets, simhash, toxicity
+from sessionlens.llm import exact_dedup, language, lexical, line_dedup, mixing, neighbours, pieces, pii, quality, secrets, simhash, toxicity, turn_trie
 from sessionlens.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_trie.turn_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
 
@@ -60,7 +64,7 @@ def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_prefix_forest, op2_mixing, op3_pii, op4_language, op5_sentencepiece, op6_toxicity, op7_secrets, op8_exact_dedup, op9_simhash, op10_quality, op12_line_dedup, op13_lexical_search)}
+QUERIES = {f.__name__: f for f in (op1_prefix_forest, op2_mixing, op3_pii, op4_language, op5_sentencepiece, op6_toxicity, op7_secrets, op8_exact_dedup, op9_simhash, op10_quality, op11_turn_trie, op12_line_dedup, op13_lexical_search)}
 
 OP8_SQL = """
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents)
@@ -69,4 +73,4 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (P
 FROM n
 """
 
-ORACLE_SQL = {"op2_mixing": mixing.MIX_SQL.format(docs="documents"), "op8_exact_dedup": OP8_SQL, "op12_line_dedup": line_dedup.LINES_SQL.format(docs="documents"), "op13_lexical_search": lexical.RANKED_SQL.format(docs="documents", items="benchmark")}
+ORACLE_SQL = {"op2_mixing": mixing.MIX_SQL.format(docs="documents"), "op8_exact_dedup": OP8_SQL, "op11_turn_trie": turn_trie.TRIE_SQL.format(conversations="conversations"), "op12_line_dedup": line_dedup.LINES_SQL.format(docs="documents"), "op13_lexical_search": lexical.RANKED_SQL.format(docs="documents", items="benchmark")}
