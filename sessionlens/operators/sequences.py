@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sessionlens.operators import carried
+from sessionlens.storage import cut
+
 #: Windows in seconds, least risk and sessions of a correlation, cap of sequence points, calls of a link.
 CHAIN_WINDOW, REPEAT_WINDOW, CORRELATION_WINDOW = 900, 3600, 3600
 CORRELATION_RISK, CORRELATION_SESSIONS = 70, 2
@@ -116,15 +119,21 @@ class ChainSearch:
         return None
 
 
+#: Columns that order a session's rows of one time, as far as there are any: place in the source, place in the record, id.
+SESSION_TIES = ("source_sequence", "child_ordinal", "observation_id")
+
+
 def action_chains(steps: DataFrame, chain_id: str, order: list[str], window: int = CHAIN_WINDOW, keys=("source_instance", "session_id")) -> DataFrame:
     """(keys…, chain_id, start_epoch, end_epoch, observation_id): the steps in order within ``window`` seconds, ending at the completing row.
 
-    ``steps`` has step, epoch and observation_id; rows without a time or a session take no part. Each start serves once.
-    Sessions come sorted through their partitions, and only what lies within the window is held of one, however long it is.
+    ``steps`` has step, epoch, a timestamp or seconds with fractions, and observation_id; source_sequence and child_ordinal, if
+    there, order the rows of one time as in :func:`session_window`. Rows without a time or a session take no part. Each start
+    serves once. Sessions come sorted through their partitions, and only what lies within the window is held of one, however long it is.
     """
     usable = steps.where(F.col("epoch").isNotNull() & F.col(keys[-1]).isNotNull() & F.col("step").isin(*order))
-    usable = usable.groupBy(*keys, F.col("epoch").cast("long").alias("epoch"), "observation_id").agg(F.collect_set("step").alias("steps"))
-    sort = [*keys, "epoch", "observation_id"]
+    ties = [c for c in SESSION_TIES if c in steps.columns]
+    usable = usable.groupBy(*keys, carried.micros(steps, "epoch").alias("_at"), *ties).agg(F.collect_set("step").alias("steps"))
+    sort = [*keys, "_at", *ties]
 
     def search(frames):
         now, state = None, None
@@ -132,15 +141,16 @@ def action_chains(steps: DataFrame, chain_id: str, order: list[str], window: int
             out = []
             for row in pdf[[*sort, "steps"]].itertuples(index=False):
                 if tuple(row[: len(keys)]) != now:
-                    now, state = tuple(row[: len(keys)]), ChainSearch(order, window)
-                start = state.add(row[-3], set(row[-1]))
+                    now, state = tuple(row[: len(keys)]), ChainSearch(order, window * carried.MICROS)
+                start = state.add(row[len(keys)], set(row[-1]))
                 if start is not None:
-                    out.append((*now, chain_id, start, row[-3], row[-2]))
-            yield pd.DataFrame(out, columns=[*keys, "chain_id", "start_epoch", "end_epoch", "observation_id"])
+                    out.append((*now, chain_id, start, row[len(keys)], row[-2]))
+            yield pd.DataFrame(out, columns=[*keys, "chain_id", "_start", "_end", "observation_id"])
 
     kinds = {f.name: f.dataType.simpleString() for f in steps.schema}
-    schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "chain_id string", "start_epoch long", "end_epoch long", f"observation_id {kinds['observation_id']}"])
-    return usable.repartition(*keys).sortWithinPartitions(*sort).mapInPandas(search, schema)
+    schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "chain_id string", "_start long", "_end long", f"observation_id {kinds['observation_id']}"])
+    found = usable.repartition(*keys).sortWithinPartitions(*keys, "_at", *[F.asc_nulls_first(c) for c in ties]).mapInPandas(search, schema)
+    return found.select(*keys, "chain_id", carried.as_given(steps, "epoch", F.col("_start")).alias("start_epoch"), carried.as_given(steps, "epoch", F.col("_end")).alias("end_epoch"), "observation_id")
 
 
 def context_window(obs: DataFrame, anchors: DataFrame, before: int, after: int) -> DataFrame:
@@ -176,31 +186,22 @@ def correlate_sessions(events: DataFrame, window: int = CORRELATION_WINDOW, leas
 def suppress_repeats(df: DataFrame, keys: list[str], at: str = "epoch", window: int = REPEAT_WINDOW, order: tuple[str, ...] = ()) -> DataFrame:
     """First rows of each key and their repeats' number: a repeat within ``window`` seconds of its anchor, edge included, collapses into it.
 
-    The window starts at the anchor, not at the last repeat. Rows with a null key or time are kept as they are. Anchors
-    are found by folding a key's times in order: a time that lies beyond the anchor's window becomes the next anchor.
+    The window starts at the anchor, not at the last repeat. ``at`` is a timestamp or seconds, of which fractions count to
+    the microsecond. Rows with a null key or time are kept as they are. A key's times are spread over parts of bounded size
+    (:func:`~sessionlens.operators.carried.anchored_repeats`), whatever their number.
     """
     known = F.col(at).isNotNull()
     for k in keys:
         known = known & F.col(k).isNotNull()
-    # rows of one time are counted before they meet, so a key's state grows with its different times only
-    seen = df.where(known).groupBy(*keys, F.col(at).cast("long").alias("_t")).agg(F.count(F.lit(1)).alias("_n"))
-    times = seen.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_t", "_n"))).alias("_all"))
-    start = F.struct(F.lit(None).cast("long").alias("anchor"), F.array().cast("array<struct<a:bigint,n:bigint>>").alias("out"))
-
-    def step(acc, x):
-        again = acc["anchor"].isNotNull() & (x["_t"] - acc["anchor"] <= window)
-        last = F.element_at(acc["out"], -1)
-        counted = F.concat(F.slice(acc["out"], 1, F.size(acc["out"]) - 1), F.array(F.struct(last["a"].alias("a"), (last["n"] + x["_n"]).alias("n"))))
-        opened = F.concat(acc["out"], F.array(F.struct(x["_t"].alias("a"), (x["_n"] - 1).alias("n"))))
-        return F.when(again, F.struct(acc["anchor"].alias("anchor"), counted.alias("out"))).otherwise(F.struct(x["_t"].alias("anchor"), opened.alias("out")))
-
-    anchors = times.select(*keys, F.explode(F.aggregate("_all", start, step, lambda acc: acc["out"])).alias("_x")).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_x.a").alias("_a"), F.col("_x.n").alias("repeats"))
-    nth = W.partitionBy(*keys, at).orderBy(*(order or keys))
-    firsts = df.where(known).withColumn("_rn", F.row_number().over(nth)).where("_rn = 1").drop("_rn")
-    same = F.col(at).cast("long") == F.col("_a")
-    for i, k in enumerate(keys):
-        same = same & (F.col(k) == F.col(f"_k{i}"))
-    kept = firsts.join(anchors, same).drop("_a", *[f"_k{i}" for i in range(len(keys))])
+    # rows of one time are counted before they meet, so what is sorted grows with a key's different times only
+    t = carried.micros(df, at)
+    seen = df.where(known).groupBy(*keys, t.alias("_t")).agg(F.count(F.lit(1)).alias("_n"))
+    anchors = carried.anchored_repeats(seen, keys, window * carried.MICROS)
+    first = df.where(known).withColumn("_t", t)
+    # of equal times one row stays: the least by ``order``, found by a partial minimum and not by a sort of the key
+    columns = [c for c in df.columns if c not in keys]
+    firsts = first.groupBy(*keys, "_t").agg(F.min_by(F.struct(*columns), F.struct(*(order or keys))).alias("_row")).select(*keys, "_t", *[F.col("_row").getField(c).alias(c) for c in columns])
+    kept = firsts.join(anchors, [*keys, "_t"]).select(*df.columns, "repeats")
     return kept.unionByName(df.where(~F.coalesce(known, F.lit(False))).withColumn("repeats", F.lit(0).cast("long")))
 
 
@@ -208,34 +209,43 @@ def correlate_sequences(df: DataFrame, sequences: list[dict], entity: str = "ent
     """(entity, rule_id, start_epoch, end_epoch, points): each sequence whose steps an entity takes in order within its window.
 
     A sequence is {id, score, window_seconds, steps: [{any_category, any_rule_id, any_child}]}. Every row anchors a search, also one that
-    matches no step; a row fills one step at most; the first anchor that completes counts, once for a rule and entity.
-    Points beyond ``cap`` for an entity become what is left, or 0; the result stays.
+    matches no step; a row fills one step at most; the first anchor that completes counts, once for a rule and entity. Rows are
+    in order of ``epoch``, a timestamp or seconds, then ``ord``. Rules count in order of id: one whose score would lift an
+    entity above ``cap`` gives no points, but its result stays.
+
+    The first row that ends a sequence comes from one pass over parts of bounded size (:func:`~sessionlens.operators.carried.first_ends`);
+    the search began at the entity's first row within the window before it, since all earlier anchors end there too or earlier.
     """
-    def meets(step: dict, row) -> bool:
-        return all(not step.get(k) or v in step[k] for k, v in (("any_category", row.category), ("any_rule_id", row.rule_id), ("any_child", row.child)))
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = list(pdf.sort_values(["epoch", "ord"]).itertuples(index=False))
-        out, left = [], cap
-        for seq in sorted(sequences, key=lambda s: s["id"]):
-            for i, anchor in enumerate(rows):
-                at = 0
-                for row in rows[i:]:
-                    if row.epoch - anchor.epoch > seq["window_seconds"]:
-                        break
-                    if meets(seq["steps"][at], row):
-                        at += 1
-                        if at == len(seq["steps"]):
-                            break
-                if at == len(seq["steps"]):
-                    points = min(seq["score"], left)
-                    left -= points
-                    out.append((pdf[entity].iloc[0], seq["id"], int(anchor.epoch), int(row.epoch), int(points)))
-                    break
-        return pd.DataFrame(out, columns=[entity, "rule_id", "start_epoch", "end_epoch", "points"])
-
-    usable = df.where(F.col(entity).isNotNull() & F.col("epoch").isNotNull()).select(entity, F.col("epoch").cast("long").alias("epoch"), "ord", "category", "rule_id", "child")
-    return usable.groupBy(entity).applyInPandas(search, f"{entity} {df.schema[entity].dataType.simpleString()}, rule_id string, start_epoch long, end_epoch long, points long")
+    if not sequences:
+        return df.limit(0).select(entity, F.lit("").alias("rule_id"), F.col("epoch").alias("start_epoch"), F.col("epoch").alias("end_epoch"), F.lit(0).cast("long").alias("points"))
+    rules = sorted(sequences, key=lambda s: s["id"])
+    usable = df.where(F.col(entity).isNotNull() & F.col("epoch").isNotNull()).withColumn("at", carried.micros(df, "epoch"))
+
+    def fits(step: dict) -> Column:
+        met = F.lit(True)
+        for name, column in (("any_category", "category"), ("any_rule_id", "rule_id"), ("any_child", "child")):
+            if step.get(name):
+                met = met & F.coalesce(F.col(column).isin(*step[name]), F.lit(False))
+        return met
+
+    masks = F.array(*[sum((F.when(fits(step), F.lit(1 << k)).otherwise(F.lit(0)) for k, step in enumerate(s["steps"])), F.lit(0)).cast("long") for s in rules])
+    stepped = usable.select(entity, "at", "ord", masks.alias("masks")).where(F.exists("masks", lambda m: m > 0))
+    ends = carried.first_ends(stepped, [len(s["steps"]) for s in rules], [s["window_seconds"] * carried.MICROS for s in rules], entity)
+    table = df.sparkSession.createDataFrame([(n, s["id"], s["score"], s["window_seconds"] * carried.MICROS) for n, s in enumerate(rules)], "seq int, rule_id string, score long, _window long")
+    ends = cut(ends.join(F.broadcast(table), "seq").select(F.col(entity).alias("_entity"), "seq", "rule_id", "score", F.col("at").alias("_end"), (F.col("at") - F.col("_window")).alias("_from")))
+    starts = usable.select(entity, "at").join(ends, (F.col(entity) == F.col("_entity")) & F.col("at").between(F.col("_from"), F.col("_end")))
+    found = starts.groupBy("_entity", "seq", "rule_id", "score", "_end").agg(F.min("at").alias("_start"))
+    # an entity has one row a sequence at most
+    per = found.groupBy("_entity").agg(F.array_sort(F.collect_list(F.struct("seq", "rule_id", "score", "_start", "_end"))).alias("_found"))
+    kind = "array<struct<rule_id:string,start:bigint,end:bigint,points:bigint>>"
+    nothing = F.struct(F.lit(0).cast("long").alias("total"), F.array().cast(kind).alias("out"))
+
+    def count(acc, x):
+        points = F.when(acc["total"] + x["score"] > cap, F.lit(0).cast("long")).otherwise(x["score"])
+        return F.struct((acc["total"] + points).alias("total"), F.concat(acc["out"], F.array(F.struct(x["rule_id"].alias("rule_id"), x["_start"].alias("start"), x["_end"].alias("end"), points.alias("points")))).alias("out"))
+
+    out = per.select(F.col("_entity").alias(entity), F.explode(F.aggregate("_found", nothing, count, lambda acc: acc["out"])).alias("x"))
+    return out.select(entity, "x.rule_id", carried.as_given(df, "epoch", F.col("x.start")).alias("start_epoch"), carried.as_given(df, "epoch", F.col("x.end")).alias("end_epoch"), "x.points")
 
 
 def download_execute(artifacts: DataFrame, executed: DataFrame, window: int = CHAIN_WINDOW) -> DataFrame:

@@ -127,17 +127,59 @@ def linked_chains(spark, sf_dir):
     return sequences.linked_chains(df, "signup.purchase", "signup", "purchase", 3).select(F.col("observation_id").cast("long").alias("event_id"), "chain_id")
 
 
-@query()
+#: Chains of three steps: the latest earlier step of each kind inside the window, a start once; the starts used so far travel along the ends.
+ACTION_CHAIN_SQL = """
+WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, epoch_us(date_trunc('minute', ts)) AS tm, row_number() OVER (PARTITION BY user_id ORDER BY date_trunc('minute', ts), event_id) AS idx FROM events),
+c AS (
+  SELECT z.user_id, z.event_id, z.tm, row_number() OVER (PARTITION BY z.user_id ORDER BY z.idx) AS k,
+    (SELECT list({'idx': x.idx, 'tm': x.tm} ORDER BY x.idx DESC) FROM e x WHERE x.user_id = z.user_id AND x.event_type = 'view' AND z.tm - x.tm <= 36000000000 AND x.idx < (SELECT max(y.idx) FROM e y WHERE y.user_id = z.user_id AND y.event_type = 'click' AND y.idx < z.idx AND z.tm - y.tm <= 36000000000)) AS starts
+  FROM e z WHERE z.event_type = 'purchase'),
+r AS (
+  SELECT user_id, 0::BIGINT AS k, NULL::BIGINT AS event_id, NULL::BIGINT AS start_at, NULL::BIGINT AS end_at, []::BIGINT[] AS used FROM (SELECT DISTINCT user_id FROM c)
+  UNION ALL
+  SELECT user_id, k, event_id, got.tm, CASE WHEN got IS NOT NULL THEN tm END, CASE WHEN got IS NULL THEN used ELSE list_append(used, got.idx) END
+  FROM (SELECT c.user_id, c.k, c.event_id, c.tm, r.used, list_filter(c.starts, lambda s: NOT list_contains(r.used, s.idx))[1] AS got FROM r JOIN c ON c.user_id = r.user_id AND c.k = r.k + 1))
+SELECT CAST(user_id AS VARCHAR) AS session_id, event_id, 'view.click.purchase' AS chain_id, start_at, end_at FROM r WHERE start_at IS NOT NULL
+"""
+
+
+@query(ACTION_CHAIN_SQL)
 def action_chains(spark, sf_dir):
-    df = actions(spark, sf_dir).select("source_instance", "session_id", "observation_id", F.col("tool_name").alias("step"), F.col("occurred_at").cast("long").alias("epoch"))
-    return sequences.action_chains(df, "view.click.purchase", ["view", "click", "purchase"], window=36_000)
+    """Times are cut to minutes, so that many actions share one and only their sequence orders them."""
+    df = actions(spark, sf_dir).select("source_instance", "session_id", "observation_id", "source_sequence", F.col("tool_name").alias("step"), F.date_trunc("minute", "occurred_at").alias("epoch"))
+    got = sequences.action_chains(df, "view.click.purchase", ["view", "click", "purchase"], window=36_000)
+    return got.select("session_id", F.col("observation_id").cast("long").alias("event_id"), "chain_id", F.unix_micros("start_epoch").alias("start_at"), F.unix_micros("end_epoch").alias("end_at"))
+
+
+def _next_steps(kinds: list[tuple[str, ...]]) -> str:
+    """SQL for the ends of the greedy searches that every row anchors: the first fitting row at or after it, then the next of each step."""
+    fits = [" OR ".join(f"event_type = '{k}'" for k in some) for some in kinds]
+    cols = ", ".join(f"min(idx) FILTER (WHERE {fit}) OVER (PARTITION BY user_id ORDER BY idx ROWS BETWEEN {'CURRENT ROW' if n == 0 else '1 FOLLOWING'} AND UNBOUNDED FOLLOWING) AS n{n}" for n, fit in enumerate(fits))
+    joins, last = "", "s"
+    for n in range(len(kinds)):
+        joins += f" JOIN x{len(kinds)} p{n} ON p{n}.user_id = s.user_id AND p{n}.idx = {last}.n{n}"
+        last = f"p{n}"
+    return f"x{len(kinds)} AS (SELECT user_id, idx, tm, {cols} FROM e), r{len(kinds)} AS (SELECT s.user_id, s.idx, s.tm AS start_at, {last}.tm AS end_at FROM x{len(kinds)} s{joins} WHERE {last}.tm - s.tm <= 86400000000)"
+
+
+SEQUENCE_SQL = f"""
+WITH e AS (SELECT user_id, event_type, epoch_us(ts) AS tm, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS idx FROM events),
+{_next_steps([("signup",), ("view", "click"), ("purchase",)])},
+{_next_steps([("error",), ("error",)])},
+f AS (
+  SELECT user_id, 'seq.buy' AS rule_id, 90 AS score, arg_min(start_at, idx) AS start_at, arg_min(end_at, idx) AS end_at FROM r3 GROUP BY user_id
+  UNION ALL SELECT user_id, 'seq.fail', 80, arg_min(start_at, idx), arg_min(end_at, idx) FROM r2 GROUP BY user_id)
+SELECT CAST(user_id AS VARCHAR) AS entity, rule_id, start_at, end_at,
+  CAST(CASE WHEN rule_id = 'seq.fail' AND EXISTS (SELECT 1 FROM f b WHERE b.user_id = f.user_id AND b.rule_id = 'seq.buy') THEN 0 ELSE score END AS BIGINT) AS points FROM f
+"""
 
 
-@query()
+@query(SEQUENCE_SQL)
 def sequence_correlation(spark, sf_dir):
-    df = actions(spark, sf_dir).select(F.col("session_id").alias("entity"), F.col("occurred_at").cast("long").alias("epoch"), F.col("source_sequence").alias("ord"), F.col("tool_name").alias("category"), F.col("tool_name").alias("rule_id"), F.col("tool_name").alias("child"))
+    df = actions(spark, sf_dir).select(F.col("session_id").alias("entity"), F.col("occurred_at").alias("epoch"), F.col("source_sequence").alias("ord"), F.col("tool_name").alias("category"), F.col("tool_name").alias("rule_id"), F.col("tool_name").alias("child"))
     seqs = [{"id": "seq.buy", "score": 90, "window_seconds": 86_400, "steps": [{"any_category": ["signup"]}, {"any_category": ["view", "click"]}, {"any_category": ["purchase"]}]}, {"id": "seq.fail", "score": 80, "window_seconds": 86_400, "steps": [{"any_rule_id": ["error"]}, {"any_rule_id": ["error"]}]}]
-    return sequences.correlate_sequences(df, seqs)
+    got = sequences.correlate_sequences(df, seqs)
+    return got.select("entity", "rule_id", F.unix_micros("start_epoch").alias("start_at"), F.unix_micros("end_epoch").alias("end_at"), "points")
 
 
 @query("""WITH RECURSIVE e AS (SELECT user_id, event_type, CAST(floor(epoch(ts)) AS BIGINT) AS sec FROM events),

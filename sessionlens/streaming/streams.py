@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from sessionlens.operators.sequences import CHAIN_WINDOW, REPEAT_WINDOW, ChainSearch
+from sessionlens.operators.carried import MICROS, as_given, micros
+from sessionlens.operators.sequences import CHAIN_WINDOW, REPEAT_WINDOW, SESSION_TIES, ChainSearch
 from sessionlens.schemas import EVENTS, struct
 
 
@@ -39,61 +40,71 @@ def split_late(events: DataFrame, now: str = "observed_at", late: str = "1 day")
 
 
 def suppress_stream(df: DataFrame, keys: list[str], epoch: str = "epoch", window: int = REPEAT_WINDOW, watermark: tuple[str, str] | None = ("ts", "10 minutes")) -> DataFrame:
-    """(keys…, epoch, suppressed): whether a row repeats its key's anchor; the state is one anchor and count for each key.
+    """(keys…, epoch, suppressed, repeats): whether a row repeats its key's anchor; the state is one anchor and count for each key.
 
-    Rows of a micro-batch are taken in order of time. The state ends when the watermark has passed the anchor's window. Null keys and times are for the caller to keep apart.
+    Times are timestamps or seconds, exact to the microsecond. Rows of a micro-batch are taken in order of time. The state
+    ends when the watermark has passed the anchor's window. Null keys and times are for the caller to keep apart.
     """
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    out = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "epoch long, suppressed boolean, repeats long"])
+    out = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "_at long, suppressed boolean, repeats long"])
 
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
         if state.hasTimedOut:
             state.remove()
             return
         anchor, n = state.get if state.exists else (None, 0)
-        rows = pd.concat(list(pdfs)).sort_values(epoch)
         done = []
-        for at in rows[epoch].tolist():
-            again = anchor is not None and at - anchor <= window
+        for at in pd.concat(list(pdfs))["_at"].sort_values().tolist():
+            again = anchor is not None and at - anchor <= window * MICROS
             anchor, n = (anchor, n + 1) if again else (at, 0)
             done.append((*key, int(at), again, int(n)))
         state.update((int(anchor), int(n)))
         if watermark:
-            limit = (int(anchor) + window + 1) * 1000
+            limit = int(anchor) // 1000 + (window + 1) * 1000
             if limit > state.getCurrentWatermarkMs():
                 state.setTimeoutTimestamp(limit)
-        yield pd.DataFrame(done, columns=[*keys, "epoch", "suppressed", "repeats"])
+        yield pd.DataFrame(done, columns=[*keys, "_at", "suppressed", "repeats"])
 
-    given = df.withWatermark(*watermark) if watermark else df
+    given = df.withColumn("_at", micros(df, epoch))
+    given = given.withWatermark(*watermark) if watermark else given
     timeout = GroupStateTimeout.EventTimeTimeout if watermark else GroupStateTimeout.NoTimeout
-    return given.groupBy(*keys).applyInPandasWithState(step, out, "anchor long, n long", "append", timeout)
+    got = given.groupBy(*keys).applyInPandasWithState(step, out, "anchor long, n long", "append", timeout)
+    return got.select(*keys, as_given(df, epoch, F.col("_at")).alias("epoch"), "suppressed", "repeats")
 
 
 def sequence_stream(steps: DataFrame, chain_id: str, order: list[str], keys: list[str], window: int = CHAIN_WINDOW, watermark: tuple[str, str] | None = ("ts", "10 minutes")) -> DataFrame:
-    """(keys…, chain_id, start_epoch, end_epoch): the action chain over a stream; the state is what lies within the window, and which of it has served as a start."""
+    """(keys…, chain_id, start_epoch, end_epoch): the action chain over a stream; the state is what lies within the window, and which of it has served as a start.
+
+    Rows of a micro-batch are taken in the order of :func:`~sessionlens.operators.sequences.action_chains`; the steps of one observation count as one row.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in steps.schema}
+    ties = [c for c in SESSION_TIES if c in steps.columns]
 
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
         if state.hasTimedOut:
             state.remove()
             return
         times, names, used = state.get if state.exists else ((), (), ())
-        search = ChainSearch(order, window, ([t, {n}, bool(u)] for t, n, u in zip(times, names, used, strict=True)))
-        last, out = -1, []
-        for name, at in pd.concat(list(pdfs)).sort_values("epoch", kind="stable")[["step", "epoch"]].itertuples(index=False):
+        search = ChainSearch(order, window * MICROS, ([t, set(n), bool(u)] for t, n, u in zip(times, names, used, strict=True)))
+        last, out, rows = -1, [], {}
+        for name, at, *tie in pd.concat(list(pdfs)).sort_values(["_at", *ties], kind="stable", na_position="first")[["step", "_at", *ties]].itertuples(index=False):
+            rows.setdefault((at, *tie) if "observation_id" in ties else (at, len(rows)), set()).add(name)
+        for (at, *_), said in rows.items():
             last = max(last, at)
-            start = search.add(int(at), {name})
+            start = search.add(int(at), said)
             if start is not None:
                 out.append((*key, chain_id, int(start), int(at)))
-        state.update(([int(h[0]) for h in search.history], [next(iter(h[1])) for h in search.history], [h[2] for h in search.history]))
-        if watermark and (last + window + 1) * 1000 > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp((int(last) + window + 1) * 1000)
-        yield pd.DataFrame(out, columns=[*keys, "chain_id", "start_epoch", "end_epoch"])
+        state.update(([int(h[0]) for h in search.history], [sorted(h[1]) for h in search.history], [h[2] for h in search.history]))
+        limit = int(last) // 1000 + (window + 1) * 1000
+        if watermark and limit > state.getCurrentWatermarkMs():
+            state.setTimeoutTimestamp(limit)
+        yield pd.DataFrame(out, columns=[*keys, "chain_id", "_start", "_end"])
 
-    given = steps.where(F.col("step").isin(*order) & F.col("epoch").isNotNull())
+    given = steps.where(F.col("step").isin(*order) & F.col("epoch").isNotNull()).withColumn("_at", micros(steps, "epoch"))
     given = given.withWatermark(*watermark) if watermark else given
     timeout = GroupStateTimeout.EventTimeTimeout if watermark else GroupStateTimeout.NoTimeout
-    return given.groupBy(*keys).applyInPandasWithState(step, ", ".join([*[f"{k} {kinds[k]}" for k in keys], "chain_id string, start_epoch long, end_epoch long"]), "times array<long>, steps array<string>, used array<boolean>", "append", timeout)
+    got = given.groupBy(*keys).applyInPandasWithState(step, ", ".join([*[f"{k} {kinds[k]}" for k in keys], "chain_id string, _start long, _end long"]), "times array<long>, steps array<array<string>>, used array<boolean>", "append", timeout)
+    return got.select(*keys, "chain_id", as_given(steps, "epoch", F.col("_start")).alias("start_epoch"), as_given(steps, "epoch", F.col("_end")).alias("end_epoch"))
 
 
 def latch_stream(states: DataFrame, keys: list[str], bad: str = "bad", order: str = "epoch") -> DataFrame:
