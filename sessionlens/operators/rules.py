@@ -65,7 +65,7 @@ def rule_table(spark, rules: list[Rule]) -> DataFrame:
     from sessionlens.schemas import RULES
 
     return spark.createDataFrame([
-        (r.rule_id, r.name or r.rule_id, r.status, r.enabled, r.category, r.detection_class, r.signal_type, r.analytic_intent, r.severity, r.score, r.explanation, list(r.tags), list(r.atlas_tags), [(m.target, m.regex, m.exclusion, m.scope) for m in r.matchers])
+        (r.rule_id, r.name or r.rule_id, r.status, r.enabled, r.category, r.detection_class, r.signal_type, r.analytic_intent, r.severity, r.score, r.explanation, list(r.tags), list(r.atlas_tags), [(m.target, m.regex, m.exclusion, m.scope) for m in r.matchers], list(r.action_fields))
         for r in rules
     ], RULES)
 
@@ -75,7 +75,7 @@ def rules_of(table: DataFrame, most: int = 2000) -> list[Rule]:
     rows = table.orderBy("rule_id").limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"over {most} rules; use match_dynamic_rules")
-    return [Rule(r["rule_id"], r["category"], r["score"], r["severity"], tuple(Matcher(m["target"], m["regex"], m["exclusion_regex"], m["scope"] or "field") for m in r["matchers"]), r["name"], r["status"], r["enabled"], r["detection_class"], r["signal_type"], r["analytic_intent"], r["explanation"], tuple(r["tags"] or ()), tuple(r["atlas_tags"] or ())) for r in rows]
+    return [Rule(r["rule_id"], r["category"], r["score"], r["severity"], tuple(Matcher(m["target"], m["regex"], m["exclusion_regex"], m["scope"] or "field") for m in r["matchers"]), r["name"], r["status"], r["enabled"], r["detection_class"], r["signal_type"], r["analytic_intent"], r["explanation"], tuple(r["tags"] or ()), tuple(r["atlas_tags"] or ()), tuple(r["action_fields"] or ())) for r in rows]
 
 
 def enabled_rules(table: DataFrame) -> DataFrame:
@@ -163,7 +163,8 @@ def match_dynamic_rules(obs: DataFrame, table: DataFrame, most_rules: int = 5000
     """
     if table.limit(most_rules + 1).count() > most_rules:
         raise ValueError(f"over {most_rules} rules can't be broadcast")
-    m = table.select("rule_id", F.explode("matchers").alias("m")).select("rule_id", "m.target", "m.regex", "m.exclusion_regex")
+    own = F.coalesce("action_fields", F.array().cast("array<string>")) if "action_fields" in table.columns else F.array().cast("array<string>")
+    m = table.select("rule_id", own.alias("own"), F.explode("matchers").alias("m")).where((F.size("own") == 0) | F.array_contains("own", F.col("m.target"))).select("rule_id", "m.target", "m.regex", "m.exclusion_regex")
     fields = with_targets(obs).select("source_instance", "session_id", "observation_id", F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).cast("string").alias("value")) for t in TARGETS])).alias("f")).select("source_instance", "session_id", "observation_id", "f.*").where("value is not null")
     hit = fields.join(F.broadcast(m), (fields["target"] == m["target"]) & F.expr("value rlike regex") & ~F.coalesce(F.expr("value rlike exclusion_regex"), F.lit(False)))
     return hit.select("source_instance", "session_id", "observation_id", "rule_id", fields["target"].alias("field"), "value").distinct()

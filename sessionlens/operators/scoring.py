@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from sessionlens.functions.activity import severity, severity_rank
 
 SESSION = ["source_instance", "session_id"]
-#: What the bundled download-then-execute chain adds to an action.
-LINKED_SCORE = 50
+#: The bundled chain of a download that is run, with its steps, and what it adds to an action.
+LINKED_CHAIN, LINKED_STEPS, LINKED_SCORE = "chain.download_then_execute", ["download", "execution"], 50
 OUTCOMES = ("error", "match", "not_evaluated", "no_match", "not_applicable")
 """Detector outcomes of a session, strongest first."""
 
@@ -115,6 +115,31 @@ def same_action_chains(matches: DataFrame, chains: DataFrame) -> DataFrame:
     return apply_chains(matches.select("source_instance", "session_id", "observation_id", "rule_id", F.lit("").alias("category")).distinct(), only, ["source_instance", "session_id", "observation_id"])
 
 
+def linked_score(chain: tuple, bundled: tuple | None, chosen: int | None = None) -> int:
+    """What a chain of a download and its run is worth on an action: what the caller chose, LINKED_SCORE if it is as bundled, else its own score."""
+    if chosen is not None:
+        return chosen
+    return LINKED_SCORE if bundled is not None and tuple(chain[:4]) == tuple(bundled[:4]) else chain[1]
+
+
+def linked_actions(links: DataFrame, chain_rows, bundled_rows=None, chosen: int | None = None, piped: DataFrame | None = None) -> DataFrame:
+    """(source_instance, session_id, observation_id, chain_id, points): runs of downloaded files that complete the chain of a download and its run.
+
+    ``links`` is :func:`~sessionlens.operators.sequences.download_execute`; ``piped`` may add observations that run what they fetch.
+    The chain counts only as it is meant: by these two categories and no rules. A run counts once, however many downloads lead to it.
+    """
+    keys = ["source_instance", "session_id"]
+    ends = links.select(*keys, F.col("execution").alias("observation_id"))
+    if piped is not None:
+        ends = ends.unionByName(piped.select(*keys, "observation_id"))
+    bundled = {c[0]: c for c in bundled_rows or chain_rows}
+    chain = next((c for c in chain_rows if c[0] == LINKED_CHAIN and list(c[2] or ()) == LINKED_STEPS and not c[3]), None)
+    if chain is None:
+        return ends.limit(0).withColumns({"chain_id": F.lit(""), "points": F.lit(0).cast("long")})
+    points = linked_score(chain, bundled.get(chain[0]), chosen)
+    return ends.distinct().withColumns({"chain_id": F.lit(chain[0]), "points": F.lit(points).cast("long")})
+
+
 def action_findings(matches: DataFrame, rules: DataFrame, chain_rows: DataFrame | None = None) -> DataFrame:
     """One row for each observation with a match or a chain that ends there: rules, chains, points, severity, kind and categories.
 

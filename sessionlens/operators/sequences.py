@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -33,7 +35,8 @@ def call_positions(obs: DataFrame) -> DataFrame:
     place, a result without one that of the call before, and messages and all other records that of the next call.
     """
     tool, has_id = F.col("family") == "tool", F.col("call_id").isNotNull()
-    is_result = F.coalesce(F.col("stage").isin("result", "completed", "failed"), F.lit(False))
+    # a record without an id joins the call before it only as a returned result; a completed or failed call is one of its own
+    is_result = F.coalesce(F.col("stage") == "result", F.lit(False))
     order = W.partitionBy("source_instance", "session_id").orderBy("idx")
     by_id = W.partitionBy("source_instance", "session_id", "call_id")
     df = timeline_index(obs).withColumn("_nth", F.row_number().over(W.partitionBy("source_instance", "session_id", tool, "call_id").orderBy("idx")))
@@ -53,43 +56,145 @@ def call_links(obs: DataFrame) -> DataFrame:
     return per.where("calls = 1 and results = 1 and c.idx < r.idx").select("source_instance", "session_id", "call_id", F.col("c.observation_id").alias("call_observation"), F.col("r.observation_id").alias("result_observation"))
 
 
-def linked_chains(steps: DataFrame, chain_id: str, first: str, second: str, calls: int, ordered: bool = True, minutes: int | None = None, keys=("source_instance", "session_id")) -> DataFrame:
-    """(keys…, chain_id, observation_id): rows where ``second`` completes a two-step chain within ``calls`` tool calls of ``first``.
+class LinkSearch:
+    """The linked steps of one chain among a session's matched observations near each other.
+
+    Observations come in order; each is told by the numbers of the requirements that it meets. What has come so far is held
+    by requirement in order of (call position, place in the session), so the nearest on either side is a bisection away.
+    """
+
+    def __init__(self, requirements: int, calls: int, ordered: bool, micros: int | None):
+        self.calls, self.ordered, self.micros = calls, ordered, micros
+        self.seen: list[list[tuple]] = [[] for _ in range(requirements)]
+
+    def _before(self, r: int, key: tuple, end: tuple) -> tuple | None:
+        """The latest observation for requirement ``r`` not after ``key``."""
+        rows = self.seen[r]
+        for i in range(bisect.bisect_right(rows, (*key[:2], float("inf"))) - 1, -1, -1):
+            if end[0] - rows[i][0] > self.calls:
+                return None
+            if self._timely(rows[i], end):
+                return rows[i]
+        return None
+
+    def _after(self, r: int, key: tuple, end: tuple) -> tuple | None:
+        """The earliest one not before ``key``."""
+        rows = self.seen[r]
+        for i in range(bisect.bisect_left(rows, key[:2]), len(rows)):
+            if rows[i][0] - end[0] > self.calls:
+                return None
+            if self._timely(rows[i], end):
+                return rows[i]
+        return None
+
+    def _timely(self, row: tuple, end: tuple) -> bool:
+        return self.micros is None or row[2] is None or end[2] is None or abs(end[2] - row[2]) <= self.micros
+
+    def add(self, pos: int, idx: int, at: int | None, meets: list[int]) -> bool:
+        """Whether the observation completes the chain with earlier ones."""
+        end = (pos, idx, at)
+        for r in meets:
+            bisect.insort(self.seen[r], end, key=lambda x: x[:2])
+        return any(self._in_order(end, r) if self.ordered else self._around(end, r) for r in meets)
+
+    def _in_order(self, end: tuple, own: int) -> bool:
+        low = high = end
+        for r in range(own - 1, -1, -1):
+            low = self._before(r, low, end)
+            if low is None:
+                return False
+        for r in range(own + 1, len(self.seen)):
+            high = self._after(r, high, end)
+            if high is None:
+                return False
+        return high[0] - low[0] <= self.calls
+
+    def _around(self, end: tuple, own: int) -> bool:
+        """Whether all other requirements fit a window of the calls: those within its left part there, the rest in its right part."""
+        far = self.calls + 1
+        sides = []
+        for r in range(len(self.seen)):
+            if r != own:
+                left, right = self._before(r, end, end), self._after(r, end, end)
+                sides.append((far if left is None else end[0] - left[0], far if right is None else right[0] - end[0]))
+        return any(reach + max((right for left, right in sides if left > reach), default=0) <= self.calls for reach in {0, *(left for left, _ in sides)})
+
+
+#: Call positions that one task searches at once, beside those within reach of them.
+LINK_BLOCK = 64
+
+
+def search_links(hits: DataFrame, chains: list[dict], keys=("source_instance", "session_id"), block: int = LINK_BLOCK) -> DataFrame:
+    """(keys…, chain_id, observation_id, points): observations that complete a chain whose steps stand within its number of tool calls.
+
+    ``hits`` has the keys, observation_id, pos, idx, at (microseconds or null), and the sets rule_ids and categories. A chain is
+    {id, score, categories, rule_ids, calls, order, minutes}; its requirements are the categories, then the rule ids, any
+    number of them. All steps lie at or before the completing observation, in declared order by call position or in any,
+    and within ``minutes`` of it where both have a time. One observation may fill several steps.
+
+    A session is searched in blocks of call positions, each with the positions within reach of it on both sides, so a long
+    session spreads over tasks and a task holds the matches of one block.
+    """
+    for c in chains:
+        if not 0 <= c["calls"] <= MOST_LINK_CALLS:
+            raise ValueError(f"links span 0 to {MOST_LINK_CALLS} calls")
+    reach = max((c["calls"] for c in chains), default=0)
+    names = lambda kind: sorted({n for c in chains for n in c.get(kind) or ()})
+    wanted = [F.arrays_overlap(col, F.array(*[F.lit(n) for n in some])) for col, some in (("categories", names("categories")), ("rule_ids", names("rule_ids"))) if some]
+    near = hits.where(wanted[0] | wanted[-1] if wanted else F.lit(False))
+    blocks = F.sequence(F.floor((F.col("pos") - reach) / block), F.floor((F.col("pos") + reach) / block))
+    near = near.select(*keys, F.explode(blocks).alias("_block"), "idx", "pos", "at", "observation_id", "rule_ids", "categories")
+    requirements = [[("categories", n) for n in c.get("categories") or ()] + [("rule_ids", n) for n in c.get("rule_ids") or ()] for c in chains]
 
-    ``steps`` has step, pos, epoch and observation_id. One observation may be both steps. Unordered chains take either step first.
-    Only the latest earlier step matters, so a running maximum replaces a self join.
+    def search(frames):
+        now, state = None, []
+        for pdf in frames:
+            out = []
+            for row in pdf.itertuples(index=False):
+                group = tuple(row[: len(keys) + 1])
+                if group != now:
+                    now = group
+                    state = [LinkSearch(len(r), c["calls"], c["order"] != "any", None if c.get("minutes") is None else c["minutes"] * 60 * carried.MICROS) for c, r in zip(chains, requirements, strict=True)]
+                own = {"categories": set(row.categories), "rule_ids": set(row.rule_ids)}
+                for c, r, s in zip(chains, requirements, state, strict=True):
+                    meets = [n for n, (kind, name) in enumerate(r) if name in own[kind]]
+                    if meets and s.add(int(row.pos), int(row.idx), None if pd.isna(row.at) else int(row.at), meets) and row.pos // block == group[-1]:
+                        out.append((*now[:-1], c["id"], row.observation_id, c["score"]))
+            yield pd.DataFrame(out, columns=[*keys, "chain_id", "observation_id", "points"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in hits.schema}
+    schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "chain_id string", f"observation_id {kinds['observation_id']}", "points long"])
+    # null keys can't be told from each other by equality in Python; such rows have no session and link to nothing
+    held = near.where(" and ".join(f"{k} is not null" for k in keys))
+    return held.repartition(*keys, "_block").sortWithinPartitions(*keys, "_block", "idx").mapInPandas(search, schema)
+
+
+def linked_chains(steps: DataFrame, chain_id: str, order: list[str], calls: int, ordered: bool = True, minutes: int | None = None, keys=("source_instance", "session_id"), score: int = 0) -> DataFrame:
+    """(keys…, chain_id, observation_id): rows that complete the steps in ``order`` within ``calls`` tool calls; any number of steps.
+
+    ``steps`` has step, pos, observation_id and epoch, a timestamp or seconds, and idx, the place in the session, else rows
+    count in order of epoch and id. One observation may be several steps.
     """
-    if not 0 <= calls <= MOST_LINK_CALLS:
-        raise ValueError(f"links span 0 to {MOST_LINK_CALLS} calls")
-    pairs = [(first, second)] + ([] if ordered else [(second, first)])
-    out = None
-    for a, b in pairs:
-        w = W.partitionBy(*keys).orderBy("pos").rangeBetween(-calls, 0)
-        df = steps.where(F.col("step").isin(a, b)).withColumn("_seen", F.max(F.when(F.col("step") == a, F.col("epoch").cast("long") if minutes else F.col("pos").cast("long"))).over(w))
-        ok = F.col("_seen").isNotNull()
-        if minutes:
-            ok = ok & (F.col("epoch") - F.col("_seen") <= minutes * 60)
-        got = df.where((F.col("step") == b) & ok).select(*keys, F.lit(chain_id).alias("chain_id"), "observation_id")
-        out = got if out is None else out.unionByName(got)
-    return out.distinct()
+    if "idx" in steps.columns:
+        idx = F.col("idx")
+    else:
+        idx = F.dense_rank().over(W.partitionBy(*keys).orderBy("epoch", "observation_id"))
+    rows = steps.where(F.col("step").isin(*order)).withColumn("idx", idx)
+    hits = rows.groupBy(*keys, "observation_id", "pos", "idx", carried.micros(steps, "epoch").alias("at")).agg(F.collect_set("step").alias("rule_ids")).withColumn("categories", F.array().cast("array<string>"))
+    chain = {"id": chain_id, "score": score, "rule_ids": order, "calls": calls, "order": "declared" if ordered else "any", "minutes": minutes}
+    return search_links(hits, [chain], keys).select(*keys, "chain_id", "observation_id")
 
 
 def linked_chain_table(matches: DataFrame, positions: DataFrame, rules: DataFrame, chain_rows, keys=("source_instance", "session_id")) -> DataFrame:
-    """(keys…, chain_id, observation_id, points) of every two-step chain with a link in ``chain_rows``.
+    """(keys…, chain_id, observation_id, points) of every chain with a link in ``chain_rows``, all searched in one pass.
 
-    ``matches`` has rule_id and observation_id, ``positions`` is :func:`call_positions`. A step is a category or a rule id.
+    ``matches`` has rule_id and observation_id, ``positions`` is :func:`call_positions`, ``rules`` a dimension of some hundred rows.
     """
-    at = positions.select("observation_id", "pos", F.col("occurred_at").cast("long").alias("epoch"))
-    hits = matches.select(*keys, "observation_id", "rule_id").distinct().join(rules.select("rule_id", "category"), "rule_id").join(at, "observation_id")
-    out = None
-    for chain_id, score, categories, rule_ids, link, *_ in chain_rows:
-        if not link:
-            continue
-        column, pair = ("category", categories) if categories else ("rule_id", rule_ids)
-        steps = hits.select(*keys, "observation_id", "pos", "epoch", F.col(column).alias("step")).distinct()
-        got = linked_chains(steps, chain_id, *pair, link[0], link[1] == "declared", link[2], keys).withColumn("points", F.lit(score).cast("long"))
-        out = got if out is None else out.unionByName(got)
-    return out
+    chains = [{"id": i, "score": score, "categories": categories, "rule_ids": rule_ids, "calls": link[0], "order": link[1], "minutes": link[2]} for i, score, categories, rule_ids, link, *_ in chain_rows if link]
+    at = positions.select(*keys, "observation_id", "pos", "idx", F.unix_micros("occurred_at").alias("at"))
+    hits = matches.select(*keys, "observation_id", "rule_id").distinct().join(rules.select("rule_id", "category"), "rule_id").join(at, [*keys, "observation_id"])
+    hits = hits.groupBy(*keys, "observation_id", "pos", "idx", "at").agg(F.collect_set("rule_id").alias("rule_ids"), F.collect_set("category").alias("categories"))
+    return search_links(hits, chains, keys)
 
 
 class ChainSearch:

@@ -106,7 +106,7 @@ LINK_SQL = f"""WITH o AS (SELECT *, {CALL_ID} AS cid, row_number() OVER (PARTITI
 f AS (SELECT user_id, cid, min(i) AS first_i FROM o WHERE cid IS NOT NULL GROUP BY 1, 2),
 u AS (SELECT user_id, first_i AS i FROM f UNION ALL SELECT user_id, i FROM o WHERE cid IS NULL AND event_type <> 'error'),
 s AS (SELECT o.*, coalesce(f.first_i, o.i) AS at FROM o LEFT JOIN f ON o.user_id = f.user_id AND o.cid = f.cid),
-p AS (SELECT s.event_id, s.user_id, s.event_type, CAST(greatest((SELECT count(*) FROM u WHERE u.user_id = s.user_id AND u.i <= s.at) - 1, 0) AS BIGINT) AS pos FROM s)
+p AS (SELECT s.event_id, s.user_id, s.event_type, s.ts, s.i AS idx, CAST(greatest((SELECT count(*) FROM u WHERE u.user_id = s.user_id AND u.i <= s.at) - 1, 0) AS BIGINT) AS pos FROM s)
 """
 
 
@@ -121,10 +121,70 @@ def call_positions(spark, sf_dir):
     return sequences.call_positions(_numbered(spark, sf_dir)).select(F.col("observation_id").cast("long").alias("event_id"), "pos")
 
 
-@query(LINK_SQL + "SELECT DISTINCT y.event_id, 'signup.purchase' AS chain_id FROM p x JOIN p y ON x.user_id = y.user_id AND x.event_type = 'signup' AND y.event_type = 'purchase' AND y.pos - x.pos BETWEEN 0 AND 3")
+def _in_order_sql(names: list[str], calls: int) -> str:
+    """Steps in order of call position, then of place; the one that comes last in the session completes them."""
+    n = range(len(names))
+    after = " AND ".join(f"s{k}.user_id = s{k - 1}.user_id AND (s{k}.pos > s{k - 1}.pos OR (s{k}.pos = s{k - 1}.pos AND s{k}.idx >= s{k - 1}.idx))" for k in n[1:])
+    kinds = " AND ".join(f"s{k}.event_type = '{names[k]}'" for k in n)
+    last = f"greatest({', '.join(f's{k}.idx' for k in n)})"
+    ends = " ".join(f"WHEN {last} = s{k}.idx THEN s{k}.event_id" for k in n)
+    return f"SELECT DISTINCT CASE {ends} END AS event_id FROM {', '.join(f'p s{k}' for k in n)} WHERE {kinds} AND {after} AND s{n[-1]}.pos - s0.pos <= {calls}"
+
+
+def _call_steps(spark, sf_dir):
+    return sequences.call_positions(_numbered(spark, sf_dir)).select("source_instance", "session_id", "observation_id", F.col("tool_name").alias("step"), "pos", "idx", F.col("occurred_at").alias("epoch"))
+
+
+@query(LINK_SQL + f"SELECT event_id, 'signup.purchase' AS chain_id FROM ({_in_order_sql(['signup', 'purchase'], 3)})")
 def linked_chains(spark, sf_dir):
-    df = sequences.call_positions(_numbered(spark, sf_dir)).select("source_instance", "session_id", "observation_id", F.col("tool_name").alias("step"), "pos", F.col("occurred_at").cast("long").alias("epoch"))
-    return sequences.linked_chains(df, "signup.purchase", "signup", "purchase", 3).select(F.col("observation_id").cast("long").alias("event_id"), "chain_id")
+    got = sequences.linked_chains(_call_steps(spark, sf_dir), "signup.purchase", ["signup", "purchase"], 3)
+    return got.select(F.col("observation_id").cast("long").alias("event_id"), "chain_id")
+
+
+@query(LINK_SQL + f"""SELECT event_id, 'three' AS chain_id FROM ({_in_order_sql(['signup', 'view', 'purchase'], 4)})
+UNION ALL SELECT event_id, 'four' FROM ({_in_order_sql(['view', 'click', 'error', 'view'], 6)})""")
+def linked_chains_in_order(spark, sf_dir):
+    """Chains of three and of four steps, one of which repeats."""
+    steps = _call_steps(spark, sf_dir)
+    got = sequences.linked_chains(steps, "three", ["signup", "view", "purchase"], 4).unionByName(sequences.linked_chains(steps, "four", ["view", "click", "error", "view"], 6))
+    return got.select(F.col("observation_id").cast("long").alias("event_id"), "chain_id")
+
+
+@query(LINK_SQL + """, k AS (SELECT * FROM p WHERE event_type IN ('signup', 'view', 'purchase', 'error'))
+SELECT DISTINCT event_id FROM (
+  SELECT e.event_id, o FROM k e, range(6) w(o), k n
+  WHERE n.user_id = e.user_id AND n.idx <= e.idx AND n.pos BETWEEN e.pos - o AND e.pos - o + 5 AND abs(epoch_us(n.ts) - epoch_us(e.ts)) <= 2160 * 60000000::BIGINT
+  GROUP BY e.event_id, o HAVING count(DISTINCT n.event_type) = 4)""")
+def linked_chains_any_order(spark, sf_dir):
+    """Four steps in any order within five calls and a day and a half."""
+    got = sequences.linked_chains(_call_steps(spark, sf_dir), "any", ["signup", "view", "purchase", "error"], 5, ordered=False, minutes=2160)
+    return got.select(F.col("observation_id").cast("long").alias("event_id"))
+
+
+def _host_commands(spark, sf_dir):
+    """A command for each page, in a session for each host: pages with even ids are fetched into a file named by their language, odd ones run that file."""
+    p = table(spark, sf_dir, "pages").withColumns({"host": F.regexp_extract("url", "//([^/]+)", 1), "file": F.concat(F.regexp_extract("url", "//[^/]+/([^/?#]+)", 1), F.lit(".sh"))})
+    line = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("curl -s -o "), "file", F.lit(" '"), "url", F.lit("'"))).otherwise(F.concat(F.lit("sh "), "file"))
+    return observations(p, client=F.lit("pages"), source_instance=F.lit("pages"), session_id=F.col("host"), observation_id=F.col("page_id").cast("string"), source_sequence=F.col("page_id"), child_ordinal=F.lit(0), occurred_at=F.timestamp_seconds(F.col("page_id") * 60), family=F.lit("tool"), stage=F.lit("requested"), tool_name=F.lit("bash"), tool_kind=F.lit("shell"), command=line)
+
+
+HOST_SQL = r"""WITH p AS (SELECT page_id, regexp_extract(url, '//([^/]+)', 1) AS host, regexp_extract(url, '//[^/]+/([^/?#]+)', 1) AS file FROM pages),
+l AS (SELECT d.page_id AS download, min(e.page_id) AS execution FROM p d JOIN p e ON e.host = d.host AND e.file = d.file AND d.page_id % 2 = 0 AND e.page_id % 2 = 1 AND e.page_id BETWEEN d.page_id AND d.page_id + 60 GROUP BY 1)
+"""
+
+
+@query(HOST_SQL + """SELECT CAST(page_id AS VARCHAR) AS observation_id, CAST(15 + CASE WHEN page_id IN (SELECT execution FROM l) THEN 50 ELSE 0 END AS BIGINT) AS points,
+  CASE WHEN page_id IN (SELECT execution FROM l) THEN 'correlation' ELSE 'atomic' END AS kind FROM p WHERE page_id % 2 = 1""")
+def linked_action_scores(spark, sf_dir):
+    """What a run of a downloaded file is worth as an action: its own rule, and the linked chain's score."""
+    obs = _host_commands(spark, sf_dir)
+    keep = ("source_instance", "session_id", "observation_id", "idx", "epoch")
+    st = commands.stages(sequences.timeline_index(obs).withColumn("epoch", F.col("occurred_at").cast("long")), keep=keep)
+    links = sequences.download_execute(commands.downloaded_artifacts(st), commands.executions(st), window=3600)
+    runs = [rules.Rule("run.file", "execution", 15, "low", (rules.Matcher("command", r"^sh "),))]
+    chain = scoring.linked_actions(links, core.CHAIN_ROWS)
+    got = scoring.action_findings(rules.match_rules(obs, runs), rules.rule_table(spark, runs), chain)
+    return got.select("observation_id", "points", "kind")
 
 
 #: Chains of three steps: the latest earlier step of each kind inside the window, a start once; the starts used so far travel along the ends.

@@ -27,7 +27,7 @@ source_counts map<string,long>, status string, scan_duration_ms long, rule_count
 
 RULES = """rule_id string, name string, status string, enabled boolean, category string, detection_class string, signal_type string,
 analytic_intent string, severity string, score long, explanation string, tags array<string>, atlas_tags array<string>,
-matchers array<struct<target:string,regex:string,exclusion_regex:string,scope:string>>"""
+matchers array<struct<target:string,regex:string,exclusion_regex:string,scope:string>>, action_fields array<string>"""
 CHAINS = """id string, score long, when_all_categories array<string>, when_all_rule_ids array<string>,
 link struct<calls:int,order:string,minutes:int>, explanation string"""
 PROCESS_RULES = """id string, title string, category string, severity string, score long, confidence string, parent string, child string,

@@ -116,9 +116,10 @@ def steps(spark, rows):
 @pytest.mark.parametrize("gap,hit", [(0, True), (3, True), (4, False)])
 def test_chain_links_count_calls(spark, gap, hit):
     df = steps(spark, [("a", 1, 0, "o1"), ("b", 1 + gap, 9, "o2")])
-    assert bool(sequences.linked_chains(df, "c", "a", "b", 3).collect()) is hit
-    assert bool(sequences.linked_chains(df, "c", "b", "a", 3).collect()) is (gap == 0)
-    assert bool(sequences.linked_chains(df, "c", "b", "a", 3, ordered=False).collect()) is hit
+    assert bool(sequences.linked_chains(df, "c", ["a", "b"], 3).collect()) is hit
+    # of two observations at one call the earlier in the session is the earlier step, so the reverse order links at no gap
+    assert not sequences.linked_chains(df, "c", ["b", "a"], 3).collect()
+    assert bool(sequences.linked_chains(df, "c", ["b", "a"], 3, ordered=False).collect()) is hit
 
 
 def test_action_chain_uses_each_start_once(spark):
@@ -284,3 +285,42 @@ def test_reports(spark):
     assert gold.event_timeline(d).count() == 2
     assert gold.rule_catalogue(t, spark.createDataFrame([], "id string, score long, when_all_categories array<string>, when_all_rule_ids array<string>, link struct<calls:int,order:string,minutes:int>, explanation string")).count() == 1
     assert gold.activity_events(baseline.account(obs), baseline.tool_usage(obs)).count() == 1
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_link_search_against_all_combinations(seed):
+    from itertools import product
+
+    rng = random.Random(seed)
+    n, calls, ordered = rng.choice([2, 3, 4]), rng.randint(0, 6), seed % 2 == 0
+    minutes = rng.choice([None, 20])
+    rows, pos = [], 0
+    for idx in range(40):
+        pos += rng.choice([0, 0, 1, 2])
+        late = max(0, pos - rng.randint(1, 8)) if rng.random() < 0.3 else pos
+        rows.append((late, idx, rng.choice([None, idx * rng.randint(1, 3)]), [r for r in range(n) if rng.random() < 0.35]))
+    search = sequences.LinkSearch(n, calls, ordered, minutes)
+    for end, (p, i, at, meets) in enumerate(rows):
+        got = bool(meets) and search.add(p, i, at, meets)
+        timely = lambda x: minutes is None or x[2] is None or at is None or abs(at - x[2]) <= minutes  # noqa: B023, E731
+        may = [[x for x in rows[: end + 1] if r in x[3] and timely(x) and abs(x[0] - p) <= calls] for r in range(n)]
+        want = any(
+            (rows[end] in some) and max(x[0] for x in some) - min(x[0] for x in some) <= calls and (not ordered or list(some) == sorted(some, key=lambda x: x[:2]))
+            for some in product(*may))
+        assert got == want, (end, rows[end])
+
+
+def test_narrowed_rules_keep_their_fields_in_tables(spark):
+    rule = rules.Rule("a.b", "x", 20, "low", (rules.Matcher("command", "rm"), rules.Matcher("tool_result", "rm")), action_fields=("command",))
+    table = rules.rule_table(spark, [rule])
+    assert rules.rules_of(table)[0].action_fields == ("command",)
+    obs = observations(spark.range(1), source_instance=F.lit("s"), session_id=F.lit("1"), observation_id=F.lit("o"), command=F.lit("ls"), tool_result=F.lit("rm x"))
+    assert rules.match_rules(obs, rules.rules_of(table)).count() == rules.match_dynamic_rules(obs, table).count() == 0
+    assert rules.match_dynamic_rules(obs, table.drop("action_fields")).count() == 1
+
+
+def test_linked_score_follows_the_chain():
+    from sessionlens.content import core
+
+    own = next(c for c in core.CHAIN_ROWS if c[0] == scoring.LINKED_CHAIN)
+    assert scoring.linked_score(own, own) == 50 and scoring.linked_score((*own[:1], 7, *own[2:]), own) == 7 and scoring.linked_score(own, own, 3) == 3
