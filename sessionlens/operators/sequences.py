@@ -56,6 +56,11 @@ def call_links(obs: DataFrame) -> DataFrame:
     return per.where("calls = 1 and results = 1 and c.idx < r.idx").select("source_instance", "session_id", "call_id", F.col("c.observation_id").alias("call_observation"), F.col("r.observation_id").alias("result_observation"))
 
 
+def _place(row: tuple) -> tuple:
+    """(call position, place in the session)."""
+    return row[:2]
+
+
 class LinkSearch:
     """The linked steps of one chain among a session's matched observations near each other.
 
@@ -70,7 +75,7 @@ class LinkSearch:
     def _before(self, r: int, key: tuple, end: tuple) -> tuple | None:
         """The latest observation for requirement ``r`` not after ``key``."""
         rows = self.seen[r]
-        for i in range(bisect.bisect_right(rows, (*key[:2], float("inf"))) - 1, -1, -1):
+        for i in range(bisect.bisect_right(rows, key[:2], key=_place) - 1, -1, -1):
             if end[0] - rows[i][0] > self.calls:
                 return None
             if self._timely(rows[i], end):
@@ -80,7 +85,7 @@ class LinkSearch:
     def _after(self, r: int, key: tuple, end: tuple) -> tuple | None:
         """The earliest one not before ``key``."""
         rows = self.seen[r]
-        for i in range(bisect.bisect_left(rows, key[:2]), len(rows)):
+        for i in range(bisect.bisect_left(rows, key[:2], key=_place), len(rows)):
             if rows[i][0] - end[0] > self.calls:
                 return None
             if self._timely(rows[i], end):
@@ -94,7 +99,7 @@ class LinkSearch:
         """Whether the observation completes the chain with earlier ones."""
         end = (pos, idx, at)
         for r in meets:
-            bisect.insort(self.seen[r], end, key=lambda x: x[:2])
+            bisect.insort(self.seen[r], end, key=_place)
         return any(self._in_order(end, r) if self.ordered else self._around(end, r) for r in meets)
 
     def _in_order(self, end: tuple, own: int) -> bool:
