@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from sessionlens.operators.carried import MICROS, as_given, micros
 from sessionlens.operators.sequences import CHAIN_WINDOW, REPEAT_WINDOW, SESSION_TIES, ChainSearch
 from sessionlens.schemas import EVENTS, struct
+from sessionlens.sources.journal import FORMAT, JournalSource
 
 
 def stream_sessions(spark: SparkSession, path: str, client: str, kind: str = "sessions", files: int = 1000) -> DataFrame:
@@ -21,9 +22,17 @@ def stream_sessions(spark: SparkSession, path: str, client: str, kind: str = "se
     return lines.where(F.trim("value") != "").select(F.lit(client).alias("client"), F.col("source_path").alias("source_id"), F.lit(kind).alias("source_kind"), "source_path", F.col("ordinal").cast("long").alias("ordinal"), "value")
 
 
-def follow_events(spark: SparkSession, path: str, start: str = "beginning", files: int = 100, dedup: str = "10 minutes") -> DataFrame:
-    """Events of a growing journal folder, each id once; ``start`` is beginning or recent, which takes the newest files first."""
-    df = spark.readStream.schema(struct(EVENTS)).option("maxFilesPerTrigger", files).option("latestFirst", str(start == "recent").lower()).json(path)
+def follow_events(spark: SparkSession, path: str, start: str = "beginning", recent: int = 256, bytes_per_batch: int | None = None, state: str | None = None, dedup: str = "10 minutes") -> DataFrame:
+    """Events of a growing journal and its rotated generations, each id once.
+
+    ``start`` is beginning, end, or recent for the last ``recent`` events. ``bytes_per_batch`` bounds a micro-batch and needs a
+    ``state`` folder. Lines that aren't events have a null id and are left out.
+    """
+    spark.dataSource.register(JournalSource)
+    lines = spark.readStream.format(FORMAT).option("start", start).option("recentEvents", recent)
+    if bytes_per_batch is not None:
+        lines = lines.option("bytesPerBatch", bytes_per_batch).option("state", state)
+    df = lines.load(path).select(F.from_json("value", struct(EVENTS)).alias("e")).select("e.*").where("event_id is not null")
     timed = df.withColumn("event_ts", F.coalesce("event_time", F.try_to_timestamp(F.col("timestamp")), F.current_timestamp()))
     return timed.withWatermark("event_ts", dedup).dropDuplicatesWithinWatermark(["event_id"])
 
