@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sessionlens.api import SessionAnalytics
 from sessionlens.operators import sequences
 from sessionlens.operators.rules import Matcher, Rule
-from sessionlens.sinks import writers
+from sessionlens.sinks import event_log, writers
 from sessionlens.sources import feeds, sessions
 from sessionlens.streaming import streams
 
@@ -109,9 +109,9 @@ def test_journal_and_sinks(spark, tmp_path):
         f.write("{broken\n")
     back = {r["event_id"]: r["invalid_reason"] for r in feeds.read_events(spark, str(tmp_path / "j")).collect()}
     assert back == {"e1": None, "e2": None, None: "unreadable_line"}
-    writers.write_events_table(e, str(tmp_path / "t"))
-    writers.write_events_table(e, str(tmp_path / "t"))
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+    event_log.write_events_table(e, str(tmp_path / "t"))
+    event_log.write_events_table(e, str(tmp_path / "t"))
+    assert event_log.EventLog(spark, str(tmp_path / "t")).read().count() == 2
     assert list(writers.byte_batches(["aaa", "bbb", "c" * 20], 8)) == [["aaa", "bbb"], ["c" * 20]]
     out = tmp_path / "sent"
     out.mkdir()
