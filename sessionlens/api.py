@@ -11,9 +11,6 @@ from sessionlens.operators import gold, rules, scoring, sequences
 from sessionlens.operators.rules import Rule
 from sessionlens.sources import sessions
 
-NORMALISERS = {"claude": sessions.normalize_claude, "codex": sessions.normalize_codex, "qwen": sessions.normalize_qwen, "openclaw": sessions.normalize_openclaw, "pi": sessions.normalize_pi, "copilot": sessions.normalize_copilot}
-
-
 @dataclass
 class Config:
     bands: tuple = (("critical", 90), ("high", 70), ("medium", 50), ("low", 20))
@@ -30,9 +27,17 @@ class SessionAnalytics:
     chains: DataFrame | None = None
     config: Config = field(default_factory=Config)
 
-    def observations(self, path: str, client: str) -> tuple[DataFrame, DataFrame]:
-        """(observations, quarantine) of a folder of session files."""
-        return sessions.split_quarantine(NORMALISERS[client](sessions.read_sessions(self.spark, path, client)))
+    def observations(self, path: str | dict[str, str], client: str | None = None, stores: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+        """(observations, quarantine) of one client's folder of session files, or of the folders of many clients by name, read by one scan.
+
+        ``stores`` adds the parts and messages of a client that keeps tables instead of lines.
+        """
+        lines = sessions.read_sessions(self.spark, path, client)
+        known = sessions.CLIENTS if isinstance(path, dict) else {client: sessions.CLIENTS[client]}
+        got = sessions.normalise(lines, list(known.values()))
+        if stores is not None:
+            got = got.unionByName(sessions.normalize_opencode(*stores))
+        return sessions.split_quarantine(got)
 
     def matches(self, obs: DataFrame) -> DataFrame:
         return rules.match_rules(obs, self.rules)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sessionlens.functions import activity, privacy
-from sessionlens.operators import baseline, commands, gold, process, rules, sequences
+from sessionlens.operators import baseline, commands, gold, predicates, process, rules, sequences
 from sessionlens.plans.inputs import WORD_RULES, actions, conversations, table
 from sessionlens.plans.registry import query
 from sessionlens.sources import feeds, sessions
@@ -245,3 +245,79 @@ def timeline_anchors(spark, sf_dir):
     per = gold.timeline_anchors(hits, obs, rules.rule_table(spark, list(WORD_RULES))).select("session_id", F.explode("timeline_anchors").alias("a"))
     at = sequences.timeline_index(obs).select(F.col("session_id").alias("_s"), "idx", F.col("source_sequence").alias("turn"))
     return per.join(at, (F.col("session_id") == F.col("_s")) & (F.col("a.entry_index") == F.col("idx"))).select("session_id", "turn", F.array_join("a.rule_ids", ",").alias("rule_ids"))
+
+
+#: Which client's format a conversation is written in, by its number.
+MIXED = ("claude", "qwen", "openclaw", "codex", "pi", "copilot")
+
+
+def _mixed_lines(spark, sf_dir):
+    """The conversations as lines of six clients in one table: what a folder of all clients' files reads as."""
+    c = table(spark, sf_dir, "conversations").withColumn("turn", F.col("turn") + 1)
+    client = F.element_at(F.array(*[F.lit(m) for m in MIXED]), (F.col("conv_id") % len(MIXED) + 1).cast("int"))
+    session, said = F.col("conv_id").cast("string"), F.struct("role", F.col("text").alias("content"))
+    flat = F.to_json(F.struct(F.col("role").alias("type"), session.alias("sessionId"), F.col("text").alias("content")))
+    item = F.array(F.struct(F.lit("function_call").alias("type"), F.concat(F.lit("k"), "turn").alias("call_id"), F.concat(F.lit("t"), F.col("turn") % 3).alias("name"), F.lit("{}").alias("arguments"), F.lit("completed").alias("status")))
+    line = (
+        F.when(client == "claude", F.to_json(F.struct(F.col("role").alias("type"), session.alias("sessionId"), said.alias("message"))))
+        .when(client.isin("qwen", "openclaw"), flat)
+        .when(client == "codex", F.to_json(F.struct(F.lit("response_item").alias("type"), F.struct(F.lit("message").alias("type"), "role", F.col("text").alias("content")).alias("payload"))))
+        .when(client == "pi", F.to_json(F.struct(F.lit("message").alias("type"), said.alias("message"))))
+        .otherwise(F.concat(F.lit("2024-01-01T00:00:01Z [INFO] Accumulated output items (1): "), F.to_json(item))))
+    opened = (
+        F.when(client == "codex", F.to_json(F.struct(F.lit("session_meta").alias("type"), session.alias("session_id"), F.struct(F.lit("openai").alias("model_provider")).alias("payload"))))
+        .when(client == "pi", F.to_json(F.struct(F.lit("session").alias("type"), session.alias("id"))))
+        .when(client == "copilot", F.concat(F.lit("2024-01-01T00:00:00Z [INFO] Workspace initialized: "), session, F.lit(" (checkpoints: 0)"))))
+    # a conversation's first line opens its file and comes twice as two lines of one record, so the table is still read once
+    both = c.withColumn("value", F.explode(F.array_compact(F.array(F.when(F.col("turn") == 1, opened), line))))
+    first = (F.col("turn") == 1) & (F.col("value") == opened)
+    return both.select(client.alias("client"), session.alias("source_id"), F.lit("sessions").alias("source_kind"), session.alias("source_path"), F.when(F.coalesce(first, F.lit(False)), 0).otherwise(F.col("turn")).cast("long").alias("ordinal"), "value")
+
+
+@query(f"""WITH c AS (SELECT *, ['{"', '".join(MIXED)}'][conv_id % 6 + 1] AS client FROM conversations)
+SELECT client, CAST(conv_id AS VARCHAR) AS session_id, turn + 1 AS source_sequence, CASE WHEN client = 'copilot' THEN 'tool' ELSE 'message' END AS family,
+  CASE WHEN client <> 'copilot' THEN role END AS role, CASE WHEN client = 'copilot' THEN 't' || ((turn + 1) % 3) ELSE sha256(text) END AS said,
+  CASE client WHEN 'claude' THEN 'anthropic' WHEN 'codex' THEN 'openai' WHEN 'copilot' THEN 'github' END AS provider
+FROM c WHERE client = 'copilot' OR role IN ('user', 'assistant')""")
+def normalise_mixed_clients(spark, sf_dir):
+    """Lines of six clients normalised by one pass over one scan."""
+    got = sessions.normalise(_mixed_lines(spark, sf_dir)).where("quarantine_code is null and (family = 'tool' or role in ('user', 'assistant'))")
+    return got.select("client", "session_id", "source_sequence", "family", "role", F.coalesce("tool_name", F.sha2("text", 256)).alias("said"), "provider")
+
+
+def _page_calls(spark, sf_dir):
+    """A tool call for each page as a client records it: fetching its url through an MCP server, in a shell, or a file of its path read."""
+    p = table(spark, sf_dir, "pages").withColumn("path", F.concat(F.lit("/srv/"), F.regexp_extract("url", "//[^/]+/([^?#]*)", 1)))
+    n = F.col("page_id") % 3
+    name = F.when(n == 0, F.concat(F.lit("mcp__srv"), F.col("page_id") % 7, F.lit("__fetch"))).when(n == 1, "Bash").otherwise("Read")
+    given = F.when(n == 0, F.to_json(F.struct("url"))).when(n == 1, F.to_json(F.struct(F.concat(F.lit("A=1 /usr/bin/curl -s '"), "url", F.lit("'")).alias("command")))).otherwise(F.to_json(F.struct(F.col("path").alias("file_path"))))
+    line = F.concat(F.lit('{"type":"assistant","sessionId":"s","message":{"role":"assistant","model":"m1","content":[{"type":"tool_use","id":"c'), F.col("page_id"), F.lit('","name":"'), name, F.lit('","input":'), given, F.lit("}]}}"))
+    return _lines(p.withColumns({"conv_id": F.lit("f"), "turn": F.col("page_id")}), "claude", line)
+
+
+SELECTOR_SQL = r"""WITH p AS (
+  SELECT page_id, url, page_id % 3 AS n, regexp_extract(url, '//([^/:]+)', 1) AS host, regexp_extract(url, '^(https?):', 1) AS proto, '/srv/' || regexp_extract(url, '//[^/]+/([^?#]*)', 1) AS path FROM pages),
+f AS (
+  SELECT page_id, unnest([
+    {'s': 'tool.name', 'v': CASE n WHEN 0 THEN 'mcp__srv' || (page_id % 7) || '__fetch' WHEN 1 THEN 'Bash' ELSE 'Read' END},
+    {'s': 'mcp.server.id', 'v': CASE WHEN n = 0 THEN 'srv' || (page_id % 7) END}, {'s': 'mcp.tool.name', 'v': CASE WHEN n = 0 THEN 'fetch' END},
+    {'s': 'inference.provider', 'v': 'anthropic'}, {'s': 'inference.resolved_model', 'v': 'm1'},
+    {'s': 'resource.operation', 'v': CASE WHEN n = 2 THEN 'read' END}, {'s': 'resource.path', 'v': CASE WHEN n = 2 THEN path END},
+    {'s': 'network.domain', 'v': CASE WHEN n = 0 THEN host END}, {'s': 'network.protocol', 'v': CASE WHEN n = 0 THEN proto END},
+    {'s': 'network.port', 'v': CASE WHEN n = 0 THEN CASE proto WHEN 'https' THEN '443' ELSE '80' END END}, {'s': 'network.destination_class', 'v': CASE WHEN n = 0 THEN 'public' END},
+    {'s': 'process.name', 'v': CASE WHEN n = 1 THEN 'curl' END}, {'s': 'command.text', 'v': CASE WHEN n = 1 THEN 'A=1 /usr/bin/curl -s ''' || url || '''' END},
+    {'s': 'tool.arguments.keys', 'v': CASE n WHEN 0 THEN 'url' WHEN 1 THEN 'command' ELSE 'file_path' END},
+    {'s': 'tool.call_id', 'v': 'c' || page_id}, {'s': 'tool.stage', 'v': 'requested'}, {'s': 'session.id', 'v': 's'}]) AS x FROM p)
+SELECT page_id, x.s AS selector, x.v AS value FROM f WHERE x.v IS NOT NULL
+"""
+#: Selectors that the query reports: those that a call's record can fill.
+REPORTED = ("tool.name", "mcp.server.id", "mcp.tool.name", "inference.provider", "inference.resolved_model", "resource.operation", "resource.path", "network.domain", "network.protocol", "network.port", "network.destination_class", "process.name", "command.text", "tool.arguments.keys", "tool.call_id", "tool.stage", "session.id")
+
+
+@query(SELECTOR_SQL)
+def selector_facts(spark, sf_dir):
+    """Every selector resolved on observations of recorded calls, in one projection; those of REPORTED are listed where they have a value."""
+    obs = predicates.with_targets(sessions.normalize_claude(_page_calls(spark, sf_dir)))
+    facts = F.array(*[F.struct(F.lit(s).alias("selector"), predicates.selector(s).cast("string").alias("value")) for s in predicates.selectors()])
+    got = obs.select(F.col("source_sequence").alias("page_id"), F.explode(facts).alias("f")).select("page_id", "f.selector", "f.value")
+    return got.where(F.col("value").isNotNull() & F.col("selector").isin(*REPORTED))

@@ -6,11 +6,16 @@ fixed schema with one more column, ``quarantine_code``, that is null for good ro
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from dataclasses import dataclass, field
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sessionlens.functions.activity import argument_urls, tool_kind, written_paths
+from sessionlens.functions.activity import argument_urls, tool_kind, url_host, written_paths
 from sessionlens.schemas import OBSERVATIONS, struct
 
 MOST_RECORD = 8 * 1024 * 1024
@@ -18,15 +23,29 @@ MOST_RECORD = 8 * 1024 * 1024
 MS = "long"
 
 
-def read_sessions(spark: SparkSession, path: str, client: str, kind: str = "sessions") -> DataFrame:
+def _bare(path: Column) -> Column:
+    """A path without the local scheme, whatever its number of slashes."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
+def read_sessions(spark: SparkSession, path: str | dict[str, str], client: str | None = None, kind: str = "sessions") -> DataFrame:
     """Lines of all files below ``path`` with an ordinal that follows their order in the file.
 
+    ``path`` is one client's folder, or the folders of many clients by name: they are read by one scan, and a file belongs to
+    the client whose folder is the longest that holds it.
+
     The ordinal is the byte where the line's block starts plus the line's place in the block. A block has no more lines than
     bytes, so ordinals of later blocks are larger, and only a block's lines, never a whole file's, meet in a task.
     """
-    raw = spark.read.option("recursiveFileLookup", "true").text(path).select("value", F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    roots = path if isinstance(path, dict) else {client: path}
+    raw = spark.read.option("recursiveFileLookup", "true").text(sorted(set(roots.values()))).select("value", F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
     order = W.partitionBy("source_path", "_block").orderBy("_id")
-    return raw.where(F.trim("value") != "").select(F.lit(client).alias("client"), F.col("source_path").alias("source_id"), F.lit(kind).alias("source_kind"), "source_path", (F.col("_block") + F.row_number().over(order) - 1).cast("long").alias("ordinal"), "value")
+    owner = F.lit(client)
+    if isinstance(path, dict):
+        owner = F.lit(None).cast("string")
+        for name, root in sorted(path.items(), key=lambda r: len(r[1])):
+            owner = F.when(_bare(F.col("source_path")).startswith(re.sub("^file:/+", "/", root).rstrip("/") + "/"), name).otherwise(owner)
+    return raw.where(F.trim("value") != "").select(owner.alias("client"), F.col("source_path").alias("source_id"), F.lit(kind).alias("source_kind"), "source_path", (F.col("_block") + F.row_number().over(order) - 1).cast("long").alias("ordinal"), "value")
 
 
 def read_whole_sessions(spark: SparkSession, path: str, client: str, kind: str = "sessions") -> DataFrame:
@@ -46,6 +65,33 @@ def checked(lines: DataFrame) -> DataFrame:
     return lines.withColumn("bad", F.when(F.octet_length("value") > MOST_RECORD, "record_too_long").when(~envelope, "not_an_object"))
 
 
+def derived_facts(given: dict[str, Column], name: Column, arguments: Column) -> Column:
+    """Facts that selectors read and no column holds, from what the record says: a map of their names, without those it doesn't say.
+
+    An MCP server and tool come from a call named mcp__server__tool; provider and model name the inference; a native tool's kind is
+    the operation on its resource; a call's url names host, port, protocol and class of the destination; a shell call
+    names the process that it starts.
+    """
+    none = F.lit(None).cast("string")
+    url, host = given["url"], url_host(given["url"])
+    port = F.nullif(F.regexp_extract(url, r"^https?://[^/?#]*:(\d{1,5})(?=[/?#]|$)", 1), F.lit(""))
+    local = host.rlike(r"^(localhost|127\.[0-9.]+|0\.0\.0\.0|\[?::1\]?)$")
+    private = host.rlike(r"^(10\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.)|\.(local|internal|lan)$")
+    mcp = lambda group: F.nullif(F.regexp_extract(name, r"^mcp__(.+?)__(.+)$", group), F.lit(""))
+    kind = given["tool_kind"]
+    facts = {
+        "mcp.server.id": mcp(1), "mcp.tool.name": mcp(2),
+        "inference.provider": given.get("provider", none), "inference.resolved_model": given.get("model", none),
+        "resource.operation": F.when(kind == "file_read", "read").when(kind == "file_write", "write"),
+        "network.domain": host, "network.protocol": F.regexp_extract(F.when(host.isNotNull(), F.lower(url)), "^(https?):", 1),
+        "network.port": F.when(host.isNotNull(), F.coalesce(port, F.when(F.lower(url).startswith("https:"), "443").otherwise("80"))),
+        "network.destination_class": F.when(local, "loopback").when(private, "private").when(host.isNotNull(), "public"),
+        "process.name": F.nullif(F.regexp_extract(F.when(kind == "shell", given["command"]), r"^\s*(?:[A-Za-z_]\w*=\S*\s+)*(?:\S*/)?([\w.+-]+)", 1), F.lit("")),
+        "tool.arguments.keys": F.array_join(F.array_sort(F.json_object_keys(arguments)), ","),
+    }
+    return F.map_filter(F.create_map(*[x for k, v in facts.items() for x in (F.lit(k), v.cast("string"))]), lambda k, v: v.isNotNull())
+
+
 def fill(df: DataFrame, **columns) -> DataFrame:
     """Observations with these columns; ids, hashes, times and tool facts are derived, what nobody gives is null."""
     given = dict(columns)
@@ -57,6 +103,7 @@ def fill(df: DataFrame, **columns) -> DataFrame:
     given.setdefault("written_path", F.get(written_paths(name, call_args), F.lit(0)))
     given.setdefault("file_path", F.coalesce(*[F.get_json_object(call_args, f"$.{k}") for k in ("file_path", "path", "filePath", "notebook_path", "absolute_path", "target_file", "file", "filename")]))
     given.setdefault("caps", F.create_map(*[x for k in ("tool_call", "tool_execution", "user_context") for x in (F.lit(k), F.lit("supported"))]))
+    given.setdefault("extra", derived_facts(given, name, call_args))
     given.setdefault("source_sequence", F.col("ordinal"))
     given.setdefault("child_ordinal", F.lit(0))
     given.setdefault("ingestion_mode", F.lit("batch"))
@@ -75,18 +122,16 @@ def fill(df: DataFrame, **columns) -> DataFrame:
 
 def carried(col: Column, order: str = "ordinal") -> Column:
     """The last value seen so far in the file."""
-    return F.last(col, ignorenulls=True).over(W.partitionBy("source_id").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    return F.last(col, ignorenulls=True).over(W.partitionBy("client", "source_id").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
 
 
 BLOCKS = "array<struct<type:string,text:string,thinking:string,id:string,name:string,input:string,arguments:string,tool_use_id:string,content:string,is_error:boolean>>"
 
 
-def with_blocks(df: DataFrame, content: Column) -> DataFrame:
-    """One row for each content block; a plain string is one text block, and no content none but the record itself."""
+def as_blocks(content: Column) -> Column:
+    """The blocks of a message's content; a plain string is one text block."""
     text = F.array(F.struct(F.lit("text").alias("type"), content.alias("text"), *[F.lit(None).cast("string").alias(n) for n in ("thinking", "id", "name", "input", "arguments", "tool_use_id", "content")], F.lit(None).cast("boolean").alias("is_error")))
-    listed = F.from_json(content, BLOCKS)
-    blocks = F.when(F.trim(content).startswith("["), listed).when(content.isNotNull(), text.cast(BLOCKS))
-    return df.select("*", F.posexplode_outer(blocks).alias("child", "b"))
+    return F.when(F.trim(content).startswith("["), F.from_json(content, BLOCKS)).when(content.isNotNull(), text.cast(BLOCKS))
 
 
 def block_text(col: Column) -> Column:
@@ -95,87 +140,207 @@ def block_text(col: Column) -> Column:
     return F.when(F.trim(col).startswith("[{"), F.array_join(F.transform(parts, lambda p: p["text"]), "\n")).otherwise(col)
 
 
-def normalize_claude(lines: DataFrame) -> DataFrame:
-    """Messages, tool calls and tool results from the blocks of user and assistant records."""
-    df = checked(lines).withColumns({"type": js("$.type"), "content": js("$.message.content")})
-    df = with_blocks(df.where(F.col("bad").isNotNull() | F.col("type").isin("user", "assistant")), F.when(F.col("bad").isNull(), F.col("content")))
-    kind = F.col("b.type")
-    call, result = kind == "tool_use", kind == "tool_result"
-    return fill(
-        df, session_id=js("$.sessionId"), native_id=js("$.uuid"), occurred_at_raw=js("$.timestamp"), model=js("$.message.model"), agent=F.lit("claude"), provider=F.lit("anthropic"), child_ordinal=F.coalesce("child", F.lit(0)),
-        family=F.when(call | result, "tool").otherwise("message"), stage=F.when(call, "requested").when(result, "result").otherwise("recorded"), role=F.when(~F.coalesce(call | result, F.lit(False)), F.coalesce(js("$.message.role"), F.col("type"))),
-        text=F.when(~F.coalesce(call | result, F.lit(False)), F.coalesce("b.text", "b.thinking")), call_id=F.when(call, F.col("b.id")).when(result, F.col("b.tool_use_id")), tool_name=F.when(call, F.col("b.name")), arguments=F.when(call, F.col("b.input")),
+@dataclass(frozen=True)
+class Client:
+    """How one client's lines become observations, as expressions over ``value`` and the columns made before.
+
+    ``steps`` make columns one after the other, ``carries`` are values that hold until the next in the file, ``keep`` picks the
+    records, ``blocks`` lists what a record holds (none: the record itself), ``facts`` gives the observation's columns with the
+    block as ``b``. ``c`` names the client's own columns.
+    """
+
+    name: str
+    keep: Callable
+    facts: Callable
+    steps: tuple[Callable, ...] = ()
+    carries: Callable | None = None
+    blocks: Callable | None = None
+    envelope: bool = True
+    unreadable: Callable | None = field(default=None)
+
+
+CLIENTS: dict[str, Client] = {}
+
+
+def _client(**parts) -> Client:
+    made = Client(**parts)
+    CLIENTS[made.name] = made
+    return made
+
+
+def normalise(lines: DataFrame, clients: list[Client] | None = None) -> DataFrame:
+    """Observations of lines of any of ``clients``, which the column ``client`` tells apart, in one pass over the lines.
+
+    Each client's expressions are evaluated on its own lines only. All that is carried along a file comes from one window over
+    (client, file). Lines of no known client are quarantined.
+    """
+    clients = list(CLIENTS.values()) if clients is None else clients
+    alone = len(clients) == 1
+    own = {cl.name: F.lit(True) if alone else F.col("client") == cl.name for cl in clients}
+    names = {cl.name: (lambda n, p=cl.name: F.col(f"_{p}_{n}")) for cl in clients}
+
+    def chosen(values: dict[str, Column], kind: str | None = None) -> Column:
+        out = F.lit(None)
+        for name, value in values.items():
+            value = value if kind is None else value.cast(kind)
+            out = value if alone else F.when(own[name], value).otherwise(out)
+        return out
+
+    def made(df: DataFrame, columns: dict[str, dict[str, Column]], wrap: Callable = lambda x: x) -> DataFrame:
+        return df.withColumns({f"_{name}_{k}": wrap(v if alone else F.when(own[name], v)) for name, given in columns.items() for k, v in given.items()})
+
+    envelope = F.trim("value").startswith("{") & F.try_parse_json(F.col("value")).isNotNull()
+    json = reduce(lambda x, y: x | y, [own[cl.name] for cl in clients if cl.envelope], F.lit(False))
+    bad = F.when(F.octet_length("value") > MOST_RECORD, "record_too_long").when(json & ~envelope, "not_an_object")
+    if not alone:
+        bad = F.when(~F.coalesce(F.col("client").isin(*own), F.lit(False)), "unknown_client").otherwise(bad)
+    df = lines.withColumn("bad", bad)
+    for n in range(max(len(cl.steps) for cl in clients)):
+        df = made(df, {cl.name: cl.steps[n](names[cl.name]) for cl in clients if n < len(cl.steps)})
+    if any(cl.carries for cl in clients):
+        df = made(df, {cl.name: cl.carries(names[cl.name]) for cl in clients if cl.carries}, carried)
+    late = {cl.name: cl.unreadable(names[cl.name]) for cl in clients if cl.unreadable}
+    if late:
+        df = df.withColumn("bad", F.coalesce("bad", chosen(late, "string")))
+    kept = reduce(lambda x, y: x | y, [own[cl.name] & F.coalesce(cl.keep(names[cl.name]), F.lit(False)) for cl in clients])
+    df = df.where(F.col("bad").isNotNull() | kept)
+    held = {cl.name: cl.blocks(names[cl.name]) for cl in clients if cl.blocks}
+    df = df.select("*", F.posexplode_outer(F.when(F.col("bad").isNull(), chosen(held, BLOCKS))).alias("child", "b")) if held else df.withColumns({"child": F.lit(0), "b": F.lit(None).cast(BLOCKS[6:-1])})
+    facts = {cl.name: cl.facts(names[cl.name]) for cl in clients}
+    kinds = {f.name: f.dataType for f in struct(OBSERVATIONS)}
+    every = [f for f in kinds if any(f in given for given in facts.values())]
+    df = df.withColumns({f"_g_{f}": chosen({name: given[f] for name, given in facts.items() if f in given}, kinds[f].simpleString()) for f in every})
+    return fill(df, child_ordinal=F.coalesce("child", F.lit(0)), **{f: F.col(f"_g_{f}") for f in every})
+
+
+def _claude_facts(c) -> dict:
+    call, result = F.col("b.type") == "tool_use", F.col("b.type") == "tool_result"
+    said = ~F.coalesce(call | result, F.lit(False))
+    return dict(
+        session_id=js("$.sessionId"), native_id=js("$.uuid"), occurred_at_raw=js("$.timestamp"), model=js("$.message.model"), agent=F.lit("claude"), provider=F.lit("anthropic"),
+        family=F.when(call | result, "tool").otherwise("message"), stage=F.when(call, "requested").when(result, "result").otherwise("recorded"), role=F.when(said, F.coalesce(js("$.message.role"), c("type"))),
+        text=F.when(said, F.coalesce("b.text", "b.thinking")), call_id=F.when(call, F.col("b.id")).when(result, F.col("b.tool_use_id")), tool_name=F.when(call, F.col("b.name")), arguments=F.when(call, F.col("b.input")),
         tool_result=F.when(result, block_text(F.col("b.content"))), is_error=F.when(result, F.coalesce("b.is_error", F.lit(False))))
 
 
-def normalize_codex(lines: DataFrame) -> DataFrame:
-    """Messages, calls and outputs; session, provider and model come from the file's last session_meta line before each row."""
-    df = checked(lines).withColumns({"type": js("$.type"), "kind": js("$.payload.type")})
-    meta = F.col("type") == "session_meta"
-    df = df.withColumns({
-        "session": carried(F.when(meta, F.coalesce(js("$.session_id"), js("$.payload.id")))), "provider_": carried(F.when(meta, js("$.payload.model_provider"))),
-        "model_": carried(F.when(meta | (F.col("type") == "turn_context"), js("$.payload.model"))), "agent_": carried(F.when(meta, js("$.payload.agent_nickname")))})
-    df = df.where(F.col("bad").isNotNull() | meta | F.col("type").isin("event_msg", "response_item"))
-    k = F.col("kind")
+#: Messages, tool calls and tool results from the blocks of user and assistant records.
+CLAUDE = _client(
+    name="claude", steps=(lambda c: {"type": js("$.type"), "content": js("$.message.content")},),
+    keep=lambda c: c("type").isin("user", "assistant"), blocks=lambda c: as_blocks(c("content")), facts=_claude_facts)
+
+
+def _codex_facts(c) -> dict:
+    k, meta = c("kind"), c("type") == "session_meta"
     call, result = k.isin("tool_call", "function_call", "local_shell_call"), k.isin("function_call_output", "tool_result")
     said = k.isin("user_message", "assistant_message", "agent_message", "message")
     args = F.coalesce(js("$.payload.arguments"), F.when(js("$.payload.command").isNotNull(), F.to_json(F.struct(js("$.payload.command").alias("command")))))
-    return fill(
-        df, session_id=F.col("session"), occurred_at_raw=js("$.timestamp"), agent=F.coalesce("agent_", F.lit("codex")), model=F.col("model_"), provider=F.col("provider_"),
+    return dict(
+        session_id=c("session"), occurred_at_raw=js("$.timestamp"), agent=F.coalesce(c("agent"), F.lit("codex")), model=c("model"), provider=c("provider"),
         family=F.when(meta, "session").when(call | result, "tool").when(said, "message").otherwise("other"), stage=F.when(call, "requested").when(result, "result").otherwise("recorded"),
         role=F.when(k == "user_message", "user").when(k.isin("assistant_message", "agent_message"), "assistant").when(k == "message", js("$.payload.role")), text=F.when(said, F.coalesce(js("$.payload.message"), block_text(js("$.payload.content")))),
         call_id=js("$.payload.call_id"), tool_name=F.when(call, F.coalesce(js("$.payload.name"), js("$.payload.tool_name"), F.lit("shell"))), arguments=F.when(call, args), tool_result=F.when(result, js("$.payload.output")))
 
 
-def _flat(lines: DataFrame, agent: str) -> DataFrame:
+def _codex_carries(c) -> dict:
+    meta = c("type") == "session_meta"
+    return {
+        "session": F.when(meta, F.coalesce(js("$.session_id"), js("$.payload.id"))), "provider": F.when(meta, js("$.payload.model_provider")),
+        "model": F.when(meta | (c("type") == "turn_context"), js("$.payload.model")), "agent": F.when(meta, js("$.payload.agent_nickname"))}
+
+
+#: Messages, calls and outputs; session, provider and model come from the file's last session_meta line before each row.
+CODEX = _client(
+    name="codex", steps=(lambda c: {"type": js("$.type"), "kind": js("$.payload.type")},), carries=_codex_carries,
+    keep=lambda c: c("type").isin("session_meta", "event_msg", "response_item"), facts=_codex_facts)
+
+
+def _flat(name: str) -> Client:
     """Qwen's and OpenClaw's lines: one record is one observation."""
-    df = checked(lines).withColumn("type", js("$.type"))
-    df = df.where(F.col("bad").isNotNull() | F.col("type").isin("user", "assistant", "tool_call", "tool_result"))
-    t = F.col("type")
-    call, result = t == "tool_call", t == "tool_result"
-    return fill(
-        df, session_id=js("$.sessionId"), native_id=js("$.id"), occurred_at_raw=js("$.timestamp"), agent=F.coalesce(js("$.agent"), F.lit(agent)), provider=js("$.provider"), model=js("$.model"),
-        family=F.when(call | result, "tool").otherwise("message"), stage=F.when(call, "requested").when(result, "result").otherwise("recorded"), role=F.when(t.isin("user", "assistant"), t), text=F.when(t.isin("user", "assistant"), block_text(js("$.content"))),
-        call_id=F.coalesce(js("$.callId"), js("$.call_id")), tool_name=F.when(call | result, F.coalesce(js("$.name"), js("$.tool"))), arguments=F.when(call, F.coalesce(js("$.input"), js("$.arguments"))), tool_result=F.when(result, F.coalesce(block_text(js("$.content")), js("$.output"))))
+    def facts(c) -> dict:
+        t = c("type")
+        call, result = t == "tool_call", t == "tool_result"
+        return dict(
+            session_id=js("$.sessionId"), native_id=js("$.id"), occurred_at_raw=js("$.timestamp"), agent=F.coalesce(js("$.agent"), F.lit(name)), provider=js("$.provider"), model=js("$.model"),
+            family=F.when(call | result, "tool").otherwise("message"), stage=F.when(call, "requested").when(result, "result").otherwise("recorded"), role=F.when(t.isin("user", "assistant"), t), text=F.when(t.isin("user", "assistant"), block_text(js("$.content"))),
+            call_id=F.coalesce(js("$.callId"), js("$.call_id")), tool_name=F.when(call | result, F.coalesce(js("$.name"), js("$.tool"))), arguments=F.when(call, F.coalesce(js("$.input"), js("$.arguments"))), tool_result=F.when(result, F.coalesce(block_text(js("$.content")), js("$.output"))))
 
+    return _client(name=name, steps=(lambda c: {"type": js("$.type")},), keep=lambda c: c("type").isin("user", "assistant", "tool_call", "tool_result"), facts=facts)
 
-def normalize_qwen(lines: DataFrame) -> DataFrame:
-    return _flat(lines, "qwen")
 
+QWEN, OPENCLAW = _flat("qwen"), _flat("openclaw")
 
-def normalize_openclaw(lines: DataFrame) -> DataFrame:
-    return _flat(lines, "openclaw")
 
+def _pi_tool(c) -> tuple[Column, Column]:
+    return F.coalesce(c("role") == "bashExecution", F.lit(False)), F.coalesce(c("role").isin("toolResult", "tool"), F.lit(False))
 
-def normalize_pi(lines: DataFrame) -> DataFrame:
-    """Messages with their blocks, tool results and bash executions; the session line names the session of its file."""
-    df = checked(lines).withColumns({"type": js("$.type"), "role_": js("$.message.role")})
-    df = df.withColumn("session", carried(F.when(F.col("type") == "session", js("$.id"))))
-    df = df.where(F.col("bad").isNotNull() | F.col("type").isin("session", "message"))
-    bash, result = F.col("role_") == "bashExecution", F.col("role_").isin("toolResult", "tool")
-    df = with_blocks(df, F.when(F.col("bad").isNull() & ~F.coalesce(bash | result, F.lit(False)), js("$.message.content")))
-    call = F.col("b.type") == "toolCall"
-    tool = F.coalesce(call | bash | result, F.lit(False))
-    return fill(
-        df, session_id=F.col("session"), native_id=js("$.id"), occurred_at_raw=js("$.timestamp"), agent=F.lit("pi"), provider=js("$.message.provider"), model=js("$.message.model"), child_ordinal=F.coalesce("child", F.lit(0)),
-        family=F.when(F.col("type") == "session", "session").when(tool, "tool").otherwise("message"), stage=F.when(result, "result").when(call, "requested").when(bash, "completed").otherwise("recorded"), role=F.when(~tool, F.col("role_")), text=F.when(~tool, F.coalesce("b.text", "b.thinking")),
+
+def _pi_facts(c) -> dict:
+    bash, result = _pi_tool(c)
+    call = F.coalesce(F.col("b.type") == "toolCall", F.lit(False))
+    tool = call | bash | result
+    return dict(
+        session_id=c("session"), native_id=js("$.id"), occurred_at_raw=js("$.timestamp"), agent=F.lit("pi"), provider=js("$.message.provider"), model=js("$.message.model"),
+        family=F.when(c("type") == "session", "session").when(tool, "tool").otherwise("message"), stage=F.when(result, "result").when(call, "requested").when(bash, "completed").otherwise("recorded"), role=F.when(~tool, c("role")), text=F.when(~tool, F.coalesce("b.text", "b.thinking")),
         call_id=F.when(call, F.col("b.id")).when(result, js("$.message.toolCallId")), tool_name=F.when(call, F.col("b.name")).when(bash, "bash").when(result, js("$.message.toolName")), arguments=F.when(call, F.col("b.arguments")).when(bash, F.to_json(F.struct(js("$.message.command").alias("command")))),
         tool_result=F.when(result, block_text(js("$.message.content"))).when(bash, js("$.message.output")), is_error=F.when(result, js("$.message.isError").cast("boolean")), exit_code=F.when(bash, F.expr("try_cast(get_json_object(value, '$.message.exitCode') as bigint)")))
 
 
+#: Messages with their blocks, tool results and bash executions; the session line names the session of its file.
+PI = _client(
+    name="pi", steps=(lambda c: {"type": js("$.type"), "role": js("$.message.role")},), carries=lambda c: {"session": F.when(c("type") == "session", js("$.id"))},
+    keep=lambda c: c("type").isin("session", "message"), blocks=lambda c: as_blocks(F.when(~(_pi_tool(c)[0] | _pi_tool(c)[1]), js("$.message.content"))), facts=_pi_facts)
+
 LOG_LINE = r"^(\S+)\s+\[(\w+)\]\s+(.*)$"
 CALLS = "array<struct<type:string,id:string,call_id:string,name:string,arguments:string,status:string>>"
 
 
+def _copilot_blocks(c) -> Column:
+    none = lambda n: F.lit(None).cast("string").alias(n)
+    return F.transform(F.filter(c("items"), lambda i: i["type"] == "function_call"), lambda i: F.struct(
+        i["type"].alias("type"), none("text"), none("thinking"), i["id"].alias("id"), i["name"].alias("name"), none("input"), i["arguments"].alias("arguments"), i["call_id"].alias("tool_use_id"), i["status"].alias("content"), F.lit(None).cast("boolean").alias("is_error")))
+
+
+def _copilot_facts(c) -> dict:
+    call = F.col("b").isNotNull()
+    return dict(
+        session_id=c("session"), native_id=F.col("b.id"), occurred_at_raw=c("at"), agent=F.lit("copilot"), provider=F.lit("github"), family=F.when(call, "tool").otherwise("session"), stage=F.when(call, "requested").otherwise("recorded"),
+        call_id=F.col("b.tool_use_id"), tool_name=F.col("b.name"), arguments=F.col("b.arguments"), reported_status=F.col("b.content"))
+
+
+#: Calls that a process log accumulates, in the session whose workspace was last initialised; one log may hold several sessions.
+COPILOT = _client(
+    name="copilot", envelope=False,
+    steps=(
+        lambda c: {"at": F.regexp_extract("value", LOG_LINE, 1), "said": F.regexp_extract("value", LOG_LINE, 3)},
+        lambda c: {"body": F.regexp_extract(c("said"), r"^Accumulated output items \(\d+\): (.*)$", 1)},
+        lambda c: {"items": F.when(c("body") != "", F.from_json(c("body"), CALLS))}),
+    carries=lambda c: {"session": F.nullif(F.regexp_extract(c("said"), r"^Workspace initialized: (\S+)", 1), F.lit(""))},
+    unreadable=lambda c: F.when((c("body") != "") & c("items").isNull(), "unreadable_items"),
+    keep=lambda c: c("said").startswith("Workspace initialized:") | (c("body") != ""), blocks=_copilot_blocks, facts=_copilot_facts)
+
+
+def normalize_claude(lines: DataFrame) -> DataFrame:
+    return normalise(lines, [CLAUDE])
+
+
+def normalize_codex(lines: DataFrame) -> DataFrame:
+    return normalise(lines, [CODEX])
+
+
+def normalize_qwen(lines: DataFrame) -> DataFrame:
+    return normalise(lines, [QWEN])
+
+
+def normalize_openclaw(lines: DataFrame) -> DataFrame:
+    return normalise(lines, [OPENCLAW])
+
+
+def normalize_pi(lines: DataFrame) -> DataFrame:
+    return normalise(lines, [PI])
+
+
 def normalize_copilot(lines: DataFrame) -> DataFrame:
-    """Calls that a process log accumulates, in the session whose workspace was last initialised; one log may hold several sessions."""
-    df = lines.withColumns({"at": F.regexp_extract("value", LOG_LINE, 1), "said": F.regexp_extract("value", LOG_LINE, 3)})
-    df = df.withColumn("session", carried(F.nullif(F.regexp_extract("said", r"^Workspace initialized: (\S+)", 1), F.lit(""))))
-    body = F.regexp_extract("said", r"^Accumulated output items \(\d+\): (.*)$", 1)
-    df = df.withColumn("items", F.when(body != "", F.from_json(body, CALLS))).withColumn("bad", F.when((body != "") & F.col("items").isNull(), "unreadable_items"))
-    opened = F.col("said").startswith("Workspace initialized:")
-    df = df.where(opened | (body != "")).select("*", F.posexplode_outer(F.filter("items", lambda i: i["type"] == "function_call")).alias("child", "i"))
-    return fill(df, session_id=F.col("session"), native_id=F.col("i.id"), occurred_at_raw=F.col("at"), agent=F.lit("copilot"), provider=F.lit("github"), child_ordinal=F.coalesce("child", F.lit(0)), family=F.when(F.col("i").isNotNull(), "tool").otherwise("session"), stage=F.when(F.col("i").isNotNull(), "requested").otherwise("recorded"), call_id=F.col("i.call_id"), tool_name=F.col("i.name"), arguments=F.col("i.arguments"), reported_status=F.col("i.status"))
+    return normalise(lines, [COPILOT])
 
 
 def normalize_opencode(parts: DataFrame, messages: DataFrame, client: str = "opencode") -> DataFrame:

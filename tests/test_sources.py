@@ -161,3 +161,36 @@ def test_session_stream_scores_files(spark, tmp_path):
     q = streams.score_stream(streams.stream_sessions(spark, str(tmp_path / "in"), "claude"), sessions.normalize_claude, lambda d: d, lambda d, n: seen.extend(r["session_id"] for r in d.collect()), str(tmp_path / "ck"), {"availableNow": True})
     q.awaitTermination(120)
     assert seen == ["s"]
+
+
+def test_all_clients_in_one_scan(spark, tmp_path):
+    said = {"type": "user", "sessionId": "s1", "message": {"role": "user", "content": "hi"}}
+    files = {
+        "claude": [said], "qwen": [{"type": "user", "sessionId": "s2", "content": "hi"}], "pi": [{"type": "session", "id": "s3"}, {"type": "message", "message": {"role": "user", "content": "hi"}}],
+        "claude/more": [{**said, "sessionId": "s4"}], "else": [said]}
+    for name, records in files.items():
+        (tmp_path / name).mkdir(parents=True)
+        (tmp_path / name / "a b.jsonl").write_text("".join(json.dumps(r) + "\n" for r in records))
+    roots = {"claude": str(tmp_path / "claude"), "qwen": str(tmp_path / "qwen"), "pi": str(tmp_path / "pi"), "gemini": str(tmp_path / "else")}
+    obs, bad = SessionAnalytics(spark).observations(roots)
+    got = sorted((r["client"], r["session_id"], r["text"]) for r in obs.where("family = 'message'").collect())
+    assert got == [("claude", "s1", "hi"), ("claude", "s4", "hi"), ("pi", "s3", "hi"), ("qwen", "s2", "hi")]
+    assert [(r["client"], r["quarantine_code"]) for r in bad.collect()] == [("gemini", "unknown_client")]
+    plan = obs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+    inner = sessions.read_sessions(spark, {"claude": str(tmp_path / "claude"), "qwen": str(tmp_path / "claude" / "more")})
+    assert sorted(r["client"] for r in inner.collect()) == ["claude", "qwen"]
+
+
+def test_one_pass_equals_each_client_alone(spark):
+    from sessionlens.plans.operator_queries import _mixed_lines
+
+    mixed = _mixed_lines(spark, "/root/testdata/sf0.001").cache()
+    drop = ("observed_at", "caps", "extra")
+    alone = None
+    for c in sessions.CLIENTS.values():
+        got = sessions.normalise(mixed.where(F.col("client") == c.name), [c]).drop(*drop)
+        alone = got if alone is None else alone.unionByName(got)
+    together = sessions.normalise(mixed).drop(*drop)
+    assert together.exceptAll(alone).count() == alone.exceptAll(together).count() == 0
+    assert together.count() > 80
