@@ -119,11 +119,13 @@ def command_tokens(obs: DataFrame, column: str = "command") -> DataFrame:
 
 
 def json_shell_call(arguments: Column) -> Column:
-    """The command of a JSON call with exactly one command member and otherwise scalars, else null."""
-    given = F.from_json(arguments, "map<string,string>")
-    names = F.filter(F.map_keys(given), lambda k: k.isin("command", "cmd", "script"))
-    scalar = F.forall(F.map_values(given), lambda v: F.coalesce(~v.rlike(r"^\s*[\[{]"), F.lit(True)))
-    return F.when((F.size(names) == 1) & scalar, F.try_element_at(given, names[0]))
+    """The command of a recorded JSON shell call, as :func:`~sessionlens.operators.spans.shell_call` reads it, else null."""
+    from sessionlens.operators.spans import shell_call
+
+    def read(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None or (call := shell_call(t)) is None else call[0] for t in texts], dtype=object)
+
+    return F.pandas_udf(read, "string")(F.when(F.ltrim(arguments).startswith("{"), arguments))
 
 
 def bare_tokens(tokens: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from sessionlens.functions import privacy
-from sessionlens.operators import commands
+from sessionlens.operators import commands, spans
 from sessionlens.operators.predicates import with_targets
 from sessionlens.schemas import TARGETS
 
@@ -114,17 +114,16 @@ def _field_hit(m: Matcher) -> Column:
     clean = F.lit(True) if m.exclusion is None else ~f.rlike(m.exclusion)
     if m.scope == "segment" and m.target == "command":
         return F.exists(F.coalesce("segments", F.array(f)), lambda s: s.rlike(m.regex) & (F.lit(True) if m.exclusion is None else ~s.rlike(m.exclusion)))
-    if m.scope == "exclusion_segment" and m.target == "command" and m.exclusion:
-        # the segment that holds the selection decides; a selection that no single segment holds is judged on the whole
-        held = F.filter(F.coalesce("segments", F.array(f)), lambda s: s.rlike(m.regex))
-        return f.rlike(m.regex) & F.when(F.size(held) > 0, F.exists(held, lambda s: ~s.rlike(m.exclusion))).otherwise(clean)
+    if m.scope in spans.SCOPES and (m.scope == "segment" or m.exclusion):
+        # the segment that holds a match decides, whatever the field: see spans
+        return F.when(f.isNotNull(), spans.counting_span(f, m.regex, m.exclusion, m.scope).isNotNull())
     if m.scope == "recorded_exclusion" and m.target == "command":
         return (f.rlike(m.regex) | F.coalesce(F.col("quote_free"), f).rlike(m.regex)) & clean
     return f.rlike(m.regex) & clean
 
 
 def _needs_commands(rules: list[Rule]) -> bool:
-    return any(m.scope != "field" and m.target == "command" for r in rules for m in r.matchers)
+    return any(m.scope in ("segment", "recorded_exclusion") and m.target == "command" for r in rules for m in r.matchers)
 
 
 def with_hits(obs: DataFrame, rules: list[Rule]) -> DataFrame:

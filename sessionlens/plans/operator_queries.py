@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sessionlens.functions import activity, privacy
 from sessionlens.operators import baseline, commands, gold, predicates, process, rules, sequences
-from sessionlens.plans.inputs import WORD_RULES, actions, conversations, table
+from sessionlens.plans.inputs import WORD_RULES, actions, conversations, observations, table
 from sessionlens.plans.registry import query
 from sessionlens.sources import feeds, sessions
 
@@ -321,3 +321,27 @@ def selector_facts(spark, sf_dir):
     facts = F.array(*[F.struct(F.lit(s).alias("selector"), predicates.selector(s).cast("string").alias("value")) for s in predicates.selectors()])
     got = obs.select(F.col("source_sequence").alias("page_id"), F.explode(facts).alias("f")).select("page_id", "f.selector", "f.value")
     return got.where(F.col("value").isNotNull() & F.col("selector").isin(*REPORTED))
+
+
+SPANS_SQL = r"""WITH p AS (SELECT page_id, url, lead(url, 1, url) OVER (ORDER BY page_id) AS then_url FROM pages),
+k AS (SELECT *, regexp_matches(url, '://[^/]*\.example\.org') AS a, regexp_matches(then_url, '://[^/]*\.example\.org') AS b FROM p)
+SELECT page_id, field FROM k, (VALUES ('command'), ('arguments')) f(field)
+WHERE CASE WHEN field = 'arguments' AND page_id % 3 > 0 THEN NOT (a OR b) WHEN page_id % 3 = 0 THEN NOT (a OR b) ELSE NOT a OR NOT b END
+"""
+
+
+@query(SPANS_SQL)
+def excluded_segments(spark, sf_dir):
+    """Two uploads to a page's url and the next one's: an exclusion of one domain judges the segment that holds the upload.
+
+    Where the two are one segment, by an escaped separator, and in the recorded call, one string to a shell reader, either domain excludes both.
+    """
+    from pyspark.sql import Window as W
+
+    p = table(spark, sf_dir, "pages").withColumn("then", F.coalesce(F.lead("url").over(W.orderBy("page_id")), "url"))
+    sep = F.when(F.col("page_id") % 3 == 0, r" \; ").when(F.col("page_id") % 3 == 1, " && ").otherwise("\n")
+    line = F.concat(F.lit("curl -d a '"), "url", F.lit("'"), sep, F.lit("curl -d b '"), "then", F.lit("'"))
+    obs = observations(p, client=F.lit("pages"), source_instance=F.lit("pages"), session_id=F.lit("s"), observation_id=F.col("page_id").cast("string"), family=F.lit("tool"), stage=F.lit("requested"), tool_name=F.lit("bash"), command=line, arguments=F.to_json(F.struct(line.alias("cmd"), F.lit(5).alias("timeout"))))
+    upload = [rules.Matcher(t, r"curl -d \w+ '[^']+'", r"://[^/]*\.example\.org", "exclusion_segment") for t in ("command", "arguments")]
+    got = rules.match_rules(obs, [rules.Rule("upload", "exfiltration", 60, "high", tuple(upload))])
+    return got.select(F.col("observation_id").cast("long").alias("page_id"), "field")

@@ -213,7 +213,7 @@ def test_commands(spark):
     assert one(commands.piped_download(st), "observation_id") == [1]
     assert commands.command_segments(df).where("observation_id = 8").count() == 1
     assert one(commands.command_tokens(df).where("observation_id = 8 and token_no = 1"), "token") == ["a; b"]
-    args = spark.createDataFrame([('{"command":"ls","n":1}',), ('{"command":"ls","x":{"a":1}}',), ('{"a":1}',)], "a string")
+    args = spark.createDataFrame([('{"command":"ls","timeout":1}',), ('{"command":"ls","x":{"a":1}}',), ('{"a":1}',)], "a string")
     assert one(args, commands.json_shell_call(F.col("a"))) == ["ls", None, None]
 
 
