@@ -64,7 +64,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     finish time is the source's words up to and with it, divided by the source's weight. All plays in order of finish
     time are taken while they fit the budget of ``share`` times all words: a source that runs out leaves its room to
     the others, which is what :func:`source_targets` says in closed form. ``taken`` is copies times size. Repeated ids
-    are documents of their own, null ids come first in the shuffle, a null or empty text has size 0 and takes nothing;
+    are documents of their own, ids may be of any type, null ids come first in the shuffle, a null or empty text has size 0 and takes nothing;
     an empty table gives an empty result. The order depends on ids alone, so reruns agree.
 
     The global order by finish time is cut into equal steps of time. Their sums say which step holds the budget's
@@ -94,7 +94,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         copies = F.lit(most)
     else:
         at, below = end[0]["_step"], end[0]["_to"] - end[0]["_sum"]
-        key = lambda play, time: F.struct(time.alias("a"), F.col("source").isNull().alias("b"), F.coalesce("source", F.lit("")).alias("c"), play.alias("d"), F.col("_shuffle").alias("e"), F.coalesce("doc_id", F.lit(0)).alias("f"), F.col("size").alias("g"))
+        key = lambda play, time: F.struct(time.alias("a"), F.col("source").isNull().alias("b"), F.coalesce("source", F.lit("")).alias("c"), play.alias("d"), F.col("_shuffle").alias("e"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("f"), F.col("size").alias("g"))
         edge = plays.where(F.col("_step") == at).withColumn("_key", key(F.col("_play"), F.col("_finish")))
         edge = edge.withColumn("_to", F.sum("size").over(W.orderBy("_key").rowsBetween(W.unboundedPreceding, 0)) + below)
         last = edge.where(F.col("_to") <= budget).agg(F.max("_key").alias("k")).first()["k"]

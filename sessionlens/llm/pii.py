@@ -208,14 +208,18 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with its text sanitised: entities become their kind in capitals, disclosing terms are removed.
 
-    Rows keep all their columns. Where spans overlap the first one wins. Ids are expected to be unique; rows with a null
-    id and rows with a null text stay as they are.
+    Rows keep all their columns. Where spans overlap the first one wins. Rows are told apart by a key of their own, so each is
+    cleaned by its own spans, whatever its id: null, repeated or unique. Columns travel in a struct, so none of their names can
+    clash. A null text stays null.
     """
-    spans = find_pii(docs, id_col, text_col, **options).where("doc_id is not null and spans <> ''").groupBy(F.col("doc_id").alias("_id")).agg(F.max("spans").alias("_spans"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = cut(docs.select(whole, F.monotonically_increasing_id().alias("nth")))
+    text = F.col("row").getField(text_col).cast("string")
+    spans = find_pii(rows.select("nth", text.alias("text")), "nth", "text", **options).where("spans <> ''").select(F.col("doc_id").alias("nth"), F.col("spans").alias("_spans"))
     parts = F.transform(F.split("_spans", ","), lambda s: F.struct(F.split(s, ":")[1].cast("int").alias("a"), F.split(s, ":")[2].cast("int").alias("b"), F.split(s, ":")[0].alias("k")))
-    text = F.col(text_col)
     label = lambda k: F.when(k == "term", "").otherwise(F.concat(F.lit("["), F.upper(k), F.lit("]")))
     step = lambda acc, s: F.when(s["a"] < acc["at"], acc).otherwise(F.struct(s["b"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["a"] - acc["at"]), label(s["k"])).alias("out")))
     done = F.aggregate(F.array_sort(parts), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
     clean = F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
-    return docs.join(spans, F.col(id_col) == F.col("_id"), "left").withColumn(text_col, F.when(F.col("_spans").isNull() | text.isNull(), text).otherwise(clean)).drop("_id", "_spans")
+    out = rows.join(spans, "nth", "left").withColumn("clean", F.when(F.col("_spans").isNull() | text.isNull(), text).otherwise(clean))
+    return out.select(*[F.col("clean").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
