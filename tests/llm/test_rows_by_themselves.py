@@ -6,7 +6,7 @@ from sessionlens.llm import mixing, pii
 def test_sanitised_by_row(spark):
     rows = [(None, "mail a@b.de now", 1), (7, "y card 4111 1111 1111 1111", 2), (7, "x", 3), (8, "ip 10.0.0.1, a@b.de", 4), (9, None, 5), (9, "", 6)]
     df = spark.createDataFrame(rows, "doc_id long, text string, _spans int").repartition(3)
-    got = {r["_spans"]: (r["doc_id"], r["text"]) for r in pii.sanitised(df, least_entities=100).collect()}
+    got = {r["_spans"]: (r["doc_id"], r["text"]) for r in pii.sanitised(df, least_share=2.0).collect()}
     assert got == {1: (None, "mail [EMAIL] now"), 2: (7, "y card [CARD]"), 3: (7, "x"), 4: (8, "ip [IP], [EMAIL]"), 5: (9, None), 6: (9, "")}
     assert pii.sanitised(df).columns == df.columns
 
