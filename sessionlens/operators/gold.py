@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sessionlens.functions.activity import format_time, response, severity_rank
+from sessionlens.functions.activity import format_time, response, severity, severity_rank
 from sessionlens.operators.scoring import sorted_set
 from sessionlens.operators.sequences import call_links, timeline_index
-from sessionlens.schemas import EVENT_TYPES, EVENTS, SEVERITIES, struct
+from sessionlens.schemas import CONTRIBUTION, EVENT_TYPES, EVENTS, SEVERITIES, struct
 
 NONE = "array<string>"
 LABELS = ("rule_ids", "categories", "detection_classes", "signal_types", "analytic_intents", "atlas_tags")
@@ -127,12 +127,56 @@ def allowlisted(events: DataFrame, allowlist: DataFrame, most: int = 5000) -> Da
     return df.withColumns({c: F.when(on, v).otherwise(F.col(c)) if c in kind else F.when(on, v) for c, v in change.items()}).drop("_row", "_n", "_entry", "ord", "_name", *[f"_{c}" for c in names])
 
 
-def session_risk_summary(events: DataFrame, keys=("client", "source_path_hash", "session_id")) -> DataFrame:
-    """One row for each session: highest score, last time, counts by event type, first tool's count, sorted label sets."""
-    return events.groupBy(*keys).agg(
-        F.max("risk_score").alias("risk_score"), F.max_by("severity", severity_rank(F.col("severity"))).alias("severity"), F.max("event_time").alias("event_time"), F.count(F.lit(1)).alias("events"),
-        *[F.count_if(F.col("event_type") == t).alias(f"n_{t}") for t in ("detection", "activity", "process_chain")], F.countDistinct("tool_name").alias("tools"),
-        *[F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.coalesce(c, F.array().cast(NONE)))))).alias(c) for c in LABELS if c in events.columns])
+SUMMARY_KEYS = ("client", "source_path_hash", "session_id")
+
+
+def _summarised(events: DataFrame) -> DataFrame:
+    """The events that a session's summary is made of: activities and detections, but not the scanner's own."""
+    return events.where(F.col("event_type").isin("activity", "detection") & ~F.coalesce(F.col("session_id") == "scanner", F.lit(False)))
+
+
+def summary_problems(events: DataFrame, keys=SUMMARY_KEYS) -> DataFrame:
+    """(keys…, problem): sessions whose events don't add up, which get no summary.
+
+    ``score_is_not_the_sum``: an event with contributions, or of schema 2.0, declares another score than their sum.
+    ``conflicting_contribution``: two events give one (type, id) unlike points or rationale.
+    """
+    own = _summarised(events)
+    parts = F.coalesce("risk_contributions", F.array().cast(f"array<{CONTRIBUTION}>"))
+    total = F.aggregate(parts, F.lit(0).cast("long"), lambda acc, c: acc + c["points"])
+    declared = (F.size(parts) > 0) | F.coalesce(F.col("schema_version") == "2.0", F.lit(False))
+    wrong = own.where(declared & (F.coalesce("risk_score", F.lit(0)) != total)).select(*keys, F.lit("score_is_not_the_sum").alias("problem"))
+    said = own.select(*keys, F.explode(parts).alias("c")).groupBy(*keys, "c.type", "c.id").agg(F.min(F.struct("c.points", "c.rationale")).alias("low"), F.max(F.struct("c.points", "c.rationale")).alias("high"))
+    return wrong.unionByName(said.where(~F.col("low").eqNullSafe(F.col("high"))).select(*keys, F.lit("conflicting_contribution").alias("problem"))).distinct()
+
+
+def session_risk_summary(events: DataFrame, keys=SUMMARY_KEYS) -> DataFrame:
+    """One summary event's facts for each session: the union of its events' contributions and their sum, severity, last time, counts.
+
+    A contribution counts once for a session, by type and id, however many events name it. Label sets and rule ids are those of
+    detections; ``tool_calls`` is what the first activity's evidence counts. ``events`` and ``n_…`` count activities and
+    detections. Sessions in :func:`summary_problems` are left out.
+    """
+    keys = list(keys)
+    bad = summary_problems(events, keys).select(*keys).distinct()
+    own = _summarised(events).withColumn("_key", F.struct(*keys))
+    own = own.join(bad.select(F.struct(*keys).alias("_bad")), F.col("_key").eqNullSafe(F.col("_bad")), "left_anti")
+    kind = dict(own.dtypes)
+    detection, activity_ = F.col("event_type") == "detection", F.col("event_type") == "activity"
+    order = F.struct("event_time", "event_id") if "event_time" in kind else F.struct("timestamp", "event_id")
+    shown = F.get(F.filter("evidence", lambda e: e["field"] == "record_counts"), F.lit(0))["redacted_value"] if "evidence" in kind else F.lit(None).cast("string")
+    calls = F.get_json_object(shown, "$.tool_call").try_cast("long")
+    sets = [F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(detection, F.col(c)))))).alias(c) for c in LABELS if c in kind]
+    last = [F.max(c).alias(c) for c in ("timestamp", "event_time") if c in kind]
+    out = own.groupBy("_key").agg(
+        F.count(F.lit(1)).alias("events"), F.count_if(activity_).alias("n_activity"), F.count_if(detection).alias("n_detection"),
+        F.min_by(calls, F.when(activity_ & calls.isNotNull(), order)).alias("tool_calls"), *last, *sets)
+    parts = own.select("_key", F.explode("risk_contributions").alias("c")).groupBy("_key", "c.type", "c.id").agg(F.min(F.struct("c.points", "c.rationale")).alias("v"))
+    parts = parts.groupBy("_key").agg(F.sum("v.points").alias("_sum"), F.array_sort(F.collect_list(F.struct("id", "type", "v.points", "v.rationale"))).alias("_parts"))
+    both = out.join(parts.withColumnRenamed("_key", "_own"), F.col("_key").eqNullSafe(F.col("_own")), "left")
+    score = F.coalesce("_sum", F.lit(0)).cast("long")
+    tags = F.array_sort(F.array_compact(F.array(F.lit("risk_summary"), F.lit("session"), F.when(F.col("n_detection") > 0, "risky_action"), F.when(F.col("n_activity") > 0, "activity"))))
+    return both.withColumns({"risk_score": score, "severity": severity(score), "risk_contributions": F.coalesce("_parts", F.array().cast(f"array<{CONTRIBUTION}>")), "tags": tags}).select(*[F.col("_key").getField(k).alias(k) for k in keys], *[c for c in both.columns if c not in ("_key", "_own", "_sum", "_parts")], "risk_score", "severity", "risk_contributions", "tags")
 
 
 def event_summary(events: DataFrame) -> DataFrame:

@@ -24,10 +24,27 @@ def event_summary(spark, sf_dir):
     return gold.event_summary(detections(spark, sf_dir))
 
 
-@query(f"""WITH {DETECTION_SQL} SELECT client, session_id, max(risk_score) AS risk_score, count(*) AS events, count(DISTINCT tool_name) AS tools, string_agg(DISTINCT category, ',' ORDER BY category) AS categories FROM d GROUP BY 1, 2""")
+SUMMARY_SQL = f"""WITH {DETECTION_SQL},
+u AS (SELECT DISTINCT client, session_id, unnest(rule_ids) AS id FROM d),
+p AS (SELECT client, session_id, CAST(sum(length(id)) AS BIGINT) AS risk_score, string_agg(id || ':' || length(id), ',' ORDER BY id) AS parts FROM u GROUP BY 1, 2)
+SELECT client, session_id, p.risk_score, p.parts, count(*) + 1 AS events, count(*) AS n_detection, count(*) FILTER (WHERE tool_name <> 'view') AS tool_calls, max(timestamp) AS timestamp,
+  string_agg(DISTINCT category, ',' ORDER BY category) AS categories, 'activity,risk_summary,risky_action,session' AS tags,
+  CASE WHEN p.risk_score >= 90 THEN 'critical' WHEN p.risk_score >= 70 THEN 'high' WHEN p.risk_score >= 50 THEN 'medium' WHEN p.risk_score >= 20 THEN 'low' ELSE 'informational' END AS severity
+FROM d JOIN p USING (client, session_id) GROUP BY client, session_id, p.risk_score, p.parts"""
+
+
+@query(SUMMARY_SQL)
 def session_risk_summary(spark, sf_dir):
-    s = gold.session_risk_summary(detections(spark, sf_dir))
-    return s.select("client", "session_id", "risk_score", "events", "tools", JOINED("categories").alias("categories"))
+    """Detections whose rules each give as many points as their name is long, and one activity a session with the number of its calls."""
+    d = detections(spark, sf_dir)
+    parts = F.transform("rule_ids", lambda r: F.struct(r.alias("id"), F.lit("rule").alias("type"), F.length(r).cast("long").alias("points"), F.lit("").alias("rationale")))
+    found = d.withColumns({"risk_contributions": parts, "risk_score": F.aggregate(parts, F.lit(0).cast("long"), lambda a, c: a + c["points"])})
+    calls = d.groupBy("client", "source_path_hash", "session_id").agg(F.count_if(F.col("tool_name") != "view").alias("n"))
+    shown = F.to_json(F.struct(F.col("n").alias("tool_call")))
+    acts = calls.withColumns({"event_type": F.lit("activity"), "event_id": F.concat(F.lit("act"), "session_id"), "risk_score": F.lit(0), "evidence": F.array(F.struct(F.lit("record_counts").alias("field"), shown.alias("redacted_value"), F.lit(None).cast("string").alias("hash"), F.lit(None).cast("string").alias("rule_id")))})
+    s = gold.session_risk_summary(gold.as_events(found).unionByName(gold.as_events(acts)))
+    shares = F.array_join(F.transform("risk_contributions", lambda c: F.concat(c["id"], F.lit(":"), c["points"])), ",")
+    return s.select("client", "session_id", "risk_score", shares.alias("parts"), "events", "n_detection", "tool_calls", "timestamp", JOINED("categories").alias("categories"), JOINED("tags").alias("tags"), "severity")
 
 
 @query(f"""WITH {DETECTION_SQL}, r AS (SELECT session_id, client, value, count(*) AS n FROM (SELECT session_id, client, unnest(rule_ids) AS value FROM d) GROUP BY ALL),

@@ -324,3 +324,13 @@ def test_linked_score_follows_the_chain():
 
     own = next(c for c in core.CHAIN_ROWS if c[0] == scoring.LINKED_CHAIN)
     assert scoring.linked_score(own, own) == 50 and scoring.linked_score((*own[:1], 7, *own[2:]), own) == 7 and scoring.linked_score(own, own, 3) == 3
+
+
+def test_summaries_add_contributions_up_and_keep_conflicts_out(spark):
+    row = lambda n, s, parts, score, t="detection": (f"e{n}", t, "c", "h", s, score, parts, "3.0")
+    a, b, b2 = ("a", "rule", 5, ""), ("b", "rule", 7, ""), ("b", "rule", 8, "")
+    rows = [row(1, "1", [a], 5), row(2, "1", [a, b], 12), row(3, "2", [b], 7), row(4, "2", [b2], 8), row(5, "3", [a], 6), row(6, "4", [], 9), row(7, "scanner", [a], 5), row(8, "1", [a], 5, "health"), row(9, None, [a], 5)]
+    df = gold.as_events(spark.createDataFrame(rows, "event_id string, event_type string, client string, source_path_hash string, session_id string, risk_score long, risk_contributions array<struct<id:string,type:string,points:long,rationale:string>>, schema_version string"))
+    got = {r["session_id"]: (r["risk_score"], r["events"], [c["id"] for c in r["risk_contributions"]]) for r in gold.session_risk_summary(df).collect()}
+    assert got == {"1": (12, 2, ["a", "b"]), "4": (0, 1, []), None: (5, 1, ["a"])}
+    assert sorted((r["session_id"], r["problem"]) for r in gold.summary_problems(df).collect()) == [("2", "conflicting_contribution"), ("3", "score_is_not_the_sum")]
