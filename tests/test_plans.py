@@ -32,8 +32,11 @@ def test_scores_shuffle_by_session_and_add_up_before(spark, sf_dir):
 
 def test_text_functions_stay_in_the_jvm(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    p = plan(d.select(privacy.sanitise(F.col("text")), activity.path_classes(F.col("text"))))
+    p = plan(d.select(privacy.redact(F.col("text"), nested=False), activity.path_classes(F.col("text"))))
     assert "Python" not in p and "Exchange" not in p
+    # texts with escapes or encoded characters, and only those, are scanned in Python, once for all contexts
+    p = plan(d.select(privacy.sanitise_for(F.col("text"), ("evidence", "summary"))))
+    assert p.count("ArrowEvalPython") == 1 and "Exchange" not in p
 
 
 def test_scores_read_the_matches_once_and_sanitise_redacts_once(spark, sf_dir):
