@@ -2,43 +2,139 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sessionlens.functions.activity import demoted, process_name, severity_rank, weaker
-from sessionlens.operators import commands
 
 MOST_DEPTH = 3
-WINDOWS = (".exe", "powershell", "cmd", "wscript", "cscript", "mshta", "rundll32", "regsvr32")
+#: Interpreters that take a command line, and the flags before it.
+NESTED_INTERPRETERS = {
+    "cmd": ("/c", "/k", "/r"),
+    "powershell": ("-c", "-command", "-comman", "-comm", "-com"),
+    "pwsh": ("-c", "-command"),
+    "bash": ("-c",),
+    "sh": ("-c",),
+    "zsh": ("-c",),
+    "wsl": ("-e", "--exec", "--"),
+}
+#: Programs that stand before the one that is meant.
+TRANSPARENT_WRAPPERS = ("sudo", "doas", "env", "nohup", "time", "timeout", "start", "call", "exec", "nice", "stdbuf")
+#: Programs of Windows alone, by which a parent shell is inferred.
+WINDOWS_ONLY = tuple("""
+arp atbroker bcdedit bitsadmin certutil cipher cmd cmstp copy cscript csc csvde diskshadow displayswitch dsget dsquery esentutl
+fltmc forfiles fsutil gpupdate hostname icacls installutil ipconfig klist ldifde magnify makecab mmc mpcmdrun msbuild msdt mshta
+msiexec narrator nbtstat net net1 netsh netstat nltest ntdsutil osk pathping pcalua powershell procdump psexec qprocess reg
+regsvr32 route rundll32 sc schtasks sethc systeminfo tasklist taskkill tracert utilman vssadmin wbadmin wevtutil whoami wmic
+wscript xcopy xwizard
+""".split())
+#: Shells, which are not inferred to be started by one.
+OWN_SHELLS = ("cmd", "powershell", "pwsh", "bash", "sh", "zsh", "wsl")
+_WORD = re.compile(r"""(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s"'])+""")
+_WORD_PART = re.compile(r""""([^"]*)"?|'([^']*)'?|([^"']+)""")
+
+
+def statements(line: str) -> list[str]:
+    """The statements of a command line of either system: split at unquoted separators, where backslashes and carets are plain characters.
+
+    In a comment a quote that its line doesn't close opens nothing, but separators still separate: other shells run what follows.
+    """
+    out, start, i, comment, fresh = [], 0, 0, False, True
+    while i < len(line):
+        c = line[i]
+        if c in "\"'":
+            row_end = min((e for e in (line.find("\n", i), line.find("\r", i)) if e >= 0), default=len(line))
+            if comment and line.find(c, i + 1, row_end) < 0:
+                i += 1
+                continue
+            close = line.find(c, i + 1)
+            i, fresh = len(line) if close < 0 else close + 1, False
+            continue
+        if c == "#" and fresh:
+            comment = True
+            i += 1
+            continue
+        redirects = c == "&" and (line[i + 1 : i + 2] == ">" or line[max(0, i - 1) : i] in ("<", ">"))
+        if c in ";\n\r" or c == "|" or c == "&" and not redirects:
+            length = 2 if c == "|" and line[i + 1 : i + 2] in ("|", "&") or c == "&" and line[i + 1 : i + 2] == "&" else 1
+            out.append(line[start:i])
+            comment = comment and c not in "\n\r"
+            i, fresh = i + length, True
+            start = i
+            continue
+        fresh = c.isspace()
+        i += 1
+    return [x.strip() for x in [*out, line[start:]] if x.strip()]
+
+
+def words(statement: str) -> list[str]:
+    """White-space tokens without their quotes, so that a quoted path is one token."""
+    tokens = ("".join("".join(p) for p in _WORD_PART.findall(m.group())) for m in _WORD.finditer(statement))
+    return [t for t in tokens if t]
+
+
+def short_name(token: str) -> str:
+    """Base name in lower case, without .exe; dots and dashes are underscores."""
+    base = re.split(r"[\\/]", token.strip().strip("\"'").strip())[-1].strip().lower()
+    return base.removesuffix(".exe").replace(".", "_").replace("-", "_")
+
 
+def started(tokens: list[str]) -> str | None:
+    """The program that a statement starts: the first token that is no assignment, wrapper or switch."""
+    for t in tokens:
+        assigns = "=" in t and "/" not in t and "\\" not in t
+        switch = t.startswith("-") or t.startswith("/") and len(t) <= 3
+        if not (assigns or switch or short_name(t) in TRANSPARENT_WRAPPERS):
+            return t
+    return None
 
-def pairs_of(command: str, root: str = "agent", depth: int = 0) -> list[tuple[int, str, str, str, bool]]:
-    """(statement, parent, child, command line, inferred): what each statement starts, and what an interpreter starts inside it."""
+
+def inferred_shell(name: str, statement: str) -> str:
+    """The shell that must have started a program of Windows or in Windows' manner; empty if none can be told."""
+    low = statement.lower()
+    shaped = ".exe" in low or ":\\" in low or low.count("%") >= 2 and "http" not in low
+    return "cmd" if name not in OWN_SHELLS and (name in WINDOWS_ONLY or shaped) else ""
+
+
+def pairs_of(line: str, parent: str | None = None, depth: int = 0) -> list[tuple[int, str, str, str | None, str, bool]]:
+    """(statement, parent, child, child's path, command line, inferred) of what each statement starts.
+
+    An interpreter with a command line of its own is only a wrapper of what that starts, which is reported in its place, down to
+    MOST_DEPTH; one whose command line can't be read, as an encoded one, is reported itself.
+    """
     out = []
-    for n, (text, tokens, _) in enumerate(commands.lex(command)):
-        while tokens and (tokens[0].lower() in commands.WRAPPERS or "=" in tokens[0].split("/")[0]):
-            tokens = tokens[1:]
-        if not tokens:
+    for n, statement in enumerate(statements(line)):
+        tokens = words(statement)
+        child = started(tokens)
+        name = short_name(child or "")
+        if not name:
             continue
-        child = tokens[0].replace("\\", "/").rsplit("/", 1)[-1].lower()
-        windows = child.startswith(WINDOWS[1:]) or child.endswith(".exe")
-        out.append((n, "explorer.exe" if windows and depth == 0 and root == "agent" else root, child, text, depth == 0))
-        name = child.removesuffix(".exe")
-        if depth < MOST_DEPTH and name in commands.SHELLS:
-            flags = [i for i, t in enumerate(tokens) if t.lower() in commands.INLINE]
-            if flags and flags[0] + 1 < len(tokens):
-                inner = tokens[flags[0] + 1] if name not in ("cmd", "powershell", "pwsh") else " ".join(tokens[flags[0] + 1 :])
-                out += [(n, p if p != "agent" else child, c, line, False) for _, p, c, line, _ in pairs_of(inner, child, depth + 1)]
+        flags = NESTED_INTERPRETERS.get(name, ())
+        at = next((i for i, t in enumerate(tokens) if t.lower() in flags), None)
+        inner = "" if at is None else " ".join(tokens[at + 1 :])
+        if inner.strip():
+            if depth < MOST_DEPTH:
+                out += [(n, *rest) for _, *rest in pairs_of(inner, name, depth + 1)]
+            continue
+        path = child if "/" in child or "\\" in child else None
+        out.append((n, inferred_shell(name, statement) if parent is None else parent, child, path, statement, parent is None))
     return out
 
 
 def process_pairs(obs: DataFrame, column: str = "command") -> DataFrame:
-    """(observation columns, statement_no, parent, child, command_line, parent_inferred) for every command of the table."""
-    @F.pandas_udf("array<struct<statement_no:int,parent:string,child:string,command_line:string,parent_inferred:boolean>>")
+    """(observation columns, statement_no, parent, child, child_path, command_line, parent_inferred) for every command of the table.
+
+    The parent is empty where nothing tells it. Commands without a quote, separator, comment or interpreter still take the same path.
+    """
+    names = ["statement_no", "parent", "child", "child_path", "command_line", "parent_inferred"]
+
+    @F.pandas_udf("array<struct<statement_no:int,parent:string,child:string,child_path:string,command_line:string,parent_inferred:boolean>>")
     def read(c: pd.Series) -> pd.Series:
-        return c.map(lambda x: [] if x is None else pairs_of(x))
+        return c.map(lambda x: [] if x is None else [dict(zip(names, p, strict=True)) for p in pairs_of(x)])
 
     keep = [c for c in ("source_instance", "session_id", "observation_id", "occurred_at") if c in obs.columns]
     return obs.where(F.col(column).isNotNull()).select(*keep, F.explode(read(column)).alias("p")).select(*keep, "p.*")
@@ -63,7 +159,7 @@ def match_process_rules(pairs: DataFrame, rules: DataFrame, most_rules: int = 50
     hit = p.join(F.broadcast(r), (F.col("_child") == F.col("r_child_key")) & (F.col("r_parent_key").isNull() | (F.col("_parent") == F.col("r_parent_key"))))
     none = lambda c: F.size(F.coalesce(c, F.array().cast("array<string>"))) == 0
     line = F.col("command_line")
-    path = F.col("child_path") if "child_path" in pairs.columns else F.col("child")
+    path = F.coalesce("child_path", "child") if "child_path" in pairs.columns else F.col("child")
     gates = (none(F.col("r_command_line_any")) | _any(F.col("r_command_line_any"), line)) & ~F.coalesce(_any(F.col("r_command_line_none"), line), F.lit(False)) & (none(F.col("r_path_any")) | _any(F.col("r_path_any"), path)) & ~F.coalesce(_any(F.col("r_path_none"), path), F.lit(False))
     out = hit.where(F.coalesce(gates, F.lit(False)))
     gated = ~none(F.col("r_command_line_any")) | ~none(F.col("r_path_any"))

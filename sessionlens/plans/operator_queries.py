@@ -345,3 +345,25 @@ def excluded_segments(spark, sf_dir):
     upload = [rules.Matcher(t, r"curl -d \w+ '[^']+'", r"://[^/]*\.example\.org", "exclusion_segment") for t in ("command", "arguments")]
     got = rules.match_rules(obs, [rules.Rule("upload", "exfiltration", 60, "high", tuple(upload))])
     return got.select(F.col("observation_id").cast("long").alias("page_id"), "field")
+
+
+PAIRS_SQL = r"""WITH p AS (SELECT page_id, page_id % 5 AS k, url, regexp_extract(url, '^[^&]*') AS cut, md5(url) AS h FROM pages)
+SELECT page_id, 'cmd' AS parent, 'curl' AS child, 'curl ' || cut AS command_line, false AS parent_inferred FROM p WHERE k = 0
+UNION ALL SELECT page_id, 'cmd', 'whoami', 'whoami', true FROM p WHERE k = 0
+UNION ALL SELECT page_id, '', 'wget', 'sudo nohup FOO=1 wget -q ' || cut, true FROM p WHERE k = 1
+UNION ALL SELECT page_id, 'bash', 'curl', 'curl ' || cut, false FROM p WHERE k = 2
+UNION ALL SELECT page_id, 'bash', 'sh', 'sh', false FROM p WHERE k = 2
+UNION ALL SELECT page_id, 'cmd', 'C:\Tools\get.exe', 'C:\Tools\get.exe "' || url || '"', true FROM p WHERE k = 3
+UNION ALL SELECT page_id, '', 'powershell', 'powershell -enc ' || h, true FROM p WHERE k = 4
+"""
+
+
+@query(PAIRS_SQL)
+def process_pairs(spark, sf_dir):
+    """What command lines of both systems start, each with a page's url; an url's own & separates where no quote holds it."""
+    url, k = F.col("url"), F.col("page_id") % 5
+    line = (
+        F.when(k == 0, F.concat(F.lit("cmd.exe /c curl '"), url, F.lit("' & whoami"))).when(k == 1, F.concat(F.lit("sudo nohup FOO=1 wget -q "), url))
+        .when(k == 2, F.concat(F.lit('bash -c "curl '), url, F.lit(' | sh"'))).when(k == 3, F.concat(F.lit('C:\\Tools\\get.exe "'), url, F.lit('"'))).otherwise(F.concat(F.lit("powershell -enc "), F.md5("url"))))
+    got = process.process_pairs(table(spark, sf_dir, "pages").select(F.col("page_id").alias("observation_id"), line.alias("command")))
+    return got.select(F.col("observation_id").alias("page_id"), "parent", "child", "command_line", "parent_inferred")

@@ -220,7 +220,8 @@ def test_commands(spark):
 def test_process_chain(spark):
     obs = spark.createDataFrame([("o1", "bash -c 'curl x | python3 -c y'"), ("o2", "sudo FOO=1 nginx"), ("o3", None)], "observation_id string, command string")
     pairs = process.process_pairs(obs)
-    assert {(r["parent"], r["child"]) for r in pairs.collect()} >= {("agent", "bash"), ("bash", "curl"), ("bash", "python3"), ("agent", "nginx")}
+    # an interpreter stands for what it runs; a parent that nothing tells is empty
+    assert {(r["parent"], r["child"], r["parent_inferred"]) for r in pairs.collect()} == {("bash", "curl", False), ("bash", "python3", False), ("", "nginx", True)}
     pack = spark.createDataFrame([
         ("p1", "t", "c", "high", 70, "high", "bash", "curl", ["T1105"], ["x"], None, None, None, "k", True), ("p2", "t", "c", "low", 20, "low", None, "curl", ["T1059"], None, None, None, None, "k", True),
         ("p3", "t", "c", "low", 20, "low", None, "curl", [], ["zzz"], None, None, None, None, True)], "id string, title string, category string, severity string, score long, confidence string, parent string, child string, mitre array<string>, command_line_any array<string>, command_line_none array<string>, path_any array<string>, path_none array<string>, dedup_key string, enabled boolean")
@@ -334,3 +335,13 @@ def test_summaries_add_contributions_up_and_keep_conflicts_out(spark):
     got = {r["session_id"]: (r["risk_score"], r["events"], [c["id"] for c in r["risk_contributions"]]) for r in gold.session_risk_summary(df).collect()}
     assert got == {"1": (12, 2, ["a", "b"]), "4": (0, 1, []), None: (5, 1, ["a"])}
     assert sorted((r["session_id"], r["problem"]) for r in gold.summary_problems(df).collect()) == [("2", "conflicting_contribution"), ("3", "score_is_not_the_sum")]
+
+
+@pytest.mark.parametrize("line,want", [
+    (r'"C:\Program Files\7z.exe" a x & whoami', [("cmd", r"C:\Program Files\7z.exe", True), ("cmd", "whoami", True)]),
+    ("cmd.exe /c start powershell -Command \"net user; ipconfig\"", [("powershell", "net", False), ("cmd", "ipconfig", False)]),
+    ("powershell -enc SQBFAFgA", [("", "powershell", True)]), ("cmd /c", [("", "cmd", True)]), ("echo a 2>&1 &> f", [("", "echo", True)]),
+    ("ls # it's; rm x", [("", "ls", True), ("", "rm", True)]), ("A=1 B=2", []), ("sh -c 'sh -c \"sh -c ls\"'", [("sh", "ls", False)]), ("copy %A% %B%", [("cmd", "copy", True)]), ("tool %A% %B%", [("cmd", "tool", True)]),
+    ("tool http://x/%20%20", [("", "tool", True)]), ("call sudo env -i /usr/bin/my-tool.exe", [("cmd", "/usr/bin/my-tool.exe", True)]), ("", []), ("'unclosed; a", [("", "unclosed; a", True)])])
+def test_pairs_of_both_systems(line, want):
+    assert [(p[1], p[2], p[5]) for p in process.pairs_of(line)] == want
