@@ -346,7 +346,7 @@ def normalize_copilot(lines: DataFrame) -> DataFrame:
 def normalize_opencode(parts: DataFrame, messages: DataFrame, client: str = "opencode") -> DataFrame:
     """Tool and text parts with their message's session and model. Parts whose message is missing stay, without a session."""
     m = messages.select(F.col("id").alias("_mid"), "session_id", F.col("data").alias("mdata"))
-    df = parts.where(F.get_json_object("data", "$.type").isin("tool", "text")).join(m, F.col("message_id") == F.col("_mid"), "left")
+    df = parts.drop("session_id").where(F.get_json_object("data", "$.type").isin("tool", "text")).join(m, F.col("message_id") == F.col("_mid"), "left")
     df = df.withColumns({"client": F.lit(client), "source_id": F.coalesce("session_id", F.lit("store")), "source_kind": F.lit("store"), "source_path": F.lit("store"), "ordinal": F.col("rowid"), "value": F.col("data"), "bad": F.when(F.try_parse_json(F.col("data")).isNull(), "not_an_object")})
     tool = js("$.type") == "tool"
     done = js("$.state.status").isin("completed", "error")
