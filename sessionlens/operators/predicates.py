@@ -69,6 +69,35 @@ def visible(name: str) -> Column:
     return F.coalesce(F.try_element_at(F.col("caps"), F.lit(need)) == "supported", F.lit(False)) if need else F.lit(True)
 
 
+CUT = "cut"
+"""Key of ``extra`` that names, by commas, the columns whose values a reader has cut."""
+CUTTABLE = ("text", "arguments", "tool_result", "command")
+
+
+def cut_values(obs: DataFrame, most: int, columns: tuple[str, ...] = CUTTABLE) -> DataFrame:
+    """``obs`` with the values of ``columns`` cut to ``most`` characters, those that were cut marked in ``extra`` and the row as partial.
+
+    The marks travel with the observation, so that a predicate tells what a cut value lacks from what it may have lost.
+    """
+    over = {c: F.coalesce(F.length(c) > most, F.lit(False)) for c in columns}
+    before = F.try_element_at(F.coalesce("extra", F.create_map().cast("map<string,string>")), F.lit(CUT))
+    names = F.array_compact(F.array(*[F.when(v, c) for c, v in over.items()]))
+    every = F.array_join(F.array_sort(F.array_union(F.coalesce(F.split(before, ","), F.array().cast("array<string>")), names)), ",")
+    extra = F.map_concat(F.map_filter(F.coalesce("extra", F.create_map().cast("map<string,string>")), lambda k, v: k != CUT), F.create_map(F.lit(CUT), every))
+    marked = obs.withColumns({"_any": F.size(names) > 0, "_extra": extra})
+    cut = {c: F.when(v, F.substring(c, 1, most)).otherwise(F.col(c)) for c, v in over.items()}
+    return marked.withColumns({**cut, "partial": F.coalesce("partial", F.lit(False)) | F.col("_any"), "extra": F.when(F.col("_any"), F.col("_extra")).otherwise(F.col("extra"))}).drop("_any", "_extra")
+
+
+def was_cut(name: str) -> Column:
+    """Whether the reader has cut the value of the selector's column."""
+    column = COLUMNS[name][1] if name in COLUMNS else {"tool.arguments.keys": "arguments"}.get(name, "")
+    column = {"user_context": "text", "assistant_context": "text"}.get(column, column)
+    if column not in CUTTABLE:
+        return F.lit(False)
+    return F.coalesce(F.array_contains(F.split(F.try_element_at(F.col("extra"), F.lit(CUT)), ","), column), F.lit(False))
+
+
 def same_number(a: Column, b: Column) -> Column:
     """-1, 0 or 1 of two numbers, null where an integer would lose digits as a float or a float isn't finite."""
     x, y = a.try_cast("double"), b.try_cast("double")
@@ -131,19 +160,58 @@ def op(name: str, fact: Column, value=None) -> Column:
 
 
 def test(name: str, selector_name: str, value=None, partial: Column | None = None) -> Column:
-    """Predicate on a selector, with the rules for absent, invisible and partial facts."""
+    """Predicate on a selector, with the rules for absent, invisible and partial facts. ``partial`` is :func:`was_cut` if not given.
+
+    A cut value may hold what it seems to lack: only what its beginning settles is true or false. That is a match of contains,
+    starts_with, or an expression found in it; whether it equals or ends with something can't be told.
+    """
     fact, shown = selector(selector_name), visible(selector_name)
+    partial = was_cut(selector_name) if partial is None else F.coalesce(partial, F.lit(False))
     if name in ("exists", "not_exists"):
         out = fact.isNotNull() if name == "exists" else fact.isNull()
     else:
         absent = F.lit(None).cast("boolean") if name in ("not_equals", "not_in") else F.lit(False)
-        out = F.when(fact.isNull(), absent).otherwise(op(name, fact, value))
-        if partial is not None:  # a cut value may hold what it seems to lack
-            uncertain = ~out if name not in ("not_equals", "not_in") else out
-            out = F.when(F.coalesce(partial, F.lit(False)) & F.coalesce(uncertain, F.lit(False)), F.lit(None).cast("boolean")).otherwise(out)
+        held = op(name, fact, value)
+        out = F.when(fact.isNull(), absent).otherwise(held)
+        settled = F.coalesce(held, F.lit(False)) if name in ("contains", "starts_with", "regex") else F.lit(False)
+        out = F.when(partial & fact.isNotNull() & ~settled, F.lit(None).cast("boolean")).otherwise(out)
     return F.when(shown, out)
 
 
+def tree(node, depth: int = 1) -> Column:
+    """The predicate of nested tuples: ("all", node, …), ("any", node, …), ("not", node), or a test (operator, selector, value).
+
+    At most MOST_DEPTH levels of at most MOST_BRANCHES branches; more is an error of the detector, not of the data.
+    """
+    if depth > MOST_DEPTH:
+        raise ValueError(f"over {MOST_DEPTH} levels")
+    match node:
+        case ("all", *parts):
+            return all_of(*[tree(p, depth + 1) for p in parts])
+        case ("any", *parts):
+            return any_of(*[tree(p, depth + 1) for p in parts])
+        case ("not", part):
+            return not_(tree(part, depth + 1))
+    return test(*node)
+
+
+def tests_of(node) -> list[tuple]:
+    """The tests of a tree, in order."""
+    return [t for part in node[1:] for t in tests_of(part)] if node[0] in ("all", "any", "not") else [node]
+
+
+def broken(spark, detector: Detector) -> str | None:
+    """Why a detector can't run on any observation: an unknown selector or operator, a tree beyond its limits, a pattern that doesn't compile."""
+    try:
+        detector.predicate()
+        for operator, _, *value in tests_of(detector.whole()):
+            if operator in ("regex", "glob"):
+                spark._jvm.java.util.regex.Pattern.compile(value[0] if operator == "regex" else glob_regex(value[0]))
+    except Exception as e:
+        return f"{type(e).__name__}: {str(e).splitlines()[0]}"[:200]
+    return None
+
+
 def all_of(*parts: Column) -> Column:
     if len(parts) > MOST_BRANCHES:
         raise ValueError(f"over {MOST_BRANCHES} branches")
@@ -175,7 +243,7 @@ def status(predicate: Column, applies: Column) -> Column:
 
 @dataclass(frozen=True)
 class Detector:
-    """A detector on single observations: families and stages that it reads, then tests as (operator, selector, value)."""
+    """A detector on single observations: families and stages that it reads, then tests as (operator, selector, value) or trees of them."""
 
     detector_id: str
     tests: tuple
@@ -183,9 +251,11 @@ class Detector:
     stages: tuple = ()
     mode: str = "all"
 
+    def whole(self) -> tuple:
+        return (self.mode, *self.tests)
+
     def predicate(self) -> Column:
-        parts = [test(*t) for t in self.tests]
-        return all_of(*parts) if self.mode == "all" else any_of(*parts)
+        return tree(self.whole())
 
     def applies(self) -> Column:
         out = F.lit(True)
@@ -201,13 +271,21 @@ REASONS = ("unavailable_visibility", "metadata_missing", "partial_value", "type_
 
 
 def detect(obs: DataFrame, detector: Detector) -> DataFrame:
-    """(observation_id, detector_id, status, reason, fields): outcome on each observation and the selectors that matched."""
+    """(observation_id, detector_id, status, reason, fields): outcome on each observation and the selectors that matched.
+
+    A detector that can't run at all has the outcome error on every observation that it applies to, and the job goes on.
+    """
+    why = broken(obs.sparkSession, detector)
+    if why is not None:
+        none = F.lit(None).cast("array<string>")
+        return obs.select("observation_id", F.lit(detector.detector_id).alias("detector_id"), F.when(F.coalesce(detector.applies(), F.lit(False)), "error").otherwise("not_applicable").alias("status"), F.lit(why).alias("reason"), none.alias("fields"))
     df = with_targets(obs)
+    tests = tests_of(detector.whole())
     what = status(detector.predicate(), detector.applies())
-    hidden = reduce(lambda a, b: a | b, [~visible(t[1]) for t in detector.tests])
-    missing = reduce(lambda a, b: a | b, [selector(t[1]).isNull() for t in detector.tests])
-    reason = F.when(what == "not_evaluated", F.when(hidden, REASONS[0]).when(missing, REASONS[1]).otherwise(REASONS[3]))
-    fields = F.array_compact(F.array(*[F.when(test(*t), t[1]) for t in detector.tests]))
+    some = lambda holds: reduce(lambda a, b: a | b, [holds(t[1]) for t in tests])
+    hidden, missing, cut = some(lambda n: ~visible(n)), some(lambda n: selector(n).isNull()), some(was_cut)
+    reason = F.when(what == "not_evaluated", F.when(hidden, REASONS[0]).when(missing, REASONS[1]).when(cut, REASONS[2]).otherwise(REASONS[3]))
+    fields = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(test(*t), t[1]) for t in tests]))))
     return df.select("observation_id", F.lit(detector.detector_id).alias("detector_id"), what.alias("status"), reason.alias("reason"), F.when(what == "match", fields).alias("fields"))
 
 

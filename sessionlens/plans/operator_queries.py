@@ -367,3 +367,26 @@ def process_pairs(spark, sf_dir):
         .when(k == 2, F.concat(F.lit('bash -c "curl '), url, F.lit(' | sh"'))).when(k == 3, F.concat(F.lit('C:\\Tools\\get.exe "'), url, F.lit('"'))).otherwise(F.concat(F.lit("powershell -enc "), F.md5("url"))))
     got = process.process_pairs(table(spark, sf_dir, "pages").select(F.col("page_id").alias("observation_id"), line.alias("command")))
     return got.select(F.col("observation_id").alias("page_id"), "parent", "child", "command_line", "parent_inferred")
+
+
+CUT_SQL = r"""WITH d AS (SELECT doc_id, text, length(text) > 1500 AS cut, left(text, 1500) AS head FROM documents),
+v AS (SELECT 'contains' AS test, doc_id, cut, contains(head, 'token') AS found, text FROM d UNION ALL SELECT 'not', doc_id, cut, contains(head, 'token'), text FROM d UNION ALL SELECT 'ends', doc_id, cut, NOT cut AND suffix(text, '.'), text FROM d),
+s AS (
+  SELECT test, CASE WHEN text IS NULL THEN CASE WHEN test = 'not' THEN 'match' ELSE 'no_match' END WHEN test = 'contains' AND found OR test = 'ends' AND found THEN 'match' WHEN test = 'not' AND found THEN 'no_match'
+    WHEN cut THEN 'not_evaluated' WHEN test = 'not' THEN 'match' ELSE 'no_match' END AS status FROM v)
+SELECT test, status, CASE WHEN status = 'not_evaluated' THEN 'partial_value' END AS reason, count(*) AS n FROM s GROUP BY ALL
+UNION ALL SELECT 'broken', 'error', 'error', count(*) FROM d
+"""
+
+
+@query(CUT_SQL)
+def cut_value_outcomes(spark, sf_dir):
+    """Texts as results of which a reader keeps 1,500 characters: what a detector may say of them, why not, and how often."""
+    d = table(spark, sf_dir, "documents")
+    obs = predicates.cut_values(observations(d, observation_id=F.col("doc_id").cast("string"), family=F.lit("tool"), stage=F.lit("result"), tool_result=F.col("text")), 1500)
+    tests = {"contains": ("contains", "tool.result", "token"), "not": ("not", ("contains", "tool.result", "token")), "ends": ("ends_with", "tool.result", "."), "broken": ("regex", "tool.result", "(")}
+    out = None
+    for name, test in tests.items():
+        got = predicates.detect(obs, predicates.Detector(name, (test,))).select(F.lit(name).alias("test"), "status", F.when(F.col("status") == "error", "error").otherwise(F.col("reason")).alias("reason"))
+        out = got if out is None else out.unionByName(got)
+    return out.groupBy("test", "status", "reason").agg(F.count(F.lit(1)).alias("n"))

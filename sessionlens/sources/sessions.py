@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sessionlens.functions.activity import argument_urls, tool_kind, url_host, written_paths
+from sessionlens.operators.predicates import cut_values
 from sessionlens.schemas import OBSERVATIONS, struct
 
 MOST_RECORD = 8 * 1024 * 1024
@@ -168,11 +169,11 @@ def _client(**parts) -> Client:
     return made
 
 
-def normalise(lines: DataFrame, clients: list[Client] | None = None) -> DataFrame:
+def normalise(lines: DataFrame, clients: list[Client] | None = None, most_value: int | None = None) -> DataFrame:
     """Observations of lines of any of ``clients``, which the column ``client`` tells apart, in one pass over the lines.
 
     Each client's expressions are evaluated on its own lines only. All that is carried along a file comes from one window over
-    (client, file). Lines of no known client are quarantined.
+    (client, file). Lines of no known client are quarantined. Values of over ``most_value`` characters are cut and marked as cut.
     """
     clients = list(CLIENTS.values()) if clients is None else clients
     alone = len(clients) == 1
@@ -210,7 +211,8 @@ def normalise(lines: DataFrame, clients: list[Client] | None = None) -> DataFram
     kinds = {f.name: f.dataType for f in struct(OBSERVATIONS)}
     every = [f for f in kinds if any(f in given for given in facts.values())]
     df = df.withColumns({f"_g_{f}": chosen({name: given[f] for name, given in facts.items() if f in given}, kinds[f].simpleString()) for f in every})
-    return fill(df, child_ordinal=F.coalesce("child", F.lit(0)), **{f: F.col(f"_g_{f}") for f in every})
+    out = fill(df, child_ordinal=F.coalesce("child", F.lit(0)), **{f: F.col(f"_g_{f}") for f in every})
+    return out if most_value is None else cut_values(out, most_value)
 
 
 def _claude_facts(c) -> dict:

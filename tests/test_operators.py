@@ -345,3 +345,23 @@ def test_summaries_add_contributions_up_and_keep_conflicts_out(spark):
     ("tool http://x/%20%20", [("", "tool", True)]), ("call sudo env -i /usr/bin/my-tool.exe", [("cmd", "/usr/bin/my-tool.exe", True)]), ("", []), ("'unclosed; a", [("", "unclosed; a", True)])])
 def test_pairs_of_both_systems(line, want):
     assert [(p[1], p[2], p[5]) for p in process.pairs_of(line)] == want
+
+
+def test_cut_values_and_limits_of_trees(spark):
+    from sessionlens.operators import predicates as p
+
+    rows = [("1", "abcdef", "x"), ("2", "abc", None), ("3", None, "yyyyyy")]
+    obs = observations(spark.createDataFrame(rows, "o string, r string, t string"), observation_id=F.col("o"), family=F.lit("tool"), tool_result=F.col("r"), text=F.col("t"), extra=F.create_map(F.lit("k"), F.lit("v")))
+    cut = p.cut_values(p.cut_values(obs, 5, ("tool_result",)), 4)
+    assert [(r["tool_result"], r["text"], r["partial"], r["extra"]) for r in cut.orderBy("observation_id").collect()] == [
+        ("abcd", "x", True, {"k": "v", "cut": "tool_result"}), ("abc", None, False, {"k": "v"}), (None, "yyyy", True, {"k": "v", "cut": "text"})]
+    say = lambda *t: [(r["status"], r["reason"]) for r in p.detect(cut, p.Detector("d", (t,))).orderBy("observation_id").collect()]
+    no, cannot = ("no_match", None), ("not_evaluated", "partial_value")
+    assert say("contains", "tool.result", "bc") == [("match", None), ("match", None), no]
+    assert say("contains", "tool.result", "z") == [cannot, no, no]
+    assert say("equals", "tool.result", "abcd") == [cannot, no, no] and say("exists", "tool.result") == [("match", None), ("match", None), no]
+    deep = ("exists", "tool.result")
+    for _ in range(p.MOST_DEPTH):
+        deep = ("not", deep)
+    assert {s for s, _ in say(*deep)} == {"error"} and {s for s, _ in say("regex", "tool.result", "(")} == {"error"} and {s for s, _ in say("exists", "no.such")} == {"error"}
+    assert {s for s, _ in say("any", *[("exists", "tool.result")] * (p.MOST_BRANCHES + 1))} == {"error"}
