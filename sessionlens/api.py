@@ -43,7 +43,16 @@ class SessionAnalytics:
         return rules.match_rules(obs, self.rules)
 
     def scores(self, matches: DataFrame) -> DataFrame:
-        return scoring.score_sessions(matches, rules.rule_table(self.spark, self.rules), self.chains, linked=self.config.linked_chains)
+        return scoring.score_sessions(matches, rules.rule_table(self.spark, self.rules), self.chains, linked=self.config.linked_chains, bands=self.config.bands)
+
+    def unrepeated(self, found: DataFrame, keys: list[str], at: str = "event_time") -> DataFrame:
+        """Findings without the repeats of a key within the configured window of their anchor."""
+        return sequences.suppress_repeats(found, keys, at, self.config.repeat_window)
+
+    def summaries(self, events: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+        """Session summaries of activities and detections; of those in ``seen`` (fingerprint) only what says something new."""
+        got = gold.as_events(gold.session_risk_summary(events).withColumns({"event_type": F.lit("session_risk_summary"), "schema_version": F.lit("3.0")}))
+        return got if seen is None else gold.new_summaries(got, seen)
 
     def detections(self, obs: DataFrame) -> DataFrame:
         """Detection events of scored sessions."""

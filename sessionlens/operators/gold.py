@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sessionlens.functions.activity import format_time, response, severity, severity_rank
-from sessionlens.operators.scoring import sorted_set
+from sessionlens.operators.scoring import sendable, sorted_set
 from sessionlens.operators.sequences import call_links, timeline_index
 from sessionlens.schemas import CONTRIBUTION, EVENT_TYPES, EVENTS, SEVERITIES, struct
 
@@ -35,7 +35,7 @@ def detection_events(scores: DataFrame, rules: DataFrame, sessions: DataFrame |
 
     Labels of the rules are gathered from their table by rule id.
     """
-    meta = rules.select("rule_id", "detection_class", "signal_type", "analytic_intent", "atlas_tags", "tags")
+    meta = sendable(rules.select("rule_id", "detection_class", "signal_type", "analytic_intent", "atlas_tags", "tags"))
     keys = ["source_instance", "session_id"]
     labels = scores.select(*keys, F.explode("rule_ids").alias("rule_id")).join(meta, "rule_id").groupBy(*keys).agg(
         sorted_set("detection_class").alias("detection_classes"), sorted_set("signal_type").alias("signal_types"), sorted_set("analytic_intent").alias("analytic_intents"),
@@ -213,7 +213,7 @@ def observation_timeline(obs: DataFrame) -> DataFrame:
 def timeline_anchors(matches: DataFrame, obs: DataFrame, rules: DataFrame) -> DataFrame:
     """Anchors of each session: one for each matched observation with its rules, categories and fields, in order."""
     at = timeline_index(obs).select("source_instance", "session_id", "observation_id", F.col("idx").alias("entry_index"))
-    per = matches.join(rules.select("rule_id", "category"), "rule_id").join(at, ["source_instance", "session_id", "observation_id"]).groupBy("source_instance", "session_id", "entry_index").agg(sorted_set("rule_id").alias("rule_ids"), sorted_set("category").alias("categories"), sorted_set("field").alias("evidence_fields"))
+    per = matches.join(sendable(rules.select("rule_id", "category")), "rule_id").join(at, ["source_instance", "session_id", "observation_id"]).groupBy("source_instance", "session_id", "entry_index").agg(sorted_set("rule_id").alias("rule_ids"), sorted_set("category").alias("categories"), sorted_set("field").alias("evidence_fields"))
     return per.groupBy("source_instance", "session_id").agg(F.array_sort(F.collect_list(F.struct("entry_index", "rule_ids", "categories", "evidence_fields"))).alias("timeline_anchors"))
 
 
@@ -327,6 +327,11 @@ SUMMARY_FIELDS = ("client", "session_id", "event_type", "severity", "risk_score"
 """What makes two session summaries the same: neither evidence nor time."""
 
 
+def new_summaries(summaries: DataFrame, seen: DataFrame, backfill: bool = False) -> DataFrame:
+    """Session summaries that say something new: unlike any in ``seen`` in SUMMARY_FIELDS, whatever their evidence and time."""
+    return new_only(summaries, seen, SUMMARY_FIELDS, backfill)
+
+
 def latches(states: DataFrame, keys: list[str], order: str, bad: str = "bad") -> DataFrame:
     """Rows that enter a bad state; the next good row re-arms the latch."""
     before = F.lag(bad).over(W.partitionBy(*keys).orderBy(order))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sessionlens.functions.activity import severity, severity_rank
+from sessionlens.functions.activity import BANDS, severity, severity_rank
 
 SESSION = ["source_instance", "session_id"]
 #: The bundled chain of a download that is run, with its steps, and what it adds to an action.
@@ -24,8 +24,13 @@ def sorted_set(col) -> Column:
     return F.array_sort(F.collect_set(col))
 
 
+def sendable(rules: DataFrame, most: int = 5000) -> DataFrame:
+    """A table of rules with a hint to broadcast it, if it has no more than ``most`` rows; beyond that it is joined by shuffle."""
+    return F.broadcast(rules) if rules.limit(most + 1).count() <= most else rules
+
+
 def score_table(rules: DataFrame) -> DataFrame:
-    return rules.select("rule_id", "category", F.col("score").alias("points"), "severity")
+    return sendable(rules.select("rule_id", "category", F.col("score").alias("points"), "severity"))
 
 
 def chain_table(chains: DataFrame, most: int = 2000) -> DataFrame:
@@ -64,7 +69,7 @@ def risk_ledger(contributions: DataFrame, keys: list[str]) -> tuple[DataFrame, D
     return ledger, conflicts
 
 
-def score_sessions(matches: DataFrame, rules: DataFrame, chains: DataFrame | None = None, keys: list[str] = SESSION, armed: DataFrame | None = None, linked: tuple[str, ...] = ()) -> DataFrame:
+def score_sessions(matches: DataFrame, rules: DataFrame, chains: DataFrame | None = None, keys: list[str] = SESSION, armed: DataFrame | None = None, linked: tuple[str, ...] = (), bands: tuple = BANDS) -> DataFrame:
     """One row for each group: rule_ids, categories, chain_ids, risk_score and severity.
 
     A rule counts once however many observations match it. Chains named in ``linked`` count only in groups that ``armed`` lists.
@@ -85,7 +90,7 @@ def score_sessions(matches: DataFrame, rules: DataFrame, chains: DataFrame | Non
         met = chain_met(F.col("rule_ids"), F.col("categories")) & counts
         out = out.join(F.broadcast(listed), met, "left").groupBy(*keys).agg(
             (F.first("risk_score") + F.coalesce(F.sum("_points"), F.lit(0))).alias("risk_score"), F.first("rule_ids").alias("rule_ids"), F.first("categories").alias("categories"), sorted_set("_chain").alias("chain_ids"))
-    return out.withColumn("severity", severity(F.col("risk_score")))
+    return out.withColumn("severity", severity(F.col("risk_score"), bands))
 
 
 def detector_outcomes(results: DataFrame, keys: list[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sessionlens.operators import carried
+from sessionlens.operators.scoring import sendable
 from sessionlens.storage import cut
 
 #: Windows in seconds, least risk and sessions of a correlation, cap of sequence points, calls of a link.
@@ -197,7 +198,7 @@ def linked_chain_table(matches: DataFrame, positions: DataFrame, rules: DataFram
     """
     chains = [{"id": i, "score": score, "categories": categories, "rule_ids": rule_ids, "calls": link[0], "order": link[1], "minutes": link[2]} for i, score, categories, rule_ids, link, *_ in chain_rows if link]
     at = positions.select(*keys, "observation_id", "pos", "idx", F.unix_micros("occurred_at").alias("at"))
-    hits = matches.select(*keys, "observation_id", "rule_id").distinct().join(rules.select("rule_id", "category"), "rule_id").join(at, [*keys, "observation_id"])
+    hits = matches.select(*keys, "observation_id", "rule_id").distinct().join(sendable(rules.select("rule_id", "category")), "rule_id").join(at, [*keys, "observation_id"])
     hits = hits.groupBy(*keys, "observation_id", "pos", "idx", "at").agg(F.collect_set("rule_id").alias("rule_ids"), F.collect_set("category").alias("categories"))
     return search_links(hits, chains, keys)
 

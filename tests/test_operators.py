@@ -365,3 +365,20 @@ def test_cut_values_and_limits_of_trees(spark):
         deep = ("not", deep)
     assert {s for s, _ in say(*deep)} == {"error"} and {s for s, _ in say("regex", "tool.result", "(")} == {"error"} and {s for s, _ in say("exists", "no.such")} == {"error"}
     assert {s for s, _ in say("any", *[("exists", "tool.result")] * (p.MOST_BRANCHES + 1))} == {"error"}
+
+
+def test_facade_reads_its_configuration(spark):
+    from sessionlens.api import Config, SessionAnalytics
+
+    rule = rules.Rule("a.b", "x", 30, "low", (rules.Matcher("user_context", "hi"),))
+    obs = observations(spark.range(1), client=F.lit("c"), source_instance=F.lit("s"), session_id=F.lit("1"), observation_id=F.lit("o"), role=F.lit("user"), text=F.lit("hi"), source_path_hash=F.lit("h"), occurred_at=F.timestamp_seconds(F.lit(5)))
+    own = SessionAnalytics(spark, [rule], config=Config(bands=(("critical", 25), ("low", 1)), repeat_window=10))
+    found = own.detections(obs)
+    assert one(found, "severity") == ["critical"] and one(SessionAnalytics(spark, [rule]).detections(obs), "severity") == ["low"]
+    twice = found.unionByName(found.withColumn("event_time", F.timestamp_seconds(F.lit(15)))).unionByName(found.withColumn("event_time", F.timestamp_seconds(F.lit(16))))
+    assert sorted(one(own.unrepeated(twice, ["client", "session_id"]), "repeats")) == [0, 1]
+    summary = own.summaries(found.withColumns({"risk_contributions": F.array(F.struct(F.lit("a.b").alias("id"), F.lit("rule").alias("type"), F.lit(30).cast("long").alias("points"), F.lit("").alias("rationale")))}))
+    assert one(summary, "risk_score") == [30]
+    seen = gold.new_summaries(summary, spark.createDataFrame([], "fingerprint string")).select("fingerprint")
+    assert own.summaries(found.withColumn("risk_contributions", summary.schema["risk_contributions"] and F.lit(None).cast(summary.schema["risk_contributions"].dataType)), seen).count() == 1
+    assert gold.new_summaries(summary.withColumn("timestamp", F.lit("later")), seen).count() == 0
