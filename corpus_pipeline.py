@@ -21,8 +21,9 @@ def exact_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id.
 
-    Two documents are near copies when the Jaccard index of their sets of five-word shingles is 0.8 or more. Rows are
-    told apart by themselves, not by their ids, so null and repeated ids are handled as in ``without_near_copies``.
+    Two documents are near copies when the Jaccard index of their sets of five-word shingles is 0.8 or more: SimHash
+    fingerprints searched through BK-trees give the pairs, the exact index decides them. Rows are told apart by
+    themselves, not by their ids, so null and repeated ids are handled as in ``without_near_copies``.
     """
     return resemblance.without_near_copies(docs, width=5, least=0.8)
 

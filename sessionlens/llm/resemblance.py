@@ -1,4 +1,4 @@
-"""Near copies by exact shingle-set resemblance: MinHash bands give candidate pairs, a join with the texts decides them."""
+"""Near copies by SimHash: BK-trees of shards give candidate pairs, an exact check of their shingle sets decides them."""
 
 from __future__ import annotations
 
@@ -6,19 +6,22 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionlens.llm.common import batches, cut, spread_join
-from sessionlens.llm.simhash import components, shingle_hashes
+from sessionlens.llm.simhash import LeafTree, components, majority_bits, shingle_hashes
 
-#: A pair of resemblance s shares no band with probability (1 - s ** ROWS) ** BANDS, 7.2e-5 at 0.8, whatever the corpus' size.
-BANDS, ROWS = 24, 5
-#: Of the BANDS * ROWS minima a candidate pair must share this part: over 5 standard deviations below 0.8.
-LEAST_SHARED = 0.6
-_RNG = np.random.default_rng(23)
-XOR, FACTOR = _RNG.integers(0, 2**64, BANDS * ROWS, np.uint64), _RNG.integers(0, 2**64, BANDS * ROWS, np.uint64) | np.uint64(1)
+#: Words of 64 bits of a fingerprint, and those of them that the trees compare.
+WORDS, IN_TREE = 8, 4
+#: Share of bits in which the fingerprints of two sets differ whose resemblance is 0.8: the angle of their indicators over pi.
+DIFFERING = math.acos(2 * 0.8 / 1.8) / math.pi
+#: Bits in which near copies may differ: of the first word, of the other words in the trees, of all words. 5 to 6 standard
+#: deviations above the mean at 0.8, and 4 above it for the sets of five and four shingles that differ most (0.1875). Texts
+#: that share no shingle pass the first two with a chance of about 2e-10, so that hardly any meet in the shards of a large corpus.
+FIRST, NEXT, WHOLE = 24, 56, 132
+#: A pair at 0.8 shares no shard with this probability at most, whatever the corpus' size.
+MISS = 1e-4
 
 
 #: Bins of a fine sketch, and the odd number that deals shingles to them.
@@ -29,14 +32,6 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, width), np.uint64))
 
 
-def minima(hashes: np.ndarray) -> np.ndarray:
-    """The least of each of BANDS * ROWS permuted hashes; of an empty set the largest number."""
-    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
-    for at in range(0, len(hashes), 4096):
-        least = np.minimum(least, ((hashes[at : at + 4096, None] ^ XOR) * FACTOR).min(axis=0))
-    return least
-
-
 def resemblance(a: np.ndarray, b: np.ndarray) -> float:
     """Jaccard index of two sorted sets; two empty sets are alike."""
     if not len(a) and not len(b):
@@ -88,24 +83,106 @@ class FineSketches:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """(node, keys, sketch) of rows of (node, text): a key for each band, and 16 bits of each minimum."""
+    """(node, sketch) of rows of (node, text): the SimHash fingerprint of the text's set of shingles, WORDS words of 64 bits."""
 
     def run(stream):
         for batch in stream:
             texts = batch.column(1)
             for a, b in batches([None] * len(texts)):
-                keys, sketches = [], []
-                for t in texts.slice(a, b - a):
-                    least = minima(shingle_set(t.as_py(), width))
-                    keys.append([xxhash.xxh64_intdigest(part.tobytes(), k) - 2**63 for k, part in enumerate(least.reshape(BANDS, ROWS))])
-                    sketches.append((least & np.uint64(0xFFFF)).astype(np.uint16).tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["node", "keys", "sketch"])
+                sketches = [majority_bits(shingle_set(t.as_py(), width), WORDS).astype("<u8").tobytes() for t in texts.slice(a, b - a)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sketches, pa.binary())], names=["node", "sketch"])
+
+    return docs.select("node", "text").mapInArrow(run, "node long, sketch binary")
 
-    return docs.select("node", "text").mapInArrow(run, "node long, keys array<long>, sketch binary")
+
+def words_of(sketches) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), "<u8").reshape(-1, WORDS)
 
 
 def alike(one: np.ndarray, others: np.ndarray) -> np.ndarray:
-    return (one == others).mean(axis=-1) >= LEAST_SHARED
+    """Whether fingerprints may be of near copies; true for no pair that the trees don't link where it shares a shard."""
+    differ = np.bitwise_count(one ^ others)
+    return (differ[..., 0] <= FIRST) & (differ[..., 1:IN_TREE].sum(axis=-1) <= NEXT) & (differ.sum(axis=-1) <= WHOLE)
+
+
+def missed(bits: int, tables: int) -> float:
+    """Chance that two fingerprints of sets at 0.8 agree in none of ``tables`` draws of ``bits`` bits."""
+    n = 64 * WORDS
+    log_choose = lambda a, b: math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
+    total = 0.0
+    for d in range(n - bits + 1):
+        met = math.exp(log_choose(n - d, bits) - log_choose(n, bits))
+        total += math.exp(log_choose(n, d) + d * math.log(DIFFERING) + (n - d) * math.log1p(-DIFFERING)) * (1 - min(met, 1)) ** tables
+    return total
+
+
+def shard_bits(size: int, members: int = 1024, seed: int = 23) -> np.ndarray:
+    """The bits that key each table's shards, one row a table, for ``size`` fingerprints and ``members`` to twice as many in a shard.
+
+    The number of tables grows with the number of bits, so that a pair at 0.8 is missed no more often in a larger corpus.
+    """
+    bits = max(4, (size // members).bit_length() - 1)
+    tables = next(t for t in range(1, 10_000) if missed(bits, t) <= MISS)
+    rng = np.random.default_rng(seed)
+    return np.array([rng.choice(64 * WORDS, bits, replace=False) for _ in range(tables)])
+
+
+def shard_keys(words: np.ndarray, drawn: np.ndarray) -> np.ndarray:
+    """For each fingerprint its shard in every table; the table is part of the number."""
+    bits = np.unpackbits(words.astype(">u8").view(np.uint8).reshape(len(words), -1), axis=1)
+    keys = np.empty((len(words), len(drawn)), np.int64)
+    for t, at in enumerate(drawn):
+        keys[:, t] = bits[:, at].astype(np.int64) @ (1 << np.arange(len(at))) + (t << 32)
+    return keys
+
+
+def shard_classes(signed: DataFrame, drawn: np.ndarray) -> DataFrame:
+    """(band, key, node): the nodes that a BK-tree of table ``band``'s shards links, ``key`` being the smallest node they reach in it.
+
+    Each shard is searched through its own tree in the task that holds it; nodes without a link there have no row.
+    """
+    def deal(stream):
+        for batch in stream:
+            for a in range(0, batch.num_rows, 1000):
+                part = batch.slice(a, 1000)
+                words = words_of(part.column(1).to_pylist())
+                own = np.repeat(words[:, :IN_TREE], len(drawn), axis=0).view(np.int64)
+                nodes = np.repeat(part.column(0).to_numpy(), len(drawn))
+                yield pa.RecordBatch.from_arrays([pa.array(shard_keys(words, drawn).ravel()), pa.array(nodes), *[pa.array(own[:, k]) for k in range(IN_TREE)]], names=["shard", "node", *names])
+
+    def classes_of(shard):
+        rows = np.concatenate(shard)
+        rows = rows[np.argsort(rows[:, 1])]
+        words = np.ascontiguousarray(rows[:, 2:]).view(np.uint64)
+        label = LeafTree(words[:, 0].copy(), words[:, 1:], NEXT).classes(FIRST)
+        linked = np.isin(label, np.flatnonzero(np.bincount(label, minlength=len(label)) > 1))
+        return rows[linked, 0] >> 32, rows[label[linked], 1], rows[linked, 1]
+
+    def rows_of(out):
+        band, key, node = (np.concatenate(c) if out else np.zeros(0, np.int64) for c in (zip(*out, strict=True) if out else ((), (), ())))
+        return pa.RecordBatch.from_arrays([pa.array(band.astype(np.int32)), pa.array(key), pa.array(node)], names=["band", "key", "node"])
+
+    def search(stream):
+        held, out, size = [], [], 0
+        for batch in stream:
+            rows = np.stack([c.to_numpy() for c in batch.columns], axis=1)
+            for part in np.split(rows, np.flatnonzero(np.diff(rows[:, 0])) + 1):
+                if not len(part):
+                    continue
+                if held and held[0][0, 0] != part[0, 0]:
+                    out.append(classes_of(held))
+                    held, size = [], size + len(out[-1][0])
+                held.append(part)
+                if size > 50_000:
+                    yield rows_of(out)
+                    out, size = [], 0
+        if held:
+            out.append(classes_of(held))
+        yield rows_of(out)
+
+    names = [f"w{k}" for k in range(IN_TREE)]
+    shards = signed.select("node", "sketch").mapInArrow(deal, "shard long, node long, " + ", ".join(f"{n} long" for n in names))
+    return shards.repartition("shard").sortWithinPartitions("shard").mapInArrow(search, "band int, key long, node long")
 
 
 def leader_pairs(shared: DataFrame) -> DataFrame:
@@ -116,7 +193,7 @@ def leader_pairs(shared: DataFrame) -> DataFrame:
     def run(stream):
         for batch in stream:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for k in (2, 3))
+                x, y = (words_of(batch.column(k).to_pylist()) for k in (2, 3))
                 yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(alike(x, y)))
 
     return pairs.mapInArrow(run, "a long, b long").distinct()
@@ -128,25 +205,25 @@ def open_bands(shared: DataFrame) -> DataFrame:
     return cut(shared.join(mixed.select("band", "key"), ["band", "key"], "left_semi").select("band", "key", "root", "node", "sketch"))
 
 
-def open_pairs(rows: DataFrame, signed: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+def open_pairs(rows: DataFrame, texts: DataFrame, drawn: np.ndarray, width: int, least: float) -> DataFrame:
     """(a, b), a < b, once each: all pairs of a band of :func:`open_bands` that are of different roots and that their sketches let pass.
 
-    A large group of texts a little below ``least`` to each other has many such pairs. The coarse sketches can't tell most of
+    A large group of texts a little below ``least`` to each other has many such pairs. Fingerprints can't tell most of
     them from links; fine ones, made for the members of these bands only, can, so few go on to be decided by their texts.
     """
     def finer(stream):
         for batch in stream:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fine_sketch(shingle_set(t.as_py(), width)).tobytes() for t in batch.column(1)], pa.binary())], names=["node", "fine"])
 
-    fine = texts.select("node", "text").mapInArrow(finer, "node long, fine binary").join(signed.select("node", "keys"), "node")
-    rows = rows.join(fine, "node").select("band", "key", "root", "node", "sketch", "fine", "keys")
+    fine = texts.select("node", "text").mapInArrow(finer, "node long, fine binary")
+    rows = rows.join(fine, "node").select("band", "key", "root", "node", "sketch", "fine")
 
     def pairs_of(band, found):
         found.sort()
         root, node = np.array([r for r, *_ in found]), np.array([n for _, n, *_ in found])
-        sketch = np.frombuffer(b"".join(s for _, _, s, *_ in found), np.uint16).reshape(len(found), -1)
-        fine = FineSketches([f for *_, f, _ in found])
-        lower = np.array([k[:band] for *_, k in found], np.int64).reshape(len(found), band)
+        sketch = words_of([s for _, _, s, _ in found])
+        fine = FineSketches([f for *_, f in found])
+        lower = shard_keys(sketch, drawn[:band])
         # the members of the largest class are compared with the others only
         values, counts = np.unique(root, return_counts=True)
         for i in np.flatnonzero(root != values[counts.argmax()]).tolist():
@@ -217,9 +294,8 @@ def classes(docs: DataFrame, id_col: str, text_col: str, width: int, least: floa
     """(doc_id, root, and the columns ``keep``) of every row: rows with one root are near copies of each other, see :func:`near_copies`."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *keep).withColumn("node", F.xxhash64("text"))
     signed = cut(signatures(rows, width).dropDuplicates(["node"]))
-    keyed = signed.select("node", "sketch", F.posexplode("keys").alias("band", "key"))
-    repeated = keyed.groupBy("band", "key").count().where("count > 1").drop("count")
-    shared = cut(keyed.join(repeated, ["band", "key"]))
+    drawn = shard_bits(signed.count())
+    shared = cut(shard_classes(signed, drawn).join(signed, "node").select("band", "key", "node", "sketch"))
     held = lambda nodes: rows.select("node", "text").join(nodes.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     texts = held(shared)
     links = cut(decided(leader_pairs(shared), texts, width, least))
@@ -227,7 +303,7 @@ def classes(docs: DataFrame, id_col: str, text_col: str, width: int, least: floa
     shared = shared.join(roots, F.col("node") == F.col("_node"), "left").withColumn("root", F.coalesce("root", "node")).drop("_node")
     bands = open_bands(shared)
     texts = cut(held(bands))  # of the members of open bands only, which are few, and read twice
-    links = links.unionByName(cut(decided(open_pairs(bands, signed, texts, width, least), texts, width, least)))
+    links = links.unionByName(cut(decided(open_pairs(bands, texts, drawn, width, least), texts, width, least)))
     roots = components(links, "a", "b").select(F.col("node").alias("_node"), "root")
     return rows.select("doc_id", "node", *keep).join(roots, F.col("node") == F.col("_node"), "left").select("doc_id", F.coalesce("root", "node").alias("root"), *keep)
 
@@ -235,9 +311,9 @@ def classes(docs: DataFrame, id_col: str, text_col: str, width: int, least: floa
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
     """One row per row of ``docs``: doc_id, component_id, the smallest id reachable over pairs whose shingle sets agree to ``least``.
 
-    Pairs that share a MinHash band are candidates. First each is compared with the smallest of its band; then, in bands
-    that still hold several classes, all pairs of different classes are. A link is never taken from sketches: the exact
-    Jaccard index of the ``width``-word shingle sets decides it. Equal texts are one node; null and empty texts are alike. A
+    Fingerprints (SimHash of the set of shingles) that a BK-tree of a shard links are candidates; what it links is a band. First
+    each is compared with the smallest of its band; then, in bands that still hold several classes, all pairs of different
+    classes are. A link is never taken from fingerprints or sketches: the exact Jaccard index of the ``width``-word shingle sets decides it. Equal texts are one node; null and empty texts are alike. A
     null id is never a component's id unless all its ids are null. Rows that share an id are rows of their own; an empty
     table gives an empty result.
     """

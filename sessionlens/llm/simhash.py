@@ -37,18 +37,23 @@ def fingerprint(text: str | None, width: int, words: int = 1) -> list[int]:
 
     The first word is of the shingles' hashes, the others of these hashes mixed further.
     """
-    hashes = shingle_hashes(text, width)
-    if not hashes:
-        return [0] * words
-    set_bits = np.zeros((words, 64), np.int64)
-    for at in range(0, len(hashes), 65_536):
-        part = np.array(hashes[at : at + 65_536], np.uint64)
+    return majority_bits(np.array(shingle_hashes(text, width), np.uint64), words).view(np.int64).tolist()
+
+
+def majority_bits(hashes: np.ndarray, words: int) -> np.ndarray:
+    """``words`` 64-bit numbers whose bits are set where over half of ``hashes`` have them; of no hashes zeros."""
+    set_bits = np.zeros(64 * words, np.int64)
+    for at in range(0, len(hashes), 16_384):
+        part = hashes[at : at + 16_384].astype(np.uint64)
+        mixed = np.empty((len(part), words), ">u8")
         for k in range(words):
-            set_bits[k] += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+            mixed[:, k] = part
             part = (part ^ part >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
             part = (part ^ part >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    bits = np.packbits((2 * set_bits > len(hashes)).astype(np.uint8), axis=1)
-    return [int(x) for x in bits.view(">i8").ravel()]
+        # up to 255 rows of bits are added as bytes, eight to a number
+        lanes = np.unpackbits(mixed.view(np.uint8), axis=1).view(np.uint64)
+        set_bits += np.add.reduceat(lanes, np.arange(0, len(lanes), 255), axis=0).view(np.uint8).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * set_bits > len(hashes)).view(">u8").astype(np.uint64)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, words: int = 1) -> DataFrame:
