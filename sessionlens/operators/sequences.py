@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import bisect
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,6 +18,8 @@ from sessionlens.storage import cut
 #: Windows in seconds, least risk and sessions of a correlation, cap of sequence points, calls of a link.
 CHAIN_WINDOW, REPEAT_WINDOW, CORRELATION_WINDOW = 900, 3600, 3600
 CORRELATION_RISK, CORRELATION_SESSIONS = 70, 2
+#: Seconds of a bucket in the running sums of a correlation.
+CORRELATION_BUCKET = 4096
 SEQUENCE_CAP, MOST_LINK_CALLS = 150, 10
 
 
@@ -276,18 +280,33 @@ def correlate_sessions(events: DataFrame, window: int = CORRELATION_WINDOW, leas
 
     For each actor and rule the window with most detections counts, the earliest of equals; windows of one actor over the same
     sessions are one row: client, agent, model, provider, session_ids, rule_ids, window_start, window_end, risk_score.
+
+    A detection adds one at its second and takes it back when it leaves the window, so the number in a window is a running
+    sum. Sums go through buckets of time, and no task holds more than the seconds of one bucket, or one number a bucket, of a key.
     """
     actor = ["client", "agent", "model", "provider"]
+    key = [*actor, "rule_id"]
+    bucket = lambda at: F.floor(at / CORRELATION_BUCKET).cast("long")
     rows = events.where((F.col("event_type") == "detection") & (F.col("risk_score") >= least_risk) & F.col("event_time").isNotNull() & F.col("session_id").isNotNull())
-    rows = rows.select(*actor, F.explode(F.array_distinct("rule_ids")).alias("rule_id"), F.col("event_time").cast("long").alias("at"), "session_id", "event_id", "risk_score")
-    frame = W.partitionBy(*actor, "rule_id").orderBy("at").rangeBetween(-window, 0)
-    seen = rows.withColumns({"n": F.count(F.lit(1)).over(frame), "start": F.min("at").over(frame)})
-    best = W.partitionBy(*actor, "rule_id").orderBy(F.desc("n"), "at")
-    top = seen.withColumn("_rn", F.row_number().over(best)).where("_rn = 1").select(*[F.col(a).alias(f"_{a}") for a in actor], F.col("rule_id").alias("_rule"), F.col("start").alias("_start"), F.col("at").alias("_end"))
-    same = (F.col("rule_id") == F.col("_rule")) & F.col("at").between(F.col("_start"), F.col("_end"))
-    for a in actor:
-        same = same & F.col(a).eqNullSafe(F.col(f"_{a}"))
-    inside = rows.join(top, same).groupBy(*actor, "rule_id").agg(F.array_sort(F.collect_set("session_id")).alias("session_ids"), F.min("at").alias("start"), F.max("at").alias("end"), F.max("risk_score").alias("risk"), F.array_sort(F.collect_set("event_id")).alias("ids"))
+    rows = rows.select(*actor, F.explode(F.array_distinct("rule_ids")).alias("rule_id"), F.col("event_time").cast("long").alias("at"), "session_id", "event_id", "risk_score").where("rule_id is not null")
+    change = lambda at, by: F.struct(at.alias("at"), F.lit(by).cast("long").alias("by"))
+    moves = rows.select(*key, F.explode(F.array(change(F.col("at"), 1), change(F.col("at") + window + 1, -1))).alias("c"))
+    moves = moves.groupBy(*key, "c.at").agg(F.sum("c.by").alias("by"), F.max(F.col("c.by") > 0).alias("seen")).withColumn("bucket", bucket(F.col("at")))
+
+    def met(columns: list[str]) -> Column:
+        return reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns])
+
+    sums = moves.groupBy(*key, "bucket").agg(F.sum("by").alias("by"))
+    earlier = W.partitionBy(*key).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    before = sums.select(*[F.col(c).alias(f"_{c}") for c in (*key, "bucket")], F.coalesce(F.sum("by").over(earlier), F.lit(0)).alias("before"))
+    own = W.partitionBy(*key, "bucket").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
+    counted = moves.withColumn("n", F.sum("by").over(own)).where("seen").join(before, met([*key, "bucket"]))
+    top = counted.groupBy(*key).agg(F.max(F.struct(F.expr("n + before").alias("n"), (-F.col("at")).alias("end"))).alias("most"))
+    top = top.select(*[F.col(c).alias(f"_{c}") for c in key], (-F.col("most.end")).alias("_end"))
+    top = top.withColumn("_bucket", F.explode(F.sequence(bucket(F.col("_end") - window), bucket(F.col("_end")))))
+    inside = rows.withColumn("bucket", bucket(F.col("at"))).join(top, met([*key, "bucket"]) & F.col("at").between(F.col("_end") - window, F.col("_end")))
+    inside = inside.groupBy(*key, "session_id").agg(F.min("at").alias("start"), F.max("at").alias("end"), F.max("risk_score").alias("risk"), F.collect_set("event_id").alias("ids"))
+    inside = inside.groupBy(*key).agg(F.array_sort(F.collect_list("session_id")).alias("session_ids"), F.min("start").alias("start"), F.max("end").alias("end"), F.max("risk").alias("risk"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))
     merged = inside.where(F.size("session_ids") >= least_sessions).groupBy(*actor, "session_ids").agg(
         F.array_sort(F.collect_set("rule_id")).alias("rule_ids"), F.timestamp_seconds(F.min("start")).alias("window_start"), F.timestamp_seconds(F.max("end")).alias("window_end"),
         F.max("risk").alias("risk_score"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("related_event_ids"))

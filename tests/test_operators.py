@@ -382,3 +382,28 @@ def test_facade_reads_its_configuration(spark):
     seen = gold.new_summaries(summary, spark.createDataFrame([], "fingerprint string")).select("fingerprint")
     assert own.summaries(found.withColumn("risk_contributions", summary.schema["risk_contributions"] and F.lit(None).cast(summary.schema["risk_contributions"].dataType)), seen).count() == 1
     assert gold.new_summaries(summary.withColumn("timestamp", F.lit("later")), seen).count() == 0
+
+
+def test_correlation_windows_equal_plain_counts(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(str(rng.randrange(6)), rng.sample("rqs", rng.randrange(1, 4)), 80 + rng.randrange(9), rng.randrange(-9000, 60_000)) for _ in range(400)]
+    for window in (0, 700, 5000, 20_000):
+        want = {}
+        for rule in "rqs":
+            own = sorted((t, s, score) for s, rules, score, t in rows if rule in rules)
+            count = {t: sum(t - window <= x <= t for x, *_ in own) for t, *_ in own}
+            end = min(t for t in count if count[t] == max(count.values()))
+            got = [x for x in own if end - window <= x[0] <= end]
+            sessions = tuple(sorted({s for _, s, _ in got}))
+            if len(sessions) > 1:
+                ids, start, last, risk = want.setdefault(sessions, ([], [], [], []))
+                ids.append(rule), start.append(got[0][0]), last.append(got[-1][0]), risk.extend(x[2] for x in got)
+        out = sequences.correlate_sessions(detections(spark, rows), window=window).withColumns({c: F.col(c).cast("long") for c in ("window_start", "window_end")}).collect()
+        assert {tuple(r["session_ids"]): (r["rule_ids"], r["window_start"], r["window_end"], r["risk_score"]) for r in out} == {s: (sorted(i), min(a), max(b), max(k)) for s, (i, a, b, k) in want.items()}
+
+
+def test_correlation_sorts_no_actor_and_rule_in_one_task(spark):
+    plan = sequences.correlate_sessions(detections(spark, [("1", "r", 70, 0)]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RangeFrame" not in plan and "row_number" not in plan
