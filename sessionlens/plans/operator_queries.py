@@ -80,7 +80,7 @@ def assembled_deltas(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where(F.length("text").between(1, 4000))
     parts = F.transform(F.sequence(F.lit(0), ((F.length("text") - 1) / 50).cast("int")), lambda i: F.substring(F.col("text"), i * 50 + 1, F.lit(50)))
     chunks = d.select(F.col("doc_id").alias("response_id"), F.posexplode(parts).alias("seq", "delta")).select("response_id", F.col("seq").cast("long").alias("seq"), F.lit(0).alias("choice_index"), F.lit(0).alias("tool_index"), "delta", F.lit(None).cast("string").alias("finish_reason"))
-    return feeds.assemble_deltas(chunks.repartition(8, "seq"))[0].select("response_id", "text")
+    return feeds.assemble_deltas(chunks.repartition("seq", "response_id"))[0].select("response_id", "text")
 
 
 @query("""SELECT conv_id, turn, role, sha256(text) AS text_hash FROM conversations""")

@@ -65,9 +65,11 @@ def assemble_deltas(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     Deltas join in order of seq. A response with two different deltas or finish reasons in one place is a conflict and gives no text.
     """
     keys = ["response_id", "choice_index", "tool_index"]
-    same = chunks.groupBy(*keys, "seq").agg(F.countDistinct("delta").alias("n"), F.min("delta").alias("delta"), F.max("finish_reason").alias("finish_reason"))
-    ends = chunks.where("finish_reason is not null").groupBy("response_id", "choice_index").agg(F.countDistinct("finish_reason").alias("n"))
-    conflicts = same.where("n > 1").select("response_id").unionByName(ends.where("n > 1").select("response_id")).distinct()
+    # two different values show in their least and largest, so no set of values is built
+    differ = lambda c: F.coalesce(F.min(c) < F.max(c), F.lit(False))
+    same = chunks.groupBy(*keys, "seq").agg(differ("delta").alias("differ"), F.min("delta").alias("delta"), F.max("finish_reason").alias("finish_reason"))
+    ends = chunks.where("finish_reason is not null").groupBy("response_id", "choice_index").agg(differ("finish_reason").alias("differ"))
+    conflicts = same.where("differ").select("response_id").unionByName(ends.where("differ").select("response_id")).distinct()
     ok = same.join(conflicts, "response_id", "left_anti")
     texts = ok.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "delta"))), lambda x: x["delta"]), "").alias("text"), F.max("finish_reason").alias("finish_reason"), F.count(F.lit(1)).alias("chunks"))
     return texts, conflicts

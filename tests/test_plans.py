@@ -45,3 +45,10 @@ def test_scores_read_the_matches_once_and_sanitise_redacts_once(spark, sf_dir):
     assert p.count("Location: ") == 1
     d = table(spark, sf_dir, "documents").select(privacy.sanitise(F.col("text")).alias("t"))
     assert d._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") < 40
+
+
+def test_deltas_are_dealt_over_no_fixed_number_of_tasks(spark, sf_dir):
+    from sessionlens.plans import QUERIES
+
+    p = plan(QUERIES["assembled_deltas"](spark, sf_dir))
+    assert "REPARTITION_BY_NUM" not in p and "count(distinct" not in p and "Expand" not in p
