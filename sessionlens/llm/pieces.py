@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +21,34 @@ RUN = re.compile(f"{SPACE}+[^{SPACE}]*")
 LONGEST = 48  # code points of a unit whose cuts fit a 64-bit mask
 
 
+def bounds(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of strings without nulls, and the offsets of the strings in them."""
+    ends = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64)
+    return np.frombuffer(values.buffers()[2], np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+
+
+def first_bytes(data: np.ndarray) -> np.ndarray:
+    """Where the characters of UTF-8 ``data`` begin."""
+    return np.flatnonzero((data & 0xC0) != 0x80)
+
+
+def strings(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """The strings between ``offsets``, which are those of bytes in ``data``."""
+    return pa.Array.from_buffers(pa.string(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+
+
+def told_apart(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The distinct ``values``, and for each value its place among them."""
+    made = values.dictionary_encode()
+    return made.indices.to_numpy(zero_copy_only=False), made.dictionary
+
+
+def runs(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """All of start, start + 1, ... up to ``length`` places for each entry, one after another."""
+    ends = np.cumsum(length)
+    return np.repeat(start - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class Vocabulary:
     """What a SentencePiece model file says: ids and scores of its pieces, ids of its byte pieces."""
 
@@ -56,33 +84,22 @@ class Vocabulary:
             return RUN.findall(SPACE + text.replace(" ", SPACE))
         return [SPACE + text.replace(" ", SPACE)]
 
-    def units(self, words: list[str]) -> tuple[list[str], np.ndarray]:
-        """The words with their marks, cut wherever no piece spans the two neighbouring characters, and each word's number of units."""
-        if not words:
-            return [], np.zeros(0, np.int64)
-        words = [w if w[0] == SPACE else SPACE + w for w in words]
-        joined = "".join(words)
-        n = self.number[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    def units(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The words with their marks, cut wherever no piece spans the two neighbouring characters, and each word's number of units.
+
+        The units are Arrow strings that lie side by side in one buffer.
+        """
+        if not len(words):
+            return pa.array([], pa.string()), np.zeros(0, np.int64)
+        data, ends = bounds(pc.if_else(pc.starts_with(words, SPACE), words, pc.binary_join_element_wise(SPACE, words, "")))
+        chars, ends = first_bytes(data), ends[1:]
+        n = self.number[np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)]
         starts = np.ones(len(n) + 1, bool)
         starts[1:-1] = ~self.joins[n[:-1], n[1:]]
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
-        starts[ends[:-1]] = True
+        ends = np.searchsorted(chars, ends)
+        starts[ends] = True
         at = np.flatnonzero(starts)
-        cuts = at.tolist()
-        return [joined[x:y] for x, y in zip(cuts, cuts[1:], strict=False)], np.diff(np.searchsorted(at, ends), prepend=0)
-
-    def piece_ids(self, unit: str, cuts: list[int]) -> list[int]:
-        """Ids of the pieces between ``cuts``; a character without a piece becomes its UTF-8 bytes."""
-        ids = []
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            i = self.ids.get(unit[a:b])
-            if i is not None:
-                ids.append(i)
-            elif self.byte_ids:
-                ids += [self.byte_ids[x] for c in unit[a:b] for x in c.encode("utf-8", "surrogatepass")]
-            else:
-                ids.append(self.unknown)
-        return ids
+        return strings(data, np.append(chars, len(data))[at]), np.diff(np.searchsorted(at, ends), prepend=0)
 
     def long_unit(self, unit: str) -> list[int]:
         """Cuts of a unit too long for a mask, by the same merges with a heap."""
@@ -127,28 +144,22 @@ class Vocabulary:
         return {i: p.encode() for p, i in self.ids.items()} | {i: bytes([b]) for i, b in self.bytes.items()}
 
 
-def distinct_units(docs: DataFrame, vocab: Vocabulary, text_col: str, most: int = 300_000) -> DataFrame:
-    """(unit, n): the units of all texts that have a choice to make, with their number, added up before the shuffle."""
-
-    def run(stream):
-        seen: Counter = Counter()
+def distinct_units(docs: DataFrame, vocab: Vocabulary, text_col: str, most_chars: int = 8_000_000) -> DataFrame:
+    """(unit, n): the units of all texts that have a choice to make, with their number, added up before the shuffle.
 
-        def rows():
-            found: Counter = Counter()
-            units, number = vocab.units(list(seen))
-            for u, n in zip(units, np.repeat(np.fromiter(seen.values(), np.int64, len(seen)), number).tolist(), strict=True):
-                if 2 <= len(u) <= LONGEST:
-                    found[u] += n
-            seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["unit", "n"])
+    Texts of about ``most_chars`` characters are counted at a time: words first, then the units of the distinct words.
+    """
 
+    def run(stream):
         for batch in stream:
-            for text in batch.column(0).to_pylist():
-                if text:
-                    seen.update(vocab.words(text))
-                if len(seen) > most:
-                    yield rows()
-        yield rows()
+            texts = batch.column(0).to_pylist()
+            for a, b in batches(texts, most_chars):
+                at, words = told_apart(pa.array(chain.from_iterable(vocab.words(t) for t in texts[a:b] if t), pa.string()))
+                units, number = vocab.units(words)
+                which, units = told_apart(units)
+                n = np.bincount(which, np.repeat(np.bincount(at, minlength=len(words)), number), len(units)).astype(np.int64)
+                long = pc.utf8_length(units).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([units, pa.array(n)], names=["unit", "n"]).filter(pa.array((long >= 2) & (long <= LONGEST)))
 
     return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
@@ -156,13 +167,13 @@ def distinct_units(docs: DataFrame, vocab: Vocabulary, text_col: str, most: int
 def lattice(units: DataFrame, spark: SparkSession, vocab: Vocabulary) -> DataFrame:
     """(unit, edges): all substrings of a unit that are pieces, as structs of start, length and score.
 
-    Substrings no longer than the longest piece are exploded and equi-joined to the piece table, which the model file
-    bounds; edges come together by unit, on the partitioning that the units have from being made distinct.
+    Substrings no longer than the longest piece are exploded, by start and then by length, which Spark compiles, and
+    equi-joined to the piece table, which the model file bounds; edges come together by unit.
     """
     table = spark.createDataFrame(list(vocab.scores.items()), "piece string, score double").where(F.length("piece") > 1)
-    n = F.length("unit")
-    spans = F.flatten(F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.transform(F.sequence(F.lit(2), F.least(n - i, F.lit(vocab.longest))), lambda k: F.struct(i.alias("start"), k.alias("length"), F.substring(F.col("unit"), i + 1, k).alias("piece")))))
-    edges = units.select("unit", F.explode(spans).alias("s")).select("unit", "s.start", "s.length", "s.piece").join(F.broadcast(table), "piece")
+    starts = units.select("unit", F.explode(F.sequence(F.lit(0), F.length("unit") - 2)).alias("start"))
+    spans = starts.select("unit", "start", F.explode(F.sequence(F.lit(2), F.least(F.length("unit") - F.col("start"), F.lit(vocab.longest)))).alias("length"))
+    edges = spans.withColumn("piece", F.substring("unit", F.col("start") + 1, F.col("length"))).join(F.broadcast(table), "piece")
     return edges.groupBy("unit").agg(F.collect_list(F.struct((-F.col("score")).alias("cost"), "start", "length")).alias("edges"))
 
 
@@ -207,41 +218,53 @@ def encoded_units(units: DataFrame, vocab: Vocabulary, kind: str = "bpe") -> Dat
 
 
 class PieceIds:
-    """Ids of the words met so far, side by side in one array; dropped when they pass ``most`` words or ids."""
-
-    def __init__(self, vocab: Vocabulary, table: "UnitTable", most: int = 500_000, most_ids: int = 8_000_000):
-        self.vocab, self.table, self.most, self.most_ids = vocab, table, most, most_ids
-        self.clear()
-
-    def clear(self):
-        self.number: dict[str, int] = {}
-        self.units: dict[str, list[int]] = {}
-        self.start, self.length, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-
-    def look_up(self, words: list[str]) -> np.ndarray:
-        """Numbers of ``words``, which index start and length."""
-        if len(self.number) > self.most or len(self.pool) > self.most_ids:
-            self.clear()
-        at = list(map(self.number.get, words))
-        if None in at:
-            new = list({w for w, k in zip(words, at, strict=True) if k is None})
-            units, number = self.vocab.units(new)
-            ids = self._ids(units)
-            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
-            each = np.fromiter(map(len, ids), np.int64, len(ids))
-            upto = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(number)])]
-            self.start = np.concatenate([self.start, len(self.pool) + upto[:-1]])
-            self.length = np.concatenate([self.length, np.diff(upto)])
-            self.pool = np.concatenate([self.pool, np.array([i for x in ids for i in x], np.int32)])
-            at = list(map(self.number.__getitem__, words))
-        return np.array(at, np.int64)
-
-    def _ids(self, units: list[str]) -> list[list[int]]:
-        new = list({u for u in units if u not in self.units})
-        cuts = self.table.cuts([u if 2 <= len(u) <= LONGEST else "" for u in new])
-        for u, c in zip(new, cuts, strict=True):
-            self.units[u] = self.vocab.piece_ids(u, [0, 1] if len(u) == 1 else c if len(u) <= LONGEST else self.vocab.long_unit(u))
-        return [self.units[u] for u in units]
+    """Ids of many words at once: each distinct word is cut once, each distinct unit looked up once, in arrays over all of them."""
+
+    def __init__(self, vocab: Vocabulary, table: "UnitTable"):
+        self.vocab, self.table = vocab, table
+        self.pieces, self.ids = pa.array(list(vocab.ids), pa.string()), np.fromiter(vocab.ids.values(), np.int32, len(vocab.ids))
+        self.byte_ids = np.full(256, vocab.unknown, np.int32)
+        self.byte_ids[list(vocab.byte_ids)] = list(vocab.byte_ids.values())
+
+    def of(self, words: list[str], more: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of ``words``, one after another, and the number of ids of each word. ``more`` has masks of units that the table lacks."""
+        at, distinct = told_apart(pa.array(words, pa.string()))
+        units, number = self.vocab.units(distinct)
+        which, units = told_apart(units)
+        pool, n = self._units(units, more)
+        unit_start, unit_n = (np.cumsum(n) - n)[which], n[which]
+        pool = pool[runs(unit_start, unit_n)]  # the ids of the distinct words
+        upto = np.concatenate([[0], np.cumsum(unit_n)])[np.concatenate([[0], np.cumsum(number)])]
+        start, length = upto[:-1][at], np.diff(upto)[at]
+        return pool[runs(start, length)], length
+
+    def _units(self, units: pa.Array, more: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of ``units``, one after another, and the number of ids of each unit; a character without a piece becomes its UTF-8 bytes."""
+        if not len(units):
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        text, ends = bounds(units)
+        chars = first_bytes(text)
+        first = np.searchsorted(chars, ends)
+        first, long = first[:-1], np.diff(first)
+        mask = self.table.masks_of(units)
+        if more:
+            got = np.fromiter((more.get(u, 0) for u in units.to_numpy(zero_copy_only=False)), np.int64, len(units))
+            mask = np.where(got != 0, got, mask)
+        mask[long < 2] = -1
+        cut = (np.repeat(mask, long) >> np.minimum(np.arange(len(chars)) - np.repeat(first, long), 63) & 1).astype(bool)
+        for u in np.flatnonzero(long > LONGEST).tolist():
+            cut[first[u] : first[u] + long[u]] = False
+            cut[first[u] + np.array(self.vocab.long_unit(units[u].as_py())[:-1])] = True
+        starts = chars[cut]
+        width = np.diff(starts, append=len(text))
+        found = pc.index_in(strings(text, np.append(starts, len(text))), value_set=self.pieces)
+        at = found.fill_null(-1).to_numpy(zero_copy_only=False)
+        lacks = at < 0
+        n = np.where(lacks & bool(self.vocab.byte_ids), width, 1)
+        ids = np.repeat(np.where(lacks, self.vocab.unknown, self.ids[at]), n)
+        if self.vocab.byte_ids and lacks.any():
+            ids[np.repeat(lacks, n)] = self.byte_ids[text[runs(starts[lacks], width[lacks])]]
+        return ids.astype(np.int32), np.diff(np.concatenate([[0], np.cumsum(n)])[np.searchsorted(starts, ends)])
 
 
 class Spelling:
@@ -274,12 +297,16 @@ class UnitTable:
         order = np.argsort(hashes)
         self.hashes, self.masks = hashes[order], masks[order]
 
-    def cuts(self, units: list[str]) -> list[list[int]]:
-        h = np.array([xxhash.xxh64_intdigest(u.encode("utf-8", "surrogatepass"), 42) for u in units], np.uint64).astype(np.int64)
+    def masks_of(self, units: pa.Array) -> np.ndarray:
+        """Masks of ``units``; one that the table lacks gets -1, which cuts before every character."""
+        h, at, known = self.find(units)
+        return np.where(known, self.masks[at], -1) if len(self.masks) else np.full(len(h), -1)
+
+    def find(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of ``units``, their places in the table, and whether they are there."""
+        h = np.fromiter(map(xxhash.xxh64_intdigest, units.cast(pa.binary()).to_numpy(zero_copy_only=False), repeat(42)), np.uint64, len(units)).view(np.int64)
         at = np.searchsorted(self.hashes, h).clip(0, max(0, len(self.hashes) - 1))
-        known = self.hashes[at] == h if len(self.hashes) else np.zeros(len(h), bool)
-        mask = np.where(known, self.masks[at] if len(self.masks) else 0, -1).tolist()
-        return [[k for k in range(len(u) + 1) if m < 0 or m >> k & 1] for u, m in zip(units, mask, strict=True)]
+        return h, at, self.hashes[at] == h if len(self.hashes) else np.zeros(len(h), bool)
 
 
 def most_frequent(masks: DataFrame, most: int, steps: int = 16) -> DataFrame:
@@ -323,49 +350,38 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     extra = F.lit(None).cast("map<string,long>")
     if total > table_units:
         given = cut(given)
-        head_hashes = np.sort(got["h"].to_numpy())
-        known = spark.sparkContext.broadcast(head_hashes)
 
         def rare(stream):
             for batch in stream:
-                rows, found = [], []
-                for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    own = sorted({u for u in vocab.units(list(set(vocab.words(text))))[0] if 2 <= len(u) <= LONGEST}) if text else []
-                    h = np.array([xxhash.xxh64_intdigest(u.encode("utf-8", "surrogatepass"), 42) for u in own], np.uint64).astype(np.int64)
-                    own = [u for u, k in zip(own, np.isin(h, known.value), strict=True) if not k]
-                    rows += [row] * len(own)
-                    found += own
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(found, pa.string())], names=["row", "unit"])
+                row, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+                for a, b in batches(texts, 4_000_000):
+                    words = [vocab.words(t) if t else [] for t in texts[a:b]]
+                    at, distinct = told_apart(pa.array(chain.from_iterable(words), pa.string()))
+                    units, number = vocab.units(distinct)
+                    which, units = told_apart(units)
+                    long = pc.utf8_length(units).to_numpy(zero_copy_only=False)
+                    wanted = (long >= 2) & (long <= LONGEST) & ~table.value.find(units)[2]
+                    # the units of each word, of each text, told apart as pairs of numbers
+                    held = which[runs((np.cumsum(number) - number)[at], number[at])]
+                    owner = np.repeat(np.repeat(np.arange(b - a), list(map(len, words))), number[at])
+                    pairs = np.unique((owner * max(1, len(units)) + held)[wanted[held]])
+                    yield pa.RecordBatch.from_arrays([pa.array(row[a:b][pairs // max(1, len(units))]), units.take(pa.array(pairs % max(1, len(units))))], names=["row", "unit"])
 
         tail = given.select("row", "text").mapInArrow(rare, "row long, unit string").join(masks, "unit")
         tail = tail.groupBy(F.col("row").alias("_row")).agg(F.map_from_entries(F.collect_list(F.struct("unit", "mask"))).alias("extra"))
         given = given.join(tail, F.col("row") == F.col("_row"), "left").drop("_row")
         extra = F.col("extra")
+
     def run(stream):
         known, spelling = PieceIds(vocab, table.value), Spelling(vocab)
         for batch in stream:
             texts, extras = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for a, b in batches(texts, 1_000_000):
+            for a, b in batches(texts, 4_000_000):
                 words = [vocab.words(t) if t else [] for t in texts[a:b]]
-                at = known.look_up(list(chain.from_iterable(words)))
-                owner = np.repeat(np.arange(b - a), [len(ws) for ws in words])
-                length = known.length[at]
-                ends = np.cumsum(length)
-                ids = known.pool[np.repeat(known.start[at] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)]
-                n = np.bincount(owner, length, b - a).astype(np.int64)
-                if any(extras[a:b]):
-                    each = np.split(ids, np.cumsum(n)[:-1])
-                    each = [x if not more else np.fromiter(with_rare(vocab.units(ws)[0], dict(more)), np.int32) for x, ws, more in zip(each, words, extras[a:b], strict=True)]
-                    n, ids = np.array([len(x) for x in each], np.int64), np.concatenate(each)
-                ends = np.cumsum(n)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), lists, pa.array(spelling.gives(ids, ends, texts[a:b]), pa.bool_())], names=["doc_id", "n_pieces", "ids", "round_trip"])
-
-    def with_rare(units, more):
-        for u in units:
-            m = more.get(u)
-            cuts = [0, 1] if len(u) == 1 else [k for k in range(len(u) + 1) if m >> k & 1] if m is not None else table.value.cuts([u])[0] if len(u) <= LONGEST else vocab.long_unit(u)
-            yield from vocab.piece_ids(u, cuts)
+                ids, each = known.of(list(chain.from_iterable(words)), dict(chain.from_iterable(x for x in extras[a:b] if x)))
+                upto = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(list(map(len, words)))])]
+                lists = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(upto)), lists, pa.array(spelling.gives(ids, upto[1:], texts[a:b]), pa.bool_())], names=["doc_id", "n_pieces", "ids", "round_trip"])
 
     kind_of = given.schema["doc_id"].dataType.simpleString()
     return given.select("doc_id", "text", extra.alias("extra")).mapInArrow(run, f"doc_id {kind_of}, n_pieces long, ids array<int>, round_trip boolean")
