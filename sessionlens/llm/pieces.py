@@ -13,12 +13,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlens.llm.common import batches, cut
+from sessionlens.llm.common import cut
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 RUN = re.compile(f"{SPACE}+[^{SPACE}]*")
 LONGEST = 48  # code points of a unit whose cuts fit a 64-bit mask
+PART = 1_000_000  # characters of the texts that are strings in a Python worker at a time
 
 
 def bounds(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -43,6 +44,19 @@ def told_apart(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return made.indices.to_numpy(zero_copy_only=False), made.dictionary
 
 
+def parts(texts: pa.Array, most_chars: int = PART):
+    """(start, end, texts): slices of Arrow ``texts`` as lists of about ``most_chars`` characters each, whole texts only.
+
+    A batch of Arrow has as many rows as Spark is set to, whatever their length; only one slice becomes Python strings at a time.
+    """
+    start = size = 0
+    for i, n in enumerate(pc.utf8_length(texts).to_pylist()):
+        size += n or 0
+        if size >= most_chars or i + 1 == len(texts):
+            yield start, i + 1, texts.slice(start, i + 1 - start).to_pylist()
+            start, size = i + 1, 0
+
+
 def runs(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """All of start, start + 1, ... up to ``length`` places for each entry, one after another."""
     ends = np.cumsum(length)
@@ -144,22 +158,26 @@ class Vocabulary:
         return {i: p.encode() for p, i in self.ids.items()} | {i: bytes([b]) for i, b in self.bytes.items()}
 
 
-def distinct_units(docs: DataFrame, vocab: Vocabulary, text_col: str, most_chars: int = 8_000_000) -> DataFrame:
+def counted_units(stream, vocab: Vocabulary, most_chars: int = PART):
+    """Batches of (unit, n) for batches of texts: words of a slice of texts are counted first, then the units of its distinct words."""
+    for batch in stream:
+        for _, _, texts in parts(batch.column(0), most_chars):
+            at, words = told_apart(pa.array(chain.from_iterable(vocab.words(t) for t in texts if t), pa.string()))
+            units, number = vocab.units(words)
+            which, units = told_apart(units)
+            n = np.bincount(which, np.repeat(np.bincount(at, minlength=len(words)), number), len(units)).astype(np.int64)
+            long = pc.utf8_length(units).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([units, pa.array(n)], names=["unit", "n"]).filter(pa.array((long >= 2) & (long <= LONGEST)))
+
+
+def distinct_units(docs: DataFrame, vocab: Vocabulary, text_col: str, most_chars: int = PART) -> DataFrame:
     """(unit, n): the units of all texts that have a choice to make, with their number, added up before the shuffle.
 
-    Texts of about ``most_chars`` characters are counted at a time: words first, then the units of the distinct words.
+    Texts of about ``most_chars`` characters are counted at a time; Spark adds up what one task counted.
     """
 
     def run(stream):
-        for batch in stream:
-            texts = batch.column(0).to_pylist()
-            for a, b in batches(texts, most_chars):
-                at, words = told_apart(pa.array(chain.from_iterable(vocab.words(t) for t in texts[a:b] if t), pa.string()))
-                units, number = vocab.units(words)
-                which, units = told_apart(units)
-                n = np.bincount(which, np.repeat(np.bincount(at, minlength=len(words)), number), len(units)).astype(np.int64)
-                long = pc.utf8_length(units).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([units, pa.array(n)], names=["unit", "n"]).filter(pa.array((long >= 2) & (long <= LONGEST)))
+        return counted_units(stream, vocab, most_chars)
 
     return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
@@ -170,7 +188,9 @@ def lattice(units: DataFrame, spark: SparkSession, vocab: Vocabulary) -> DataFra
     Substrings no longer than the longest piece are exploded, by start and then by length, which Spark compiles, and
     equi-joined to the piece table, which the model file bounds; edges come together by unit.
     """
-    table = spark.createDataFrame(list(vocab.scores.items()), "piece string, score double").where(F.length("piece") > 1)
+    scores = {p: x for p, x in vocab.scores.items() if len(p) > 1}
+    # by Arrow the rows are in the plan; a list of them would be read by Python workers of its own in every executor
+    table = spark.createDataFrame(pa.table({"piece": pa.array(list(scores), pa.string()), "score": pa.array(list(scores.values()), pa.float64())}))
     starts = units.select("unit", F.explode(F.sequence(F.lit(0), F.length("unit") - 2)).alias("start"))
     spans = starts.select("unit", "start", F.explode(F.sequence(F.lit(2), F.least(F.length("unit") - F.col("start"), F.lit(vocab.longest)))).alias("length"))
     edges = spans.withColumn("piece", F.substring("unit", F.col("start") + 1, F.col("length"))).join(F.broadcast(table), "piece")
@@ -325,6 +345,19 @@ def most_frequent(masks: DataFrame, most: int, steps: int = 16) -> DataFrame:
     return masks.limit(0) if threshold is None else masks.where(step >= threshold)
 
 
+def encoded_texts(stream, vocab: Vocabulary, table: UnitTable, most_chars: int = PART):
+    """Batches of (doc_id, n_pieces, ids, round_trip) for batches of (doc_id, text, extra), a slice of texts at a time."""
+    known, spelling = PieceIds(vocab, table), Spelling(vocab)
+    for batch in stream:
+        for a, b, texts in parts(batch.column(1), most_chars):
+            words = [vocab.words(t) if t else [] for t in texts]
+            extras = batch.column(2).slice(a, b - a).to_pylist()
+            ids, each = known.of(list(chain.from_iterable(words)), dict(chain.from_iterable(x for x in extras if x)))
+            upto = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(list(map(len, words)))])]
+            lists = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(upto)), lists, pa.array(spelling.gives(ids, upto[1:], texts), pa.bool_())], names=["doc_id", "n_pieces", "ids", "round_trip"])
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: Vocabulary | None = None, kind: str = "bpe", table_units: int = 4_000_000) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_pieces, ids, round_trip.
 
@@ -353,9 +386,9 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
 
         def rare(stream):
             for batch in stream:
-                row, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-                for a, b in batches(texts, 4_000_000):
-                    words = [vocab.words(t) if t else [] for t in texts[a:b]]
+                row = batch.column(0).to_numpy()
+                for a, b, texts in parts(batch.column(1)):
+                    words = [vocab.words(t) if t else [] for t in texts]
                     at, distinct = told_apart(pa.array(chain.from_iterable(words), pa.string()))
                     units, number = vocab.units(distinct)
                     which, units = told_apart(units)
@@ -373,15 +406,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
         extra = F.col("extra")
 
     def run(stream):
-        known, spelling = PieceIds(vocab, table.value), Spelling(vocab)
-        for batch in stream:
-            texts, extras = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for a, b in batches(texts, 4_000_000):
-                words = [vocab.words(t) if t else [] for t in texts[a:b]]
-                ids, each = known.of(list(chain.from_iterable(words)), dict(chain.from_iterable(x for x in extras[a:b] if x)))
-                upto = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(list(map(len, words)))])]
-                lists = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(upto)), lists, pa.array(spelling.gives(ids, upto[1:], texts[a:b]), pa.bool_())], names=["doc_id", "n_pieces", "ids", "round_trip"])
+        return encoded_texts(stream, vocab, table.value)
 
     kind_of = given.schema["doc_id"].dataType.simpleString()
     return given.select("doc_id", "text", extra.alias("extra")).mapInArrow(run, f"doc_id {kind_of}, n_pieces long, ids array<int>, round_trip boolean")
