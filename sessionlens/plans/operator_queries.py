@@ -75,12 +75,14 @@ def first_sources(spark, sf_dir):
     return sessions.first_sources(_lines(c, "qwen", F.col("text")), 20, "qwen").select("client", "source_id")
 
 
-@query("""SELECT doc_id AS response_id, text FROM documents WHERE length(text) BETWEEN 1 AND 4000""")
+@query("""SELECT doc_id AS response_id, text FROM documents""")
 def assembled_deltas(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where(F.length("text").between(1, 4000))
-    parts = F.transform(F.sequence(F.lit(0), ((F.length("text") - 1) / 50).cast("int")), lambda i: F.substring(F.col("text"), i * 50 + 1, F.lit(50)))
-    chunks = d.select(F.col("doc_id").alias("response_id"), F.posexplode(parts).alias("seq", "delta")).select("response_id", F.col("seq").cast("long").alias("seq"), F.lit(0).alias("choice_index"), F.lit(0).alias("tool_index"), "delta", F.lit(None).cast("string").alias("finish_reason"))
-    return feeds.assemble_deltas(chunks.repartition("seq", "response_id"))[0].select("response_id", "text")
+    # each row is a response of its own, so null and repeated ids lose nothing
+    d = table(spark, sf_dir, "documents").select(F.struct("doc_id", F.monotonically_increasing_id().alias("row")).alias("response_id"), "text")
+    # one pass over the text; substrings by place would each start at its beginning
+    parts = F.when(F.length("text") > 0, F.regexp_extract_all("text", F.lit("(?s).{1,50}"), F.lit(0))).otherwise(F.array("text"))
+    chunks = d.select("response_id", F.posexplode(parts).alias("seq", "delta")).select("response_id", F.col("seq").cast("long").alias("seq"), F.lit(0).alias("choice_index"), F.lit(0).alias("tool_index"), "delta", F.lit(None).cast("string").alias("finish_reason"))
+    return feeds.assemble_deltas(chunks.repartition("seq", "response_id"))[0].select(F.col("response_id.doc_id").alias("response_id"), "text")
 
 
 @query("""SELECT conv_id, turn, role, sha256(text) AS text_hash FROM conversations""")

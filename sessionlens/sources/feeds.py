@@ -63,6 +63,7 @@ def assemble_deltas(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(texts, conflicts) of chunks (response_id, seq, choice_index, tool_index, delta, finish_reason).
 
     Deltas join in order of seq. A response with two different deltas or finish reasons in one place is a conflict and gives no text.
+    The text of a response whose deltas are all null is null.
     """
     keys = ["response_id", "choice_index", "tool_index"]
     # two different values show in their least and largest, so no set of values is built
@@ -71,7 +72,8 @@ def assemble_deltas(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     ends = chunks.where("finish_reason is not null").groupBy("response_id", "choice_index").agg(differ("finish_reason").alias("differ"))
     conflicts = same.where("differ").select("response_id").unionByName(ends.where("differ").select("response_id")).distinct()
     ok = same.join(conflicts, "response_id", "left_anti")
-    texts = ok.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "delta"))), lambda x: x["delta"]), "").alias("text"), F.max("finish_reason").alias("finish_reason"), F.count(F.lit(1)).alias("chunks"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "delta"))), lambda x: x["delta"]), "")
+    texts = ok.groupBy(*keys).agg(F.when(F.count("delta") > 0, joined).alias("text"), F.max("finish_reason").alias("finish_reason"), F.count(F.lit(1)).alias("chunks"))
     return texts, conflicts
 
 
